@@ -1,0 +1,90 @@
+"""The batch pipeline as lazy DataFrame plans.
+
+``Tables`` wires the operators together for one input folder.  Nothing is
+computed until an action runs; shared intermediate tables are plain lazy
+DataFrames (Catalyst re-uses exchanges inside one query), and ``persist``
+or ``materialize`` write them out once when several jobs read them.
+"""
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+
+from moundflow.operators import clean, features, profiles, runvalue, sequence
+from moundflow.sources.pitch_view import pitch_view, read_table
+
+
+def pitches_with_rv(raw: DataFrame, re_table: DataFrame | None = None) -> DataFrame:
+    """C1-C4 -> one hash shuffle on game -> W1-W3 -> W4-W8 -> E9-E14.
+
+    The explicit ``repartition('game_pk')`` puts every game in one partition
+    once; the half-inning and at-bat windows both partition by keys that
+    start with ``game_pk``, so neither adds an Exchange (only local sorts).
+    """
+    df = clean.clean_pitches(raw)
+    df = df.repartition("game_pk")
+    df = runvalue.add_run_values(df, re_table)
+    df = sequence.add_sequence_features(df)
+    return sequence.add_outcome_features(df)
+
+
+class Tables:
+    """All derived tables for one input folder, built lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, strict_pitcher_join: bool = True):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self.strict = strict_pitcher_join
+
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return pitch_view(self.spark, self.sf_dir)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return clean.clean_pitches(self.raw)
+
+    @cached_property
+    def pitches(self) -> DataFrame:
+        return pitches_with_rv(self.raw)
+
+    @cached_property
+    def batter_counts(self) -> DataFrame:
+        return profiles.batter_category_counts(self.raw)
+
+    @cached_property
+    def batter_profiles(self) -> DataFrame:
+        return profiles.batter_profiles_from_counts(self.batter_counts)
+
+    @cached_property
+    def batter_wide(self) -> DataFrame:
+        return profiles.batter_profiles_wide(self.batter_profiles)
+
+    @cached_property
+    def pitcher_profiles(self) -> DataFrame:
+        return profiles.pitcher_profiles(self.raw)
+
+    @cached_property
+    def pitcher_arsenals(self) -> DataFrame:
+        return profiles.pitcher_arsenals(self.pitcher_profiles)
+
+    @cached_property
+    def zone_long(self) -> DataFrame:
+        return profiles.batter_zone_long(self.raw)
+
+    @cached_property
+    def zone_wide(self) -> DataFrame:
+        return profiles.batter_zone_wide(self.zone_long)
+
+    @cached_property
+    def league_zones(self) -> DataFrame:
+        return profiles.league_zone_stats(profiles._zone_counts(self.raw))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.build_features(self.pitches, self.batter_wide, self.pitcher_profiles,
+                                       self.zone_long, strict=self.strict)
