@@ -84,14 +84,14 @@ def add_location_features(df: DataFrame, zone_long: DataFrame | None) -> DataFra
     })
     if zone_long is None:
         return df
-    z = zone_long.select("batter", F.col("zone").cast("long").alias("_zone"),
+    z = zone_long.select(F.col("batter").alias("_zbatter"), F.col("zone").cast("long").alias("_zone"),
                          *[F.col(s).alias(f"_z_{s}") for s in ZONE_DEFAULTS])
     zk = F.col("zone")
     valid = F.coalesce((zk >= 1) & (zk <= 14), F.lit(False))
-    df = df.join(z, (df["batter"] == z["batter"]) & (F.floor(zk).cast("long") == z["_zone"]), "left").drop(z["batter"])
+    df = df.join(z, (F.col("batter") == F.col("_zbatter")) & (F.floor(zk).cast("long") == F.col("_zone")), "left")
     df = df.withColumns({f"batter_{s}_at_zone": F.when(valid, F.col(f"_z_{s}")).otherwise(F.lit(d))
                          for s, d in ZONE_DEFAULTS.items()})
-    return df.drop("_zone", *[f"_z_{s}" for s in ZONE_DEFAULTS])
+    return df.drop("_zbatter", "_zone", *[f"_z_{s}" for s in ZONE_DEFAULTS])
 
 
 def add_situational_features(df: DataFrame) -> DataFrame:

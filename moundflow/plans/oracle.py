@@ -294,3 +294,63 @@ def with_ctes(final_sql: str, needed: list[str]) -> str:
     for n in needed:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + final_sql
+
+
+# ---------------------------------------------------------------------------
+# Feature table
+# ---------------------------------------------------------------------------
+def _this_cat(stat: str, cat: str = "f0.pitch_category") -> str:
+    pick = " ".join(f"WHEN '{c}' THEN {stat}_vs_{c}" for c in K.CATEGORIES)
+    return f"coalesce(CASE {cat} {pick} END, {sql_league(cat, stat)})"
+
+
+def _bucket(col: str, edges, labels) -> str:
+    parts = " ".join(f"WHEN {col} > {lo} AND {col} <= {hi} THEN '{lab}'"
+                     for lo, hi, lab in zip(edges[:-1], edges[1:], labels))
+    return f"(CASE {parts} ELSE NULL END)"
+
+
+cte("f0", ["seq", "bwide"], "SELECT s.*, w.* EXCLUDE (batter) FROM seq s LEFT JOIN bwide w ON w.batter = s.batter")
+cte("f1", ["f0", "pprof"], "SELECT f0.*, "
+    + ", ".join(f"{_this_cat(s)} AS batter_{s}_vs_this_cat" for s in K.PROFILE_STATS) + ", "
+    + ", ".join(f"p.{c} AS pitcher_{c}" for c in ["avg_velo", "std_velo", "avg_spin", "avg_pfx_x", "avg_pfx_z",
+                                                 "whiff_rate", "strike_rate", "usage_rate", "velo_diff_from_fb"])
+    + " FROM f0 LEFT JOIN pprof p ON p.pitcher = f0.pitcher AND p.p_throws = f0.p_throws AND p.pitch_type = f0.pitch_type")
+cte("f2", ["f1", "zlong"], f"""
+SELECT f1.*, {_bucket('plate_x', K.H_EDGES, K.H_LABELS)} AS loc_horizontal,
+  {_bucket('plate_z', K.V_EDGES, K.V_LABELS)} AS loc_vertical,
+  CASE WHEN f1.zone >= 1 AND f1.zone <= 9 THEN 1 ELSE 0 END AS in_zone,
+  CASE WHEN f1.zone BETWEEN 1 AND 14 THEN zl.swing_rate ELSE 0.5 END AS batter_swing_rate_at_zone,
+  CASE WHEN f1.zone BETWEEN 1 AND 14 THEN zl.whiff_rate ELSE 0.25 END AS batter_whiff_rate_at_zone,
+  CASE WHEN f1.zone BETWEEN 1 AND 14 THEN zl.contact_rate ELSE 0.75 END AS batter_contact_rate_at_zone,
+  CASE WHEN f1.zone BETWEEN 1 AND 14 THEN zl.xwoba ELSE 0.32 END AS batter_xwoba_at_zone
+FROM f1 LEFT JOIN (SELECT batter, zone, swing_rate, whiff_rate, contact_rate, xwoba FROM zlong) zl
+  ON zl.batter = f1.batter AND zl.zone = f1.zone""")
+cte("f3", ["f2"], """
+SELECT * REPLACE (least(greatest(coalesce(CAST(outs_when_up AS INTEGER), 0), 0), 2) AS outs),
+  CASE WHEN stand = p_throws THEN 1 ELSE 0 END AS same_hand,
+  CASE WHEN stand = p_throws THEN 0 ELSE 1 END AS platoon_advantage,
+  coalesce(balls, 0) AS count_balls, coalesce(strikes, 0) AS count_strikes,
+  CASE WHEN strikes > balls THEN 1 ELSE 0 END AS is_ahead_in_count,
+  CASE WHEN balls > strikes THEN 1 ELSE 0 END AS is_behind_in_count,
+  CASE WHEN strikes = 2 THEN 1 ELSE 0 END AS is_two_strikes,
+  CASE WHEN balls = 3 THEN 1 ELSE 0 END AS is_three_balls,
+  CASE WHEN balls = 3 AND strikes = 2 THEN 1 ELSE 0 END AS is_full_count,
+  CASE WHEN balls = 0 AND strikes = 0 THEN 1 ELSE 0 END AS is_first_pitch,
+  least(greatest(on_1b + on_2b + on_3b, 0), 3) AS runners_on,
+  CASE WHEN on_2b = 1 OR on_3b = 1 THEN 1 ELSE 0 END AS risp,
+  CASE WHEN on_1b + on_2b + on_3b = 0 THEN 1 ELSE 0 END AS bases_empty,
+  CASE WHEN on_1b + on_2b + on_3b >= 3 THEN 1 ELSE 0 END AS bases_loaded,
+  CASE WHEN least(greatest(coalesce(CAST(outs_when_up AS INTEGER), 0), 0), 2) = 2 THEN 1 ELSE 0 END AS is_two_outs,
+  fld_score - bat_score AS score_diff,
+  CASE WHEN abs(fld_score - bat_score) <= 2 THEN 1 ELSE 0 END AS is_close_game,
+  coalesce(inning, 1) AS inning_num,
+  CASE WHEN coalesce(inning, 1) >= 7 THEN 1 ELSE 0 END AS is_late_inning
+FROM f2""")
+cte("features", ["f3"], """
+SELECT *,
+  coalesce(batter_whiff_rate_vs_this_cat * pitcher_whiff_rate, 0.0) AS whiff_interaction,
+  batter_chase_rate_vs_this_cat * is_ahead_in_count AS chase_opportunity,
+  coalesce(abs(pitcher_velo_diff_from_fb), 0.0) AS speed_change_magnitude,
+  is_two_strikes * batter_whiff_rate_vs_this_cat AS two_strike_whiff_boost
+FROM f3""")

@@ -112,3 +112,18 @@ _ZW = " ".join(f"zone_{z}_{s}:{'i' if s == 'pitches' else 'f'}" for z in range(1
                for s in ["whiff_rate", "contact_rate", "swing_rate", "xwoba", "pitches"])
 register(Query("a10_batter_zone_wide", lambda t: t.zone_wide, f"batter:i {_ZW} chase_rate_overall:f",
                source="zwide"))
+
+
+def _features_spec() -> str:
+    from moundflow.operators import features as FE
+    ints = set(FE.COUNT_FEATURES + FE.SITUATION_FEATURES + FE.MATCHUP_FEATURES
+               + ["pitch_num_in_ab", "same_as_last", "consecutive_same_pitch", "zone", "in_zone"])
+    parts = ["game_pk:i", "game_date:d", "pitcher:i", "batter:i", "at_bat_number:i", "pitch_number:i"]
+    for c in FE.ALL_FEATURES:
+        kind = "s" if c in FE.CATEGORICAL_FEATURES else ("i" if c in ints else "f")
+        parts.append(f"{c}:{kind}")
+    parts.append("run_value:f")
+    return " ".join(parts)
+
+
+register(Query("f09_features", lambda t: t.features, _features_spec(), source="features"))

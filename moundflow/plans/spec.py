@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SPARK_TYPES = {"i": "bigint", "f": "double", "s": "string", "b": "boolean", "d": "date"}
 SQL_TYPES = {"i": "BIGINT", "f": "DOUBLE", "s": "VARCHAR", "b": "BOOLEAN", "d": "DATE"}
 DIGITS = 6
+SCALE = 1000000.0
 
 
 def parse(spec: str) -> list[tuple[str, str]]:
@@ -25,7 +26,9 @@ def finalize_df(df: DataFrame, spec: str) -> DataFrame:
     for name, kind in parse(spec):
         c = F.col(name).cast(SPARK_TYPES[kind])
         if kind == "f":
-            c = F.round(c, DIGITS)
+            # floor(x * 10^6 + 0.5) / 10^6: plain IEEE arithmetic, bit-identical
+            # in both engines (their ROUND functions break exact halves differently)
+            c = (F.floor(c * SCALE + 0.5) / SCALE).cast("double")
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -35,6 +38,6 @@ def finalize_sql(source: str, spec: str) -> str:
     for name, kind in parse(spec):
         c = f"CAST({name} AS {SQL_TYPES[kind]})"
         if kind == "f":
-            c = f"round({c}, {DIGITS})"
+            c = f"CAST(floor({c} * {SCALE} + 0.5) / {SCALE} AS DOUBLE)"
         cols.append(f"{c} AS {name}")
     return "SELECT " + ", ".join(cols) + f" FROM {source}"
