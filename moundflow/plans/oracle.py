@@ -354,3 +354,101 @@ SELECT *,
   coalesce(abs(pitcher_velo_diff_from_fb), 0.0) AS speed_change_magnitude,
   is_two_strikes * batter_whiff_rate_vs_this_cat AS two_strike_whiff_boost
 FROM f3""")
+
+
+# ---------------------------------------------------------------------------
+# A12-A21, J8
+# ---------------------------------------------------------------------------
+def sql_count_text(b="balls", s="strikes"):
+    return f"(CAST(CAST({b} AS BIGINT) AS VARCHAR) || '-' || CAST(CAST({s} AS BIGINT) AS VARCHAR))"
+
+
+def sql_outcome10(d="description", e="events"):
+    oc = sql_outcome(d, e)
+    return (f"(CASE WHEN {oc} IN ('ball', 'called_strike', 'swinging_strike', 'foul') THEN {oc} "
+            f"WHEN {oc} IN ('in_play_hit', 'in_play_out') THEN (CASE lower({e}) WHEN 'single' THEN '1B' "
+            f"WHEN 'double' THEN '2B' WHEN 'triple' THEN '3B' WHEN 'home_run' THEN 'HR' ELSE 'inplay_out' END) "
+            f"WHEN lower({d}) = 'hit_by_pitch' THEN 'HBP' ELSE NULL END)")
+
+
+cte("arsenal12", ["raw"], """
+SELECT DISTINCT CAST(pitcher AS BIGINT) AS pitcher, pitch_type FROM raw
+WHERE pitcher IS NOT NULL AND pitch_type IS NOT NULL""")
+cte("matchup", ["seq"], """
+SELECT batter, pitch_type, p_throws, avg(woba_value) AS batter_pitchtype_woba,
+  CASE WHEN sum(CASE WHEN is_swing THEN 1 ELSE 0 END) = 0 THEN 0.0
+       ELSE sum(CASE WHEN is_swing AND NOT is_contact THEN 1 ELSE 0 END) / sum(CASE WHEN is_swing THEN 1 ELSE 0 END) END
+    AS batter_pitchtype_whiff_rate,
+  avg(run_value) AS batter_pitchtype_run_value, count(*) AS n
+FROM seq WHERE batter IS NOT NULL AND pitch_type IS NOT NULL AND p_throws IS NOT NULL
+GROUP BY batter, pitch_type, p_throws""")
+cte("top3", ["arsenal12"], """
+SELECT * FROM (
+  SELECT row_number() OVER (ORDER BY pitchers DESC, pitch_type) AS rank, pitch_type, pitchers
+  FROM (SELECT pitch_type, count(*) AS pitchers FROM arsenal12 GROUP BY pitch_type) c
+) WHERE rank <= 3
+UNION ALL
+SELECT * FROM (VALUES (1, 'FF', NULL), (2, 'SL', NULL), (3, 'CU', NULL)) d(rank, pitch_type, pitchers)
+WHERE NOT EXISTS (SELECT 1 FROM arsenal12)""")
+cte("summary", ["seq"], """
+SELECT count(*) AS pitches, count(DISTINCT pitcher) AS pitchers, count(DISTINCT batter) AS batters,
+  min(game_date) AS first_date, max(game_date) AS last_date, count(run_value) AS rv_count,
+  avg(run_value) AS rv_mean, stddev_samp(run_value) AS rv_std, min(run_value) AS rv_min,
+  quantile_cont(run_value, 0.25) AS rv_p25, quantile_cont(run_value, 0.5) AS rv_p50,
+  quantile_cont(run_value, 0.75) AS rv_p75, max(run_value) AS rv_max
+FROM seq""")
+cte("rvstats", ["seq"], """
+SELECT avg(run_value) AS rv_mean, stddev_samp(run_value) AS rv_std, sum(runs_on_play) AS runs_total,
+  sum(CASE WHEN runs_on_play > 0 THEN 1 ELSE 0 END) AS scoring_plays FROM seq""")
+cte("rvloc", ["features"], """
+SELECT loc_horizontal, loc_vertical, GROUPING(loc_horizontal, loc_vertical) AS level,
+  avg(run_value) AS mean_rv, count(*) AS pitches
+FROM features GROUP BY GROUPING SETS ((loc_horizontal), (loc_vertical), (loc_horizontal, loc_vertical))""")
+cte("bestloc", ["features"], """
+WITH cells AS (
+  SELECT pitch_type, loc_horizontal || '-' || loc_vertical AS cell, avg(run_value) AS mean_rv
+  FROM features WHERE loc_horizontal IS NOT NULL AND loc_vertical IS NOT NULL
+  GROUP BY pitch_type, loc_horizontal, loc_vertical),
+r AS (SELECT *, row_number() OVER (PARTITION BY pitch_type ORDER BY mean_rv, cell) AS rb,
+             row_number() OVER (PARTITION BY pitch_type ORDER BY mean_rv DESC, cell) AS rw FROM cells)
+SELECT b.pitch_type, b.cell AS best_location, b.mean_rv AS best_rv, w.cell AS worst_location, w.mean_rv AS worst_rv
+FROM r b JOIN r w ON w.pitch_type = b.pitch_type AND w.rw = 1 WHERE b.rb = 1""")
+cte("baseline", ["seq"], f"""
+SELECT CASE WHEN GROUPING("count") = 1 THEN '*' ELSE "count" END AS "count",
+  CASE WHEN GROUPING(pitch_type) = 1 THEN '*' ELSE pitch_type END AS pitch_type,
+  CASE WHEN GROUPING(zone) = 1 THEN '*' ELSE zone END AS zone,
+  CASE WHEN GROUPING(p_throws) = 1 THEN '*' ELSE p_throws END AS p_throws,
+  CASE WHEN GROUPING(stand) = 1 THEN '*' ELSE stand END AS stand,
+  GROUPING("count", pitch_type, zone, p_throws, stand) AS level, avg(run_value) AS rv, count(*) AS n
+FROM (SELECT {sql_count_text()} AS "count", pitch_type, CAST(CAST(zone AS BIGINT) AS VARCHAR) AS zone,
+             p_throws, stand, run_value FROM seq) s
+GROUP BY ROLLUP ("count", pitch_type, zone, p_throws, stand)""")
+
+
+def sql_backoff(src: str, count: str, pitch: str, zone: str, hand: str, stand: str) -> str:
+    """Four left joins against levels of the rollup table; first hit wins."""
+    return f"""
+SELECT {src}.*,
+  coalesce(b0.rv, b3.rv, b7.rv, b15.rv) AS baseline_rv,
+  CASE WHEN b0.rv IS NOT NULL THEN 'full' WHEN b3.rv IS NOT NULL THEN 'zone'
+       WHEN b7.rv IS NOT NULL THEN 'pitch' WHEN b15.rv IS NOT NULL THEN 'count' END AS baseline_level
+FROM {src}
+LEFT JOIN (SELECT * FROM baseline WHERE level = 0) b0 ON b0."count" = {count} AND b0.pitch_type = {pitch}
+  AND b0.zone = {zone} AND b0.p_throws = {hand} AND b0.stand = {stand}
+LEFT JOIN (SELECT * FROM baseline WHERE level = 3) b3 ON b3."count" = {count} AND b3.pitch_type = {pitch} AND b3.zone = {zone}
+LEFT JOIN (SELECT * FROM baseline WHERE level = 7) b7 ON b7."count" = {count} AND b7.pitch_type = {pitch}
+LEFT JOIN (SELECT * FROM baseline WHERE level = 15) b15 ON b15."count" = {count}"""
+
+
+cte("seqc", ["seq"], f"SELECT *, {sql_count_text()} AS \"count\", CAST(CAST(zone AS BIGINT) AS VARCHAR) AS zone_s FROM seq")
+cte("backoff", ["seqc", "baseline"], sql_backoff("seqc", 'seqc."count"', "seqc.pitch_type", "seqc.zone_s",
+                                                 "seqc.p_throws", "seqc.stand"))
+cte("outcome_rv", ["seq"], f"""
+SELECT outcome, "count", avg(run_value) AS rv, count(*) AS n FROM (
+  SELECT {sql_outcome10()} AS outcome, {sql_count_text()} AS "count", run_value FROM seq) s
+WHERE outcome IS NOT NULL GROUP BY outcome, "count" """)
+cte("outcome_dist", ["seq"], f"""
+SELECT "count", pitch_type, outcome, n, n / sum(n) OVER (PARTITION BY "count", pitch_type) AS p FROM (
+  SELECT "count", pitch_type, outcome, count(*) AS n FROM (
+    SELECT {sql_outcome10()} AS outcome, {sql_count_text()} AS "count", pitch_type FROM seq) s
+  WHERE outcome IS NOT NULL GROUP BY "count", pitch_type, outcome) g""")

@@ -11,6 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from moundflow.operators import analytics as AN
 from moundflow.plans import oracle
 from moundflow.plans.pipeline import Tables
 from moundflow.plans.spec import finalize_df, finalize_sql
@@ -127,3 +128,32 @@ def _features_spec() -> str:
 
 
 register(Query("f09_features", lambda t: t.features, _features_spec(), source="features"))
+
+register(Query("a12_distinct_arsenal", lambda t: AN.distinct_arsenal(t.raw), "pitcher:i pitch_type:s",
+               source="arsenal12"))
+register(Query(
+    "a13_batter_pitchtype_matchup", lambda t: AN.matchup_stats(t.pitches),
+    "batter:i pitch_type:s p_throws:s batter_pitchtype_woba:f batter_pitchtype_whiff_rate:f "
+    "batter_pitchtype_run_value:f n:i", source="matchup"))
+register(Query("a14_top_pitch_types", lambda t: AN.top_pitch_types(AN.distinct_arsenal(t.raw)),
+               "rank:i pitch_type:s pitchers:i", source="top3"))
+register(Query(
+    "a15_dataset_summary", lambda t: AN.dataset_summary(t.pitches),
+    "pitches:i pitchers:i batters:i first_date:d last_date:d rv_count:i rv_mean:f rv_std:f rv_min:f "
+    "rv_p25:f rv_p50:f rv_p75:f rv_max:f", source="summary"))
+register(Query("a16_run_value_stats", lambda t: AN.run_value_stats(t.pitches),
+               "rv_mean:f rv_std:f runs_total:f scoring_plays:i", source="rvstats"))
+register(Query("a17_rv_by_location", lambda t: AN.rv_by_location(t.features),
+               "loc_horizontal:s loc_vertical:s level:i mean_rv:f pitches:i", source="rvloc"))
+register(Query("a18_best_worst_location", lambda t: AN.best_worst_location(t.features),
+               "pitch_type:s best_location:s best_rv:f worst_location:s worst_rv:f", source="bestloc"))
+register(Query("a19_baseline_table", lambda t: AN.baseline_table(t.pitches),
+               "count:s pitch_type:s zone:s p_throws:s stand:s level:i rv:f n:i", source="baseline"))
+register(Query(
+    "j08_baseline_backoff",
+    lambda t: AN.baseline_lookup(t.pitches.withColumn("count", AN.count_text()), AN.baseline_table(t.pitches)),
+    f"{KEY} baseline_rv:f baseline_level:s", source="backoff"))
+register(Query("a20_outcome_run_values", lambda t: AN.outcome_rv_table(t.pitches),
+               "outcome:s count:s rv:f n:i", source="outcome_rv"))
+register(Query("a21_outcome_distribution", lambda t: AN.outcome_distribution(t.pitches),
+               "count:s pitch_type:s outcome:s n:i p:f", source="outcome_dist"))

@@ -10,6 +10,7 @@ SPARK_TYPES = {"i": "bigint", "f": "double", "s": "string", "b": "boolean", "d":
 SQL_TYPES = {"i": "BIGINT", "f": "DOUBLE", "s": "VARCHAR", "b": "BOOLEAN", "d": "DATE"}
 DIGITS = 6
 SCALE = 1000000.0
+OFFSET = 0.501
 
 
 def parse(spec: str) -> list[tuple[str, str]]:
@@ -26,9 +27,11 @@ def finalize_df(df: DataFrame, spec: str) -> DataFrame:
     for name, kind in parse(spec):
         c = F.col(name).cast(SPARK_TYPES[kind])
         if kind == "f":
-            # floor(x * 10^6 + 0.5) / 10^6: plain IEEE arithmetic, bit-identical
-            # in both engines (their ROUND functions break exact halves differently)
-            c = (F.floor(c * SCALE + 0.5) / SCALE).cast("double")
+            # floor(x * 10^6 + 0.501) / 10^6: plain IEEE arithmetic in both
+            # engines.  The boundary sits just below the half so exact decimal
+            # ties (means of 3-decimal values over 2^k rows) round the same way
+            # even when the engines' summation orders differ in the last bit.
+            c = (F.floor(c * SCALE + OFFSET) / SCALE).cast("double")
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -38,6 +41,6 @@ def finalize_sql(source: str, spec: str) -> str:
     for name, kind in parse(spec):
         c = f"CAST({name} AS {SQL_TYPES[kind]})"
         if kind == "f":
-            c = f"CAST(floor({c} * {SCALE} + 0.5) / {SCALE} AS DOUBLE)"
+            c = f"CAST(floor({c} * {SCALE} + {OFFSET}) / {SCALE} AS DOUBLE)"
         cols.append(f"{c} AS {name}")
     return "SELECT " + ", ".join(cols) + f" FROM {source}"
