@@ -452,3 +452,229 @@ SELECT "count", pitch_type, outcome, n, n / sum(n) OVER (PARTITION BY "count", p
   SELECT "count", pitch_type, outcome, count(*) AS n FROM (
     SELECT {sql_outcome10()} AS outcome, {sql_count_text()} AS "count", pitch_type FROM seq) s
   WHERE outcome IS NOT NULL GROUP BY "count", pitch_type, outcome) g""")
+
+
+# ---------------------------------------------------------------------------
+# Recommendations (no-model path), heuristic, count rules
+# ---------------------------------------------------------------------------
+from moundflow.sources.requests import archetypes_sql, requests_sql  # noqa: E402
+
+
+def _d(v: float) -> str:
+    """A DOUBLE literal with the exact bits of the Python float."""
+    return f"{v!r}E0"
+
+
+def sql_re(outs: str, b1: str, b2: str, b3: str) -> str:
+    bases = f"(CASE WHEN coalesce({b1}, 0) <> 0 THEN '1' ELSE '0' END || CASE WHEN coalesce({b2}, 0) <> 0 THEN '1' ELSE '0' END || CASE WHEN coalesce({b3}, 0) <> 0 THEN '1' ELSE '0' END)"
+    o = f"least(greatest(coalesce(CAST({outs} AS INTEGER), 0), 0), 2)"
+    return f"coalesce((SELECT v FROM re24 WHERE re24.o = {o} AND re24.b = {bases}), 0.0)"
+
+
+cte("req", [], requests_sql())
+cte("ars", ["pprof"], "SELECT pitcher, list(pitch_type ORDER BY usage_rate DESC, pitch_type, p_throws) AS lst FROM pprof GROUP BY pitcher")
+cte("rc", ["req", "ars"], f"""
+SELECT * EXCLUDE (l), unnest(l) AS pitch_type, unnest(range(len(l))) AS arsenal_pos FROM (
+  SELECT r.*, coalesce(a.lst, {['FF', 'SL', 'CH']}) AS l FROM req r LEFT JOIN ars a ON a.pitcher = r.pitcher) x""")
+
+
+def _bstat(stat: str, cat: str) -> str:
+    parts = " ".join(f"WHEN '{c}' THEN coalesce(w.{stat}_vs_{c}, {K.LEAGUE_AVERAGES[c][stat]})" for c in K.CATEGORIES)
+    return f"(CASE {cat} {parts} ELSE {K.BATTER_THIS_CAT_DEFAULTS[stat]} END)"
+
+
+cte("rb", ["rc", "bwide"], f"""
+SELECT rc.*, {sql_category('rc.pitch_type')} AS category,
+  {_bstat('whiff_rate', sql_category('rc.pitch_type'))} AS bw,
+  {_bstat('chase_rate', sql_category('rc.pitch_type'))} AS bc,
+  {_bstat('xwoba', sql_category('rc.pitch_type'))} AS bx
+FROM rc LEFT JOIN bwide w ON w.batter = rc.batter""")
+
+
+def _thr(key: str) -> str:
+    from moundflow.operators.recommend import THRESHOLDS
+    parts = " ".join(f"WHEN '{c}' THEN {_d(THRESHOLDS[c][key])}" for c in K.CATEGORIES)
+    return f"(CASE category {parts} ELSE {_d(THRESHOLDS['FB'][key])} END)"
+
+
+def _pct(x: str) -> str:
+    return f"(CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR) || '%')"
+
+
+cte("rs", ["rb", "re24"], f"""
+SELECT *, exp(-rv - max(-rv) OVER (PARTITION BY request_id)) AS e FROM (
+  SELECT *, {_d(K.NO_MODEL_RV_INTERCEPT)} - bw * {_d(K.NO_MODEL_RV_SLOPE)} AS rv,
+    {sql_re('outs', 'on_1b', 'on_2b', 'on_3b')} AS current_re FROM rb) s""")
+cte("recommend", ["rs"], f"""
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY p DESC, arsenal_pos) AS rank,
+  pitch_type, category, rv AS predicted_rv, current_re + rv AS expected_re_after,
+  p AS probability, p * 100 AS probability_pct, bw AS batter_whiff_rate, bc AS batter_chase_rate, bx AS batter_xwoba,
+  CASE WHEN txt = '' THEN 'Standard option' ELSE txt END AS reasoning,
+  0.0 AS loc_plate_x, 2.3E0 AS loc_plate_z, 8 AS loc_zone, TRUE AS loc_in_zone, 0.0 AS loc_expected_rv,
+  'middle-mid' AS location_label
+FROM (
+  SELECT *, e / sum(e) OVER (PARTITION BY request_id) AS p,
+    concat_ws('; ',
+      CASE WHEN bw > {_thr('whiff_hi')} THEN 'Batter has high whiff rate vs ' || category || ' (' || {_pct('bw')} || ')'
+           WHEN bw < {_thr('whiff_lo')} THEN 'Batter makes good contact vs ' || category END,
+      CASE WHEN bc > {_thr('chase_hi')} THEN 'Batter chases ' || category || ' pitches (' || {_pct('bc')} || ')' END,
+      CASE WHEN bx < {_d(K.REASON_XWOBA_LOW)} THEN 'Weak contact expected (' || printf('%.3f', bx) || ' xwOBA)'
+           WHEN bx > {_d(K.REASON_XWOBA_HIGH)} THEN 'Dangerous contact potential (' || printf('%.3f', bx) || ' xwOBA)' END,
+      CASE WHEN strikes = 2 AND category IN ('BR', 'OS') THEN 'Put-away count favors offspeed/breaking' END,
+      CASE WHEN balls = 3 AND category = 'FB' THEN 'Need strike - fastball for command' END) AS txt
+  FROM rs) t""")
+cte("legacy", ["recommend"], """
+SELECT request_id, first(pitch_type ORDER BY rank) AS best_pitch, first(predicted_rv ORDER BY rank) AS best_rv,
+  count(*) AS options FROM recommend GROUP BY request_id""")
+
+
+def _arch_label() -> str:
+    names = " ".join(f"WHEN {k} THEN '{v}'" for k, v in K.ARCHETYPE_CLUSTERS.items())
+    return (f"coalesce(label, CASE CAST(cluster AS BIGINT) {names} ELSE 'cluster_' || CAST(CAST(cluster AS BIGINT) AS VARCHAR) END, "
+            f"CASE WHEN pct_hard_hit > {_d(K.POWER_HARD_HIT)} THEN 'Power Hitter' END, 'Unknown')")
+
+
+cte("arch", ["raw"], archetypes_sql("SELECT batter FROM raw"))
+cte("hreq", ["req", "arch"], f"""
+SELECT r.*, coalesce(a.lbl, 'unknown') AS archetype,
+  coalesce(r.on_2b <> 0, false) OR coalesce(r.on_3b <> 0, false) AS risp
+FROM req r LEFT JOIN (SELECT CAST(batter AS VARCHAR) AS q, {_arch_label()} AS lbl FROM arch) a
+  ON a.q = trim(CAST(r.batter AS VARCHAR))""")
+cte("hlist", ["arsenal12"], "SELECT pitcher, list(pitch_type ORDER BY pitch_type) AS pitches FROM arsenal12 GROUP BY pitcher")
+cte("hc", ["hreq", "hlist"], f"""
+SELECT h.*, coalesce(l.pitches, {K.HEURISTIC_DEFAULT_ARSENAL}) AS pitches FROM hreq h LEFT JOIN hlist l ON l.pitcher = h.pitcher""")
+
+
+def _in(col: str, items) -> str:
+    return f"upper({col}) IN (" + ", ".join(f"'{i}'" for i in items) + ")"
+
+
+def _score(p: str, bonus: str) -> str:
+    return (f"(1.0E0 + CASE WHEN strpos(archetype, 'Power') > 0 AND {_in(p, K.BREAKING_SET)} THEN {_d(K.SCORE_POWER)} ELSE 0.0E0 END"
+            f" + CASE WHEN strpos(archetype, 'Contact') > 0 AND {_in(p, K.CONTACT_SET)} THEN {_d(K.SCORE_CONTACT)} ELSE 0.0E0 END"
+            f" + CASE WHEN strpos(archetype, 'Patient') > 0 AND {_in(p, K.PATIENT_SET)} THEN {_d(K.SCORE_PATIENT)} ELSE 0.0E0 END"
+            f" + CASE WHEN ({bonus}) AND {_in(p, K.TWO_OUT_SET)} THEN {_d(K.SCORE_TWO_OUT)} ELSE 0.0E0 END)")
+
+
+def _hloc(p: str) -> str:
+    base_parts = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.HEURISTIC_BASE_LOCATION.items())
+    base = f"(CASE upper({p}) {base_parts} ELSE '{K.HEURISTIC_DEFAULT_LOCATION}' END)"
+    return (f"(CASE WHEN strpos(archetype, 'Power') > 0 AND {_in(p, K.BREAKING_SET)} THEN 'low-away' "
+            f"WHEN strpos(archetype, 'Power') > 0 AND {_in(p, ['FF', 'FT'])} THEN 'up-in' "
+            f"WHEN strpos(archetype, 'Contact') > 0 AND {_in(p, ['FF', 'CT'])} THEN 'edge-away' "
+            f"WHEN strpos(archetype, 'Contact') > 0 THEN {base} "
+            f"WHEN strpos(archetype, 'Patient') > 0 AND {_in(p, K.PATIENT_SET)} THEN 'middle-strike' "
+            f"WHEN strpos(archetype, 'Patient') > 0 THEN {base} "
+            f"WHEN risp THEN replace({base}, 'up', 'low') ELSE {base} END)")
+
+
+cte("hx", ["hc", "re24"], f"""
+SELECT *, {_score('pitch', "coalesce(late_inning, false) AND coalesce(outs, 0) >= 2")} AS score,
+  round({sql_re('outs', 'on_1b', 'on_2b', 'on_3b')}, 2) AS expected_after_re
+FROM (SELECT *, unnest(pitches) AS pitch FROM hc) u""")
+cte("hcand", ["hx"], f"""
+SELECT *, pct = max(pct) OVER (PARTITION BY request_id) AS is_top FROM (
+  SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pitch) AS rank, pitch,
+    round_even(score / sum(score) OVER (PARTITION BY request_id) * 100, 1) AS pct, {_hloc('pitch')} AS location,
+    round(score, 3) AS score, archetype, expected_after_re
+  FROM hx) t""")
+cte("hs", ["hc"], f"""
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_score('pitch', 'coalesce(outs, 0) >= 2')} DESC, pos) AS r2,
+  len(pitches) AS n
+FROM (SELECT *, unnest(pitches) AS pitch, unnest(range(len(pitches))) AS pos FROM hc) u""")
+cte("hseq1", ["hs"], """
+SELECT request_id, max(CASE WHEN r2 = 1 THEN pitch END) AS p1 FROM hs GROUP BY request_id""")
+cte("hseq2", ["hs", "hseq1"], """
+SELECT hs.request_id, any_value(p1) AS p1,
+  coalesce(first(pitch ORDER BY r2) FILTER (WHERE r2 > 1 AND pitch <> p1), any_value(p1)) AS p2
+FROM hs JOIN hseq1 USING (request_id) GROUP BY hs.request_id""")
+cte("hseq", ["hs", "hseq2", "hc"], f"""
+SELECT h.request_id, h.archetype AS batter_archetype, s.p1 AS seq_1, s.p2 AS seq_2, s.p3 AS seq_3,
+  {_hloc('s.p1')} AS loc_1, {_hloc('s.p2')} AS loc_2, {_hloc('s.p3')} AS loc_3,
+  round(least({_d(K.CONFIDENCE_BASE)} + {_d(K.CONFIDENCE_STEP)} * least(3, len(h.pitches))
+    + CASE WHEN strpos(h.archetype, 'Power') > 0
+                AND len(list_filter(h.pitches, lambda x: upper(x) IN ('SL', 'CU', 'KC'))) > 0
+           THEN {_d(K.CONFIDENCE_POWER)} ELSE 0.0E0 END, {_d(K.CONFIDENCE_CAP)}), 2) AS confidence,
+  concat_ws(' ', 'Archetype detected: ' || h.archetype || '.',
+    'Pitcher arsenal: ' || array_to_string(h.pitches, ', ') || '.',
+    CASE WHEN strpos(h.archetype, 'Power') > 0 THEN 'Favor breaking balls low-and-away to induce chases and weak contact.' END,
+    CASE WHEN strpos(h.archetype, 'Contact') > 0 THEN 'Mix speeds and work edges to induce weak contact and avoid predictable locations.' END,
+    CASE WHEN strpos(h.archetype, 'Patient') > 0 THEN 'Attack early in the count with strikes; use harder-to-hit chase pitches later.' END,
+    CASE WHEN h.risp THEN 'RISP: prefer low pitches to induce grounders and avoid big hits.' END,
+    'Count considered: ' || h.count_text || '.') AS strategy_notes
+FROM hc h JOIN (
+  SELECT x.request_id, any_value(x.p1) AS p1, any_value(x.p2) AS p2,
+    coalesce(first(hs.pitch ORDER BY hs.r2) FILTER (WHERE hs.pitch <> x.p1 AND hs.pitch <> x.p2
+                                                   AND upper(hs.pitch) IN ('SL', 'CU', 'KC', 'CH')),
+             max(CASE WHEN hs.r2 = least(3, hs.n) THEN hs.pitch END)) AS p3
+  FROM hseq2 x JOIN hs ON hs.request_id = x.request_id GROUP BY x.request_id) s ON s.request_id = h.request_id""")
+
+
+def _parse_count(text: str, clamp: bool) -> tuple[str, str]:
+    b = f"TRY_CAST(trim(split_part({text}, '-', 1)) AS INTEGER)"
+    s = f"TRY_CAST(trim(split_part({text}, '-', 2)) AS INTEGER)"
+    good = f"(strpos({text}, '-') > 0 AND {b} IS NOT NULL AND {s} IS NOT NULL)"
+    bb, ss = f"(CASE WHEN {good} THEN {b} ELSE 0 END)", f"(CASE WHEN {good} THEN {s} ELSE 0 END)"
+    if clamp:
+        bb, ss = f"least(greatest({bb}, 0), 3)", f"least(greatest({ss}, 0), 2)"
+    return bb, ss
+
+
+_bc, _sc = _parse_count("count_text", True)
+_bu, _su = _parse_count("count_text", False)
+cte("countre", ["req", "re24"], f"""
+SELECT request_id, count_text, bc AS balls_clamped, sc AS strikes_clamped, base_re,
+  base_re + (CASE WHEN bu = 3 AND su < 2 THEN 0.15E0 * base_re
+                  WHEN su = 2 AND bu < 2 THEN -0.15E0 * base_re
+                  WHEN bu = 3 AND su = 2 THEN 0.0E0
+                  WHEN su > bu THEN -0.1E0 * base_re * (su - bu) / 2
+                  WHEN bu > su THEN 0.1E0 * base_re * (bu - su) / 3 ELSE 0.0E0 END) AS current_re
+FROM (SELECT request_id, count_text, {_bc} AS bc, {_sc} AS sc, {_bu} AS bu, {_su} AS su,
+        {sql_re('outs', 'on_1b', 'on_2b', 'on_3b')} AS base_re FROM req) t""")
+
+
+def _delta_values() -> str:
+    rows = [(f"{b}-{s}", v, K.COUNT_DELTA_STRIKE[(b, s)]) for (b, s), v in K.COUNT_DELTA_BALL.items()]
+    return ", ".join(f"('{k}', {_d(vb)}, {_d(vs)})" for k, vb, vs in rows)
+
+
+cte("cdelta", [], f"SELECT * FROM (VALUES {_delta_values()}) t(k, vb, vs)")
+cte("countdelta", ["seq", "cdelta"], f"""
+SELECT game_pk, at_bat_number, pitch_number, outcome_class,
+  CASE WHEN outcome_class = 'ball' THEN coalesce(d.vb, 0.03E0)
+       WHEN outcome_class IN ('strike', 'swinging_strike', 'called_strike') THEN coalesce(d.vs, -0.04E0)
+       WHEN outcome_class = 'foul' AND least(greatest(coalesce(CAST(strikes AS INTEGER), 0), 0), 2) < 2 THEN coalesce(d.vs, -0.04E0)
+       ELSE 0.0E0 END AS count_delta
+FROM seq LEFT JOIN cdelta d ON d.k = CAST(least(greatest(coalesce(CAST(balls AS INTEGER), 0), 0), 3) AS VARCHAR) || '-'
+                              || CAST(least(greatest(coalesce(CAST(strikes AS INTEGER), 0), 0), 2) AS VARCHAR)""")
+
+cte("ecand", ["req", "arsenal12", "zones", "pars"], f"""
+SELECT r.request_id, {sql_count_text('r.balls', 'r.strikes')} AS "count", a.pitch_type, z.zone,
+  coalesce(pa.p_throws, 'R') AS p_throws, r.stand
+FROM req r JOIN arsenal12 a ON a.pitcher = r.pitcher
+CROSS JOIN (SELECT zone FROM zones WHERE zone <= 9) z
+LEFT JOIN pars pa ON pa.pitcher = r.pitcher""")
+cte("eprv", ["outcome_dist", "outcome_rv"], """
+SELECT d."count", d.pitch_type, sum(d.p * coalesce(o.rv, 0.0)) AS raw_eprv
+FROM outcome_dist d LEFT JOIN outcome_rv o ON o.outcome = d.outcome AND o."count" = d."count"
+GROUP BY d."count", d.pitch_type""")
+cte("ecand2", ["ecand", "eprv"], """
+SELECT c.*, e.raw_eprv, CAST(CAST(c.zone AS BIGINT) AS VARCHAR) AS zone_s
+FROM ecand c LEFT JOIN eprv e ON e."count" = c."count" AND e.pitch_type = c.pitch_type""")
+cte("ecand3", ["ecand2", "baseline"], sql_backoff("ecand2", 'ecand2."count"', "ecand2.pitch_type", "ecand2.zone_s",
+                                                  "ecand2.p_throws", "ecand2.stand"))
+cte("eprv_best", ["ecand3"], """
+SELECT n.request_id, b.pitch_type AS best_pitch, b.zone AS best_zone, b.raw_eprv, b.baseline_rv, b.rvaa, n.candidates
+FROM (SELECT request_id, count(*) AS candidates FROM ecand3 GROUP BY request_id) n
+LEFT JOIN (
+  SELECT * FROM (
+    SELECT *, raw_eprv - baseline_rv AS rvaa,
+      row_number() OVER (PARTITION BY request_id ORDER BY raw_eprv - baseline_rv, raw_eprv, pitch_type, zone) AS k
+    FROM ecand3 WHERE raw_eprv - baseline_rv IS NOT NULL) s WHERE k = 1) b ON b.request_id = n.request_id""")
+cte("mlookup", ["req", "arsenal12", "pars", "matchup"], """
+SELECT r.request_id, a.pitch_type, coalesce(pa.p_throws, 'R') AS p_throws,
+  coalesce(m.batter_pitchtype_woba, 0.0) AS batter_pitchtype_woba,
+  coalesce(m.batter_pitchtype_whiff_rate, 0.0) AS batter_pitchtype_whiff_rate,
+  coalesce(m.batter_pitchtype_run_value, 0.0) AS batter_pitchtype_run_value
+FROM req r JOIN arsenal12 a ON a.pitcher = r.pitcher LEFT JOIN pars pa ON pa.pitcher = r.pitcher
+LEFT JOIN matchup m ON m.batter = r.batter AND m.pitch_type = a.pitch_type AND m.p_throws = coalesce(pa.p_throws, 'R')""")

@@ -157,3 +157,89 @@ register(Query("a20_outcome_run_values", lambda t: AN.outcome_rv_table(t.pitches
                "outcome:s count:s rv:f n:i", source="outcome_rv"))
 register(Query("a21_outcome_distribution", lambda t: AN.outcome_distribution(t.pitches),
                "count:s pitch_type:s outcome:s n:i p:f", source="outcome_dist"))
+
+# --- recommendations, heuristic, count rules, EPRV ---------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from moundflow.functions.pitch import count_adjusted_re, count_delta, parse_count  # noqa: E402
+from moundflow.operators import heuristic as HE  # noqa: E402
+from moundflow.operators import recommend as RE  # noqa: E402
+from moundflow.operators.runvalue import run_expectancy  # noqa: E402
+from moundflow.sources import requests as RQ  # noqa: E402
+
+
+def _requests(t: Tables):
+    return RQ.requests(t.spark, t.sf_dir)
+
+
+def _archetypes(t: Tables):
+    return RQ.archetypes(t.spark, t.raw.select("batter"))
+
+
+def _recommend(t: Tables):
+    return RE.recommend(_requests(t), t.pitcher_arsenals, t.pitcher_profiles, t.batter_wide, t.zone_long)
+
+
+register(Query(
+    "r05_recommend", _recommend,
+    "request_id:i rank:i pitch_type:s category:s predicted_rv:f expected_re_after:f probability:f "
+    "probability_pct:f batter_whiff_rate:f batter_chase_rate:f batter_xwoba:f reasoning:s loc_plate_x:f "
+    "loc_plate_z:f loc_zone:i loc_in_zone:b loc_expected_rv:f location_label:s", source="recommend"))
+register(Query("r09_legacy_summary", lambda t: RE.legacy_summary(_recommend(t)),
+               "request_id:i best_pitch:s best_rv:f options:i", source="legacy"))
+register(Query(
+    "r10_heuristic_candidates",
+    lambda t: HE.next_pitch_candidates(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw)),
+    "request_id:i rank:i pitch:s pct:f location:s score:f archetype:s expected_after_re:f is_top:b",
+    source="hcand"))
+register(Query(
+    "r11_heuristic_sequence",
+    lambda t: HE.recommend_sequence(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw)),
+    "request_id:i batter_archetype:s seq_1:s seq_2:s seq_3:s loc_1:s loc_2:s loc_3:s confidence:f strategy_notes:s",
+    source="hseq"))
+
+
+def _count_re(t: Tables):
+    r = _requests(t)
+    bc, sc = parse_count("count_text", True)
+    bu, su = parse_count("count_text", False)
+    r = r.withColumns({"balls_clamped": bc, "strikes_clamped": sc, "_bu": bu, "_su": su,
+                       "base_re": run_expectancy("outs", "on_1b", "on_2b", "on_3b")})
+    return r.withColumn("current_re", count_adjusted_re("base_re", "_bu", "_su"))
+
+
+register(Query("e20_count_adjusted_re", _count_re,
+               "request_id:i count_text:s balls_clamped:i strikes_clamped:i base_re:f current_re:f", source="countre"))
+register(Query(
+    "e04_count_delta",
+    lambda t: t.pitches.withColumn("count_delta", count_delta("balls", "strikes", "outcome_class")),
+    f"{KEY} outcome_class:s count_delta:f", source="countdelta"))
+
+
+def _eprv_candidates(t: Tables):
+    r = _requests(t).select("request_id", "pitcher", "stand", AN.count_text().alias("count"))
+    a = AN.distinct_arsenal(t.raw)
+    hands = t.pitcher_arsenals.select("pitcher", F.col("p_throws").alias("_hand"))
+    c = (r.join(a, "pitcher", "inner").join(hands, "pitcher", "left")
+         .withColumn("p_throws", F.coalesce("_hand", F.lit("R"))).drop("_hand")
+         .withColumn("zone", F.explode(F.sequence(F.lit(1), F.lit(9)))))
+    eprv = AN.eprv_by_context(AN.outcome_distribution(t.pitches), AN.outcome_rv_table(t.pitches))
+    return AN.eprv_candidates(c, eprv, AN.baseline_table(t.pitches))
+
+
+register(Query("r12_eprv_rvaa", lambda t: AN.choose_eprv(_eprv_candidates(t)),
+               "request_id:i best_pitch:s best_zone:i raw_eprv:f baseline_rv:f rvaa:f candidates:i",
+               source="eprv_best"))
+
+
+def _matchup_lookup(t: Tables):
+    r = _requests(t).select("request_id", "pitcher", "batter")
+    hands = t.pitcher_arsenals.select("pitcher", F.col("p_throws").alias("_hand"))
+    k = (r.join(AN.distinct_arsenal(t.raw), "pitcher", "inner").join(hands, "pitcher", "left")
+         .withColumn("p_throws", F.coalesce("_hand", F.lit("R"))).drop("_hand"))
+    return AN.matchup_lookup(k, AN.matchup_stats(t.pitches))
+
+
+register(Query("j13_matchup_lookup", _matchup_lookup,
+               "request_id:i pitch_type:s p_throws:s batter_pitchtype_woba:f batter_pitchtype_whiff_rate:f "
+               "batter_pitchtype_run_value:f", source="mlookup"))

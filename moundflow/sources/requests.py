@@ -28,7 +28,7 @@ SELECT o_orderkey AS request_id,
   o_orderkey % 5 - 2 AS score_diff,
   CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'FF' WHEN 2 THEN 'SL' ELSE 'CH' END AS last_pitch_type,
   1 + o_orderkey % 4 AS pitch_num_in_ab,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE CAST(o_orderkey % 5 AS VARCHAR) || '-' || CAST(o_orderkey % 4 AS VARCHAR) END AS count_text,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE CAST(o_orderkey % 5 AS STRING) || '-' || CAST(o_orderkey % 4 AS STRING) END AS count_text,
   CASE WHEN o_orderkey % 9 >= 6 THEN TRUE ELSE FALSE END AS late_inning
 FROM {orders}
 """
