@@ -678,3 +678,37 @@ SELECT r.request_id, a.pitch_type, coalesce(pa.p_throws, 'R') AS p_throws,
   coalesce(m.batter_pitchtype_run_value, 0.0) AS batter_pitchtype_run_value
 FROM req r JOIN arsenal12 a ON a.pitcher = r.pitcher LEFT JOIN pars pa ON pa.pitcher = r.pitcher
 LEFT JOIN matchup m ON m.batter = r.batter AND m.pitch_type = a.pitch_type AND m.p_throws = coalesce(pa.p_throws, 'R')""")
+
+
+# ---------------------------------------------------------------------------
+# W10, A22, A23, A26 (predictions from the deterministic no-model rule)
+# ---------------------------------------------------------------------------
+cte("w10", ["features"], f"""
+SELECT *, CASE WHEN time_rank < floor(n_total * {_d(K.SPLIT_TRAIN)}) THEN 'train'
+               WHEN time_rank < floor(n_total * {_d(K.SPLIT_TRAIN + K.SPLIT_VAL)}) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY game_date, game_pk, at_bat_number, pitch_number) - 1 AS time_rank,
+             count(*) OVER () AS n_total
+      FROM features WHERE run_value IS NOT NULL) t""")
+cte("w10p", ["w10"], f"""
+SELECT *, {_d(K.NO_MODEL_RV_INTERCEPT)} - batter_whiff_rate_vs_this_cat * {_d(K.NO_MODEL_RV_SLOPE)} AS prediction FROM w10""")
+cte("a22", ["w10p"], """
+SELECT split, count(*) AS n, avg((run_value - prediction) * (run_value - prediction)) AS mse,
+  sqrt(avg((run_value - prediction) * (run_value - prediction))) AS rmse, avg(abs(run_value - prediction)) AS mae,
+  1 - sum((run_value - prediction) * (run_value - prediction)) / sum((run_value - ybar) * (run_value - ybar)) AS r2,
+  1 - sum((run_value - prediction - ebar) * (run_value - prediction - ebar)) / sum((run_value - ybar) * (run_value - ybar))
+    AS explained_variance
+FROM (SELECT *, avg(run_value) OVER (PARTITION BY split) AS ybar,
+             avg(run_value - prediction) OVER (PARTITION BY split) AS ebar FROM w10p) t
+GROUP BY split""")
+cte("a23", ["w10p"], """
+SELECT avg(CASE WHEN model_rv < avg_rv THEN 1.0E0 ELSE 0.0E0 END) * 100 AS pct_better_than_avg,
+  avg(avg_rv - model_rv) AS avg_rv_improvement, count(*) AS at_bats
+FROM (SELECT game_pk, at_bat_number, first(run_value ORDER BY prediction, pitch_number) AS model_rv,
+        avg(run_value) AS avg_rv, count(*) AS n
+      FROM w10p WHERE split = 'test' GROUP BY game_pk, at_bat_number) ab
+WHERE n >= 2""")
+cte("a26", ["seq", "pprof"], """
+SELECT least(floor(p.whiff_rate * 10), 9) AS bin, avg(p.whiff_rate) AS mean_predicted,
+  avg(CASE WHEN s.is_whiff THEN 1.0E0 ELSE 0.0E0 END) AS observed_rate, count(*) AS n
+FROM seq s JOIN pprof p ON p.pitcher = s.pitcher AND p.p_throws = s.p_throws AND p.pitch_type = s.pitch_type
+GROUP BY least(floor(p.whiff_rate * 10), 9)""")

@@ -243,3 +243,54 @@ def _matchup_lookup(t: Tables):
 register(Query("j13_matchup_lookup", _matchup_lookup,
                "request_id:i pitch_type:s p_throws:s batter_pitchtype_woba:f batter_pitchtype_whiff_rate:f "
                "batter_pitchtype_run_value:f", source="mlookup"))
+
+# --- ML path -----------------------------------------------------------------
+from moundflow.operators import model as ML  # noqa: E402
+
+
+def _split_no_model(t: Tables):
+    s = ML.time_split(t.features.filter(F.col("run_value").isNotNull()))
+    return s.withColumn("prediction", RE.no_model_rv(s))
+
+
+register(Query("w10_time_split", lambda t: ML.time_split(t.features.filter(F.col("run_value").isNotNull())),
+               f"{KEY} time_rank:i split:s", source="w10"))
+register(Query("a22_regression_metrics", lambda t: ML.regression_metrics(_split_no_model(t)),
+               "split:s n:i mse:f rmse:f mae:f r2:f explained_variance:f", source="a22"))
+register(Query("a23_ranking_quality",
+               lambda t: ML.ranking_quality(_split_no_model(t).filter(F.col("split") == "test")),
+               "pct_better_than_avg:f avg_rv_improvement:f at_bats:i", source="a23"))
+
+
+def _calibration(t: Tables):
+    p = t.pitcher_profiles.select("pitcher", "p_throws", "pitch_type", F.col("whiff_rate").alias("p_whiff"))
+    j = t.pitches.join(p, ["pitcher", "p_throws", "pitch_type"], "inner")
+    return AN.calibration(j, "p_whiff", "is_whiff").withColumnRenamed("bin", "bin")
+
+
+register(Query("a26_calibration", _calibration, "bin:i mean_predicted:f observed_rate:f n:i", source="a26"))
+
+
+def _gbt_metrics(t: Tables):
+    model, _, _, df = ML.train(t.features)
+    scored = ML.predict(model, df, "prediction")
+    return ML.regression_metrics(scored)
+
+
+def _gbt_importance(t: Tables):
+    model, _, _, df = ML.train(t.features)
+    return ML.feature_importance(model, model.transform(df.limit(1)))
+
+
+def _recommend_with_model(t: Tables):
+    model, _, _, _ = ML.train(t.features)
+    return RE.recommend(_requests(t), t.pitcher_arsenals, t.pitcher_profiles, t.batter_wide, t.zone_long,
+                        model=model, top_n=None, optimize_location=True)
+
+
+register(Query("m03_gbt_metrics", _gbt_metrics, "split:s n:i mse:f rmse:f mae:f r2:f explained_variance:f"))
+register(Query("m06_feature_importance", _gbt_importance, "feature:s importance:f"))
+register(Query(
+    "r06_recommend_with_model", _recommend_with_model,
+    "request_id:i rank:i pitch_type:s category:s predicted_rv:f expected_re_after:f probability:f "
+    "reasoning:s loc_plate_x:f loc_plate_z:f loc_zone:i loc_in_zone:b loc_expected_rv:f location_label:s"))
