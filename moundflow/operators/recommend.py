@@ -189,10 +189,19 @@ def _grid_cells() -> Column:
 
 def optimize_locations(cands: DataFrame, zone_long: DataFrame, model) -> DataFrame:
     """Score 25 grid cells per candidate and keep the lowest predicted
-    run value (first cell wins ties).  Each candidate expands to a fixed 25
-    rows through ``explode`` of a literal array — a bounded fan-out, not a
-    join — and the cells are scored by one ``transform``."""
-    g = cands.select("*", F.explode(_grid_cells()).alias("_cell"))
+    run value (first cell wins ties).
+
+    Each candidate expands to a fixed 25 rows through ``explode`` of a
+    literal array (a bounded fan-out, not a join); the cells are scored by
+    one ``transform``; ``min_by`` per candidate is a partial aggregate, so the
+    25 cells collapse map-side before the shuffle.  The candidate's own
+    columns ride along in a struct, so no join back is needed and the
+    candidate plan runs once.
+    """
+    carry = F.struct(*[F.col(c) for c in cands.columns]).alias("_cand")
+    g = cands.select("request_id", "arsenal_pos", "batter", carry, *[F.col(c) for c in cands.columns
+                                                                     if c not in ("request_id", "arsenal_pos", "batter")],
+                     F.explode(_grid_cells()).alias("_cell"))
     g = g.withColumns({
         "plate_x": F.col("_cell.plate_x"), "plate_z": F.col("_cell.plate_z"), "cell_no": F.col("_cell.cell_no"),
     }).drop("_cell")
@@ -210,10 +219,11 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model) -> DataFra
     g = g.withColumns({f"batter_{s}_at_zone": F.when(F.col("_zhit"), F.col(f"_z_{s}")).otherwise(F.lit(d))
                        for s, d in dflt.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in dflt])
     g = score(g, model, out="_cell_rv")
-    best = g.groupBy("request_id", "arsenal_pos").agg(F.min_by(
-        F.struct("plate_x", "plate_z", "zone", "in_zone", F.col("_cell_rv").alias("expected_rv")),
-        F.struct(F.col("_cell_rv"), F.col("cell_no"))).alias("location"))
-    return best
+    best = g.groupBy("request_id", "arsenal_pos").agg(
+        F.first("_cand").alias("_cand"),
+        F.min_by(F.struct("plate_x", "plate_z", "zone", "in_zone", F.col("_cell_rv").alias("expected_rv")),
+                 F.struct(F.col("_cell_rv"), F.col("cell_no"))).alias("location"))
+    return best.select("_cand.*", "location")
 
 
 # R5 ------------------------------------------------------------------------
@@ -232,8 +242,7 @@ def recommend(requests: DataFrame, arsenals: DataFrame, pitcher_profiles: DataFr
     c = c.withColumn("probability", F.col("_e") / F.sum("_e").over(req)).drop("_e")
     c = c.withColumn("current_re", run_expectancy("outs", "on_1b", "on_2b", "on_3b"))
     if model is not None and optimize_location and zone_long is not None:
-        loc = optimize_locations(c, zone_long, model)
-        c = c.join(loc, ["request_id", "arsenal_pos"], "left")
+        c = optimize_locations(c, zone_long, model)
     else:
         fb = K.FALLBACK_LOCATION
         c = c.withColumn("location", F.struct(
@@ -267,5 +276,6 @@ def legacy_summary(recs: DataFrame) -> DataFrame:
     return recs.groupBy("request_id").agg(
         F.min_by("pitch_type", "rank").alias("best_pitch"),
         F.min_by("predicted_rv", "rank").alias("best_rv"),
-        F.map_from_entries(F.collect_list(F.struct("pitch_type", "predicted_rv"))).alias("predictions"),
+        # duplicate types (two-handed pitchers) carry identical values: dedupe
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("pitch_type", "predicted_rv")))).alias("predictions"),
         F.count(F.lit(1)).alias("options"))
