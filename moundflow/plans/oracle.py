@@ -293,7 +293,8 @@ def with_ctes(final_sql: str, needed: list[str]) -> str:
 
     for n in needed:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + final_sql
+    head = "WITH RECURSIVE " if "fold" in order else "WITH "
+    return head + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + final_sql
 
 
 # ---------------------------------------------------------------------------
@@ -712,3 +713,46 @@ SELECT least(floor(p.whiff_rate * 10), 9) AS bin, avg(p.whiff_rate) AS mean_pred
   avg(CASE WHEN s.is_whiff THEN 1.0E0 ELSE 0.0E0 END) AS observed_rate, count(*) AS n
 FROM seq s JOIN pprof p ON p.pitcher = s.pitcher AND p.p_throws = s.p_throws AND p.pitch_type = s.pitch_type
 GROUP BY least(floor(p.whiff_rate * 10), 9)""")
+
+
+# ---------------------------------------------------------------------------
+# At-bat fold as a recursive CTE
+# ---------------------------------------------------------------------------
+from moundflow.sources.requests import atbat_log_sql  # noqa: E402
+
+
+def _step_sql(pb: str, ps: str, po: str, p1: str, p2: str, p3: str) -> str:
+    nb = f"(CASE WHEN outcome = 'Ball' THEN least(4, {pb} + 1) ELSE {pb} END)"
+    ns = (f"(CASE WHEN outcome IN ('Called Strike', 'Swinging Strike') THEN least(3, {ps} + 1) "
+          f"WHEN outcome = 'Foul' AND {ps} < 2 THEN {ps} + 1 ELSE {ps} END)")
+    ip = "starts_with(outcome, 'In play')"
+    out = "(strpos(outcome, 'out') > 0)"
+    ended = f"({nb} >= 4 OR {ns} >= 3 OR {ip})"
+    b = f"(CASE WHEN {ended} THEN 0 ELSE {nb} END)"
+    s = f"(CASE WHEN {ended} THEN 0 ELSE {ns} END)"
+    return (f"CAST({pb} AS VARCHAR) || '-' || CAST({ps} AS VARCHAR) AS count_before, "
+            f"{b} AS b, {s} AS s, "
+            f"least(2, {po} + CASE WHEN {ns} >= 3 THEN 1 ELSE 0 END + CASE WHEN {ip} AND {out} THEN 1 ELSE 0 END) AS outs_after, "
+            f"CASE WHEN {ip} AND NOT {out} AND strpos(outcome, 'home run') > 0 THEN false "
+            f"WHEN {ip} AND NOT {out} AND strpos(outcome, 'single') > 0 THEN true ELSE {p1} END AS on_1b, "
+            f"CASE WHEN {ip} AND NOT {out} AND strpos(outcome, 'home run') > 0 THEN false "
+            f"WHEN {ip} AND NOT {out} AND strpos(outcome, 'double') > 0 THEN true ELSE {p2} END AS on_2b, "
+            f"CASE WHEN {ip} AND NOT {out} AND strpos(outcome, 'home run') > 0 THEN false ELSE {p3} END AS on_3b, "
+            f"{ended} AS at_bat_ended, NOT {ended} AS at_bat_active")
+
+
+cte("alog", [], f"""
+SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn FROM ({atbat_log_sql()}) l""")
+CTES["fold"] = (f"""
+SELECT session_id, rn, seq, ts, pitch, outcome, {_step_sql('0', '0', '0', 'false', 'false', 'false')}
+FROM alog WHERE rn = 1
+UNION ALL
+SELECT session_id, rn, seq, ts, pitch, outcome, {_step_sql('pb', 'ps', 'po', 'p1', 'p2', 'p3')}
+FROM (SELECT l.*, f.b AS pb, f.s AS ps, f.outs_after AS po, f.on_1b AS p1, f.on_2b AS p2, f.on_3b AS p3
+      FROM fold f JOIN alog l ON l.session_id = f.session_id AND l.rn = f.rn + 1) x""", ["alog"])
+cte("trace", ["fold"], "SELECT *, CAST(b AS VARCHAR) || '-' || CAST(s AS VARCHAR) AS count_after FROM fold")
+cte("atsum", ["trace"], """
+SELECT session_id, count(*) AS n_pitches, arg_max(count_after, rn) AS "count", arg_max(outs_after, rn) AS outs,
+  arg_max(on_1b, rn) AS on_1b, arg_max(on_2b, rn) AS on_2b, arg_max(on_3b, rn) AS on_3b,
+  arg_max(at_bat_active, rn) AS atbat_active, sum(CASE WHEN at_bat_ended THEN 1 ELSE 0 END) AS at_bats_ended
+FROM trace GROUP BY session_id""")

@@ -294,3 +294,20 @@ register(Query(
     "r06_recommend_with_model", _recommend_with_model,
     "request_id:i rank:i pitch_type:s category:s predicted_rv:f expected_re_after:f probability:f "
     "reasoning:s loc_plate_x:f loc_plate_z:f loc_zone:i loc_in_zone:b loc_expected_rv:f location_label:s"))
+
+# --- at-bat state fold -------------------------------------------------------
+from moundflow.streaming import atbat as AB  # noqa: E402
+
+
+def _trace(t: Tables):
+    return AB.atbat_trace(RQ.atbat_log(t.spark, t.sf_dir))
+
+
+register(Query(
+    "t01_atbat_fold", _trace,
+    "session_id:i seq:i pitch:s outcome:s count_before:s count_after:s outs_after:i on_1b:b on_2b:b on_3b:b "
+    "at_bat_ended:b at_bat_active:b", source="trace"))
+register(Query(
+    "s09_atbat_summary", lambda t: AB.atbat_summary(_trace(t)),
+    "session_id:i n_pitches:i count:s outs:i on_1b:b on_2b:b on_3b:b atbat_active:b at_bats_ended:i",
+    source="atsum"))

@@ -1,0 +1,341 @@
+"""The at-bat state fold over an ordered pitch-outcome log.
+
+Rules per event (count "b-s", outs, runners):
+  Ball -> b+1 (max 4); Called/Swinging Strike -> s+1 (max 3); Foul -> s+1
+  only while s < 2; "In play ..." ends the at-bat.  Four balls or three
+  strikes end it too.  On any end the count resets to 0-0.  A strikeout or
+  an in-play out adds an out (max 2); a single puts a runner on first, a
+  double on second, a home run clears the bases; triples and walks move
+  nobody; "Other (end)" changes nothing and does not end the at-bat.
+
+T1 (batch) is a distributed ordered scan, safe for a session holding a
+large share of all events:
+  1. range-partition the log by (session, ts, seq) and sort inside each
+     partition — a huge session is split over several partitions;
+  2. pass 1 (``mapInPandas``) folds each partition's first and last
+     session run from all 12 possible incoming counts at once and emits
+     that run's summary (<= 2 small rows per partition);
+  3. the summaries (bounded by the number of partitions, not by data) are
+     chained in partition order to get each split run's incoming state;
+  4. pass 2 (``mapInPandas``) replays every partition from those states
+     and emits the per-event trace.
+Memory per task is one Arrow batch plus a constant-size state.
+
+T2 (stream) applies the same step function in ``applyInPandasWithState``
+keyed by session, remembering the last processed (ts, seq) so replays and
+duplicates are ignored, with an event-time timeout to drop idle sessions.
+"""
+from __future__ import annotations
+
+from typing import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from moundflow.session import ensure_checkpoint_dir
+
+TRACE_SCHEMA = ("session_id long, seq long, ts timestamp, pitch string, outcome string, count_before string, "
+                "count_after string, outs_after int, on_1b boolean, on_2b boolean, on_3b boolean, "
+                "at_bat_ended boolean, at_bat_active boolean")
+SUMMARY_SCHEMA = ("pid int, which string, session_id long, n long, next_b array<int>, next_s array<int>, "
+                  "outs_add array<int>, ended_last array<boolean>, b1 string, b2 string, b3 string")
+N_STATES = 12          # balls 0..3 x strikes 0..2
+
+
+# ---------------------------------------------------------------------------
+# the step function (vectorised over incoming counts)
+# ---------------------------------------------------------------------------
+def step(b: np.ndarray, s: np.ndarray, outcome: str):
+    """Apply one outcome to arrays of counts.  Returns (b, s, ended, outs_add)
+    and the runner change for first/second/third ('set' / 'clear' / None)."""
+    nb, ns = b.copy(), s.copy()
+    in_play = outcome.startswith("In play")
+    if outcome == "Ball":
+        nb = np.minimum(4, b + 1)
+    elif outcome in ("Called Strike", "Swinging Strike"):
+        ns = np.minimum(3, s + 1)
+    elif outcome == "Foul":
+        ns = np.where(s < 2, np.minimum(2, s + 1), s)
+    walk, k = nb >= 4, ns >= 3
+    ended = walk | k | in_play
+    nb = np.where(ended, 0, nb)
+    ns = np.where(ended, 0, ns)
+    outs_add = k.astype(np.int64) + (1 if (in_play and "out" in outcome) else 0)
+    runners = [None, None, None]
+    if in_play and "out" not in outcome:
+        if "single" in outcome:
+            runners[0] = "set"
+        if "double" in outcome:
+            runners[1] = "set"
+        if "home run" in outcome:
+            runners = ["clear", "clear", "clear"]
+    return nb, ns, ended, outs_add, runners
+
+
+def _apply_runner(bit: bool, change: str | None) -> bool:
+    return True if change == "set" else False if change == "clear" else bit
+
+
+def _compose_runner(first: str | None, then: str | None) -> str | None:
+    return then if then is not None else first
+
+
+class Run:
+    """Summary of a contiguous run of one session's events, from all 12
+    incoming counts at once."""
+
+    def __init__(self):
+        idx = np.arange(N_STATES)
+        self.b, self.s = idx // 3, idx % 3
+        self.outs = np.zeros(N_STATES, dtype=np.int64)
+        self.ended_last = np.zeros(N_STATES, dtype=bool)
+        self.runners = [None, None, None]
+        self.n = 0
+
+    def feed(self, outcome: str):
+        self.b, self.s, ended, add, ch = step(self.b, self.s, outcome)
+        self.outs = self.outs + add
+        self.ended_last = ended
+        self.runners = [_compose_runner(a, c) for a, c in zip(self.runners, ch)]
+        self.n += 1
+
+
+class State:
+    """Incoming state of a session at a point of the log."""
+
+    def __init__(self, b=0, s=0, outs=0, r1=False, r2=False, r3=False, active=True):
+        self.b, self.s, self.outs, self.r = b, s, outs, [r1, r2, r3]
+        self.active = active
+
+    def after(self, run: Run) -> "State":
+        i = self.b * 3 + self.s
+        return State(int(run.b[i]), int(run.s[i]), min(2, self.outs + int(run.outs[i])),
+                     *[_apply_runner(x, c) for x, c in zip(self.r, run.runners)],
+                     active=not bool(run.ended_last[i]) if run.n else self.active)
+
+    def key(self):
+        return (self.b, self.s, self.outs, *self.r, self.active)
+
+
+def fold_events(state: State, outcomes, keep_trace: bool = True):
+    """Replay outcomes from ``state``; returns the final state and the trace
+    columns (count before/after, outs, runners, ended, active)."""
+    b, s = np.array([state.b]), np.array([state.s])
+    outs, r = state.outs, list(state.r)
+    rows = []
+    active = state.active
+    for o in outcomes:
+        before = f"{int(b[0])}-{int(s[0])}"
+        b, s, ended, add, ch = step(b, s, o)
+        outs = min(2, outs + int(add[0]))
+        r = [_apply_runner(x, c) for x, c in zip(r, ch)]
+        active = not bool(ended[0])
+        if keep_trace:
+            rows.append((before, f"{int(b[0])}-{int(s[0])}", outs, r[0], r[1], r[2], bool(ended[0]), active))
+    return State(int(b[0]), int(s[0]), outs, *r, active=active), rows
+
+
+# ---------------------------------------------------------------------------
+# Distributed ordered scan
+# ---------------------------------------------------------------------------
+def _ordered(log: DataFrame, partitions: int | None) -> DataFrame:
+    n = partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (log.select("session_id", "seq", "ts", "pitch", "outcome")
+            .repartitionByRange(n, "session_id", "ts", "seq")
+            .sortWithinPartitions("session_id", "ts", "seq"))
+
+
+def _runs(it: Iterator[pd.DataFrame]):
+    """Yield (session_id, outcome list chunk) runs across Arrow batches."""
+    for pdf in it:
+        if len(pdf) == 0:
+            continue
+        sid = pdf["session_id"].to_numpy()
+        cuts = np.flatnonzero(sid[1:] != sid[:-1]) + 1
+        starts = np.concatenate([[0], cuts])
+        ends = np.concatenate([cuts, [len(pdf)]])
+        for a, z in zip(starts, ends):
+            yield int(sid[a]), pdf.iloc[a:z]
+
+
+def _pass1(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark import TaskContext
+    pid = TaskContext.get().partitionId()
+    first_sid, first_run, last_sid, last_run = None, None, None, None
+    for sid, chunk in _runs(it):
+        if first_sid is None:
+            first_sid, first_run = sid, Run()
+        if sid != last_sid:
+            last_sid, last_run = sid, Run()
+        for o in chunk["outcome"]:
+            if sid == first_sid:
+                first_run.feed(o)
+            if sid == last_sid and sid != first_sid:
+                last_run.feed(o)
+    rows = []
+    for which, sid, run in (("first", first_sid, first_run), ("last", last_sid, last_run)):
+        if sid is None or (which == "last" and sid == first_sid):
+            continue
+        rows.append({"pid": pid, "which": which, "session_id": sid, "n": run.n,
+                     "next_b": run.b.astype(int).tolist(), "next_s": run.s.astype(int).tolist(),
+                     "outs_add": run.outs.astype(int).tolist(), "ended_last": run.ended_last.tolist(),
+                     "b1": run.runners[0], "b2": run.runners[1], "b3": run.runners[2]})
+    yield pd.DataFrame(rows, columns=["pid", "which", "session_id", "n", "next_b", "next_s", "outs_add",
+                                      "ended_last", "b1", "b2", "b3"])
+
+
+def _chain(summaries: list) -> dict:
+    """Incoming state of each partition's first session run (only for runs
+    that continue a session from an earlier partition)."""
+    starts = {}
+    open_sid, open_state = None, None
+    for row in sorted(summaries, key=lambda r: (r["pid"], 0 if r["which"] == "first" else 1)):
+        run = Run()
+        run.b, run.s = np.array(row["next_b"]), np.array(row["next_s"])
+        run.outs, run.ended_last = np.array(row["outs_add"]), np.array(row["ended_last"])
+        run.runners, run.n = [row["b1"], row["b2"], row["b3"]], row["n"]
+        sid = row["session_id"]
+        state = open_state if sid == open_sid else State()
+        if row["which"] == "first" and sid == open_sid:
+            starts[row["pid"]] = (sid, state.key())
+        open_sid, open_state = sid, state.after(run)
+    return starts
+
+
+def _pass2_fn(starts: dict):
+    def _pass2(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carried = starts.get(pid)
+        cur_sid, cur = None, None
+        for sid, chunk in _runs(it):
+            if sid != cur_sid:
+                cur_sid = sid
+                cur = State(*carried[1]) if (carried and carried[0] == sid and cur is None) else State()
+            cur, rows = fold_events(cur, chunk["outcome"].tolist())
+            out = chunk[["session_id", "seq", "ts", "pitch", "outcome"]].reset_index(drop=True)
+            tr = pd.DataFrame(rows, columns=["count_before", "count_after", "outs_after", "on_1b", "on_2b",
+                                             "on_3b", "at_bat_ended", "at_bat_active"])
+            yield pd.concat([out, tr], axis=1)
+    return _pass2
+
+
+def atbat_trace(log: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Per-event trace of the at-bat fold (columns of ``TRACE_SCHEMA``).
+
+    ``log`` has session_id, seq, ts, pitch, outcome; order within a session
+    is (ts, seq).  The ordered log is checkpointed once (reliable checkpoint
+    in the shared folder) so both passes see the same partitions.
+    """
+    ensure_checkpoint_dir(log.sparkSession)
+    ordered = _ordered(log, partitions).checkpoint(eager=True)
+    summaries = [r.asDict() for r in ordered.mapInPandas(_pass1, SUMMARY_SCHEMA).collect()]
+    starts = _chain(summaries)
+    return ordered.mapInPandas(_pass2_fn(starts), TRACE_SCHEMA)
+
+
+def atbat_summary(trace: DataFrame) -> DataFrame:
+    """One row per session — final count, outs, runners, whether the
+    at-bat is still active, pitch count and the ordered history.
+
+    The last event per session is a ``max_by`` (partial aggregate).  The
+    history text is built per session from the trace; it grows with the
+    session, so it is meant for at-bat sessions (bounded by the game's rules),
+    not for whole user logs."""
+    last = F.struct("ts", "seq")
+    return trace.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n_pitches"),
+        F.max_by("count_after", last).alias("count"),
+        F.max_by("outs_after", last).alias("outs"),
+        F.max_by("on_1b", last).alias("on_1b"),
+        F.max_by("on_2b", last).alias("on_2b"),
+        F.max_by("on_3b", last).alias("on_3b"),
+        F.max_by("at_bat_active", last).alias("atbat_active"),
+        F.sum(F.col("at_bat_ended").cast("long")).alias("at_bats_ended"),
+    )
+
+
+def atbat_history_json(trace: DataFrame) -> DataFrame:
+    """S9 export: ids, final state and the ``history`` array of
+    {pitch, outcome, count_before} as JSON text."""
+    hist = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", "pitch", "outcome", "count_before"))),
+                       lambda x: F.struct(x["pitch"].alias("pitch"), x["outcome"].alias("outcome"),
+                                          x["count_before"].alias("count_before")))
+    s = atbat_summary(trace)
+    h = trace.groupBy("session_id").agg(hist.alias("history"))
+    j = s.join(h, "session_id")
+    return j.select("session_id", F.to_json(F.struct(
+        "session_id", "count", F.struct("outs", "on_1b", "on_2b", "on_3b").alias("situation"),
+        "history")).alias("json"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming fold
+# ---------------------------------------------------------------------------
+STATE_SCHEMA = "b int, s int, outs int, r1 boolean, r2 boolean, r3 boolean, active boolean, last_ts timestamp, last_seq long"
+
+
+def _stream_fn(key, pdfs, state):
+    from pyspark.sql.streaming.state import GroupState  # noqa: F401
+    (sid,) = key
+    if state.hasTimedOut:
+        state.remove()
+        return
+    if state.exists:
+        b, s, outs, r1, r2, r3, active, last_ts, last_seq = state.get
+        cur = State(b, s, outs, r1, r2, r3, active)
+        last = (pd.Timestamp(last_ts), last_seq)
+    else:
+        cur, last = State(), None
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
+    if last is not None:
+        keep = (pdf["ts"] > last[0]) | ((pdf["ts"] == last[0]) & (pdf["seq"] > last[1]))
+        pdf = pdf[keep]
+    pdf = pdf.drop_duplicates(subset=["ts", "seq"])
+    if len(pdf):
+        cur, rows = fold_events(cur, pdf["outcome"].tolist())
+        out = pdf[["session_id", "seq", "ts", "pitch", "outcome"]].reset_index(drop=True)
+        tr = pd.DataFrame(rows, columns=["count_before", "count_after", "outs_after", "on_1b", "on_2b", "on_3b",
+                                         "at_bat_ended", "at_bat_active"])
+        last_row = pdf.iloc[-1]
+        state.update((cur.b, cur.s, cur.outs, cur.r[0], cur.r[1], cur.r[2], cur.active,
+                      last_row["ts"].to_pydatetime(), int(last_row["seq"])))
+        yield pd.concat([out, tr], axis=1)
+    if state.exists:
+        # drop the session once event time passes its last event by the gap
+        state.setTimeoutTimestamp(int(pd.Timestamp(state.get[7]).timestamp() * 1000) + IDLE_GAP_MS)
+
+
+IDLE_GAP_MS = 6 * 3600 * 1000
+
+
+def atbat_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Streaming per-event trace; ``events`` is a streaming DataFrame
+    with session_id, seq, ts, pitch, outcome."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+            .groupBy("session_id")
+            .applyInPandasWithState(_stream_fn, TRACE_SCHEMA, STATE_SCHEMA, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
+def replay_stream(spark: SparkSession, log: DataFrame, folder: str, chunks: int = 4) -> DataFrame:
+    """Write the ordered log as ``chunks`` files (by time) and run T2 over
+    them one file per micro-batch; returns the collected trace as a batch
+    DataFrame read back from the sink folder."""
+    import os
+    src, out, ck = os.path.join(folder, "src"), os.path.join(folder, "out"), os.path.join(folder, "ck")
+    # test helper: the replayed log is small, a global ntile is fine here
+    bounded = log.withColumn("_chunk", F.ntile(chunks).over(Window.orderBy("ts", "seq")))
+    for i in range(1, chunks + 1):
+        bounded.filter(F.col("_chunk") == i).drop("_chunk").write.mode("overwrite").parquet(os.path.join(src, f"c{i:04d}"))
+    schema = log.schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = (atbat_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema(TRACE_SCHEMA).parquet(out)
