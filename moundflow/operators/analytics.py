@@ -260,3 +260,21 @@ def union_stats(df: DataFrame, pitcher_id: int | None = None) -> DataFrame:
     if pitcher_id is not None:
         aggs.append(F.sum((F.col("pitcher") == pitcher_id).cast("long")).alias("pitcher_pitches"))
     return df.agg(*aggs)
+
+
+# E27 -----------------------------------------------------------------------
+def text_search(df: DataFrame, query: str, cols: list[str] | None = None) -> DataFrame:
+    """Rows where any of the text columns contains the query, case-insensitive."""
+    cols = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    hay = F.lower(F.concat_ws("|", *[F.col(c) for c in cols]))
+    return df.filter(hay.contains(query.lower()))
+
+
+# A24 -----------------------------------------------------------------------
+def unique_players(raw: DataFrame, role: str, names: DataFrame | None = None) -> DataFrame:
+    """Distinct player ids of one role, with names when a name map is given."""
+    ids = raw.select(F.col(role).cast("long").alias(role)).dropna().distinct()
+    if names is None:
+        return ids
+    n = names.select(F.col("id").cast("long").alias(role), F.col("name"))
+    return ids.join(n, role, "left")

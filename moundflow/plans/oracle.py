@@ -756,3 +756,45 @@ SELECT session_id, count(*) AS n_pitches, arg_max(count_after, rn) AS "count", a
   arg_max(on_1b, rn) AS on_1b, arg_max(on_2b, rn) AS on_2b, arg_max(on_3b, rn) AS on_3b,
   arg_max(at_bat_active, rn) AS atbat_active, sum(CASE WHEN at_bat_ended THEN 1 ELSE 0 END) AS at_bats_ended
 FROM trace GROUP BY session_id""")
+
+
+# ---------------------------------------------------------------------------
+# W9, W14, E26, E27, S10, A24
+# ---------------------------------------------------------------------------
+cte("rv_old", ["rv0", "re24"], """
+SELECT game_pk, at_bat_number, pitch_number, before_state,
+  coalesce(lead(before_state) OVER (PARTITION BY game_pk ORDER BY game_date, at_bat_number, pitch_number), 0.0) AS after_state,
+  coalesce(lead(before_state) OVER (PARTITION BY game_pk ORDER BY game_date, at_bat_number, pitch_number), 0.0)
+    - before_state + coalesce(CAST(post_bat_score - bat_score AS DOUBLE), 0.0) AS run_value_v0
+FROM (SELECT rv0.*, coalesce(r.v, 0.0) AS before_state FROM rv0
+      LEFT JOIN re24 r ON r.o = CAST(rv0.outs_when_up AS INTEGER) AND r.b = rv0.bases_state) x""")
+cte("seq_extra", ["seq"], """
+SELECT game_pk, at_bat_number, pitch_number,
+  lag(is_swing) OVER (PARTITION BY game_pk, at_bat_number ORDER BY game_date, pitch_number) AS last_pitch_swing,
+  FB_count_in_ab / pitch_num_in_ab AS fastball_pct_this_ab
+FROM seq""")
+
+
+def _rule_sql() -> str:
+    from moundflow.functions.location import RULE_DEFAULT, RULE_LOCATIONS
+    h = " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in RULE_LOCATIONS.items())
+    v = " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in RULE_LOCATIONS.items())
+    hh = f"(CASE pitch_type {h} ELSE '{RULE_DEFAULT[0]}' END)"
+    vv = f"(CASE pitch_type {v} ELSE '{RULE_DEFAULT[1]}' END)"
+    return (f"(CASE WHEN {hh} = 'outside' THEN 'away-low' WHEN {hh} = 'inside' AND stand = 'L' THEN 'in-low' "
+            f"WHEN {hh} = 'inside' THEN 'in-high' ELSE {hh} || '-' || {vv} END)")
+
+
+cte("rule_loc", ["seq"], f"""
+SELECT rule_location, pitch_type, count(*) AS pitches, avg(run_value) AS mean_rv
+FROM (SELECT *, {_rule_sql()} AS rule_location FROM seq) s GROUP BY rule_location, pitch_type""")
+cte("search", ["raw"], """
+SELECT pitcher, count(*) AS pitches FROM raw
+WHERE strpos(lower(concat_ws('|', inning_topbot, p_throws, stand, pitch_type, description, events)), 'home_run') > 0
+GROUP BY pitcher""")
+cte("seasons", ["raw"], """
+SELECT count(*) AS pitches, count(DISTINCT pitcher) AS pitchers, count(DISTINCT batter) AS batters,
+  sum(CASE WHEN pitcher = 7 THEN 1 ELSE 0 END) AS pitcher_pitches
+FROM (SELECT * FROM raw WHERE game_date < DATE '2024-06-01'
+      UNION ALL SELECT * FROM raw WHERE game_date >= DATE '2024-06-01' OR game_date IS NULL) u""")
+cte("players", ["raw"], "SELECT DISTINCT CAST(batter AS BIGINT) AS batter FROM raw WHERE batter IS NOT NULL")

@@ -32,10 +32,13 @@ def pitches_with_rv(raw: DataFrame, re_table: DataFrame | None = None) -> DataFr
 class Tables:
     """All derived tables for one input folder, built lazily."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, strict_pitcher_join: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, strict_pitcher_join: bool = True,
+                 raw: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.strict = strict_pitcher_join
+        if raw is not None:
+            self.raw = raw          # an already-materialised raw pitch log
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)

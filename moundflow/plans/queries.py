@@ -311,3 +311,40 @@ register(Query(
     "s09_atbat_summary", lambda t: AB.atbat_summary(_trace(t)),
     "session_id:i n_pitches:i count:s outs:i on_1b:b on_2b:b on_3b:b atbat_active:b at_bats_ended:i",
     source="atsum"))
+
+# --- older run value, extra sequence columns, rule locations, search, union --
+from moundflow.functions.location import rule_based_location  # noqa: E402
+from moundflow.operators import runvalue as RV  # noqa: E402
+from moundflow.operators import sequence as SQ  # noqa: E402
+
+
+def _rv_old(t: Tables):
+    df = t.clean.withColumn("runs_scored", RV.runs_on_play(t.clean))
+    return RV.add_run_values_per_game(df.repartition("game_pk"))
+
+
+register(Query("w09_run_value_per_game", _rv_old, f"{KEY} before_state:f after_state:f run_value_v0:f",
+               source="rv_old"))
+register(Query("w14_extra_sequence", lambda t: SQ.add_extra_sequence(t.pitches),
+               f"{KEY} last_pitch_swing:b fastball_pct_this_ab:f", source="seq_extra"))
+register(Query(
+    "e26_rule_based_location",
+    lambda t: t.pitches.withColumn("rule_location", rule_based_location("pitch_type", "stand"))
+    .groupBy("rule_location", "pitch_type").agg(F.count(F.lit(1)).alias("pitches"), F.avg("run_value").alias("mean_rv")),
+    "rule_location:s pitch_type:s pitches:i mean_rv:f", source="rule_loc"))
+register(Query(
+    "e27_text_search",
+    lambda t: AN.text_search(t.raw, "home_run", ["inning_topbot", "p_throws", "stand", "pitch_type", "description",
+                                                  "events"]).groupBy("pitcher").agg(F.count(F.lit(1)).alias("pitches")),
+    "pitcher:i pitches:i", source="search"))
+
+
+def _seasons(t: Tables):
+    d = F.col("game_date")
+    early = t.raw.filter(d < F.lit("2024-06-01").cast("date"))
+    late = t.raw.filter((d >= F.lit("2024-06-01").cast("date")) | d.isNull())
+    return AN.union_stats(AN.season_union(early, late), pitcher_id=7)
+
+
+register(Query("s10_season_union", _seasons, "pitches:i pitchers:i batters:i pitcher_pitches:i", source="seasons"))
+register(Query("a24_unique_batters", lambda t: AN.unique_players(t.raw, "batter"), "batter:i", source="players"))
