@@ -52,21 +52,19 @@ def main():
     # warm-up: JVM and codegen caches (not timed)
     run(t.raw.select("game_pk").limit(1))
 
-    timed("pitches_with_rv", lambda: run(t.pitches))
-    timed("batter_profiles", lambda: run(t.batter_wide))
-    timed("pitcher_profiles", lambda: (run(t.pitcher_profiles), run(t.pitcher_arsenals)))
-    timed("batter_zone_profiles", lambda: run(t.zone_wide))
-    timed("features", lambda: run(t.features))
+    # each pipeline step is built and materialised once (as a job writes its
+    # output); later steps read the materialised tables
+    timed("pitches_with_rv", lambda: t.materialize("pitches"))
+    timed("batter_profiles", lambda: (t.materialize("batter_profiles"), t.materialize("batter_wide")))
+    timed("pitcher_profiles", lambda: (t.materialize("pitcher_profiles"), t.materialize("pitcher_arsenals")))
+    timed("batter_zone_profiles", lambda: (t.materialize("zone_long"), run(t.zone_wide)))
+    timed("features", lambda: t.materialize("features"))
     timed("baseline_backoff", lambda: run(AN.baseline_lookup(t.pitches.withColumn("count", AN.count_text()),
                                                              AN.baseline_table(t.pitches))))
-
-    # materialise the inputs of the model and recommendation steps once, as a
-    # job would (reliable checkpoint in the shared checkpoint folder)
-    feats = t.features.checkpoint()
-    arsenals = t.pitcher_arsenals.checkpoint()
-    profiles = t.pitcher_profiles.checkpoint()
-    wide = t.batter_wide.checkpoint()
-    zones = t.zone_long.checkpoint()
+    timed("eprv_outcome_tables", lambda: run(AN.eprv_by_context(AN.outcome_distribution(t.pitches),
+                                                                AN.outcome_rv_table(t.pitches))))
+    feats, arsenals, profiles = t.features, t.pitcher_arsenals, t.pitcher_profiles
+    wide, zones = t.batter_wide, t.zone_long
 
     model_box = {}
 

@@ -238,12 +238,23 @@ def calibration(df: DataFrame, predicted: str, observed: str, bins: int = 10) ->
 
 
 # A25 -----------------------------------------------------------------------
-def decision_quality(labelled: DataFrame) -> DataFrame:
-    """Mean run value and strike share per policy (recommended / random /
-    rule-based / actual), given rows labelled with ``policy``."""
-    return labelled.groupBy("policy").agg(F.avg("run_value").alias("mean_rv"),
-                                          F.avg(F.col("in_zone").cast("double")).alias("strike_share"),
-                                          F.count(F.lit(1)).alias("n"))
+def decision_quality(features: DataFrame, best_worst: DataFrame) -> DataFrame:
+    """Mean run value and strike share of pitches by location policy:
+    every pitch ('actual'), pitches thrown in their type's best cell
+    ('recommended'), in its worst cell ('worst'), inside the zone ('in_zone').
+    Each pitch is tagged with the policies it satisfies (at most 4 rows)."""
+    cell = F.concat_ws("-", "loc_horizontal", "loc_vertical")
+    bw = best_worst.select("pitch_type", "best_location", "worst_location")
+    j = features.join(bw, "pitch_type", "left")
+    tags = F.filter(F.array(
+        F.lit("actual"),
+        F.when(cell == F.col("best_location"), F.lit("recommended")),
+        F.when(cell == F.col("worst_location"), F.lit("worst")),
+        F.when(F.col("in_zone") == 1, F.lit("in_zone"))), lambda x: x.isNotNull())
+    t = j.select(F.explode(tags).alias("policy"), "run_value", "in_zone")
+    return t.groupBy("policy").agg(F.avg("run_value").alias("mean_rv"),
+                                   F.avg(F.col("in_zone").cast("double")).alias("strike_share"),
+                                   F.count(F.lit(1)).alias("n"))
 
 
 # S10 -----------------------------------------------------------------------

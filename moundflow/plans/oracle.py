@@ -798,3 +798,12 @@ SELECT count(*) AS pitches, count(DISTINCT pitcher) AS pitchers, count(DISTINCT
 FROM (SELECT * FROM raw WHERE game_date < DATE '2024-06-01'
       UNION ALL SELECT * FROM raw WHERE game_date >= DATE '2024-06-01' OR game_date IS NULL) u""")
 cte("players", ["raw"], "SELECT DISTINCT CAST(batter AS BIGINT) AS batter FROM raw WHERE batter IS NOT NULL")
+cte("dq", ["features", "bestloc"], """
+SELECT policy, avg(run_value) AS mean_rv, avg(CAST(in_zone AS DOUBLE)) AS strike_share, count(*) AS n FROM (
+  SELECT 'actual' AS policy, run_value, in_zone FROM features
+  UNION ALL SELECT 'recommended', f.run_value, f.in_zone FROM features f JOIN bestloc b ON b.pitch_type = f.pitch_type
+    AND f.loc_horizontal || '-' || f.loc_vertical = b.best_location
+  UNION ALL SELECT 'worst', f.run_value, f.in_zone FROM features f JOIN bestloc b ON b.pitch_type = f.pitch_type
+    AND f.loc_horizontal || '-' || f.loc_vertical = b.worst_location
+  UNION ALL SELECT 'in_zone', run_value, in_zone FROM features WHERE in_zone = 1) u
+GROUP BY policy""")

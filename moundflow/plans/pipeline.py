@@ -40,6 +40,14 @@ class Tables:
         if raw is not None:
             self.raw = raw          # an already-materialised raw pitch log
 
+    def materialize(self, name: str) -> DataFrame:
+        """Compute a derived table once and keep it as a reliable checkpoint
+        (in the shared checkpoint folder); later tables read it instead of
+        recomputing its plan — a pipeline step writing its output."""
+        df = getattr(self, name).checkpoint(eager=True)
+        self.__dict__[name] = df
+        return df
+
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 

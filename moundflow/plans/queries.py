@@ -348,3 +348,6 @@ def _seasons(t: Tables):
 
 register(Query("s10_season_union", _seasons, "pitches:i pitchers:i batters:i pitcher_pitches:i", source="seasons"))
 register(Query("a24_unique_batters", lambda t: AN.unique_players(t.raw, "batter"), "batter:i", source="players"))
+register(Query("a25_decision_quality",
+               lambda t: AN.decision_quality(t.features, AN.best_worst_location(t.features)),
+               "policy:s mean_rv:f strike_share:f n:i", source="dq"))
