@@ -257,18 +257,19 @@ def atbat_summary(trace: DataFrame) -> DataFrame:
     )
 
 
-def atbat_history_json(trace: DataFrame) -> DataFrame:
-    """S9 export: ids, final state and the ``history`` array of
-    {pitch, outcome, count_before} as JSON text."""
-    hist = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", "pitch", "outcome", "count_before"))),
-                       lambda x: F.struct(x["pitch"].alias("pitch"), x["outcome"].alias("outcome"),
-                                          x["count_before"].alias("count_before")))
+def atbat_export_json(trace: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S9 export as JSON text, row-wise: one summary document per session
+    (ids, final count, situation) and one history line per event
+    ({session_id, seq, pitch, outcome, count_before}).  Nothing gathers a
+    session's whole history into one value, so a session of any length
+    exports in parallel; a reader groups the lines by session_id."""
     s = atbat_summary(trace)
-    h = trace.groupBy("session_id").agg(hist.alias("history"))
-    j = s.join(h, "session_id")
-    return j.select("session_id", F.to_json(F.struct(
+    summary = s.select("session_id", F.to_json(F.struct(
         "session_id", "count", F.struct("outs", "on_1b", "on_2b", "on_3b").alias("situation"),
-        "history")).alias("json"))
+        "n_pitches", "atbat_active")).alias("json"))
+    history = trace.select("session_id", "ts", "seq", F.to_json(F.struct(
+        "session_id", "seq", "pitch", "outcome", "count_before")).alias("json"))
+    return summary, history
 
 
 # ---------------------------------------------------------------------------
