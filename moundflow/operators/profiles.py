@@ -16,10 +16,6 @@ from moundflow.functions.pitch import (is_batted_ball, is_contact, is_groundball
                                        is_swing, league_average, pitch_category, regress_to_mean, safe_divide)
 
 
-def _isum(c):
-    return F.sum(F.col(c).cast("long")) if isinstance(c, str) else F.sum(c.cast("long"))
-
-
 # ---------------------------------------------------------------------------
 # Batter x pitch category (A1, A2, A3)
 # ---------------------------------------------------------------------------
@@ -262,3 +258,20 @@ def batter_zone_wide(long: DataFrame) -> DataFrame:
             cols.append(F.col(f"{z}_{s}").alias(f"zone_{z}_{s}"))
     chase = F.coalesce(*[F.col(f"{z}_chase") for z in K.ZONES])
     return p.select(*cols, chase.alias("chase_rate_overall"))
+
+
+# ---------------------------------------------------------------------------
+# Incremental maintenance: the batter counts are additive
+# ---------------------------------------------------------------------------
+COUNT_COLS = ["total_pitches", "swings", "whiffs", "out_of_zone", "chases", "zone_swings", "zone_contact",
+              "batted_balls", "groundballs", "xwoba_sum", "xwoba_count"]
+
+
+def merge_batter_counts(*counts: DataFrame) -> DataFrame:
+    """Sum stored A1 counts with the counts of new logs (e.g. one day),
+    so profiles refresh without re-reading history; rates are then
+    re-projected with ``batter_profiles_from_counts``."""
+    u = counts[0]
+    for c in counts[1:]:
+        u = u.unionByName(c)
+    return u.groupBy("batter", "pitch_category").agg(*[F.sum(c).alias(c) for c in COUNT_COLS])
