@@ -2,9 +2,8 @@
 regression as one Spark ML ``Pipeline``, evaluation and ranking quality.
 
 Scale notes: the split computes an exact global position without a
-single-partition window — counts per (date, game) are small, their running
-offsets are computed on that small table, and each pitch adds its position
-inside its game.  Metrics are one grouped pass; the split means they need
+single-partition window over the rows (distributed zip-with-index over range
+partitions, see ``time_ordinal``).  Metrics are one grouped pass; the split means they need
 come from a 3-row aggregate joined back (broadcast, bounded by 3).
 """
 from __future__ import annotations
@@ -24,20 +23,35 @@ ORDER = ["game_date", "game_pk", "at_bat_number", "pitch_number"]
 
 
 # W10 -----------------------------------------------------------------------
-def time_ordinal(df: DataFrame) -> DataFrame:
+def time_ordinal(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Exact 0-based position of every row in (date, game, at-bat, pitch)
-    order, plus the total row count."""
-    per_game = df.groupBy("game_date", "game_pk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col("game_date").asc_nulls_last(), F.col("game_pk").asc_nulls_last())
-    # one row per game: this window runs over the small per-game table only
-    per_game = per_game.withColumns({
-        "_off": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_total": F.sum("_n").over(Window.partitionBy()),
-    })
-    j = df.join(per_game, ["game_date", "game_pk"], "left")
-    inner = Window.partitionBy("game_date", "game_pk").orderBy(
-        F.col("at_bat_number").asc_nulls_last(), F.col("pitch_number").asc_nulls_last())
-    return j.withColumn("time_rank", F.col("_off") + F.row_number().over(inner) - 1).drop("_off", "_n")
+    order, plus the total row count ``_total``.
+
+    Distributed zip-with-index: range-partition by the order key (a date or
+    game holding a large share of rows is split across partitions), sort
+    inside each partition, count rows per partition (one row per partition),
+    prefix-sum those counts, and add each row's index inside its partition
+    (the low 33 bits of ``monotonically_increasing_id``).  No window runs
+    over the rows themselves, and the partition-count table is bounded by the
+    number of partitions.  Range boundaries are sampled per execution, so the
+    partitioned, indexed rows are written once (reliable checkpoint) and both
+    the counts and the ranks are read from that copy.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_last() for c in ORDER]
+    ensure_checkpoint_dir(df.sparkSession)
+    o = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+         .checkpoint(eager=True))
+    counts = o.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid")          # one row per partition
+    offsets = counts.select(
+        "_pid",
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    j = o.join(F.broadcast(offsets), "_pid")      # bounded by the partition count
+    return j.withColumn("time_rank", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
 
 
 def time_split(df: DataFrame, train_frac: float = K.SPLIT_TRAIN, val_frac: float = K.SPLIT_VAL) -> DataFrame:
@@ -130,9 +144,9 @@ def train(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, max_depth: int =
     df = time_split(df)
     numeric, categorical = column_types(df)
     # every pipeline stage reads the training rows (imputer, indexer, scaler,
-    # trees): write the prepared, split table once to the checkpoint folder
-    ensure_checkpoint_dir(df.sparkSession)
-    df = prepare(df, categorical).checkpoint(eager=True)
+    # trees): the split table is already materialised by ``time_ordinal``;
+    # the categorical fill is a cheap projection on top of it
+    df = prepare(df, categorical)
     tr = df.filter(F.col("split") == "train")
     if early_stopping:
         tr = tr.withColumn("_es_holdout", holdout_flag(tr))
