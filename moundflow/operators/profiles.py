@@ -189,8 +189,7 @@ def league_zone_stats(counts: DataFrame) -> DataFrame:
     has_sw = F.col("swings") > 0
     return spine.join(lg, "zone", "left").select(
         "zone",
-        F.when(enough & has_sw & (whiff != 0), whiff).when(enough, F.lit(d["whiff_rate"]))
-         .otherwise(F.lit(d["whiff_rate"])).alias("lg_whiff_rate"),
+        F.when(enough & has_sw & (whiff != 0), whiff).otherwise(F.lit(d["whiff_rate"])).alias("lg_whiff_rate"),
         F.when(enough & has_sw & (contact != 0), contact).otherwise(F.lit(d["contact_rate"])).alias("lg_contact_rate"),
         F.when(enough, F.col("swings") / F.col("n")).otherwise(F.lit(d["swing_rate"])).alias("lg_swing_rate"),
         F.when(enough, F.try_divide(F.col("xs"), F.col("xc"))).otherwise(F.lit(d["xwoba"])).alias("lg_xwoba"),
