@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow import constants as K
-from moundflow.functions.pitch import _c, literal_map
+from moundflow.functions.pitch import literal_map
 from moundflow.operators.runvalue import run_expectancy
 
 

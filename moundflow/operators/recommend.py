@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from moundflow import constants as K
 from moundflow.functions.location import (coords_to_zone, loc_horizontal_scoring, loc_vertical_scoring,
                                           location_label)
-from moundflow.functions.pitch import league_average, pitch_category
+from moundflow.functions.pitch import pitch_category
 from moundflow.operators.runvalue import run_expectancy
 
 CATS = K.CATEGORIES

@@ -279,7 +279,6 @@ STATE_SCHEMA = "b int, s int, outs int, r1 boolean, r2 boolean, r3 boolean, acti
 
 
 def _stream_fn(key, pdfs, state):
-    from pyspark.sql.streaming.state import GroupState  # noqa: F401
     (sid,) = key
     if state.hasTimedOut:
         state.remove()
