@@ -20,6 +20,7 @@ from moundflow.functions.location import (coords_to_zone, loc_horizontal_scoring
                                           location_label)
 from moundflow.functions.pitch import pitch_category
 from moundflow.operators.runvalue import run_expectancy
+from moundflow.session import task_slots
 
 CATS = K.CATEGORIES
 
@@ -187,20 +188,25 @@ def _grid_cells() -> Column:
     return F.array(*cells)
 
 
-def optimize_locations(cands: DataFrame, zone_long: DataFrame, model) -> DataFrame:
+CARRY = ["pitch_type", "pitch_category", "predicted_rv", "probability", "current_re", "balls", "strikes",
+         "batter_whiff_rate_vs_this_cat", "batter_chase_rate_vs_this_cat", "batter_xwoba_vs_this_cat"]
+
+
+def optimize_locations(cands: DataFrame, zone_long: DataFrame, model, carry=CARRY) -> DataFrame:
     """Score 25 grid cells per candidate and keep the lowest predicted
     run value (first cell wins ties).
 
     Each candidate expands to a fixed 25 rows through ``explode`` of a
     literal array (a bounded fan-out, not a join); the cells are scored by
-    one ``transform``; ``min_by`` per candidate is a partial aggregate, so the
-    25 cells collapse map-side before the shuffle.  The candidate's own
-    columns ride along in a struct, so no join back is needed and the
-    candidate plan runs once.
+    one ``transform``; the reduction per candidate keeps only the winning
+    cell number and the candidate's output columns (carried in a narrow
+    struct, so no join back and no recomputation of the candidate plan).
+    Candidates arrive hash-partitioned by request, so the reduction and the
+    later rank window add no shuffle.
     """
-    carry = F.struct(*[F.col(c) for c in cands.columns]).alias("_cand")
-    g = cands.select("request_id", "arsenal_pos", "batter", carry, *[F.col(c) for c in cands.columns
-                                                                     if c not in ("request_id", "arsenal_pos", "batter")],
+    keep = F.struct(*[F.col(c) for c in carry]).alias("_cand")
+    g = cands.select("request_id", "arsenal_pos", keep, *[F.col(c) for c in cands.columns
+                                                         if c not in ("request_id", "arsenal_pos")],
                      F.explode(_grid_cells()).alias("_cell"))
     g = g.withColumns({
         "plate_x": F.col("_cell.plate_x"), "plate_z": F.col("_cell.plate_z"), "cell_no": F.col("_cell.cell_no"),
@@ -218,12 +224,20 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model) -> DataFra
     dflt = {"swing_rate": 0.5, "whiff_rate": 0.25, "contact_rate": 0.75, "xwoba": 0.32}
     g = g.withColumns({f"batter_{s}_at_zone": F.when(F.col("_zhit"), F.col(f"_z_{s}")).otherwise(F.lit(d))
                        for s, d in dflt.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in dflt])
-    g = score(g, model, out="_cell_rv")
+    g = score(g, model, out="_cell_rv").select("request_id", "arsenal_pos", "_cand", "cell_no", "_cell_rv")
     best = g.groupBy("request_id", "arsenal_pos").agg(
         F.first("_cand").alias("_cand"),
-        F.min_by(F.struct("plate_x", "plate_z", "zone", "in_zone", F.col("_cell_rv").alias("expected_rv")),
-                 F.struct(F.col("_cell_rv"), F.col("cell_no"))).alias("location"))
-    return best.select("_cand.*", "location")
+        F.min_by(F.struct(F.col("cell_no"), F.col("_cell_rv")),
+                 F.struct(F.col("_cell_rv"), F.col("cell_no"))).alias("_best"))
+    cell = F.col("_best.cell_no") + 1
+    xs = F.array(*[F.lit(float(x)) for x in K.GRID_X for _ in K.GRID_Z])
+    zs = F.array(*[F.lit(float(z)) for _ in K.GRID_X for z in K.GRID_Z])
+    px, pz = F.element_at(xs, cell), F.element_at(zs, cell)
+    zone = coords_to_zone(px, pz).cast("long")
+    return best.select("request_id", "arsenal_pos", "_cand.*", F.struct(
+        px.alias("plate_x"), pz.alias("plate_z"), zone.alias("zone"),
+        ((zone >= 1) & (zone <= 9)).cast("int").alias("in_zone"),
+        F.col("_best._cell_rv").alias("expected_rv")).alias("location"))
 
 
 # R5 ------------------------------------------------------------------------
@@ -235,6 +249,10 @@ def recommend(requests: DataFrame, arsenals: DataFrame, pitcher_profiles: DataFr
     c = attach_batter(c, batter_wide)
     c = attach_pitcher(c, pitcher_profiles)
     c = candidate_features(c)
+    # spread the candidates over the cluster by request: scoring (and the x25
+    # grid) then runs in parallel, and the softmax / min_by / rank steps all
+    # cluster on request_id, so this is the only shuffle they need
+    c = c.repartition(task_slots(c.sparkSession), "request_id")
     c = score(c, model)
     req = Window.partitionBy("request_id")
     neg = -F.col("predicted_rv")

@@ -56,3 +56,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def task_slots(spark: SparkSession, per_slot: int = 4) -> int:
+    """A partition count proportional to the cluster's task slots, for
+    small tables that fan out (AQE would otherwise coalesce them into a few
+    partitions before the expansion)."""
+    return max(1, spark.sparkContext.defaultParallelism * per_slot)
