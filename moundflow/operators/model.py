@@ -144,9 +144,13 @@ def train(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, max_depth: int =
     df = time_split(df)
     numeric, categorical = column_types(df)
     # every pipeline stage reads the training rows (imputer, indexer, scaler,
-    # trees): the split table is already materialised by ``time_ordinal``;
-    # the categorical fill is a cheap projection on top of it
-    df = prepare(df, categorical)
+    # trees), and the approximate median and the trees' split sampling depend
+    # on how rows are spread over partitions: lay the table out by a hash of
+    # the pitch key with a fixed partition count, sorted, and write it once —
+    # the fit is then repeatable whatever the earlier range sampling did
+    key = ["game_pk", "at_bat_number", "pitch_number"]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = prepare(df, categorical).repartition(n, *key).sortWithinPartitions(*key).checkpoint(eager=True)
     tr = df.filter(F.col("split") == "train")
     if early_stopping:
         tr = tr.withColumn("_es_holdout", holdout_flag(tr))
