@@ -153,3 +153,39 @@ COUNT_ADJ_AHEAD, COUNT_ADJ_BEHIND, COUNT_ADJ_EXTREME = 0.10, 0.10, 0.15
 # GBT defaults (depth 8, rate .05, <=200 iterations, 10 % early-stop holdout, seed 42)
 GBT_MAX_DEPTH, GBT_STEP, GBT_MAX_ITER, GBT_VALIDATION_FRACTION, GBT_SEED = 8, 0.05, 200, 0.1, 42
 SPLIT_TRAIN, SPLIT_VAL = 0.70, 0.15
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: recommendation reason texts ({} = inserted value)
+# ---------------------------------------------------------------------------
+REASON_HIGH_WHIFF = "Batter has high whiff rate vs {} ({})"
+REASON_GOOD_CONTACT = "Batter makes good contact vs {}"
+REASON_CHASES = "Batter chases {} pitches ({})"
+REASON_WEAK_CONTACT = "Weak contact expected ({} xwOBA)"
+REASON_DANGEROUS = "Dangerous contact potential ({} xwOBA)"
+REASON_PUT_AWAY = "Put-away count favors offspeed/breaking"
+REASON_NEED_STRIKE = "Need strike - fastball for command"
+REASON_DEFAULT = "Standard option"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: heuristic strategy notes ({} = inserted value)
+# ---------------------------------------------------------------------------
+NOTE_ARCHETYPE = "Archetype detected: {}."
+NOTE_ARSENAL = "Pitcher arsenal: {}."
+NOTE_POWER = "Favor breaking balls low-and-away to induce chases and weak contact."
+NOTE_CONTACT = "Mix speeds and work edges to induce weak contact and avoid predictable locations."
+NOTE_PATIENT = "Attack early in the count with strikes; use harder-to-hit chase pitches later."
+NOTE_RISP = "RISP: prefer low pitches to induce grounders and avoid big hits."
+NOTE_COUNT = "Count considered: {}."
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: rule-based location by pitch type (horizontal, vertical)
+# ---------------------------------------------------------------------------
+RULE_LOCATIONS = {
+    "FF": ("outside", "high"),
+    "SI": ("inside-or-outside", "low"),
+    "SL": ("outside", "low"),
+    "CU": ("middle-outside", "low"),
+    "CH": ("outside", "low"),
+    "FS": ("outside", "low"),
+}
+RULE_DEFAULT = ("outside", "low")

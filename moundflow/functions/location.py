@@ -74,16 +74,8 @@ def in_zone_flag(zone) -> Column:
     return F.coalesce(((z >= 1) & (z <= 9)).cast("int"), F.lit(0))
 
 
-# FIXED VALUES: rule-based location by pitch type (horizontal, vertical)
-RULE_LOCATIONS = {
-    "FF": ("outside", "high"),
-    "SI": ("inside-or-outside", "low"),
-    "SL": ("outside", "low"),
-    "CU": ("middle-outside", "low"),
-    "CH": ("outside", "low"),
-    "FS": ("outside", "low"),
-}
-RULE_DEFAULT = ("outside", "low")
+RULE_LOCATIONS = K.RULE_LOCATIONS
+RULE_DEFAULT = K.RULE_DEFAULT
 
 
 def rule_based_location(pitch_type, stand) -> Column:

@@ -18,6 +18,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def fill(template: str, *values) -> Column:
+    """A fixed text template with '{}' slots filled by Columns."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for v, p in zip(values, parts[1:]):
+        out += [_c(v), F.lit(p)]
+    return F.concat(*out)
+
+
 def literal_map(d: dict) -> Column:
     """A literal MapType column from a small constant dict."""
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow import constants as K
-from moundflow.functions.pitch import literal_map
+from moundflow.functions.pitch import fill, literal_map
 from moundflow.operators.runvalue import run_expectancy
 
 
@@ -132,13 +132,13 @@ def next_pitch_candidates(requests: DataFrame, archetypes: DataFrame, arsenal: D
 def strategy_notes(archetype: Column, pitches: Column, count: Column, risp: Column) -> Column:
     return F.concat_ws(
         " ",
-        F.concat(F.lit("Archetype detected: "), archetype, F.lit(".")),
-        F.concat(F.lit("Pitcher arsenal: "), F.array_join(pitches, ", "), F.lit(".")),
-        F.when(archetype.contains("Power"), F.lit("Favor breaking balls low-and-away to induce chases and weak contact.")),
-        F.when(archetype.contains("Contact"), F.lit("Mix speeds and work edges to induce weak contact and avoid predictable locations.")),
-        F.when(archetype.contains("Patient"), F.lit("Attack early in the count with strikes; use harder-to-hit chase pitches later.")),
-        F.when(risp, F.lit("RISP: prefer low pitches to induce grounders and avoid big hits.")),
-        F.concat(F.lit("Count considered: "), count, F.lit(".")),
+        fill(K.NOTE_ARCHETYPE, archetype),
+        fill(K.NOTE_ARSENAL, F.array_join(pitches, ", ")),
+        F.when(archetype.contains("Power"), F.lit(K.NOTE_POWER)),
+        F.when(archetype.contains("Contact"), F.lit(K.NOTE_CONTACT)),
+        F.when(archetype.contains("Patient"), F.lit(K.NOTE_PATIENT)),
+        F.when(risp, F.lit(K.NOTE_RISP)),
+        fill(K.NOTE_COUNT, count),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from moundflow import constants as K
 from moundflow.functions.location import (coords_to_zone, loc_horizontal_scoring, loc_vertical_scoring,
                                           location_label)
-from moundflow.functions.pitch import pitch_category
+from moundflow.functions.pitch import fill, pitch_category
 from moundflow.operators.runvalue import run_expectancy
 from moundflow.session import task_slots
 
@@ -161,20 +161,16 @@ def reasoning(category: Column, whiff: Column, chase: Column, xwoba: Column, bal
         return expr.otherwise(F.lit(THRESHOLDS["FB"][key]))
 
     parts = [
-        F.when(whiff > thr("whiff_hi"), F.concat(F.lit("Batter has high whiff rate vs "), category,
-                                                 F.lit(" ("), _pct(whiff), F.lit(")")))
-         .when(whiff < thr("whiff_lo"), F.concat(F.lit("Batter makes good contact vs "), category)),
-        F.when(chase > thr("chase_hi"), F.concat(F.lit("Batter chases "), category, F.lit(" pitches ("),
-                                                 _pct(chase), F.lit(")"))),
-        F.when(xwoba < K.REASON_XWOBA_LOW, F.concat(F.lit("Weak contact expected ("), F.format_string("%.3f", xwoba),
-                                                    F.lit(" xwOBA)")))
-         .when(xwoba > K.REASON_XWOBA_HIGH, F.concat(F.lit("Dangerous contact potential ("),
-                                                     F.format_string("%.3f", xwoba), F.lit(" xwOBA)"))),
-        F.when((strikes == 2) & category.isin("BR", "OS"), F.lit("Put-away count favors offspeed/breaking")),
-        F.when((balls == 3) & (category == "FB"), F.lit("Need strike - fastball for command")),
+        F.when(whiff > thr("whiff_hi"), fill(K.REASON_HIGH_WHIFF, category, _pct(whiff)))
+         .when(whiff < thr("whiff_lo"), fill(K.REASON_GOOD_CONTACT, category)),
+        F.when(chase > thr("chase_hi"), fill(K.REASON_CHASES, category, _pct(chase))),
+        F.when(xwoba < K.REASON_XWOBA_LOW, fill(K.REASON_WEAK_CONTACT, F.format_string("%.3f", xwoba)))
+         .when(xwoba > K.REASON_XWOBA_HIGH, fill(K.REASON_DANGEROUS, F.format_string("%.3f", xwoba))),
+        F.when((strikes == 2) & category.isin("BR", "OS"), F.lit(K.REASON_PUT_AWAY)),
+        F.when((balls == 3) & (category == "FB"), F.lit(K.REASON_NEED_STRIKE)),
     ]
     text = F.concat_ws("; ", *parts)
-    return F.when(text == "", F.lit("Standard option")).otherwise(text)
+    return F.when(text == "", F.lit(K.REASON_DEFAULT)).otherwise(text)
 
 
 # R6 ------------------------------------------------------------------------

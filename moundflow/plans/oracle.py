@@ -498,6 +498,15 @@ def _thr(key: str) -> str:
     return f"(CASE category {parts} ELSE {_d(THRESHOLDS['FB'][key])} END)"
 
 
+def sql_fill(template: str, *values: str) -> str:
+    """A fixed text template with '{}' slots filled by SQL expressions."""
+    parts = template.split("{}")
+    out = [_q(parts[0])]
+    for v, p in zip(values, parts[1:]):
+        out += [f"({v})", _q(p)]
+    return "(" + " || ".join(out) + ")"
+
+
 def _pct(x: str) -> str:
     return f"(CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR) || '%')"
 
@@ -510,19 +519,19 @@ cte("recommend", ["rs"], f"""
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY p DESC, arsenal_pos) AS rank,
   pitch_type, category, rv AS predicted_rv, current_re + rv AS expected_re_after,
   p AS probability, p * 100 AS probability_pct, bw AS batter_whiff_rate, bc AS batter_chase_rate, bx AS batter_xwoba,
-  CASE WHEN txt = '' THEN 'Standard option' ELSE txt END AS reasoning,
+  CASE WHEN txt = '' THEN {_q(K.REASON_DEFAULT)} ELSE txt END AS reasoning,
   0.0 AS loc_plate_x, 2.3E0 AS loc_plate_z, 8 AS loc_zone, TRUE AS loc_in_zone, 0.0 AS loc_expected_rv,
   'middle-mid' AS location_label
 FROM (
   SELECT *, e / sum(e) OVER (PARTITION BY request_id) AS p,
     concat_ws('; ',
-      CASE WHEN bw > {_thr('whiff_hi')} THEN 'Batter has high whiff rate vs ' || category || ' (' || {_pct('bw')} || ')'
-           WHEN bw < {_thr('whiff_lo')} THEN 'Batter makes good contact vs ' || category END,
-      CASE WHEN bc > {_thr('chase_hi')} THEN 'Batter chases ' || category || ' pitches (' || {_pct('bc')} || ')' END,
-      CASE WHEN bx < {_d(K.REASON_XWOBA_LOW)} THEN 'Weak contact expected (' || printf('%.3f', bx) || ' xwOBA)'
-           WHEN bx > {_d(K.REASON_XWOBA_HIGH)} THEN 'Dangerous contact potential (' || printf('%.3f', bx) || ' xwOBA)' END,
-      CASE WHEN strikes = 2 AND category IN ('BR', 'OS') THEN 'Put-away count favors offspeed/breaking' END,
-      CASE WHEN balls = 3 AND category = 'FB' THEN 'Need strike - fastball for command' END) AS txt
+      CASE WHEN bw > {_thr('whiff_hi')} THEN {sql_fill(K.REASON_HIGH_WHIFF, 'category', _pct('bw'))}
+           WHEN bw < {_thr('whiff_lo')} THEN {sql_fill(K.REASON_GOOD_CONTACT, 'category')} END,
+      CASE WHEN bc > {_thr('chase_hi')} THEN {sql_fill(K.REASON_CHASES, 'category', _pct('bc'))} END,
+      CASE WHEN bx < {_d(K.REASON_XWOBA_LOW)} THEN {sql_fill(K.REASON_WEAK_CONTACT, "printf('%.3f', bx)")}
+           WHEN bx > {_d(K.REASON_XWOBA_HIGH)} THEN {sql_fill(K.REASON_DANGEROUS, "printf('%.3f', bx)")} END,
+      CASE WHEN strikes = 2 AND category IN ('BR', 'OS') THEN {_q(K.REASON_PUT_AWAY)} END,
+      CASE WHEN balls = 3 AND category = 'FB' THEN {_q(K.REASON_NEED_STRIKE)} END) AS txt
   FROM rs) t""")
 cte("legacy", ["recommend"], """
 SELECT request_id, first(pitch_type ORDER BY rank) AS best_pitch, first(predicted_rv ORDER BY rank) AS best_rv,
@@ -596,13 +605,13 @@ SELECT h.request_id, h.archetype AS batter_archetype, s.p1 AS seq_1, s.p2 AS seq
     + CASE WHEN strpos(h.archetype, 'Power') > 0
                 AND len(list_filter(h.pitches, lambda x: upper(x) IN ('SL', 'CU', 'KC'))) > 0
            THEN {_d(K.CONFIDENCE_POWER)} ELSE 0.0E0 END, {_d(K.CONFIDENCE_CAP)}), 2) AS confidence,
-  concat_ws(' ', 'Archetype detected: ' || h.archetype || '.',
-    'Pitcher arsenal: ' || array_to_string(h.pitches, ', ') || '.',
-    CASE WHEN strpos(h.archetype, 'Power') > 0 THEN 'Favor breaking balls low-and-away to induce chases and weak contact.' END,
-    CASE WHEN strpos(h.archetype, 'Contact') > 0 THEN 'Mix speeds and work edges to induce weak contact and avoid predictable locations.' END,
-    CASE WHEN strpos(h.archetype, 'Patient') > 0 THEN 'Attack early in the count with strikes; use harder-to-hit chase pitches later.' END,
-    CASE WHEN h.risp THEN 'RISP: prefer low pitches to induce grounders and avoid big hits.' END,
-    'Count considered: ' || h.count_text || '.') AS strategy_notes
+  concat_ws(' ', {sql_fill(K.NOTE_ARCHETYPE, 'h.archetype')},
+    {sql_fill(K.NOTE_ARSENAL, "array_to_string(h.pitches, ', ')")},
+    CASE WHEN strpos(h.archetype, 'Power') > 0 THEN {_q(K.NOTE_POWER)} END,
+    CASE WHEN strpos(h.archetype, 'Contact') > 0 THEN {_q(K.NOTE_CONTACT)} END,
+    CASE WHEN strpos(h.archetype, 'Patient') > 0 THEN {_q(K.NOTE_PATIENT)} END,
+    CASE WHEN h.risp THEN {_q(K.NOTE_RISP)} END,
+    {sql_fill(K.NOTE_COUNT, 'h.count_text')}) AS strategy_notes
 FROM hc h JOIN (
   SELECT x.request_id, any_value(x.p1) AS p1, any_value(x.p2) AS p2,
     coalesce(first(hs.pitch ORDER BY hs.r2) FILTER (WHERE hs.pitch <> x.p1 AND hs.pitch <> x.p2
