@@ -20,7 +20,7 @@ from moundflow.operators import analytics as AN  # noqa: E402
 from moundflow.operators import heuristic as HE  # noqa: E402
 from moundflow.operators import model as ML  # noqa: E402
 from moundflow.operators import recommend as RE  # noqa: E402
-from moundflow.plans.pipeline import Tables  # noqa: E402
+from moundflow.plans.tables import Tables  # noqa: E402
 from moundflow.session import local_session  # noqa: E402
 from moundflow.sources import requests as RQ  # noqa: E402
 

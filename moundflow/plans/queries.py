@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moundflow.operators import analytics as AN
 from moundflow.plans import oracle
-from moundflow.plans.pipeline import Tables
+from moundflow.plans.tables import Tables
 from moundflow.plans.spec import finalize_df, finalize_sql
 
 

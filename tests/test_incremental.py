@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from moundflow.operators import profiles as PR
-from moundflow.plans.pipeline import Tables
+from moundflow.plans.tables import Tables
 
 
 def _rows(df):

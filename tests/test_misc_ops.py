@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moundflow.operators import analytics as AN
 from moundflow.operators import clean as CL
 from moundflow.operators import model as ML
-from moundflow.plans.pipeline import Tables
+from moundflow.plans.tables import Tables
 
 
 def test_cleaning_report_counts_in_same_pass(spark, small_dir):

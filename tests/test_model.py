@@ -3,7 +3,7 @@ training mean on the held-out split, and fitting is repeatable."""
 from pyspark.sql import functions as F
 
 from moundflow.operators import model as ML
-from moundflow.plans.pipeline import Tables
+from moundflow.plans.tables import Tables
 
 
 def test_beats_mean_and_repeatable(spark):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from moundflow.operators import model as ML
 from moundflow.operators import recommend as RE
-from moundflow.plans.pipeline import Tables
+from moundflow.plans.tables import Tables
 from moundflow.sources import requests as RQ
 
 

@@ -62,7 +62,7 @@ def test_name_map_last_wins_and_resolve(spark):
 
 
 def test_sinks(spark, small_dir):
-    from moundflow.plans.pipeline import Tables
+    from moundflow.plans.tables import Tables
     t = Tables(spark, small_dir)
     d = _tmp()
     FI.write_pitch_table(t.pitches.select("game_pk", "game_date", "pitch_number", "run_value"), os.path.join(d, "p"))
@@ -77,7 +77,7 @@ def test_sinks(spark, small_dir):
 
 def test_model_save_load(spark, small_dir):
     from moundflow.operators import model as ML
-    from moundflow.plans.pipeline import Tables
+    from moundflow.plans.tables import Tables
     f = Tables(spark, small_dir).features
     model, _, _, df = ML.train(f, max_iter=3, max_depth=3)
     d = os.path.join(_tmp(), "model")
