@@ -257,3 +257,26 @@ def train_random_split(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, seed
     model = Pipeline(stages=stages).fit(tr)
     err = model.transform(te).select(F.sqrt(F.avg((F.col("run_value") - F.col("prediction")) ** 2)).alias("rmse"))
     return model, err
+
+
+# M9 ------------------------------------------------------------------------
+def rolling_validation(features: DataFrame, n_folds: int = 5, max_iter: int = K.GBT_MAX_ITER,
+                       max_depth: int = K.GBT_MAX_DEPTH) -> DataFrame:
+    """Successive time windows: for k = 1..n-1 fit on folds < k and score
+    fold k; returns regression metrics per validation fold.  The loop runs
+    n-1 distributed fits (n is small); no data passes through the driver."""
+    df = features.filter(F.col("run_value").isNotNull())
+    numeric, categorical = column_types(df)
+    key = ["game_pk", "at_bat_number", "pitch_number"]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = (prepare(rolling_folds(df, n_folds), categorical)
+              .repartition(n, *key).sortWithinPartitions(*key).checkpoint(eager=True))
+    out = None
+    for k in range(1, n_folds):
+        tr = folded.filter(F.col("fold") < k)
+        tr = tr.withColumn("_es_holdout", holdout_flag(tr))
+        model = build_pipeline(numeric, categorical, max_iter=max_iter, max_depth=max_depth).fit(tr)
+        scored = predict(model, folded.filter(F.col("fold") == k), "prediction").withColumn("split", F.lit(f"fold_{k}"))
+        m = regression_metrics(scored)
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -46,3 +46,10 @@ def test_older_trainer(spark, small_dir):
     model, err = ML.train_random_split(f, max_iter=3)
     rmse = err.first().rmse
     assert rmse is not None and rmse > 0
+
+
+def test_rolling_validation(spark, small_dir):
+    f = Tables(spark, small_dir).features
+    m = ML.rolling_validation(f, n_folds=3, max_iter=2, max_depth=3)
+    rows = {r.split: r for r in m.collect()}
+    assert set(rows) == {"fold_1", "fold_2"} and all(r.rmse > 0 for r in rows.values())
