@@ -41,13 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (local tests) is a scratch folder created.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:        # a session without a SparkContext handle (Spark Connect)
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="moundflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -62,4 +66,8 @@ def task_slots(spark: SparkSession, per_slot: int = 4) -> int:
     """A partition count proportional to the cluster's task slots, for
     small tables that fan out (AQE would otherwise coalesce them into a few
     partitions before the expansion)."""
-    return max(1, spark.sparkContext.defaultParallelism * per_slot)
+    try:
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:        # no SparkContext handle: fall back to the shuffle width
+        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, slots * per_slot)
