@@ -79,7 +79,18 @@ def main():
 
     timed(f"gbt_fit_iter{GBT_ITER}", fit)
     model, _, _, split_df = model_box["m"]
-    timed("gbt_metrics", lambda: run(ML.regression_metrics(ML.predict(model, split_df, "prediction"))))
+    quality = {}
+
+    def metrics():
+        scored = ML.predict(model, split_df, "prediction").checkpoint()
+        for r in ML.regression_metrics(scored).collect():          # 3 rows
+            quality[r.split] = {"n": r.n, "rmse": round(r.rmse, 5), "mae": round(r.mae, 5), "r2": round(r.r2, 5)}
+        rq = ML.ranking_quality(scored.filter(F.col("split") == "test")).first()
+        quality["ranking"] = {"pct_better_than_avg": round(rq.pct_better_than_avg, 2),
+                              "avg_rv_improvement": round(rq.avg_rv_improvement, 5), "at_bats": rq.at_bats}
+
+    timed("gbt_metrics", metrics)
+    quality["trees"] = model.stages[-1].getNumTrees
 
     reqs = RQ.requests(spark, SF_DIR).orderBy("request_id").limit(N_REQUESTS).checkpoint()
     timed(f"recommend_{N_REQUESTS}_no_grid",
@@ -96,7 +107,8 @@ def main():
     total = round(sum(timings.values()), 3)
     sf = os.path.basename(SF_DIR.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_operator_seconds", "value": total, "unit": "sec",
-                      "queries": timings, "sf": sf, "cpus": CPUS, "raw_log_build_sec": load_s}))
+                      "queries": timings, "sf": sf, "cpus": CPUS, "raw_log_build_sec": load_s,
+                      "model_quality": quality}))
     spark.stop()
 
 
