@@ -220,6 +220,13 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model, carry=CARR
     dflt = {"swing_rate": 0.5, "whiff_rate": 0.25, "contact_rate": 0.75, "xwoba": 0.32}
     g = g.withColumns({f"batter_{s}_at_zone": F.when(F.col("_zhit"), F.col(f"_z_{s}")).otherwise(F.lit(d))
                        for s, d in dflt.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in dflt])
+    # score only what the model reads: narrow rows through the transformer chain
+    if model is not None:
+        from moundflow.operators.model import model_inputs
+        needed = model_inputs(model)
+    else:
+        needed = ["batter_whiff_rate_vs_this_cat"]
+    g = g.select("request_id", "arsenal_pos", "_cand", "cell_no", *[c for c in needed if c in g.columns])
     g = score(g, model, out="_cell_rv").select("request_id", "arsenal_pos", "_cand", "cell_no", "_cell_rv")
     best = g.groupBy("request_id", "arsenal_pos").agg(
         F.first("_cand").alias("_cand"),
