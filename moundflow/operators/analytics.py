@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow.functions.pitch import _c, is_contact, is_swing, outcome_class, safe_divide
+from moundflow.session import checked_broadcast
 
 
 # A12 -----------------------------------------------------------------------
@@ -43,8 +44,8 @@ def matchup_stats(pitches: DataFrame) -> DataFrame:
 
 def matchup_lookup(keys: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach matchup stats on (batter, pitch_type, p_throws); missing -> 0."""
-    s = stats.select("batter", "pitch_type", "p_throws", "batter_pitchtype_woba",
-                     "batter_pitchtype_whiff_rate", "batter_pitchtype_run_value")
+    s = checked_broadcast(stats.select("batter", "pitch_type", "p_throws", "batter_pitchtype_woba",
+                                       "batter_pitchtype_whiff_rate", "batter_pitchtype_run_value"))
     j = keys.join(s, ["batter", "pitch_type", "p_throws"], "left")
     return j.fillna(0.0, subset=["batter_pitchtype_woba", "batter_pitchtype_whiff_rate", "batter_pitchtype_run_value"])
 
@@ -149,15 +150,15 @@ def baseline_lookup(df: DataFrame, baseline: DataFrame, count="count", pitch_typ
     """First match of (count, pitch, zone, hand, stance) ->
     (count, pitch, zone, *) -> (count, pitch, *) -> (count, *).  Four left
     joins against levels of one small rollup table."""
-    keys = [count, pitch_type, zone, p_throws, stand]
     out = df.withColumn("_zone_s", _c(zone).cast("long").cast("string"))
     cols = [count, pitch_type, "_zone_s", p_throws, stand]
     picked = []
     for name, level in BACKOFF:
         n_keys = {0: 5, 3: 3, 7: 2, 15: 1}[level]
-        b = baseline.filter(F.col("level") == level).select(
+        # one rollup level: bounded by the game's domain, broadcast after a size check
+        b = checked_broadcast(baseline.filter(F.col("level") == level).select(
             *[F.col(k).alias(f"_b{name}_{i}") for i, k in enumerate(BASELINE_KEYS[:n_keys])],
-            F.col("rv").alias(f"_bl_{name}"))
+            F.col("rv").alias(f"_bl_{name}")))
         cond = None
         for i in range(n_keys):
             c = _c(cols[i]) == F.col(f"_b{name}_{i}")

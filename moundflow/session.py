@@ -71,3 +71,25 @@ def task_slots(spark: SparkSession, per_slot: int = 4) -> int:
     except Exception:        # no SparkContext handle: fall back to the shuffle width
         slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, slots * per_slot)
+
+
+# a lookup table is broadcast only when rows x columns x 16 bytes fits here
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a derived lookup table only after checking its size.
+
+    The table (a per-player profile, an arsenal summary, a rollup level) is
+    materialised once as a reliable checkpoint, counted (a cheap job on the
+    small copy), and broadcast when rows x columns x 16 bytes is under
+    ``max_bytes``; otherwise it is returned as is and the join stays a
+    shuffle (sort-merge) join.  The big side is never broadcast and, under the
+    bound, never shuffled for the join."""
+    from pyspark.sql import functions as F
+    ensure_checkpoint_dir(df.sparkSession)
+    small = df.checkpoint(eager=True)
+    n = small.count()
+    if n * max(1, len(small.columns)) * 16 <= max_bytes:
+        return F.broadcast(small)
+    return small
