@@ -187,7 +187,7 @@ def league_zone_stats(counts: DataFrame) -> DataFrame:
     contact = F.col("contacts") / F.col("swings")
     enough = F.coalesce(F.col("n") > K.ZONE_LEAGUE_MIN_ROWS, F.lit(False))
     has_sw = F.col("swings") > 0
-    return spine.join(lg, "zone", "left").select(
+    return spine.join(F.broadcast(lg), "zone", "left").select(     # zones 1..14 only
         "zone",
         F.when(enough & has_sw & (whiff != 0), whiff).otherwise(F.lit(d["whiff_rate"])).alias("lg_whiff_rate"),
         F.when(enough & has_sw & (contact != 0), contact).otherwise(F.lit(d["contact_rate"])).alias("lg_contact_rate"),
