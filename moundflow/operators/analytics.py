@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow.functions.pitch import _c, is_contact, is_swing, outcome_class, safe_divide
-from moundflow.session import checked_broadcast
+from moundflow.session import checked_broadcast, checked_small
 
 
 # A12 -----------------------------------------------------------------------
@@ -150,15 +150,18 @@ def baseline_lookup(df: DataFrame, baseline: DataFrame, count="count", pitch_typ
     """First match of (count, pitch, zone, hand, stance) ->
     (count, pitch, zone, *) -> (count, pitch, *) -> (count, *).  Four left
     joins against levels of one small rollup table."""
+    # the rollup table is bounded by the game's domain: checked once, then its
+    # level slices are broadcast when it fits
+    baseline, fits = checked_small(baseline)
     out = df.withColumn("_zone_s", _c(zone).cast("long").cast("string"))
     cols = [count, pitch_type, "_zone_s", p_throws, stand]
     picked = []
     for name, level in BACKOFF:
         n_keys = {0: 5, 3: 3, 7: 2, 15: 1}[level]
-        # one rollup level: bounded by the game's domain, broadcast after a size check
-        b = checked_broadcast(baseline.filter(F.col("level") == level).select(
+        b = baseline.filter(F.col("level") == level).select(
             *[F.col(k).alias(f"_b{name}_{i}") for i, k in enumerate(BASELINE_KEYS[:n_keys])],
-            F.col("rv").alias(f"_bl_{name}")))
+            F.col("rv").alias(f"_bl_{name}"))
+        b = F.broadcast(b) if fits else b
         cond = None
         for i in range(n_keys):
             c = _c(cols[i]) == F.col(f"_b{name}_{i}")

@@ -81,15 +81,21 @@ def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
     """Broadcast a derived lookup table only after checking its size.
 
     The table (a per-player profile, an arsenal summary, a rollup level) is
-    materialised once as a reliable checkpoint, counted (a cheap job on the
-    small copy), and broadcast when rows x columns x 16 bytes is under
-    ``max_bytes``; otherwise it is returned as is and the join stays a
-    shuffle (sort-merge) join.  The big side is never broadcast and, under the
-    bound, never shuffled for the join."""
+    persisted and counted in one small job, then broadcast when
+    rows x columns x 16 bytes is under ``max_bytes``; otherwise it is returned
+    as is and the join stays a shuffle (sort-merge) join.  The big side is
+    never broadcast and, under the bound, never shuffled for the join.  The
+    persisted copy is recomputed from its (deterministic) lineage if an
+    executor holding it is lost."""
     from pyspark.sql import functions as F
-    ensure_checkpoint_dir(df.sparkSession)
-    small = df.checkpoint(eager=True)
+    small, ok = checked_small(df, max_bytes)
+    return F.broadcast(small) if ok else small
+
+
+def checked_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES):
+    """Persist and count a derived table once; returns (table, fits) where
+    ``fits`` says whether rows x columns x 16 bytes is under ``max_bytes``."""
+    from pyspark import StorageLevel
+    small = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
-    if n * max(1, len(small.columns)) * 16 <= max_bytes:
-        return F.broadcast(small)
-    return small
+    return small, n * max(1, len(small.columns)) * 16 <= max_bytes
