@@ -6,6 +6,7 @@ time, so a Python worker's memory follows that size (or the longest single
 text), never the partition."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,19 @@ from pyspark.sql import functions as F
 
 from moundflow.session import ensure_checkpoint_dir
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 U64 = np.uint64
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, so a
-    lost executor costs a re-read and not a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table (compressed Parquet) in the shared folder
+    that the cluster names in ``spark.checkpoint.dir``, so a lost executor costs
+    a re-read and not a recomputation.  Like checkpoints the tables stay until
+    that folder is cleared."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/moundflow-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared(df: DataFrame, value):
@@ -50,7 +55,27 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and text columns, under fixed names: other columns, however
     they are called, cannot clash with what an operator adds."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
+
+
+def free(df: DataFrame, stem: str) -> str:
+    """``stem``, or with more underscores before it, as a column name that the
+    frame does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1, ...: Python tasks take names
+    with dots or twice the same only so; ``toDF(*names)`` undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 # --- Arrow batches -----------------------------------------------------------
@@ -86,10 +111,11 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (vectorised, wraps)."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(32))
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
 
 
 class Rolling:
@@ -102,7 +128,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.pow) < n:
-            n = max(n, 2 * BATCH_BYTES)
+            n = max(n, 4 * BATCH_BYTES)
             with np.errstate(over="ignore"):
                 self.pow = np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, self.base, U64))])
                 self.ipow = np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, self.inv, U64))])
@@ -110,18 +136,23 @@ class Rolling:
     def prefix(self, values: np.ndarray) -> np.ndarray:
         self._grow(len(values) + 1)
         out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.pow[:len(values)], out=out[1:])
+        np.multiply(values, self.pow[:len(values)], out=out[1:])
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def runs(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * self.ipow[start])
 
+    def raw_grams(self, prefix: np.ndarray, k: int) -> np.ndarray:
+        """Unmixed hashes of all runs of k symbols, by start (high bits are good)."""
+        n = max(0, len(prefix) - k)
+        out = prefix[k:] - prefix[:n]
+        out *= self.ipow[:n]
+        return out
+
     def grams(self, prefix: np.ndarray, k: int) -> np.ndarray:
         """Hashes of all runs of k symbols, by start."""
-        n = len(prefix) - k
-        if n <= 0:
-            return np.zeros(0, U64)
-        return mix((prefix[k:] - prefix[:n]) * self.ipow[:n])
+        return mix(self.raw_grams(prefix, k))
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import ALNUM_LOWER, LOWER, Rolling, Words, id_text, record, row_key, saved, shared, text_slices
+from moundflow.llm.base import ALNUM_LOWER, LOWER, Rolling, Words, id_text, numbered, record, row_key, saved, shared, text_slices
 
 WINDOW = 10
 #: Bytes of item texts in one broadcast block.  A larger benchmark is taken in
@@ -189,7 +189,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "remove",
 
 
 def _cut(docs: DataFrame, grams: Grams, text_col: str, action: str) -> DataFrame:
-    get = shared(docs, grams)
+    get, names = shared(docs, grams), docs.columns
+    docs, text_col = numbered(docs), f"c{names.index(text_col)}"
 
     def run(batches):
         for part, data, off in text_slices(batches, text_col):
@@ -213,7 +214,7 @@ def _cut(docs: DataFrame, grams: Grams, text_col: str, action: str) -> DataFrame
                 texts[d] = b"".join([*kept, raw[last:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -7,15 +7,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import BYTE_VALUE, NOT_SPACE, Rolling, byte_class, id_text, mix, record, saved, spans, text_slices
+from moundflow.llm.base import BYTE_VALUE, NOT_SPACE, Rolling, byte_class, id_text, mix, named, numbered, record, saved, spans, text_slices
 from moundflow.llm.quality_rules import labelled_sample
 
 #: Hash buckets of words and word pairs: the models' size does not follow the input.
 BUCKETS = 1 << 14
 #: Labelled rows that say what target text is: at most so many, the first by hash.
 MAX_TARGET_ROWS = 20_000
-#: Pseudo-counts, spread like the raw text, that a target count starts with.
-SMOOTH = 200.0
+#: Pseudo-counts a bucket, spread like the raw text, that the target counts
+#: start with: few labelled texts give ratios near 1 instead of noise.
+SMOOTH = 50.0 * BUCKETS
+#: Every so-manieth target row sets the threshold and is kept out of the counts,
+#: so the threshold is one for texts the model has not seen.
+HELD = 4
 #: The lowest key that is kept: ``SLACK`` below the key that all but this share
 #: of the labelled target rows reach, so that their like is kept.
 LOSS, SLACK = 0.0005, 2.0
@@ -57,6 +61,10 @@ def target_rows(labels: DataFrame, limit: int = MAX_TARGET_ROWS) -> DataFrame:
     return labelled_sample(good, "good", limit=limit)
 
 
+def _held() -> Column:
+    return F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0
+
+
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float = SMOOTH) -> np.ndarray:
     """log(p_target / p_raw) by hash bucket.  The raw counts are of every
     document, the target counts of those whose id has y = 1 in ``target`` (a
@@ -80,26 +88,31 @@ def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 1,
+          least: float | None = None) -> DataFrame:
     """The documents with __weight (log p_target - log p_raw of the text) and
-    __key (weight plus Gumbel noise); same partitions, no shuffle.  Null and
+    __key (weight plus Gumbel noise), or with ``least`` only those whose key
+    reaches it, columns as they were; same partitions, no shuffle.  Null and
     empty texts weigh 0."""
-    names = docs.columns
-    t = F.col(text_col).cast("string")
-    d = docs.withColumns({"__t": F.coalesce(t, F.lit("")), "__noise": gumbel(F.col(id_col), t, seed)})
-    out = d.withColumn("__weight", F.lit(0.0)).select(*names, "__noise", "__weight", "__t")
+    names, t = docs.columns, named(text_col).cast("string")
+    d = docs.select(*map(named, names), gumbel(named(id_col), t, seed).alias("noise"), t.alias("words"))
+    d, k = numbered(d), len(names)
     table = docs.sparkSession.sparkContext.broadcast(ratio)
+    added = [] if least is not None else [F.lit(0.0).alias("weight"), F.lit(0.0).alias("key")]
 
     def run(batches):
-        for part, data, off in text_slices(batches, "__t"):
+        for part, data, off in text_slices(batches, f"c{k + 1}"):
             b, owner = grams(data, off)
             weight = np.bincount(owner, table.value[b], minlength=len(off) - 1)
-            cols = list(part.columns)
-            cols[-2] = pa.array(weight, pa.float64())
-            yield pa.RecordBatch.from_arrays(cols[:-1], schema=part.schema.remove(len(cols) - 1))
+            key = weight + np.asarray(part.column(k))
+            own = pa.RecordBatch.from_arrays(part.columns[:k], names=part.schema.names[:k])
+            if least is None:
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(weight), pa.array(key)], names=[*own.schema.names, "weight", "key"])
+            else:
+                yield own.filter(pa.array(key >= least))
 
-    got = out.mapInArrow(run, out.drop("__t").schema)
-    return got.select(*names, "__weight", (F.col("__weight") + F.col("__noise")).alias("__key"))
+    out = d.mapInArrow(run, d.select(*[f"c{i}" for i in range(k)], *added).schema)
+    return out.toDF(*names, *(["__weight", "__key"] if least is None else []))
 
 
 def threshold(docs: DataFrame, ratio: np.ndarray, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -117,8 +130,11 @@ def threshold(docs: DataFrame, ratio: np.ndarray, target: DataFrame, id_col: str
 def fit_all(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TARGET_ROWS) -> tuple[np.ndarray, float]:
     """(log ratios, lowest key that is kept) from the documents and labels."""
     target = saved(target_rows(labels, max_rows))
-    ratio = fit(docs, target)
-    return ratio, threshold(docs, ratio, target)
+    some, held = target.where(~_held()), target.where(_held())
+    if held.where("y = 1").isEmpty() or some.where("y = 1").isEmpty():
+        some = held = target
+    ratio = fit(docs, some)
+    return ratio, threshold(docs, ratio, held)
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -126,7 +142,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target row nothing is rejected.  Null and empty texts weigh 0 and stay or go
     by their noise; equal rows share it."""
     ratio, least = fit_all(docs, labels)
-    return weigh(docs, ratio).where(F.col("__key") >= least).drop("__weight", "__key")
+    return weigh(docs, ratio, least=least)
 
 
 def gumbel_top_k(weighed: DataFrame, k: int, bins: int = 4096) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import row_key
+from moundflow.llm.base import free, named, row_key
 
 WINDOW = 3
 
@@ -18,8 +18,8 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> Da
     """id, r1, r2, s, a, b: a row for every run of ``window`` consecutive lines
     of a text (by the index s of its first line) that are not all blank; a and b
     are two hashes of the lines."""
-    t = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), t), _lines(t).alias("x"))
+    t = named(text_col).cast("string")
+    d = docs.select(named(id_col).alias("id"), *row_key(named(id_col), t), _lines(t).alias("x"))
     shifted = [F.slice("x", j + 1, F.greatest(F.size("x") - j, F.lit(0))) for j in range(window)]
     d = d.where(F.size("x") >= window).select("id", "r1", "r2", F.posexplode(F.arrays_zip(*[c.alias(f"l{j}") for j, c in enumerate(shifted)])).alias("s", "z"))
     part = [F.col("z").getField(f"l{j}") for j in range(window)]
@@ -52,11 +52,11 @@ def _flags(at: Column) -> Column:
     return F.flatten(F.zip_with(F.slice(s, 2, n), F.slice(s, 1, n), lambda b, a: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True)))))
 
 
-def _covered(i: Column, window: int) -> Column:
+def _covered(later: str, i: Column, window: int) -> Column:
     """Whether any of the ``window`` windows that hold line i is marked."""
     hit = F.lit(False)
     for j in range(window):
-        hit = hit | F.coalesce(F.when(i >= j, F.get(F.col("__later"), i - j)), F.lit(False))
+        hit = hit | F.coalesce(F.when(i >= j, F.get(F.col(later), i - j)), F.lit(False))
     return hit
 
 
@@ -73,16 +73,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result.  Null ids come after all others.  With ``report``: adds __n_lines
     and __n_removed.  Texts are shuffled once, to meet their marks."""
     names = docs.columns
-    t = F.col(text_col).cast("string")
-    r1, r2 = row_key(F.col(id_col), t)
-    marks = covered_lines(docs, id_col, text_col, window).select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("later").alias("__later"))
-    d = docs.withColumns({"__r1": r1, "__r2": r2}).join(marks, ["__r1", "__r2"], "left")
-    d = d.withColumn("__lines", _lines(F.col(text_col)))
-    d = d.withColumn("__kept", F.when(F.col("__later").isNull(), F.col("__lines")).otherwise(
-        F.filter("__lines", lambda x, i: ~_covered(i, window))))
-    text = F.when(F.col("__later").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    more = [F.size("__lines").cast("long").alias("__n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("__n_removed")] if report else []
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], *more)
+    k1, k2, later, lines, kept = (free(docs, x) for x in ("__r1", "__r2", "__later", "__lines", "__kept"))
+    r1, r2 = row_key(named(id_col), named(text_col).cast("string"))
+    marks = covered_lines(docs, id_col, text_col, window).select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("later").alias(later))
+    d = docs.withColumns({k1: r1, k2: r2}).join(marks, [k1, k2], "left").withColumn(lines, _lines(named(text_col)))
+    d = d.withColumn(kept, F.when(F.col(later).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x, i: ~_covered(later, i, window))))
+    text = F.when(F.col(later).isNull(), named(text_col)).otherwise(F.array_join(kept, "\n"))
+    more = [F.size(lines).cast("long").alias("__n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("__n_removed")] if report else []
+    return d.select(*[text.alias(c) if c == text_col else named(c) for c in names], *more)
 
 
 ORACLE = r"""

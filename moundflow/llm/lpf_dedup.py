@@ -11,110 +11,103 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import record, text_slices
-from moundflow.llm.repeats import MAX_GROUP, Spec, keyed, merged, run_rows, texts_with_runs
+from moundflow.llm.base import free, named, record
+from moundflow.llm.repeats import MAX_GROUP, Spec, keyed, merged, run_rows, texts_with_runs, unpacked
 
-LENGTH, GRAM = 200, 40
+LENGTH, GRAM = 200, 32
 
 
 # --- suffix array, longest previous factors ----------------------------------
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    k = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-    return out
-
-
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of the suffixes by their first ``depth`` symbols or more (prefix
-    doubling), and the ranks at every doubled length, for LCPs."""
-    n = len(symbols)
-    rank, have, levels = _ranks(symbols), 1, []
+def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of every suffix by its first ``depth`` bytes: the number of suffixes
+    that are smaller; suffixes with equal first ``depth`` bytes share a rank.
+    The first 8 bytes (or ``depth``) are sorted as a number, then prefixes double;
+    a suffix whose rank is its own is not sorted again.  What stands after the
+    end counts as zero bytes."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    have = min(8, depth)
+    key = np.zeros(n, np.uint64)
+    for j in range(have):
+        key = (key << np.uint64(8)) | padded[j:n + j]
+    rank = np.zeros(n + depth, np.int64)
+    todo = np.arange(n)
+    head = np.zeros(n, np.int64)        # rank of the group that each of todo is in
     while True:
-        levels.append((have, rank))
+        order = np.argsort(key)
+        k = key[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        # todo's groups come in rank order, so a rank is its group's plus the place in it
+        group = head[order]
+        start = np.ones(len(k), bool)
+        start[1:] = group[1:] != group[:-1]
+        begin = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
+        r = group + first - begin
+        rank[todo[order]] = r
         if have >= depth:
-            break
-        after = np.zeros(n, np.int64)
-        after[:n - have] = rank[have:] + 1
-        rank, have = _ranks(rank * (n + 1) + after), 2 * have
-    return np.argsort(levels[-1][1], kind="stable"), levels
-
-
-def common(levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes i and j, up to the deepest level's."""
-    n = len(levels[0][1])
-    out = np.zeros(len(i), np.int64)
-    for have, rank in reversed(levels):
-        a, b = i + out, j + out
-        ok = (a < n) & (b < n)
-        same = ok.copy()
-        same[ok] = rank[a[ok]] == rank[b[ok]]
-        out += have * same
-    return out
-
-
-def _nearest_smaller(pos: np.ndarray) -> np.ndarray:
-    """For each entry the nearest one before it with a smaller value, else -1,
-    by jumping over entries that are known to be larger."""
-    at = np.arange(len(pos)) - 1
-    todo = np.arange(len(pos))
-    while len(todo):
-        c = at[todo]
-        bad = (c >= 0) & (pos[np.maximum(c, 0)] > pos[todo])
-        todo = todo[bad]
-        at[todo] = at[at[todo]]
-    return at
-
-
-def longest_previous(symbols: np.ndarray, depth: int, later: bool = False) -> np.ndarray:
-    """LPF: for each position the longest common prefix (up to ``depth`` or a bit
-    more) with a suffix that starts earlier: one of the previous and the next
-    smaller position in suffix order has it.  ``later``: starts later."""
-    if not len(symbols):
-        return np.zeros(0, np.int64)
-    order, levels = suffix_order(symbols, depth)
-    value = -order if later else order
-    left = _nearest_smaller(value)
-    right = len(order) - 1 - _nearest_smaller(value[::-1])[::-1]
-    out = np.zeros(len(order), np.int64)
-    for near, ok in ((left, left >= 0), (right, right < len(order))):
-        i, j = order[ok], order[near[ok]]
-        out[i] = np.maximum(out[i], common(levels, i, j))
-    return out
+            return rank[:n]
+        last = np.append(new[1:], True)
+        tied = ~(new & last)
+        todo = todo[order[tied]]
+        head = r[tied]
+        if not len(todo):
+            return rank[:n]
+        step = min(have, depth - have)
+        beyond = rank[todo + step] + 1
+        beyond[todo + step >= n] = 0
+        key = head * (n + 1) + beyond
+        have += step
+
+
+def previous_and_next(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start: the nearest earlier and the nearest later start whose
+    ``depth`` bytes are the same, else -1.
+
+    In suffix order (equal prefixes by position) the previous and the next
+    smaller position of an entry hold its longest previous factor.  Entries
+    with ``depth`` equal bytes stand together in order of position, so in such a
+    run the previous smaller position is the entry before, with a common prefix
+    of at least ``depth``; the next smaller one lies beyond the run, where the
+    common prefix is shorter.  LPF >= depth therefore holds for all of a run but
+    its first, and its mirror image, the longest next factor, for all but its
+    last."""
+    prev, after = np.full(len(starts), -1), np.full(len(starts), -1)
+    if not len(starts):
+        return prev, after
+    rank = suffix_ranks(text, depth)[starts]
+    order = np.argsort(rank, kind="stable")     # starts ascend: ties stay in order of position
+    a, b = order[:-1], order[1:]
+    same = rank[a] == rank[b]
+    prev[b[same]] = starts[a[same]]
+    after[a[same]] = starts[b[same]]
+    return prev, after
 
 
 def match_by_suffixes(spec: Spec, rows: pa.Table, first: bool):
-    """Pieces that share grams, laid out in document order with a separator of
-    its own after each; their windows' LPF says which repeat."""
+    """Pieces that share grams, laid out in document order; the longest previous
+    (and next) factors of their windows say which repeat."""
     content = rows["content"].combine_chunks() if isinstance(rows["content"], pa.ChunkedArray) else rows["content"]
-    n = np.asarray(rows["n"]).astype(np.int64)
-    size = n + spec.length - 1
-    place = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("r1", "ascending"), ("r2", "ascending"), ("s", "ascending")])
+    place = pc.sort_indices(rows, sort_keys=[("r2", "ascending"), ("r1", "ascending"), ("s", "ascending")])
     order = np.asarray(place).astype(np.int64)
-    data = np.frombuffer(b"".join(content.take(place).to_pylist()), np.uint8)
-    size, n = size[order], n[order]
-    start = np.cumsum(size + 1) - size - 1
-    symbols = np.empty(len(data) + len(size), np.int64)
-    symbols[start + size] = np.arange(len(size)) + 256
-    inside = np.ones(len(symbols), bool)
-    inside[start + size] = False
-    symbols[inside] = data
-    lpf = longest_previous(symbols, spec.length)
-    repeats = lpf >= spec.length
-    if not first:
-        repeats |= longest_previous(symbols, spec.length, later=True) >= spec.length
-    at = np.flatnonzero(repeats)
-    piece = np.searchsorted(start, at, "right") - 1
-    off = at - start[piece]
-    # neighbouring windows of a piece make one run
-    if not len(at):
-        return np.zeros(0, np.int64), at, at
-    new = np.ones(len(at), bool)
-    new[1:] = (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)
+    text = np.frombuffer(b"".join(content.take(place).to_pylist()), np.uint8)
+    n = np.asarray(rows["n"]).astype(np.int64)[order]
+    size = n + spec.length - 1
+    begin = np.cumsum(size) - size
+    piece = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    # windows only: they end inside their piece, so no match crosses its end
+    prev, after = previous_and_next(text, begin[piece] + off, spec.length)
+    hit = np.flatnonzero((prev >= 0) if first else (prev >= 0) | (after >= 0))
+    piece, off = piece[hit], off[hit]
+    if not len(hit):
+        return piece, off, off
+    new = np.ones(len(hit), bool)       # neighbouring windows of a piece make one run
+    new[1:] = (piece[1:] != piece[:-1]) | (off[1:] != off[:-1] + 1)
     i = np.flatnonzero(new)
-    last = np.append(i[1:], len(at)) - 1
+    last = np.append(i[1:], len(hit)) - 1
     return order[piece[i]], off[i], off[last] + spec.length
 
 
@@ -126,7 +119,7 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 
 def _digest(batches):
-    for part, data, off in text_slices(batches):
+    for part, data, off in unpacked(batches):
         removed, count, sha = [], [], []
         for d, runs in enumerate(run_rows(part)):
             raw = data[off[d]:off[d + 1]]
@@ -155,8 +148,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     Null and empty texts have no bytes; texts shorter than ``length`` lose none;
     equal rows are copies of each other (with ``keep_first``: one document);
     matches never cross texts."""
-    d = keyed(docs, id_col, text_col)
-    return (texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("doc_id", "text", "runs")
+    d = keyed(docs, id_col, text_col, named(id_col).cast("long").alias("doc_id"))
+    return (texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("doc_id", "z", "runs")
             .mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
@@ -166,14 +159,15 @@ def remove_later_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     strings; the first stays (or with ``keep_first=False`` none).  A cut never
     splits a character: a character goes when all of its bytes go."""
     names = docs.columns
-    t = F.col(text_col).cast("string")
-    d = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), t.alias("text"))
-    d = d.select("row", "doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("r2"), "text")
-    found = texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("row", "text", "runs")
+    # null and empty texts have nothing to lose and go round
+    rest = [c for c in names if c != text_col]
+    some = F.length(named(text_col).cast("string")) > 0
+    d = keyed(docs.where(some), id_col, text_col, F.struct(F.lit(0).alias(free(docs, "__")), *map(named, rest)).alias("row"))
+    found = texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("row", "z", "runs")
 
     def run(batches):
-        for part, data, off in text_slices(batches):
-            texts = part.column(1).to_pylist()
+        for part, data, off in unpacked(batches):
+            texts = [data[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:])]
             for i, runs in enumerate(run_rows(part)):
                 if runs is not None:
                     raw = data[off[i]:off[i + 1]]
@@ -185,5 +179,6 @@ def remove_later_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     texts[i] = raw[keep].tobytes().decode()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    out = found.mapInArrow(run, found.select("row", "text").schema)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
+    out = found.mapInArrow(run, found.select("row", F.lit("").alias("text")).schema)
+    out = out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names])
+    return out.unionByName(docs.where(~F.coalesce(some, F.lit(False))).withColumn(text_col, named(text_col).cast("string")))

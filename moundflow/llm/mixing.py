@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import NOT_SPACE, id_text, record, saved, spans, text_slices
+from moundflow.llm.base import NOT_SPACE, named, record, saved, spans, text_slices
 
 #: Words of a block.
 BLOCK_WORDS = 64
@@ -27,9 +27,8 @@ SIZED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, h (a hash of the row), size (words) of every row."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                    F.xxhash64(F.col(text_col).cast("string"), F.col(id_col), F.col(source_col)).alias("h"),
-                    F.col(text_col).cast("string").alias("text"))
+    i, s, t = named(id_col).cast("long"), named(source_col).cast("string"), named(text_col).cast("string")
+    d = docs.select(i.alias("doc_id"), s.alias("source"), F.xxhash64(t, i, s).alias("h"), t.alias("text"))
 
     def run(batches):
         for part, data, off in text_slices(batches):
@@ -96,10 +95,11 @@ def schedule(goal: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int =
     hit = slots.join(F.broadcast(cells) if small else cells, "cell").where("u >= lo and u < hi")
     hit = hit.select("slot", "source", "n_blocks", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = hit.groupBy("chunk", "source").agg(F.count(F.lit(1)).alias("c"))
-    base = counts.withColumn("base", F.sum("c").over(Window.partitionBy("source").orderBy("chunk")) - F.col("c")).drop("c")
+    base = counts.select(F.col("chunk").alias("bc"), F.col("source").alias("bs"),
+                         (F.sum("c").over(Window.partitionBy("source").orderBy("chunk")) - F.col("c")).alias("base"))
     ranked = hit.withColumn("r", F.row_number().over(Window.partitionBy("chunk", "source").orderBy("slot")) - 1)
-    same = (ranked["chunk"] == base["chunk"]) & ranked["source"].eqNullSafe(base["source"])
-    ranked = ranked.join(base, same).select("slot", ranked["source"], "n_blocks", (F.col("r") + F.col("base")).alias("rank"))
+    ranked = (ranked.join(base, (F.col("chunk") == F.col("bc")) & F.col("source").eqNullSafe(F.col("bs")))
+              .select("slot", "source", "n_blocks", (F.col("r") + F.col("base")).alias("rank")))
     return ranked.select("slot", "source", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"),
                          F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch")).where(F.col("epoch") < max_repeat)
 
@@ -116,11 +116,12 @@ def laid_out(rows: DataFrame, seed: int = 5) -> DataFrame:
     b = F.floor((F.col("o").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("long")
     some = some.withColumn("b", b)
     sums = some.groupBy("source", "b").agg(F.sum("size").alias("c"))
-    base = sums.withColumn("base", F.sum("c").over(Window.partitionBy("source").orderBy("b")) - F.col("c")).drop("c")
+    base = sums.select(F.col("source").alias("bs"), F.col("b").alias("bb"),
+                       (F.sum("c").over(Window.partitionBy("source").orderBy("b")) - F.col("c")).alias("base"))
     inside = some.withColumn("p", F.sum("size").over(
         Window.partitionBy("source", "b").orderBy("o", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    same = (inside["b"] == base["b"]) & inside["source"].eqNullSafe(base["source"])
-    return inside.join(base, same).select("doc_id", inside["source"], "h", "size", (F.col("base") + F.col("p")).alias("start"))
+    return (inside.join(base, (F.col("b") == F.col("bb")) & F.col("source").eqNullSafe(F.col("bs")))
+            .select("doc_id", "source", "h", "size", (F.col("base") + F.col("p")).alias("start")))
 
 
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE,
@@ -144,13 +145,13 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS
     first = F.greatest(F.col("start"), F.col("block") * block_words)
     parts = parts.select("source", "block", "doc_id", "h", "size", "start", (first - F.col("start")).alias("first"),
                          (F.least(end, (F.col("block") + 1) * block_words) - first).alias("words"))
-    times = plan.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    used = parts.join(times, parts["source"].eqNullSafe(times["source"]) & (parts["block"] == times["block"])).drop(times["source"], times["block"])
+    times = plan.groupBy(F.col("source").alias("ts"), F.col("block").alias("tb")).agg(F.count(F.lit(1)).alias("times"))
+    used = parts.join(times, F.col("source").eqNullSafe(F.col("ts")) & (F.col("block") == F.col("tb")))
     # (source, start) names a row: each takes places of its own
-    got = used.groupBy("source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    one = placed.join(got, placed["source"].eqNullSafe(got["source"]) & (placed["start"] == got["start"]), "left").select(
-        "doc_id", placed["source"], "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    got = used.groupBy(F.col("source").alias("gs"), F.col("start").alias("g")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    one = placed.join(got, F.col("source").eqNullSafe(F.col("gs")) & (F.col("start") == F.col("g")), "left").select(
+        "doc_id", "source", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     everyone = one.unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
     g = goal.select(F.col("source").alias("__s"), "source_size", "target")
-    taken = everyone.join(g, everyone["source"].eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken")
+    taken = everyone.join(g, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken")
     return plan, parts.drop("size", "start"), taken

@@ -26,16 +26,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import BATCH_BYTES, BYTE_VALUE, Rolling, Words, id_text, mix, record, row_key, saved, text_slices
+from moundflow.llm.base import BATCH_BYTES, BYTE_VALUE, Rolling, Words, mix, named, record, saved, text_slices
 
 U64 = np.uint64
 #: Distinct pieces of one gram that are compared in one task.
 MAX_GROUP = 256
+#: Bytes of pieces that are compared at once (complete groups).
+CHUNK_BYTES = 1 << 18
 LOW = U64(0xFFFFFFFF)
-_GRAM, _RUN, _RUN2 = Rolling(0x9FB21C651E98DF25), Rolling(0xD1B54A32D192ED03), Rolling(0xAEF17502108EF2D9)
+_RUN, _RUN2 = Rolling(0xD1B54A32D192ED03), Rolling(0xAEF17502108EF2D9)
 
 
 @dataclass(frozen=True)
@@ -69,27 +71,33 @@ def pieces(values: np.ndarray, off: np.ndarray, gram: int, length: int):
     """Per piece: index of its text, first window (unit index in the slice), its
     number of windows, offset of the anchor in it, gram hash, piece hash."""
     none = np.zeros(0, np.int64)
-    sizes = np.diff(off)
-    if not (sizes >= length).any():
+    n = np.maximum(np.diff(off) - length + 1, 0)
+    if not n.any():
         return none, none, none, none, none.astype(U64), none.astype(U64)
-    grams = _GRAM.grams(_GRAM.prefix(values), gram)
-    low = sliding_min((grams & ~LOW) | np.arange(len(grams), dtype=U64), length - gram + 1)
-    n = np.maximum(sizes - length + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), n)
-    start = np.arange(n.sum()) + np.repeat(off[:-1] - (np.cumsum(n) - n), n)
-    at = (low[start] & LOW).astype(np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    i = np.flatnonzero(new)
-    count = np.diff(np.append(i, len(at)))
-    s, at, text = start[i], at[i], text[i]
-    run = _RUN.runs(_RUN.prefix(values), s, s + count + length - 1)
-    return text, s, count, at - s, grams[at], mix(run + (at - s).astype(U64) * U64(0x9E3779B97F4A7C15) + count.astype(U64))
-
-
-OCC = pa.schema([("key", pa.int64()), ("ph", pa.int64()), ("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()),
-                 ("s", pa.int32()), ("n", pa.int32()), ("o", pa.int32())])
-OCC_SQL = "key long, ph long, doc_id long, r1 long, r2 long, s int, n int, o int"
+    prefix = _RUN.prefix(values)
+    low = _RUN.raw_grams(prefix, gram)
+    # the high half of a gram's hash and its place in one number: the minimum is
+    # the smallest hash, the first of equals
+    low &= ~LOW
+    low |= np.arange(len(low), dtype=U64)
+    low = sliding_min(low, length - gram + 1)
+    # a piece ends where the anchor changes or its text has no more windows
+    some = np.flatnonzero(n)
+    cut = np.unique(np.concatenate([np.flatnonzero(low[1:] != low[:-1]) + 1, off[some], off[some] + n[some]]))
+    text = np.searchsorted(off, cut, "right") - 1
+    ok = np.flatnonzero(cut[:-1] < off[text[:-1]] + n[np.minimum(text[:-1], len(n) - 1)])
+    s, count, text = cut[ok], cut[ok + 1] - cut[ok], text[ok]
+    at = (low[s] & LOW).astype(np.int64)
+    run = _RUN.runs(prefix, s, s + count + length - 1)
+    key = _RUN.runs(prefix, at, at + gram)
+    return text, s, count, at - s, key, mix(run + (at - s).astype(U64) * U64(0x9E3779B97F4A7C15) + count.astype(U64))
+
+
+#: A piece's place in one number: first unit, windows, anchor offset (both
+#: below PLACE, so windows have fewer units than that).
+PLACE = 1 << 12
+OCC = pa.schema([("key", pa.int64()), ("ph", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("p", pa.int64())])
+OCC_SQL = "key long, ph long, r1 long, r2 long, p long"
 
 
 def _segments(batches: Iterator[pa.RecordBatch], spec: Spec):
@@ -111,57 +119,84 @@ def _occurrences(spec: Spec):
         for part, data, off, base in _segments(batches, spec):
             values, at, _ = spec.units(data, off)
             text, s, n, o, key, ph = pieces(values, at, spec.gram, spec.length)
-            t = pa.array(text)
-            yield record(OCC, key.view(np.int64), ph.view(np.int64), part.column(0).take(t), part.column(1).take(t), part.column(2).take(t),
-                         (s - at[text] + base).astype(np.int32), n.astype(np.int32), o.astype(np.int32))
+            r1, r2 = np.asarray(part.column(0))[text], np.asarray(part.column(1))[text]
+            yield record(OCC, key.view(np.int64), ph.view(np.int64), r1, r2, ((s - at[text] + base) * PLACE + n) * PLACE + o)
     return run
 
 
-CUT = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("r1", pa.int64()),
-                 ("r2", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("content", pa.binary())])
-CUT_SQL = "key long, key2 long, hot boolean, doc_id long, r1 long, r2 long, s int, n int, o int, content binary"
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames: what a shuffle of texts moves is a third less."""
+    import zstandard
+    z = zstandard.ZstdCompressor(level=1, write_checksum=False)
+    for part, data, off in text_slices(batches):
+        raw = data.tobytes()
+        packed = pa.array([z.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], names=[*part.schema.names[:-1], "z"])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs (its last column is text) with the text packed as z."""
+    schema = docs.drop("text").withColumn("z", F.lit(None).cast("binary")).schema
+    return docs.mapInArrow(_pack, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], column: str = "z") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(slice, UTF-8 bytes, offsets) of batches with packed texts, a limited
+    number of bytes at a time."""
+    import zstandard
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        col, held, size, first = batch.column(batch.schema.get_field_index(column)), [], 0, 0
+        for i, x in enumerate(col):
+            held.append(z.decompress(x.as_py()))
+            size += len(held[-1])
+            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                yield (batch.slice(first, len(held)), np.frombuffer(b"".join(held), np.uint8),
+                       np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64))
+                held, size, first = [], 0, i + 1
+
+
+CUT = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()),
+                 ("r2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("content", pa.binary())])
+CUT_SQL = "key long, key2 long, hot boolean, r1 long, r2 long, s long, n int, o int, content binary"
 
 
 def _cut(spec: Spec):
-    """Texts with the pieces wanted from them (struct key, s, n, o, hot): a row
-    with its content for each, or for hot grams a row for each of its windows."""
+    """Texts with the pieces wanted from them (struct key, p, hot): a row with
+    its content for each, or for hot grams a row for each of its windows."""
     def run(batches):
-        for part, data, off in text_slices(batches):
-            want = part.column(4)
-            if isinstance(want, pa.ChunkedArray):
-                want = want.combine_chunks()
+        for part, data, off in unpacked(batches):
+            want = part.column(part.schema.get_field_index("want"))
             lens = np.asarray(want.value_lengths().fill_null(0))
-            if not lens.sum():
-                continue
             w = want.flatten()
-            key, s, n, o, hot = (np.asarray(w.field(i)) for i in range(5))
+            key, p, hot = (np.asarray(w.field(i)) for i in range(3))
+            s, n, o = p // (PLACE * PLACE), p // PLACE % PLACE, p % PLACE
             text = np.repeat(np.arange(len(lens)), lens)
+            r1, r2 = np.asarray(part.column(0))[text], np.asarray(part.column(1))[text]
             whole = spec.unit == "bytes"
             words = None if whole else Words(data, off)
-            base = off[text] if whole else words.off[text]
-            first, last = base + s, base + s + n + spec.length - 1
+            first = (off[text] if whole else words.off[text]) + s
+            last = first + n + spec.length - 1
             a, b = (first, last) if whole else (words.s[first], words.e[last - 1])
-            cool = np.flatnonzero(~hot)
-            raw = data.tobytes()
-            yield record(CUT, key[cool], np.zeros(len(cool), np.int64), np.zeros(len(cool), bool), *[part.column(i).take(pa.array(text[cool])) for i in range(3)],
-                         s[cool], n[cool], o[cool], [raw[x:y] for x, y in zip(a[cool].tolist(), b[cool].tolist())])
+            cool, raw = np.flatnonzero(~hot), data.tobytes()
+            yield record(CUT, key[cool], np.zeros(len(cool), np.int64), np.zeros(len(cool), bool), r1[cool], r2[cool],
+                         s[cool], n[cool].astype(np.int32), o[cool].astype(np.int32),
+                         pa.array([raw[x:y] for x, y in zip(a[cool].tolist(), b[cool].tolist())], pa.binary()))
             warm = np.flatnonzero(hot)
             if not len(warm):
                 continue
             values = BYTE_VALUE[data] if whole else words.h
-            p1, p2 = _RUN.prefix(values), _RUN2.prefix(values)
-            m = n[warm].astype(np.int64)
+            p1, p2, m = _RUN.prefix(values), _RUN2.prefix(values), n[warm]
             k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             at = np.repeat(first[warm], m) + k
-            t = pa.array(np.repeat(text[warm], m))
-            yield record(CUT, _RUN.runs(p1, at, at + spec.length).view(np.int64), _RUN2.runs(p2, at, at + spec.length).view(np.int64), np.ones(len(at), bool),
-                         *[part.column(i).take(t) for i in range(3)], (np.repeat(s[warm], m) + k).astype(np.int32), np.ones(len(at), np.int32),
-                         np.zeros(len(at), np.int32), pa.nulls(len(at), pa.binary()))
+            yield record(CUT, _RUN.runs(p1, at, at + spec.length).view(np.int64), _RUN2.runs(p2, at, at + spec.length).view(np.int64),
+                         np.ones(len(at), bool), np.repeat(r1[warm], m), np.repeat(r2[warm], m), np.repeat(s[warm], m) + k,
+                         np.ones(len(at), np.int32), np.zeros(len(at), np.int32), pa.nulls(len(at), pa.binary()))
     return run
 
 
-RUNS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-RUNS_SQL = "r1 long, r2 long, a int, b int"
+RUNS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+RUNS_SQL = "r1 long, r2 long, a long, b long"
 
 
 def _compare(spec: Spec, first: bool):
@@ -176,7 +211,7 @@ def _compare(spec: Spec, first: bool):
             rows, r1, r2, s = rows.filter(pa.array(new)), r1[new], r2[new], s[new]
         piece, a, b = spec.match(spec, rows, first)
         t = pa.array(piece)
-        return record(RUNS, pa.array(r1).take(t), pa.array(r2).take(t), (s[piece] + a).astype(np.int32), (s[piece] + b).astype(np.int32))
+        return record(RUNS, pa.array(r1).take(t), pa.array(r2).take(t), s[piece] + a, s[piece] + b)
 
     def run(batches):
         held, size = [], 0
@@ -185,7 +220,7 @@ def _compare(spec: Spec, first: bool):
                 continue
             held.append(b)
             size += b.nbytes
-            if size < BATCH_BYTES:
+            if size < CHUNK_BYTES:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             key = np.asarray(rows["key"])
@@ -193,7 +228,7 @@ def _compare(spec: Spec, first: bool):
             done, lo = 0, 0
             content = np.cumsum(np.asarray(pc.binary_length(rows["content"]).fill_null(0)).astype(np.int64))
             for e in edge.tolist():
-                if content[e - 1] - (content[lo - 1] if lo else 0) >= BATCH_BYTES // 2 or e == edge[-1]:
+                if content[e - 1] - (content[lo - 1] if lo else 0) >= CHUNK_BYTES // 2 or e == edge[-1]:
                     yield out(rows.slice(lo, e - lo))
                     lo = done = e
             held = rows.slice(done).to_batches()
@@ -206,15 +241,19 @@ def _compare(spec: Spec, first: bool):
 def repeated_runs(docs: DataFrame, spec: Spec, keep_first: bool = False, max_group: int = MAX_GROUP) -> DataFrame:
     """r1, r2, runs: for each text with any, the runs (structs a, b: first unit
     and last + 1, may overlap) covered by windows that also start elsewhere, or
-    with ``keep_first`` that also start earlier (smaller doc_id, then row key,
-    then position).  ``docs`` has doc_id, r1, r2, text.  With ``keep_first`` rows
+    with ``keep_first`` that also start earlier (smaller id, then row key, then
+    position).  ``docs`` has r1, r2, text (``keyed``).  With ``keep_first`` rows
     equal in id and text count as one document."""
-    occ = docs.select("doc_id", "r1", "r2", "text").mapInArrow(_occurrences(spec), OCC_SQL)
+    if not 1 <= spec.gram <= spec.length < PLACE:
+        raise ValueError(f"windows of 1 to {PLACE - 1} units, grams no longer than windows")
+    docs = docs.select("r1", "r2", "text")
+    occ = docs.mapInArrow(_occurrences(spec), OCC_SQL)
     known = (occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi"))
              .where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
     found = saved(occ.join(known, "key"))
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "r1", "r2", "s")
-    whole = F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + (spec.length - 1)).alias("b"))
+    place = F.struct("r2", "r1", "p")
+    s, n = F.shiftright("p", 24), F.shiftright("p", 12).bitwiseAND(F.lit(PLACE - 1))
+    whole = F.struct(s.alias("a"), (s + n + (spec.length - 1)).alias("b")).alias("run")
     equal = found.where(~F.col("mixed"))
     if keep_first:
         equal = equal.join(equal.groupBy("key").agg(F.min(place).alias("f")), "key").where(place > F.col("f"))
@@ -223,18 +262,19 @@ def repeated_runs(docs: DataFrame, spec: Spec, keep_first: bool = False, max_gro
     same = mixed.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f"))
     kinds = same.groupBy("key").agg((F.count(F.lit(1)) > max_group).alias("hot"))
     mixed = saved(mixed.join(same, ["key", "ph"]).join(kinds, "key")
-                  .select("key", "doc_id", "r1", "r2", "s", "n", "o", "hot", (F.col("c") > 1).alias("more"), (place == F.col("f")).alias("lead")))
+                  .select("key", "r1", "r2", "p", "hot", (F.col("c") > 1).alias("more"), (place == F.col("f")).alias("lead")))
     copies = mixed.where(~F.col("lead") if keep_first else F.col("more"))
-    want = mixed.where("lead").groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "s", "n", "o", "hot")).alias("want"))
-    cut = saved(docs.select("doc_id", "r1", "r2", "text").join(want, ["r1", "r2"])
-                .select("doc_id", "r1", "r2", "text", "want").mapInArrow(_cut(spec), CUT_SQL))
-    cool = cut.where(~F.col("hot")).drop("key2", "hot").repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "r1", "r2", "s")
+    want = mixed.where("lead").groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "p", "hot")).alias("want"))
+    cut = saved(packed(docs).join(want, ["r1", "r2"]).mapInArrow(_cut(spec), CUT_SQL))
+    cool = cut.where(~F.col("hot")).drop("key2", "hot").repartition("key").sortWithinPartitions("key", "r2", "r1", "s")
     close = cool.mapInArrow(_compare(spec, keep_first), RUNS_SQL)
-    hot = cut.where("hot").select("key", "key2", "doc_id", "r1", "r2", "s", "n")
-    often = hot.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")).where("c > 1").drop("c")
-    hot = hot.join(often, ["key", "key2"]).where(place > F.col("f") if keep_first else F.lit(True))
-    runs = (equal.select("r1", "r2", whole.alias("run")).unionByName(copies.select("r1", "r2", whole.alias("run")))
-            .unionByName(close.select("r1", "r2", F.struct("a", "b").alias("run"))).unionByName(hot.select("r1", "r2", whole.alias("run"))))
+    start = F.struct("r2", "r1", "s")
+    hot = cut.where("hot").select("key", "key2", "r1", "r2", "s")
+    often = hot.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("c"), F.min(start).alias("f")).where("c > 1").drop("c")
+    hot = hot.join(often, ["key", "key2"]).where(start > F.col("f") if keep_first else F.lit(True))
+    runs = (equal.select("r1", "r2", whole).unionByName(copies.select("r1", "r2", whole))
+            .unionByName(close.select("r1", "r2", F.struct("a", "b").alias("run")))
+            .unionByName(hot.select("r1", "r2", F.struct(F.col("s").alias("a"), (F.col("s") + spec.length).alias("b")).alias("run"))))
     return runs.groupBy("r1", "r2").agg(F.collect_set("run").alias("runs"))
 
 
@@ -247,14 +287,17 @@ def merged(flat: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.diff(on)).reshape(-1, 2)
 
 
-def texts_with_runs(docs: DataFrame, spec: Spec, keep_first: bool, max_group: int, text: str = "text") -> DataFrame:
-    """docs (doc_id, r1, r2, text and more) with their runs; every row stays."""
-    return docs.join(repeated_runs(docs, spec, keep_first, max_group), ["r1", "r2"], "left")
+def texts_with_runs(docs: DataFrame, spec: Spec, keep_first: bool, max_group: int) -> DataFrame:
+    """docs (``keyed``) with z, the packed text, and runs; every row stays."""
+    return packed(docs).join(repeated_runs(docs, spec, keep_first, max_group), ["r1", "r2"], "left")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    d = id_text(docs, id_col, text_col)
-    return d.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """r1, r2, the ``more`` columns, text: r1 is a hash of the text, r2 the id
+    (null: the largest number, so it comes last).  Rows equal in both are
+    copies of one document and get the same runs."""
+    text, i = named(text_col).cast("string"), named(id_col).cast("long")
+    return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(i, F.lit((1 << 63) - 1)).alias("r2"), *more, text.alias("text"))
 
 
 def run_rows(part: pa.RecordBatch, column: str = "runs") -> list[np.ndarray | None]:

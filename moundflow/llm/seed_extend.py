@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import Words, record, text_slices
-from moundflow.llm.repeats import MAX_GROUP, Spec, keyed, merged, run_rows, texts_with_runs
+from moundflow.llm.base import Words, free, named, record
+from moundflow.llm.repeats import MAX_GROUP, Spec, keyed, merged, run_rows, texts_with_runs, unpacked
 
 LENGTH, GRAM = 35, 6
 
@@ -67,7 +67,7 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 
 def _digest(batches):
-    for part, data, off in text_slices(batches):
+    for part, data, off in unpacked(batches):
         w = Words(data, off, hashes=False)
         n, removed, sha = w.counts(), [], []
         raw = data.tobytes()
@@ -94,8 +94,8 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     Null and empty texts have no words; texts of fewer than ``length`` words
     lose none; equal rows are copies of each other (with ``keep_first``: one
     document); windows never cross texts."""
-    d = keyed(docs, id_col, text_col)
-    return (texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("doc_id", "text", "runs")
+    d = keyed(docs, id_col, text_col, named(id_col).cast("long").alias("doc_id"))
+    return (texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("doc_id", "z", "runs")
             .mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
@@ -105,15 +105,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     stays (or with ``keep_first=False`` none).  What stands between two kept
     words stays as it is; a removed passage takes the white space before it."""
     names = docs.columns
-    t = F.col(text_col).cast("string")
-    d = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), t.alias("text"))
-    d = d.select("row", "doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("r2"), "text")
-    found = texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("row", "text", "runs")
+    # null and empty texts have nothing to lose and go round
+    rest = [c for c in names if c != text_col]
+    some = F.length(named(text_col).cast("string")) > 0
+    d = keyed(docs.where(some), id_col, text_col, F.struct(F.lit(0).alias(free(docs, "__")), *map(named, rest)).alias("row"))
+    found = texts_with_runs(d, spec_of(length, gram), keep_first, max_group).select("row", "z", "runs")
 
     def run(batches):
-        for part, data, off in text_slices(batches):
+        for part, data, off in unpacked(batches):
             w = Words(data, off, hashes=False)
-            texts = part.column(1).to_pylist()
+            texts = [data[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:])]
             for i, runs in enumerate(run_rows(part)):
                 if runs is not None:
                     lo, hi = int(w.off[i]), int(w.off[i + 1])
@@ -124,5 +125,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                     texts[i] = b"".join([*kept, raw[last:]]).decode()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    out = found.mapInArrow(run, found.select("row", "text").schema)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
+    out = found.mapInArrow(run, found.select("row", F.lit("").alias("text")).schema)
+    out = out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names])
+    return out.unionByName(docs.where(~F.coalesce(some, F.lit(False))).withColumn(text_col, named(text_col).cast("string")))

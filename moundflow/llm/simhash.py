@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import LOWER, Words, id_text, record, row_key, saved, text_slices
+from moundflow.llm.base import LOWER, Words, free, id_text, named, record, row_key, saved, text_slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 U64 = np.uint64
@@ -55,7 +55,8 @@ FP = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()),
 
 def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, r1, r2, fp of every row."""
-    d = id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
+    i = F.col("doc_id").cast("long")
+    d = id_text(docs, id_col, text_col).select(i.alias("doc_id"), *row_key(i, F.col("text")), "text")
 
     def run(batches):
         for part, data, off in text_slices(batches):
@@ -258,10 +259,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, same columns, one row of each component: that with the
     smallest id, then row key (null ids last); of equal rows one."""
-    t = F.col(text_col).cast("string")
-    r1, r2 = row_key(F.col(id_col), t)
+    k1, k2 = free(docs, "__r1"), free(docs, "__r2")
+    r1, r2 = row_key(named(id_col).cast("long"), named(text_col).cast("string"))
     found = near_duplicates(docs, shingle, radius, id_col, text_col)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("b"))
-    keep = best.select(F.col("b.r1").alias("__r1"), F.col("b.r2").alias("__r2"))
-    return (docs.withColumns({"__r1": r1, "__r2": r2}).join(keep, ["__r1", "__r2"], "left_semi")
-            .dropDuplicates(["__r1", "__r2"]).drop("__r1", "__r2"))
+    keep = best.select(F.col("b.r1").alias(k1), F.col("b.r2").alias(k2))
+    return docs.withColumns({k1: r1, k2: r2}).join(keep, [k1, k2], "left_semi").dropDuplicates([k1, k2]).drop(k1, k2)
