@@ -152,6 +152,13 @@ COUNT_ADJ_AHEAD, COUNT_ADJ_BEHIND, COUNT_ADJ_EXTREME = 0.10, 0.10, 0.15
 
 # GBT defaults (depth 8, rate .05, <=200 iterations, 10 % early-stop holdout, seed 42)
 GBT_MAX_DEPTH, GBT_STEP, GBT_MAX_ITER, GBT_VALIDATION_FRACTION, GBT_SEED = 8, 0.05, 200, 0.1, 42
+GBT_PATIENCE = 10
+# FIXED VALUES: inputs and settings of the older trainer (M4)
+OLD_GBT_STEP, OLD_GBT_MAX_ITER = 0.06, 100
+OLD_NUMERIC = ["balls", "strikes", "outs_when_up", "on_1b", "on_2b", "on_3b", "release_speed", "release_spin_rate", "zone",
+               "plate_x", "plate_z", "last_pitch_speed_delta", "batter_pitchtype_woba", "batter_pitchtype_whiff_rate",
+               "batter_pitchtype_run_value"]
+OLD_CATEGORICAL = ["stand", "p_throws", "pitch_type", "last_pitch_type", "last_pitch_result"]
 SPLIT_TRAIN, SPLIT_VAL = 0.70, 0.15
 
 # ---------------------------------------------------------------------------

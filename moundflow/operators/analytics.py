@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow.functions.pitch import _c, is_contact, is_swing, outcome_class, safe_divide
-from moundflow.session import checked_broadcast, checked_small
 
 
 # A12 -----------------------------------------------------------------------
@@ -44,8 +43,8 @@ def matchup_stats(pitches: DataFrame) -> DataFrame:
 
 def matchup_lookup(keys: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach matchup stats on (batter, pitch_type, p_throws); missing -> 0."""
-    s = checked_broadcast(stats.select("batter", "pitch_type", "p_throws", "batter_pitchtype_woba",
-                                       "batter_pitchtype_whiff_rate", "batter_pitchtype_run_value"))
+    s = stats.select("batter", "pitch_type", "p_throws", "batter_pitchtype_woba",
+                     "batter_pitchtype_whiff_rate", "batter_pitchtype_run_value")
     j = keys.join(s, ["batter", "pitch_type", "p_throws"], "left")
     return j.fillna(0.0, subset=["batter_pitchtype_woba", "batter_pitchtype_whiff_rate", "batter_pitchtype_run_value"])
 
@@ -72,21 +71,26 @@ def dataset_summary(pitches: DataFrame) -> DataFrame:
     """Rows, distinct players, date range and the run-value distribution
     (count, mean, sample std, min, quartiles by linear interpolation, max)."""
     rv = F.col("run_value")
-    return pitches.agg(
+    whole = pitches.agg(
         F.count(F.lit(1)).alias("pitches"),
-        F.countDistinct("pitcher").alias("pitchers"),
-        F.countDistinct("batter").alias("batters"),
         F.min("game_date").alias("first_date"),
         F.max("game_date").alias("last_date"),
         F.count(rv).alias("rv_count"),
         F.avg(rv).alias("rv_mean"),
         F.stddev_samp(rv).alias("rv_std"),
         F.min(rv).alias("rv_min"),
-        F.percentile(rv, 0.25).alias("rv_p25"),
-        F.percentile(rv, 0.5).alias("rv_p50"),
-        F.percentile(rv, 0.75).alias("rv_p75"),
         F.max(rv).alias("rv_max"),
     )
+    # distinct players are counted after a distributed distinct, and the exact
+    # quartiles are taken over the distinct run values with their frequencies
+    # (the base-out states and runs allow a few thousand), not over the rows
+    players = [pitches.groupBy(c).count().agg(F.count(c).alias(f"{c}s")) for c in ("pitcher", "batter")]
+    q = (pitches.groupBy(rv).agg(F.count(rv).alias("_n")).filter(rv.isNotNull())
+         .agg(F.percentile(rv, [0.25, 0.5, 0.75], F.col("_n")).alias("_q"))
+         .select(*[F.get("_q", F.lit(i)).alias(f"rv_p{p}") for i, p in enumerate((25, 50, 75))]))
+    for one in (*players, q):
+        whole = whole.join(F.broadcast(one))        # one row each
+    return whole
 
 
 def run_value_stats(pitches: DataFrame) -> DataFrame:
@@ -150,9 +154,6 @@ def baseline_lookup(df: DataFrame, baseline: DataFrame, count="count", pitch_typ
     """First match of (count, pitch, zone, hand, stance) ->
     (count, pitch, zone, *) -> (count, pitch, *) -> (count, *).  Four left
     joins against levels of one small rollup table."""
-    # the rollup table is bounded by the game's domain: checked once, then its
-    # level slices are broadcast when it fits
-    baseline, fits = checked_small(baseline)
     out = df.withColumn("_zone_s", _c(zone).cast("long").cast("string"))
     cols = [count, pitch_type, "_zone_s", p_throws, stand]
     picked = []
@@ -161,7 +162,6 @@ def baseline_lookup(df: DataFrame, baseline: DataFrame, count="count", pitch_typ
         b = baseline.filter(F.col("level") == level).select(
             *[F.col(k).alias(f"_b{name}_{i}") for i, k in enumerate(BASELINE_KEYS[:n_keys])],
             F.col("rv").alias(f"_bl_{name}"))
-        b = F.broadcast(b) if fits else b
         cond = None
         for i in range(n_keys):
             c = _c(cols[i]) == F.col(f"_b{name}_{i}")

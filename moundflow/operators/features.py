@@ -1,10 +1,10 @@
 """The model's feature table.
 
 The pitch table is the big side of every join here; the profiles are one
-row per player (or player x 3 categories / x 14 zones).  Each profile is
-materialised once, its size checked, and broadcast only under the bound
-(``moundflow.session.checked_broadcast``); beyond it the join stays a
-shuffle join.
+row per player (or player x 3 categories / x 14 zones).  Building the plan
+starts no job: adaptive execution broadcasts a lookup when its real size is
+under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, splits skewed players
+otherwise.
 """
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from moundflow import constants as K
 from moundflow.functions.location import in_zone_flag, loc_horizontal, loc_vertical
 from moundflow.functions.pitch import clamp, league_average, pitch_category
-from moundflow.session import checked_broadcast
 
 PITCHER_PROFILE_COLS = ["avg_velo", "std_velo", "avg_spin", "avg_pfx_x", "avg_pfx_z",
                         "whiff_rate", "strike_rate", "usage_rate", "velo_diff_from_fb"]
@@ -61,7 +60,7 @@ def join_batter_features(df: DataFrame, wide: DataFrame) -> DataFrame:
     """J1 + J2."""
     if "pitch_category" not in df.columns:
         df = df.withColumn("pitch_category", pitch_category("pitch_type"))
-    df = df.join(checked_broadcast(wide), "batter", "left")
+    df = df.join(wide, "batter", "left")
     return df.withColumns({f"batter_{s}_vs_this_cat": stat_for_category(s, F.col("pitch_category"))
                            for s in K.PROFILE_STATS})
 
@@ -72,7 +71,7 @@ def join_pitcher_features(df: DataFrame, profiles: DataFrame, strict: bool = Tru
     fan-out for pitchers who throw with both hands."""
     keys = ["pitcher", "p_throws", "pitch_type"] if strict else ["pitcher", "pitch_type"]
     p = profiles.select(*keys, *[F.col(c).alias(f"pitcher_{c}") for c in PITCHER_PROFILE_COLS])
-    return df.join(checked_broadcast(p), keys, "left")
+    return df.join(p, keys, "left")
 
 
 def add_location_features(df: DataFrame, zone_long: DataFrame | None) -> DataFrame:
@@ -89,7 +88,6 @@ def add_location_features(df: DataFrame, zone_long: DataFrame | None) -> DataFra
                          *[F.col(s).alias(f"_z_{s}") for s in ZONE_DEFAULTS])
     zk = F.col("zone")
     valid = F.coalesce((zk >= 1) & (zk <= 14), F.lit(False))
-    z = checked_broadcast(z)
     df = df.join(z, (F.col("batter") == F.col("_zbatter")) & (F.floor(zk).cast("long") == F.col("_zone")), "left")
     df = df.withColumns({f"batter_{s}_at_zone": F.when(valid, F.col(f"_z_{s}")).otherwise(F.lit(d))
                          for s, d in ZONE_DEFAULTS.items()})
@@ -152,8 +150,7 @@ def add_interaction_features(df: DataFrame) -> DataFrame:
 def build_features(pitches: DataFrame, batter_wide: DataFrame, pitcher_prof: DataFrame,
                    zone_long: DataFrame | None, strict: bool = True) -> DataFrame:
     """ids + 67 features + target.  The three per-player lookups are
-    broadcast after a size check (``checked_broadcast``), so the pitch table
-    is not shuffled for them; over the bound they stay shuffle joins."""
+    plain joins that adaptive execution turns into broadcasts by real size."""
     df = join_batter_features(pitches, batter_wide)
     df = join_pitcher_features(df, pitcher_prof, strict=strict)
     df = add_location_features(df, zone_long)

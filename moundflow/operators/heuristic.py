@@ -33,25 +33,54 @@ def archetype_label(df: DataFrame) -> Column:
     return F.coalesce(*parts)
 
 
-def match_archetypes(requests: DataFrame, archetypes: DataFrame, key: str = "batter") -> DataFrame:
-    """Exact id match; for misses, the first archetype row (by batter
-    id) whose text contains the query, case-insensitive; else 'unknown'.
-
-    The substring fallback compares only the *distinct* missed query
-    strings with the archetype rows (both bounded by the number of players,
-    not by the number of requests) and joins the answer back by equality.
-    """
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    size = F.length(text)
+    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def first_containing(queries: DataFrame, rows: DataFrame, value: str, line: str) -> DataFrame:
+    """For each distinct ``_q`` the ``value`` of the row with the smallest
+    ``line`` whose ``_text`` contains it, without comparing all pairs: rows are
+    indexed by their 1-, 2- and 3-character runs, a query is looked up by its
+    rarest run (of 3 characters, or all of it if shorter) and what meets there is
+    verified.  Queries without a run in the index match nothing."""
+    index = rows.select(F.col(line).alias("_line"), "_text", F.col(value).alias("_value"),
+                        F.explode(F.flatten(F.array(*[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)]))).alias("_g"))
+    often = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
+    runs = F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(_grams(F.col("_q"), GRAM))
+    rarest = (queries.select("_q", F.explode(runs).alias("_g")).join(often, "_g")
+              .groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_g", F.struct("_often", "_g")).alias("_g")))
+    whole = queries.select("_q", F.size(runs).alias("_all"))
+    rarest = rarest.join(whole, "_q").filter(F.col("_n") == F.col("_all")).select("_q", "_g")   # every run must occur
+    hits = rarest.join(index, "_g").filter(F.contains("_text", "_q"))
+    return hits.groupBy("_q").agg(F.min_by("_value", "_line").alias("_value"))
+
+
+def match_archetypes(requests: DataFrame, archetypes: DataFrame, key: str = "batter", line: str | None = None) -> DataFrame:
+    """The first archetype row with exactly that id; for misses, the first
+    row any of whose values contains the query, case-insensitive; else
+    'unknown' (also for a null key).  "First" is by ``line``, the position
+    column of the file the table came from; without it by batter id and the
+    row's text."""
     arch = archetypes.withColumn("_label", archetype_label(archetypes))
-    exact = arch.select(F.col("batter").cast("string").alias("_q"), F.col("_label").alias("_exact"))
+    values = F.concat_ws("\n", *[F.col(c).cast("string") for c in archetypes.columns if c != line])
+    place = F.col(line) if line else F.struct("batter", values)
+    arch = arch.select(F.col("batter").cast("string").alias("_q"), F.lower(values).alias("_text"), "_label", place.alias("_line"))
+    exact = arch.filter(F.col("_q").rlike("^[0-9]+$")).groupBy("_q").agg(F.min_by("_label", "_line").alias("_exact"))
     q = requests.withColumn("_q", F.trim(F.col(key).cast("string")))
     q = q.join(exact, "_q", "left")
-    misses = q.filter(F.col("_exact").isNull() & F.col("_q").isNotNull()).select("_q").distinct()
-    text = F.lower(F.concat_ws("|", *[F.col(c).cast("string") for c in archetypes.columns]))
-    rows = arch.select(F.col("batter").alias("_line"), text.alias("_text"), F.col("_label").alias("_fuzzy"))
-    hits = misses.join(rows, F.col("_text").contains(F.lower(F.col("_q"))), "inner") \
-        .groupBy("_q").agg(F.min_by("_fuzzy", "_line").alias("_fuzzy"))
-    q = q.join(hits, "_q", "left")
-    return q.withColumn("archetype", F.coalesce("_exact", "_fuzzy", F.lit("unknown"))).drop("_q", "_exact", "_fuzzy")
+    misses = q.filter(F.col("_exact").isNull() & F.col("_q").isNotNull()).select(F.lower("_q").alias("_q")).distinct()
+    hits = first_containing(misses.filter("_q <> ''"), arch, "_label", "_line")
+    # every row contains the empty query
+    hits = hits.unionByName(arch.agg(F.lit("").alias("_q"), F.min_by("_label", "_line").alias("_value")))
+    hits = hits.select(F.col("_q").alias("_lq"), F.col("_value").alias("_fuzzy"))
+    q = q.join(hits, F.lower("_q") == F.col("_lq"), "left")
+    return q.withColumn("archetype", F.coalesce("_exact", "_fuzzy", F.lit("unknown"))).drop("_q", "_exact", "_fuzzy", "_lq")
 
 
 # E22 -----------------------------------------------------------------------
@@ -104,11 +133,11 @@ def _with_pitches(requests: DataFrame, arsenal: DataFrame) -> DataFrame:
 
 
 # R10 / R13 / R14 -----------------------------------------------------------
-def next_pitch_candidates(requests: DataFrame, archetypes: DataFrame, arsenal: DataFrame) -> DataFrame:
+def next_pitch_candidates(requests: DataFrame, archetypes: DataFrame, arsenal: DataFrame, key: str = "batter") -> DataFrame:
     """Ranked candidates with percentage share, suggested location, score,
     the current run expectancy as 'RE after' (the heuristic predicts none)
     and a flag on the top share."""
-    r = match_archetypes(requests, archetypes)
+    r = match_archetypes(requests, archetypes, key)
     r = _with_pitches(r, arsenal)
     r = r.withColumns({"_risp": _risp(r),
                        "_bonus": F.coalesce(F.col("late_inning"), F.lit(False)) & (F.coalesce(F.col("outs"), F.lit(0)) >= 2)})
@@ -143,14 +172,14 @@ def strategy_notes(archetype: Column, pitches: Column, count: Column, risp: Colu
 
 
 def recommend_sequence(requests: DataFrame, archetypes: DataFrame, arsenal: DataFrame, seq_len: int = 3,
-                       randomize: bool = False) -> DataFrame:
+                       randomize: bool = False, key: str = "batter") -> DataFrame:
     """Primary / secondary / breaking tertiary sequence per request.
 
     Deterministic by default.  With ``randomize`` the fill beyond three
-    pitches and the 15 % shuffle draw from a hash of the request id, so a
+    pitches and the 15 % that are shuffled draw from hashes of the request id, so a
     rerun (or a retried task) gives the same answer.
     """
-    r = match_archetypes(requests, archetypes)
+    r = match_archetypes(requests, archetypes, key)
     r = _with_pitches(r, arsenal)
     r = r.withColumns({"_risp": _risp(r), "_bonus": F.coalesce(F.col("outs"), F.lit(0)) >= 2})
     arch = F.col("archetype")
@@ -160,7 +189,7 @@ def recommend_sequence(requests: DataFrame, archetypes: DataFrame, arsenal: Data
     r = r.withColumn("_scored", F.transform(ranked, lambda x: x["p"]))
     scored = F.col("_scored")
     primary = scored[0]
-    rest = F.filter(F.slice(scored, 2, 1000000), lambda p: p != primary)
+    rest = F.filter(F.slice(scored, F.lit(2), F.size(scored)), lambda p: p != primary)
     secondary = F.coalesce(F.try_element_at(rest, F.lit(1)), primary)
     r = r.withColumns({"_p1": primary, "_p2": secondary})
     tert_pool = F.filter(scored, lambda p: (p != F.col("_p1")) & (p != F.col("_p2")) & F.upper(p).isin(*K.TERTIARY_SET))
@@ -174,7 +203,9 @@ def recommend_sequence(requests: DataFrame, archetypes: DataFrame, arsenal: Data
         seq = F.concat(seq, extra)
     if randomize:
         shuffle = F.pmod(F.xxhash64(F.col("request_id"), F.lit("shuffle")), F.lit(100)) < int(K.SHUFFLE_PROBABILITY * 100)
-        seq = F.when(shuffle, F.reverse(seq)).otherwise(seq)
+        drawn = F.transform(F.array_sort(F.transform(seq, lambda p, i: F.struct(F.xxhash64(F.col("request_id"), i).alias("k"), i.alias("i"), p.alias("p")))),
+                            lambda x: x["p"])
+        seq = F.when(shuffle, drawn).otherwise(seq)
     r = r.withColumn("_seq", seq)
     n = F.size("pitches")
     breaking = F.exists("pitches", lambda p: F.upper(p).isin(*K.BREAKING_SET))

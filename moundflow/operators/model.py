@@ -89,12 +89,9 @@ def column_types(df: DataFrame, feature_cols=ALL_FEATURES):
 
 
 # M2 / M3 -------------------------------------------------------------------
-def build_pipeline(numeric: list[str], categorical: list[str], max_depth: int = K.GBT_MAX_DEPTH,
-                   step: float = K.GBT_STEP, max_iter: int = K.GBT_MAX_ITER, seed: int = K.GBT_SEED,
-                   validation_col: str | None = "_es_holdout", label: str = "run_value") -> Pipeline:
-    """Median impute + standardise numerics; 'missing' fill + one-hot
-    categoricals with unseen levels mapped to all zeros; GBT regressor with
-    early stopping on a held-out tenth of the training rows."""
+def preprocessing(numeric: list[str], categorical: list[str]) -> list:
+    """M2 stages: median impute + standardise numerics; one-hot categoricals
+    with unseen levels mapped to all zeros; one ``features`` vector."""
     num_imp = [f"_imp_{c}" for c in numeric]
     idx = [f"_idx_{c}" for c in categorical]
     ohe = [f"_ohe_{c}" for c in categorical]
@@ -110,19 +107,56 @@ def build_pipeline(numeric: list[str], categorical: list[str], max_depth: int =
             OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
         ]
     stages.append(VectorAssembler(inputCols=["_num_scaled", *ohe], outputCol="features"))
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxDepth=max_depth,
-                       stepSize=step, maxIter=max_iter, seed=seed, maxBins=64, subsamplingRate=1.0,
-                       # depth-8 trees: keep each row's node id instead of
-                       # re-walking the trees at every level
-                       cacheNodeIds=True, checkpointInterval=10,
-                       # stop once an iteration no longer lowers the held-out
-                       # error at all (the default relative 1 % tolerance would
-                       # stop after the first tree at rate .05)
-                       validationTol=1e-7)
-    if validation_col:
-        gbt.setValidationIndicatorCol(validation_col)
-    stages.append(gbt)
-    return Pipeline(stages=stages)
+    return stages
+
+
+def stop_round(losses, patience: int = K.GBT_PATIENCE) -> int | None:
+    """The iteration count at which boosting stops: ``patience`` iterations in
+    a row have not lowered the holdout loss; None while it goes on."""
+    best, since = float("inf"), 0
+    for i, loss in enumerate(losses):
+        best, since = (loss, 0) if loss < best else (best, since + 1)
+        if since >= patience:
+            return i + 1
+    return None
+
+
+def fit_boosted(tr: DataFrame, numeric: list[str], categorical: list[str], max_depth: int = K.GBT_MAX_DEPTH,
+                step: float = K.GBT_STEP, max_iter: int = K.GBT_MAX_ITER, seed: int = K.GBT_SEED,
+                patience: int | None = K.GBT_PATIENCE, label: str = "run_value") -> PipelineModel:
+    """M3: preprocessing, then boosting until ``patience`` iterations bring no
+    lower loss on the holdout (``_es_holdout`` rows), at most ``max_iter``.
+
+    Spark's own early stop has a patience of one, so the rounds are fitted
+    without it and the holdout loss after each round decides.  The fit doubles
+    its rounds until the rule fires (a longer fit starts with the same trees:
+    seed and row layout are fixed), then keeps the trees up to that round; the
+    preprocessed rows are written once and read by every fit."""
+    ensure_checkpoint_dir(tr.sparkSession)
+    pre = Pipeline(stages=preprocessing(numeric, categorical)).fit(tr)
+    keep = [F.col("_es_holdout").alias("_h")] if patience else [F.lit(False).alias("_h")]
+    rows = pre.transform(tr).select("features", label, *keep).checkpoint(eager=True)
+    fit_rows, held = rows.filter(~F.col("_h")), rows.filter(F.col("_h"))
+
+    def boosted(rounds: int):
+        return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxDepth=max_depth,
+                            stepSize=step, maxIter=rounds, seed=seed, maxBins=64, subsamplingRate=1.0,
+                            # depth-8 trees: keep each row's node id instead of
+                            # re-walking the trees at every level
+                            cacheNodeIds=True, checkpointInterval=10).fit(fit_rows)
+
+    if not patience or held.isEmpty():
+        return PipelineModel(stages=[*pre.stages, boosted(max_iter)])
+    rounds = min(max_iter, 2 * patience)
+    while True:
+        gbt = boosted(rounds)
+        stop = stop_round(gbt.evaluateEachIteration(held, "squared"), patience)
+        if stop is not None or rounds == max_iter:
+            break
+        rounds = min(max_iter, 2 * rounds)
+    if stop is not None and stop < rounds:
+        gbt = boosted(stop)
+    return PipelineModel(stages=[*pre.stages, gbt])
 
 
 def prepare(df: DataFrame, categorical: list[str]) -> DataFrame:
@@ -154,9 +188,8 @@ def train(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, max_depth: int =
     tr = df.filter(F.col("split") == "train")
     if early_stopping:
         tr = tr.withColumn("_es_holdout", holdout_flag(tr))
-    pipe = build_pipeline(numeric, categorical, max_iter=max_iter, max_depth=max_depth,
-                          validation_col="_es_holdout" if early_stopping else None)
-    model = pipe.fit(tr)
+    model = fit_boosted(tr, numeric, categorical, max_iter=max_iter, max_depth=max_depth,
+                        patience=K.GBT_PATIENCE if early_stopping else None)
     return model, numeric, categorical, df
 
 
@@ -250,17 +283,40 @@ def load_model(path: str) -> PipelineModel:
 
 
 # M4 ------------------------------------------------------------------------
-def train_random_split(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, seed: int = K.GBT_SEED):
-    """Older trainer: random 80/20 split (seeded), most-frequent imputation,
-    depth 8, rate .06; returns (model, test RMSE DataFrame)."""
+def older_features(pitches: DataFrame) -> DataFrame:
+    """The older trainer's inputs: situation, pitch, last pitch and the batter's
+    record against the pitch type."""
+    from moundflow.operators import analytics as AN
+    df = AN.matchup_lookup(pitches, AN.matchup_stats(pitches)).withColumnRenamed("speed_delta", "last_pitch_speed_delta")
+    return df.select("game_pk", "at_bat_number", "pitch_number", "run_value", *K.OLD_NUMERIC, *K.OLD_CATEGORICAL)
+
+
+def train_random_split(features: DataFrame, max_iter: int = K.OLD_GBT_MAX_ITER, seed: int = K.GBT_SEED):
+    """Older trainer: random 80/20 split (by a seeded hash of the pitch key, so
+    a retried task keeps the same rows), median-imputed numerics, most-frequent
+    imputed and one-hot encoded categoricals (levels unseen in training become
+    zeros), depth 8, rate .06; returns (model, test RMSE DataFrame)."""
     df = features.filter(F.col("run_value").isNotNull())
-    numeric, categorical = column_types(df)
-    df = prepare(df, categorical)
-    tr, te = df.randomSplit([0.8, 0.2], seed=seed)
-    stages = [Imputer(strategy="mode", inputCols=numeric, outputCols=[f"_imp_{c}" for c in numeric]),
-              VectorAssembler(inputCols=[f"_imp_{c}" for c in numeric], outputCol="features", handleInvalid="keep"),
-              GBTRegressor(featuresCol="features", labelCol="run_value", maxDepth=8, stepSize=0.06,
-                           maxIter=max_iter, seed=seed)]
+    numeric = [c for c in K.OLD_NUMERIC if c in df.columns]
+    categorical = [c for c in K.OLD_CATEGORICAL if c in df.columns]
+    if missing := sorted({*K.OLD_NUMERIC, *K.OLD_CATEGORICAL} - set(df.columns)):
+        raise ValueError(f"the older trainer needs {missing}")
+    df = df.withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.col(c).cast("string") for c in categorical})
+    test = F.pmod(F.xxhash64(F.lit(seed), "game_pk", "at_bat_number", "pitch_number"), F.lit(5)) == 0
+    tr, te = df.filter(~test), df.filter(test)
+    # most frequent level per column (ties: the smallest), one row in all
+    modes = {}
+    for c in categorical:
+        top = tr.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
+        modes[c] = top[0] if top else "missing"
+    tr, te = (x.fillna(modes) for x in (tr, te))
+    idx, ohe = [f"_idx_{c}" for c in categorical], [f"_ohe_{c}" for c in categorical]
+    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"_imp_{c}" for c in numeric]),
+              StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+              VectorAssembler(inputCols=[*[f"_imp_{c}" for c in numeric], *ohe], outputCol="features", handleInvalid="keep"),
+              GBTRegressor(featuresCol="features", labelCol="run_value", maxDepth=8, stepSize=K.OLD_GBT_STEP,
+                           maxIter=max_iter, seed=seed, maxBins=64)]
     model = Pipeline(stages=stages).fit(tr)
     err = model.transform(te).select(F.sqrt(F.avg((F.col("run_value") - F.col("prediction")) ** 2)).alias("rmse"))
     return model, err
@@ -282,7 +338,7 @@ def rolling_validation(features: DataFrame, n_folds: int = 5, max_iter: int = K.
     for k in range(1, n_folds):
         tr = folded.filter(F.col("fold") < k)
         tr = tr.withColumn("_es_holdout", holdout_flag(tr))
-        model = build_pipeline(numeric, categorical, max_iter=max_iter, max_depth=max_depth).fit(tr)
+        model = fit_boosted(tr, numeric, categorical, max_iter=max_iter, max_depth=max_depth)
         scored = predict(model, folded.filter(F.col("fold") == k), "prediction").withColumn("split", F.lit(f"fold_{k}"))
         m = regression_metrics(scored)
         out = m if out is None else out.unionByName(m)

@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow import constants as K
-from moundflow.functions.location import (coords_to_zone, loc_horizontal_scoring, loc_vertical_scoring,
-                                          location_label)
+from moundflow.functions.location import coords_to_zone, loc_horizontal, loc_vertical, location_label
 from moundflow.functions.pitch import fill, pitch_category
 from moundflow.operators.runvalue import run_expectancy
-from moundflow.session import checked_broadcast, task_slots
+from moundflow.session import task_slots
 
 CATS = K.CATEGORIES
 
@@ -35,8 +34,7 @@ def resolve_arsenal(requests: DataFrame, arsenals: DataFrame, pitcher_profiles:
                     lambda x: x["pitch_type"]).alias("_a2"))
     a2 = a2.select("pitcher", F.array_distinct("_a2").alias("_a2"))
     default = F.array(*[F.lit(t) for t in K.DEFAULT_ARSENAL])
-    # per-pitcher lookups: broadcast after a size check, else shuffle joins
-    j = requests.join(checked_broadcast(a1), "pitcher", "left").join(checked_broadcast(a2), "pitcher", "left")
+    j = requests.join(a1, "pitcher", "left").join(a2, "pitcher", "left")
     arsenal = (F.when(F.size("_a1") > 0, F.col("_a1"))
                .when(F.size("_a2") > 0, F.col("_a2")).otherwise(default))
     j = j.withColumn("_arsenal", arsenal).drop("_a1", "_a2")
@@ -49,7 +47,7 @@ def attach_batter(cands: DataFrame, wide: DataFrame) -> DataFrame:
     profile has no column for (UNKNOWN) takes the fixed defaults."""
     stats = ["whiff_rate", "chase_rate", "zone_contact_rate", "gb_rate", "xwoba"]
     w = wide.select("batter", *[F.col(f"{s}_vs_{c}").alias(f"_w_{s}_{c}") for s in stats for c in CATS])
-    df = cands.join(checked_broadcast(w), "batter", "left").withColumn("pitch_category", pitch_category("pitch_type"))
+    df = cands.join(w, "batter", "left").withColumn("pitch_category", pitch_category("pitch_type"))
     cat = F.col("pitch_category")
     cols = {}
     for s in stats:
@@ -74,7 +72,7 @@ def attach_pitcher(cands: DataFrame, profiles: DataFrame) -> DataFrame:
     throws with both — else category defaults (unknown -> FB)."""
     p = profiles.groupBy("pitcher", "pitch_type").agg(
         F.min_by(F.struct("p_throws", *PROFILE_FIELDS), F.col("p_throws")).alias("_p"))
-    df = cands.join(checked_broadcast(p), ["pitcher", "pitch_type"], "left")
+    df = cands.join(p, ["pitcher", "pitch_type"], "left")
     cat = F.col("pitch_category")
     found = F.col("_p").isNotNull()
 
@@ -211,13 +209,15 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model, carry=CARR
     g = g.withColumn("zone", coords_to_zone("plate_x", "plate_z").cast("long"))
     g = g.withColumns({
         "in_zone": ((F.col("zone") >= 1) & (F.col("zone") <= 9)).cast("int"),
-        "loc_horizontal": loc_horizontal_scoring("plate_x"),
-        "loc_vertical": loc_vertical_scoring("plate_z"),
+        # the buckets the model was trained on (right-closed); the left-closed
+        # scoring buckets stay functions of their own
+        "loc_horizontal": loc_horizontal("plate_x"),
+        "loc_vertical": loc_vertical("plate_z"),
     })
     z = zone_long.select(F.col("batter").alias("_zb"), F.col("zone").cast("long").alias("_zz"),
                          F.lit(True).alias("_zhit"),
                          *[F.col(s).alias(f"_z_{s}") for s in ["swing_rate", "whiff_rate", "contact_rate", "xwoba"]])
-    g = g.join(checked_broadcast(z), (F.col("batter") == F.col("_zb")) & (F.col("zone") == F.col("_zz")), "left")
+    g = g.join(z, (F.col("batter") == F.col("_zb")) & (F.col("zone") == F.col("_zz")), "left")
     dflt = {"swing_rate": 0.5, "whiff_rate": 0.25, "contact_rate": 0.75, "xwoba": 0.32}
     g = g.withColumns({f"batter_{s}_at_zone": F.when(F.col("_zhit"), F.col(f"_z_{s}")).otherwise(F.lit(d))
                        for s, d in dflt.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in dflt])

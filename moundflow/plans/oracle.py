@@ -546,10 +546,13 @@ def _arch_label() -> str:
 
 cte("arch", ["raw"], archetypes_sql("SELECT batter FROM raw"))
 cte("hreq", ["req", "arch"], f"""
-SELECT r.*, coalesce(a.lbl, 'unknown') AS archetype,
+SELECT r.*, coalesce(a.lbl, f.lbl, 'unknown') AS archetype,
   coalesce(r.on_2b <> 0, false) OR coalesce(r.on_3b <> 0, false) AS risp
 FROM req r LEFT JOIN (SELECT CAST(batter AS VARCHAR) AS q, {_arch_label()} AS lbl FROM arch) a
-  ON a.q = trim(CAST(r.batter AS VARCHAR))""")
+  ON a.q = trim(r.batter_query)
+LEFT JOIN (SELECT q, min_by(lbl, batter) AS lbl FROM (SELECT DISTINCT lower(trim(batter_query)) AS q FROM req) u
+  JOIN (SELECT batter, {_arch_label()} AS lbl, lower(concat_ws(chr(10), CAST(batter AS VARCHAR), CAST(cluster AS VARCHAR), label,
+    CAST(pct_hard_hit AS VARCHAR))) AS txt FROM arch) t ON contains(t.txt, u.q) GROUP BY q) f ON f.q = lower(trim(r.batter_query))""")
 cte("hlist", ["arsenal12"], "SELECT pitcher, list(pitch_type ORDER BY pitch_type) AS pitches FROM arsenal12 GROUP BY pitcher")
 cte("hc", ["hreq", "hlist"], f"""
 SELECT h.*, coalesce(l.pitches, {K.HEURISTIC_DEFAULT_ARSENAL}) AS pitches FROM hreq h LEFT JOIN hlist l ON l.pitcher = h.pitcher""")

@@ -189,12 +189,12 @@ register(Query("r09_legacy_summary", lambda t: RE.legacy_summary(_recommend(t)),
                "request_id:i best_pitch:s best_rv:f options:i", source="legacy"))
 register(Query(
     "r10_heuristic_candidates",
-    lambda t: HE.next_pitch_candidates(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw)),
+    lambda t: HE.next_pitch_candidates(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw), "batter_query"),
     "request_id:i rank:i pitch:s pct:f location:s score:f archetype:s expected_after_re:f is_top:b",
     source="hcand"))
 register(Query(
     "r11_heuristic_sequence",
-    lambda t: HE.recommend_sequence(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw)),
+    lambda t: HE.recommend_sequence(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw), key="batter_query"),
     "request_id:i batter_archetype:s seq_1:s seq_2:s seq_3:s loc_1:s loc_2:s loc_3:s confidence:f strategy_notes:s",
     source="hseq"))
 
@@ -279,7 +279,7 @@ def _gbt_metrics(t: Tables):
 
 def _gbt_importance(t: Tables):
     model, _, _, df = ML.train(t.features)
-    return ML.feature_importance(model, model.transform(df.limit(1)))
+    return ML.feature_importance(model, model.transform(df))
 
 
 def _recommend_with_model(t: Tables):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "moundflow") -> SparkSession:
@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # lookups are broadcast by the size they turn out to have
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
@@ -37,31 +39,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) is a scratch folder created.
+    ``spark.checkpoint.dir`` (or the folder the context already has) is used as
+    it is.  Only a local session without either gets a scratch folder of its
+    own; on a cluster a folder of the driver's machine would be of no use to the
+    executors, so that is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:        # a session without a SparkContext handle (Spark Connect)
-        sc = None
-    if not d and sc is not None:
-        d = sc.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="moundflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc is not None and not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def task_slots(spark: SparkSession, per_slot: int = 4) -> int:
     """A partition count proportional to the cluster's task slots, for
     small tables that fan out (AQE would otherwise coalesce them into a few
@@ -71,31 +65,3 @@ def task_slots(spark: SparkSession, per_slot: int = 4) -> int:
     except Exception:        # no SparkContext handle: fall back to the shuffle width
         slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, slots * per_slot)
-
-
-# a lookup table is broadcast only when rows x columns x 16 bytes fits here
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a derived lookup table only after checking its size.
-
-    The table (a per-player profile, an arsenal summary, a rollup level) is
-    persisted and counted in one small job, then broadcast when
-    rows x columns x 16 bytes is under ``max_bytes``; otherwise it is returned
-    as is and the join stays a shuffle (sort-merge) join.  The big side is
-    never broadcast and, under the bound, never shuffled for the join.  The
-    persisted copy is recomputed from its (deterministic) lineage if an
-    executor holding it is lost."""
-    from pyspark.sql import functions as F
-    small, ok = checked_small(df, max_bytes)
-    return F.broadcast(small) if ok else small
-
-
-def checked_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES):
-    """Persist and count a derived table once; returns (table, fits) where
-    ``fits`` says whether rows x columns x 16 bytes is under ``max_bytes``."""
-    from pyspark import StorageLevel
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return small, n * max(1, len(small.columns)) * 16 <= max_bytes

@@ -6,6 +6,7 @@ task on executor loss.
 """
 from __future__ import annotations
 
+import functools
 import logging
 from typing import Iterable
 
@@ -42,50 +43,104 @@ PITCH_LOG_SCHEMA = T.StructType([
 ])
 
 
+def list_files(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """The data files under paths (files, folders or globs), by any file system
+    Spark reads; hidden and marker files are skipped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        for top in fs.globStatus(at) or []:
+            it = fs.listFiles(top.getPath(), True) if top.isDirectory() else None
+            if it is None:
+                out.append(top.getPath().toString())
+            while it is not None and it.hasNext():
+                f = it.next().getPath()
+                if not f.getName().startswith(("_", ".")):
+                    out.append(f.toString())
+    return sorted(out)
+
+
 def read_pitch_log(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
-    """Projected scan of a raw pitch log.  Wanted columns that exist are
+    """Projected scan of raw pitch logs.  Wanted columns that exist are
     read with their declared types (bad values become null); missing ones are
-    reported and added as typed nulls so the plan shape is fixed.  Only the
-    header is read eagerly (to learn which columns exist)."""
+    reported and added as typed nulls so the plan shape is fixed.  Only headers
+    are read eagerly.  CSV files are grouped by header, each group is read by
+    its own column names and the groups are united by name, so files may order
+    or choose their columns differently."""
     paths = [path] if isinstance(path, str) else list(path)
-    if fmt == "csv":
-        header = spark.read.option("header", True).csv(paths).columns
-    else:
-        header = spark.read.format(fmt).load(paths).columns
-    wanted = [f for f in PITCH_LOG_SCHEMA.fields if f.name in header]
-    missing = [f.name for f in PITCH_LOG_SCHEMA.fields if f.name not in header]
+    if fmt != "csv":
+        return _typed(spark.read.format(fmt).option("mergeSchema", True).load(paths), False)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in list_files(spark, paths):
+        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    if not groups:
+        raise FileNotFoundError(f"no files at {paths}")
+    frames = [_typed(spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).option("header", True)
+                     .option("mode", "PERMISSIVE").csv(files), True) for header, files in sorted(groups.items())]
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def _typed(raw: DataFrame, text: bool) -> DataFrame:
+    """The wanted columns of a raw log under their declared types."""
+    missing = [f.name for f in PITCH_LOG_SCHEMA.fields if f.name not in raw.columns]
     if missing:
         log.warning("missing columns: %s", missing)
-    if fmt == "csv":
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    else:
-        raw = spark.read.format(fmt).load(paths)
-    df = raw.select(*[F.col(f.name).cast("string").try_cast(f.dataType).alias(f.name) if fmt == "csv"
-                      else F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
-    df = df.withColumns({m: F.lit(None).cast(PITCH_LOG_SCHEMA[m].dataType) for m in missing})
-    return df.withColumn("game_date", F.to_date("game_date"))
+    cols = [F.lit(None).cast(f.dataType) if f.name in missing else F.col(f.name).try_cast(f.dataType) if text else F.col(f.name).cast(f.dataType)
+            for f in PITCH_LOG_SCHEMA.fields]
+    return raw.select(*[c.alias(f.name) for c, f in zip(cols, PITCH_LOG_SCHEMA.fields)]).withColumn("game_date", F.to_date("game_date"))
+
+
+#: Lines that are searched for the header of a tolerant CSV.
+HEADER_LINES = 50
 
 
 def read_tolerant_csv(spark: SparkSession, candidates: Iterable[str], schema: T.StructType) -> DataFrame:
-    """The first candidate path that exists, malformed lines dropped, a
-    repeated header line removed; an empty typed frame when none exists."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """The first candidate path that exists, read by its header's column
+    names.  The header is the first of the first 50 lines that names one of the
+    wanted columns (junk may stand before it); wanted columns it lacks are
+    null.  Lines with another number of fields than the header, values that are
+    not of their column's type and repeated header lines are dropped.  An empty
+    typed frame when no candidate exists or none has a header."""
     for p in candidates:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(conf).exists(path):
-            df = (spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(p))
-            first = schema.fields[0].name
-            return df.filter(F.col(first).isNull() | (F.col(first).cast("string") != F.lit(first)))
+        files = list_files(spark, [p])
+        if not files:
+            continue
+        lines = [r[0] for r in spark.read.text(files[0]).limit(HEADER_LINES).collect()]
+        names = [f.name for f in schema.fields]
+        split = [[c.strip().strip('"') for c in line.split(",")] for line in lines]
+        at = next((i for i, cols in enumerate(split) if set(cols) & set(names)), None)
+        if at is None:
+            break
+        header = split[at]
+        unique = [c if header.index(c) == i and c else f"_c{i}" for i, c in enumerate(header)]
+        raw = (spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in unique]))
+               .option("mode", "DROPMALFORMED").csv(files))
+        junk = None
+        for line in split[:at]:
+            if len(line) == len(header):
+                same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v or None)) for c, v in zip(unique, line)])
+                junk = same if junk is None else junk | same
+        if junk is not None:
+            raw = raw.filter(~junk)
+        head = functools.reduce(lambda a, b: a & b, [F.trim(F.col(c)).eqNullSafe(F.lit(h or None)) for c, h in zip(unique, header)])
+        raw = raw.filter(~head)
+        for f in schema.fields:
+            if f.name in unique:
+                raw = raw.filter(F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull())
+        return raw.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in unique else F.lit(None).cast(f.dataType)).alias(f.name)
+                            for f in schema.fields])
     return spark.createDataFrame([], schema)
 
 
 def write_pitch_table(df: DataFrame, path: str, partition_by: str = "game_year") -> None:
     """Parquet sink for pitch-grain tables, partitioned by season so
-    later reads prune by year; files sorted by game within each season."""
+    later reads prune by year.  Rows are dealt by ranges of (season, game), so
+    a season is written by many tasks, each file holding a range of games."""
     if partition_by == "game_year" and "game_year" not in df.columns:
         df = df.withColumn("game_year", F.year("game_date"))
-    (df.repartition(partition_by).sortWithinPartitions("game_pk")
+    (df.repartitionByRange(partition_by, "game_pk").sortWithinPartitions(partition_by, "game_pk")
      .write.mode("overwrite").partitionBy(partition_by).parquet(path))
 
 
@@ -119,14 +174,13 @@ def run_expectancy_table(spark: SparkSession, path: str | None = None) -> DataFr
 
 def name_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, name) CSV -> one row per name, the last line winning for a
-    duplicated name, sorted by name.  The line number comes from the file's
-    position (input file + offset), not from a driver-side loop."""
+    duplicated name, sorted by name.  "Last" is by file name, then by the place
+    of the split in the file, then by the line in the split."""
     df = spark.read.option("header", True).csv(path)
     id_col, name_col = df.columns[0], df.columns[1]
-    df = df.withColumn("_line", F.monotonically_increasing_id())
-    return (df.groupBy(F.col(name_col).alias("name"))
-            .agg(F.max_by(F.col(id_col), F.col("_line")).alias("id"))
-            .orderBy("name"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    df = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), place.alias("_line"))
+    return df.groupBy("name").agg(F.max_by("id", "_line").alias("id")).orderBy("name")
 
 
 def resolve_names(requests: DataFrame, names: DataFrame, name_col: str, id_out: str) -> DataFrame:
@@ -141,5 +195,6 @@ def write_metadata(spark: SparkSession, path: str, metrics: DataFrame, feature_c
     """Metrics per split plus the feature lists as JSON documents."""
     cfg = spark.createDataFrame([(feature_cols, numeric, categorical)],
                                 "feature_cols array<string>, numeric_cols array<string>, categorical_cols array<string>")
-    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    # one small file each: the rows (one per split) are gathered after they are computed
+    metrics.repartition(1).write.mode("overwrite").json(f"{path}/metrics")
     cfg.coalesce(1).write.mode("overwrite").json(f"{path}/inference_config")

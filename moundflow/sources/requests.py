@@ -13,6 +13,8 @@ from moundflow.sources.pitch_view import read_table
 
 # One recommendation request per order: pitcher ids run past the supplier
 # range (id 0, and profile-less pitchers) so every fallback path is used.
+# batter_query is what a user typed: an id, an absent id, part of a label or of
+# any other value, something unknown, nothing.
 REQUESTS_SQL = """
 SELECT o_orderkey AS request_id,
   o_orderkey % (SELECT count(*) FROM {supplier}) AS pitcher,
@@ -29,7 +31,11 @@ SELECT o_orderkey AS request_id,
   CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'FF' WHEN 2 THEN 'SL' ELSE 'CH' END AS last_pitch_type,
   1 + o_orderkey % 4 AS pitch_num_in_ab,
   CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE CAST(o_orderkey % 5 AS STRING) || '-' || CAST(o_orderkey % 4 AS STRING) END AS count_text,
-  CASE WHEN o_orderkey % 9 >= 6 THEN TRUE ELSE FALSE END AS late_inning
+  CASE WHEN o_orderkey % 9 >= 6 THEN TRUE ELSE FALSE END AS late_inning,
+  CASE o_orderkey % 12 WHEN 1 THEN 'Patient' WHEN 3 THEN ' contact/PULL ' WHEN 5 THEN 'No Such Name'
+    WHEN 7 THEN CAST(7000000 + o_custkey AS STRING) WHEN 9 THEN '0.' || CAST(o_custkey % 100 AS STRING)
+    WHEN 10 THEN NULL WHEN 11 THEN CAST(100000 + o_custkey % 7 AS STRING)
+    ELSE CAST(CASE WHEN o_custkey % 10 = 0 THEN 1000 + o_custkey ELSE o_custkey % 60 END AS STRING) END AS batter_query
 FROM {orders}
 """
 

@@ -10,20 +10,24 @@ Rules per event (count "b-s", outs, runners):
 
 T1 (batch) is a distributed ordered scan, safe for a session holding a
 large share of all events:
-  1. range-partition the log by (session, ts, seq) and sort inside each
-     partition — a huge session is split over several partitions;
-  2. pass 1 (``mapInPandas``) folds each partition's first and last
-     session run from all 12 possible incoming counts at once and emits
-     that run's summary (<= 2 small rows per partition);
+  1. range-partition the log by (session, ts, seq), sort inside each
+     partition and write it once with its partition number — a huge session
+     is split over several partitions;
+  2. pass 1 (``mapInArrow``) folds each partition's first and last session
+     run from all 12 possible incoming counts at once and emits that run's
+     summary (<= 2 small rows per partition);
   3. the summaries (bounded by the number of partitions, not by data) are
      chained in partition order to get each split run's incoming state;
-  4. pass 2 (``mapInPandas``) replays every partition from those states
+  4. pass 2 (``mapInArrow``) replays every partition from those states
      and emits the per-event trace.
-Memory per task is one Arrow batch plus a constant-size state.
-
-T2 (stream) applies the same step function in ``applyInPandasWithState``
-keyed by session, remembering the last processed (ts, seq) so replays and
-duplicates are ignored, with an event-time timeout to drop idle sessions.
+An outcome is a table over the 12 counts; the tables of a batch of events are
+composed by doubling, so no step runs per event.  Memory per task is one Arrow
+batch plus a constant-size state.
+
+T2 (stream) holds events in ``applyInPandasWithState`` keyed by session until
+the watermark passes them, so events out of order within the watermark are
+folded in order; replays and duplicates are ignored; what is older than the
+watermark is dropped by Spark and counted (``late_rows``).
 """
 from __future__ import annotations
 
@@ -31,7 +35,8 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundflow.session import ensure_checkpoint_dir
@@ -39,151 +44,177 @@ from moundflow.session import ensure_checkpoint_dir
 TRACE_SCHEMA = ("session_id long, seq long, ts timestamp, pitch string, outcome string, count_before string, "
                 "count_after string, outs_after int, on_1b boolean, on_2b boolean, on_3b boolean, "
                 "at_bat_ended boolean, at_bat_active boolean")
-SUMMARY_SCHEMA = ("pid int, which string, session_id long, n long, next_b array<int>, next_s array<int>, "
-                  "outs_add array<int>, ended_last array<boolean>, b1 string, b2 string, b3 string")
+SUMMARY_SCHEMA = ("pid int, which string, session_id long, n long, next array<int>, outs_add array<int>, "
+                  "ended_last array<boolean>, b1 int, b2 int, b3 int")
+SUMMARY_ARROW = pa.schema([("pid", pa.int32()), ("which", pa.string()), ("session_id", pa.int64()), ("n", pa.int64()),
+                           ("next", pa.list_(pa.int32())), ("outs_add", pa.list_(pa.int32())), ("ended_last", pa.list_(pa.bool_())),
+                           ("b1", pa.int32()), ("b2", pa.int32()), ("b3", pa.int32())])
 N_STATES = 12          # balls 0..3 x strikes 0..2
 
 
 # ---------------------------------------------------------------------------
-# the step function (vectorised over incoming counts)
+# outcomes as tables over the 12 counts
 # ---------------------------------------------------------------------------
-def step(b: np.ndarray, s: np.ndarray, outcome: str):
-    """Apply one outcome to arrays of counts.  Returns (b, s, ended, outs_add)
-    and the runner change for first/second/third ('set' / 'clear' / None)."""
-    nb, ns = b.copy(), s.copy()
+def step(b: int, s: int, outcome: str) -> tuple[int, int, bool, int]:
+    """One outcome on one count: (balls, strikes, ended, outs added)."""
     in_play = outcome.startswith("In play")
     if outcome == "Ball":
-        nb = np.minimum(4, b + 1)
+        b = min(4, b + 1)
     elif outcome in ("Called Strike", "Swinging Strike"):
-        ns = np.minimum(3, s + 1)
+        s = min(3, s + 1)
     elif outcome == "Foul":
-        ns = np.where(s < 2, np.minimum(2, s + 1), s)
-    walk, k = nb >= 4, ns >= 3
-    ended = walk | k | in_play
-    nb = np.where(ended, 0, nb)
-    ns = np.where(ended, 0, ns)
-    outs_add = k.astype(np.int64) + (1 if (in_play and "out" in outcome) else 0)
-    runners = [None, None, None]
-    if in_play and "out" not in outcome:
-        if "single" in outcome:
-            runners[0] = "set"
-        if "double" in outcome:
-            runners[1] = "set"
-        if "home run" in outcome:
-            runners = ["clear", "clear", "clear"]
-    return nb, ns, ended, outs_add, runners
+        s = min(2, s + 1) if s < 2 else s
+    ended = b >= 4 or s >= 3 or in_play
+    outs = int(s >= 3) + int(in_play and "out" in outcome)
+    return (0, 0, True, outs) if ended else (b, s, False, outs)
+
+
+def runner_change(outcome: str) -> tuple[int, int, int]:
+    """Per base: 1 set, -1 cleared, 0 as it was."""
+    if not outcome.startswith("In play") or "out" in outcome:
+        return 0, 0, 0
+    if "home run" in outcome:
+        return -1, -1, -1
+    return int("single" in outcome), int("double" in outcome), 0
+
 
+class Outcomes:
+    """Tables of a batch's distinct outcomes: next count, ended, outs added
+    (outcome x incoming count) and runner changes."""
 
-def _apply_runner(bit: bool, change: str | None) -> bool:
-    return True if change == "set" else False if change == "clear" else bit
+    def __init__(self, names: list[str | None]):
+        names = [n or "" for n in names]
+        steps = [[step(c // 3, c % 3, n) for c in range(N_STATES)] for n in names]
+        self.next = np.array([[b * 3 + s for b, s, _, _ in row] for row in steps], np.int8).reshape(-1, N_STATES)
+        self.ended = np.array([[e for *_, e, _ in row] for row in steps], bool).reshape(-1, N_STATES)
+        self.outs = np.array([[o for *_, o in row] for row in steps], np.int64).reshape(-1, N_STATES)
+        self.runner = np.array([runner_change(n) for n in names], np.int8).reshape(-1, 3)
 
 
-def _compose_runner(first: str | None, then: str | None) -> str | None:
-    return then if then is not None else first
+def compose(tables: np.ndarray) -> np.ndarray:
+    """Running composition of (n, 12) tables by doubling: row i takes an
+    incoming count through events 0..i."""
+    out, have = tables.copy(), 1
+    while have < len(out):
+        out[have:] = np.take_along_axis(out[have:], out[:-have].astype(np.intp), axis=1)
+        have *= 2
+    return out
+
+
+def last_set(change: np.ndarray, before: int) -> np.ndarray:
+    """The last non-zero change up to each event, ``before`` where none."""
+    at = np.maximum.accumulate(np.where(change != 0, np.arange(len(change)), -1))
+    return np.where(at >= 0, change[np.maximum(at, 0)], before)
 
 
 class Run:
-    """Summary of a contiguous run of one session's events, from all 12
-    incoming counts at once."""
+    """A stretch of one session's events, from all 12 incoming counts."""
 
     def __init__(self):
-        idx = np.arange(N_STATES)
-        self.b, self.s = idx // 3, idx % 3
-        self.outs = np.zeros(N_STATES, dtype=np.int64)
-        self.ended_last = np.zeros(N_STATES, dtype=bool)
-        self.runners = [None, None, None]
+        self.count = np.arange(N_STATES)
+        self.outs = np.zeros(N_STATES, np.int64)
+        self.ended_last = np.zeros(N_STATES, bool)
+        self.runners = [0, 0, 0]
         self.n = 0
 
-    def feed(self, outcome: str):
-        self.b, self.s, ended, add, ch = step(self.b, self.s, outcome)
-        self.outs = self.outs + add
-        self.ended_last = ended
-        self.runners = [_compose_runner(a, c) for a, c in zip(self.runners, ch)]
-        self.n += 1
+    def feed(self, codes: np.ndarray, t: Outcomes) -> None:
+        after = compose(t.next[codes]).astype(np.int64)
+        before = np.concatenate([np.arange(N_STATES)[None, :], after[:-1]])
+        outs = np.take_along_axis(t.outs[codes], before, axis=1).sum(axis=0)
+        ended = t.ended[codes[-1]][before[-1]]
+        self.outs = self.outs + outs[self.count]
+        self.ended_last = ended[self.count]
+        self.count = after[-1][self.count]
+        self.runners = [int(last_set(t.runner[codes, i], r)[-1]) for i, r in enumerate(self.runners)]
+        self.n += len(codes)
 
 
 class State:
-    """Incoming state of a session at a point of the log."""
+    """A session's state at a point of the log."""
 
-    def __init__(self, b=0, s=0, outs=0, r1=False, r2=False, r3=False, active=True):
-        self.b, self.s, self.outs, self.r = b, s, outs, [r1, r2, r3]
-        self.active = active
+    def __init__(self, count: int = 0, outs: int = 0, r1: bool = False, r2: bool = False, r3: bool = False,
+                 active: bool = True):
+        self.count, self.outs, self.r, self.active = count, outs, [r1, r2, r3], active
 
     def after(self, run: Run) -> "State":
-        i = self.b * 3 + self.s
-        return State(int(run.b[i]), int(run.s[i]), min(2, self.outs + int(run.outs[i])),
-                     *[_apply_runner(x, c) for x, c in zip(self.r, run.runners)],
+        i = self.count
+        return State(int(run.count[i]), min(2, self.outs + int(run.outs[i])),
+                     *[c > 0 if c else x for x, c in zip(self.r, run.runners)],
                      active=not bool(run.ended_last[i]) if run.n else self.active)
 
     def key(self):
-        return (self.b, self.s, self.outs, *self.r, self.active)
+        return (self.count, self.outs, *self.r, self.active)
 
 
-def fold_events(state: State, outcomes, keep_trace: bool = True):
-    """Replay outcomes from ``state``; returns the final state and the trace
+def fold_events(state: State, codes: np.ndarray, t: Outcomes):
+    """Replay events from ``state``; returns the final state and the trace
     columns (count before/after, outs, runners, ended, active)."""
-    b, s = np.array([state.b]), np.array([state.s])
-    outs, r = state.outs, list(state.r)
-    rows = []
-    active = state.active
-    for o in outcomes:
-        before = f"{int(b[0])}-{int(s[0])}"
-        b, s, ended, add, ch = step(b, s, o)
-        outs = min(2, outs + int(add[0]))
-        r = [_apply_runner(x, c) for x, c in zip(r, ch)]
-        active = not bool(ended[0])
-        if keep_trace:
-            rows.append((before, f"{int(b[0])}-{int(s[0])}", outs, r[0], r[1], r[2], bool(ended[0]), active))
-    return State(int(b[0]), int(s[0]), outs, *r, active=active), rows
+    after = compose(t.next[codes])[:, state.count].astype(np.int64)
+    before = np.concatenate([[state.count], after[:-1]])
+    outs = np.minimum(2, state.outs + np.cumsum(t.outs[codes, before]))
+    r = [last_set(t.runner[codes, i], 1 if x else -1) > 0 for i, x in enumerate(state.r)]
+    ended = t.ended[codes, before]
+    end = State(int(after[-1]), int(outs[-1]), *[bool(x[-1]) for x in r], active=not bool(ended[-1]))
+    return end, (COUNT_TEXT[before], COUNT_TEXT[after], outs, *r, ended, ~ended)
+
+
+COUNT_TEXT = np.array([f"{c // 3}-{c % 3}" for c in range(N_STATES)], dtype=object)
+TRACE_COLUMNS = ["count_before", "count_after", "outs_after", "on_1b", "on_2b", "on_3b", "at_bat_ended", "at_bat_active"]
 
 
 # ---------------------------------------------------------------------------
 # Distributed ordered scan
 # ---------------------------------------------------------------------------
 def _ordered(log: DataFrame, partitions: int | None) -> DataFrame:
-    n = partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (log.select("session_id", "seq", "ts", "pitch", "outcome")
-            .repartitionByRange(n, "session_id", "ts", "seq")
-            .sortWithinPartitions("session_id", "ts", "seq"))
-
-
-def _runs(it: Iterator[pd.DataFrame]):
-    """Yield (session_id, outcome list chunk) runs across Arrow batches."""
-    for pdf in it:
-        if len(pdf) == 0:
+    """The log in (session, ts, seq) order with the number of its partition;
+    without ``partitions`` their number follows the data (AQE)."""
+    keys = ["session_id", "ts", "seq"]
+    rows = log.select("session_id", "seq", "ts", "pitch", "outcome")
+    dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
+
+
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """Yield (pid, session_id, batch, first row, end row, outcome codes, tables):
+    the stretches of one session in one partition, batch by batch."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
             continue
-        sid = pdf["session_id"].to_numpy()
-        cuts = np.flatnonzero(sid[1:] != sid[:-1]) + 1
-        starts = np.concatenate([[0], cuts])
-        ends = np.concatenate([cuts, [len(pdf)]])
-        for a, z in zip(starts, ends):
-            yield int(sid[a]), pdf.iloc[a:z]
-
-
-def _pass1(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
-    pid = TaskContext.get().partitionId()
-    first_sid, first_run, last_sid, last_run = None, None, None, None
-    for sid, chunk in _runs(it):
-        if first_sid is None:
-            first_sid, first_run = sid, Run()
-        if sid != last_sid:
-            last_sid, last_run = sid, Run()
-        for o in chunk["outcome"]:
-            if sid == first_sid:
-                first_run.feed(o)
-            if sid == last_sid and sid != first_sid:
-                last_run.feed(o)
-    rows = []
-    for which, sid, run in (("first", first_sid, first_run), ("last", last_sid, last_run)):
-        if sid is None or (which == "last" and sid == first_sid):
-            continue
-        rows.append({"pid": pid, "which": which, "session_id": sid, "n": run.n,
-                     "next_b": run.b.astype(int).tolist(), "next_s": run.s.astype(int).tolist(),
-                     "outs_add": run.outs.astype(int).tolist(), "ended_last": run.ended_last.tolist(),
-                     "b1": run.runners[0], "b2": run.runners[1], "b3": run.runners[2]})
-    yield pd.DataFrame(rows, columns=["pid", "which", "session_id", "n", "next_b", "next_s", "outs_add",
-                                      "ended_last", "b1", "b2", "b3"])
+        col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+        pid, sid = np.asarray(col["pid"]), np.asarray(col["session_id"])
+        coded = col["outcome"].dictionary_encode(null_encoding="encode")
+        codes, tables = np.asarray(coded.indices), Outcomes(coded.dictionary.to_pylist())
+        cuts = np.flatnonzero((sid[1:] != sid[:-1]) | (pid[1:] != pid[:-1])) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
+            yield int(pid[a]), int(sid[a]), batch, a, z, codes[a:z], tables
+
+
+def _summary(pid: int, which: str, sid: int, run: Run) -> pa.RecordBatch:
+    row = {"pid": pid, "which": which, "session_id": sid, "n": run.n, "next": run.count.tolist(), "outs_add": run.outs.tolist(),
+           "ended_last": run.ended_last.tolist(), "b1": run.runners[0], "b2": run.runners[1], "b3": run.runners[2]}
+    return pa.RecordBatch.from_pylist([row], schema=SUMMARY_ARROW)
+
+
+def _pass1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summaries of each partition's first and last session run.  A task may
+    read several partitions: they are told apart by their number, not the task's."""
+    at = first = last = None
+    for pid, sid, _, _, _, codes, t in _runs(batches):
+        if at != pid:
+            if last is not None and last is not first:
+                yield _summary(at, "last", last[0], last[1])
+            if first is not None:
+                yield _summary(at, "first", first[0], first[1])
+            at, first = pid, (sid, Run())
+            last = first
+        elif sid != last[0]:
+            last = (sid, Run())
+        last[1].feed(codes, t)
+    if first is not None:
+        if last is not first:
+            yield _summary(at, "last", last[0], last[1])
+        yield _summary(at, "first", first[0], first[1])
 
 
 def _chain(summaries: list) -> dict:
@@ -193,8 +224,7 @@ def _chain(summaries: list) -> dict:
     open_sid, open_state = None, None
     for row in sorted(summaries, key=lambda r: (r["pid"], 0 if r["which"] == "first" else 1)):
         run = Run()
-        run.b, run.s = np.array(row["next_b"]), np.array(row["next_s"])
-        run.outs, run.ended_last = np.array(row["outs_add"]), np.array(row["ended_last"])
+        run.count, run.outs, run.ended_last = np.array(row["next"]), np.array(row["outs_add"]), np.array(row["ended_last"])
         run.runners, run.n = [row["b1"], row["b2"], row["b3"]], row["n"]
         sid = row["session_id"]
         state = open_state if sid == open_sid else State()
@@ -205,20 +235,32 @@ def _chain(summaries: list) -> dict:
 
 
 def _pass2_fn(starts: dict):
-    def _pass2(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carried = starts.get(pid)
-        cur_sid, cur = None, None
-        for sid, chunk in _runs(it):
-            if sid != cur_sid:
-                cur_sid = sid
-                cur = State(*carried[1]) if (carried and carried[0] == sid and cur is None) else State()
-            cur, rows = fold_events(cur, chunk["outcome"].tolist())
-            out = chunk[["session_id", "seq", "ts", "pitch", "outcome"]].reset_index(drop=True)
-            tr = pd.DataFrame(rows, columns=["count_before", "count_after", "outs_after", "on_1b", "on_2b",
-                                             "on_3b", "at_bat_ended", "at_bat_active"])
-            yield pd.concat([out, tr], axis=1)
+    def _pass2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cur_sid, cur, parts, whole = None, None, None, [], None
+
+        def out(batch, parts):
+            cols = [np.concatenate([p[i] for p in parts]) for i in range(len(TRACE_COLUMNS))]
+            named = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            base = [named[c] for c in ("session_id", "seq", "ts", "pitch", "outcome")]
+            types = [pa.string(), pa.string(), pa.int32(), *[pa.bool_()] * 5]
+            return pa.RecordBatch.from_arrays([*base, *[pa.array(c, t) for c, t in zip(cols, types)]],
+                                              names=["session_id", "seq", "ts", "pitch", "outcome", *TRACE_COLUMNS])
+
+        for pid, sid, batch, a, z, codes, t in _runs(batches):
+            if batch is not whole:
+                if whole is not None:
+                    yield out(whole, parts)
+                whole, parts = batch, []
+            if pid != at:
+                carried = starts.get(pid)
+                cur = State(*carried[1]) if carried and carried[0] == sid else State()
+            elif sid != cur_sid:
+                cur = State()
+            at, cur_sid = pid, sid
+            cur, columns = fold_events(cur, codes, t)
+            parts.append(columns)
+        if whole is not None:
+            yield out(whole, parts)
     return _pass2
 
 
@@ -231,19 +273,20 @@ def atbat_trace(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     ensure_checkpoint_dir(log.sparkSession)
     ordered = _ordered(log, partitions).checkpoint(eager=True)
-    summaries = [r.asDict() for r in ordered.mapInPandas(_pass1, SUMMARY_SCHEMA).collect()]
-    starts = _chain(summaries)
-    return ordered.mapInPandas(_pass2_fn(starts), TRACE_SCHEMA)
+    return trace_of(ordered)
+
+
+def trace_of(ordered: DataFrame) -> DataFrame:
+    """The trace of an ordered log with partition numbers (``_ordered``); its
+    rows may meanwhile be read by fewer tasks (``coalesce``)."""
+    summaries = [r.asDict() for r in ordered.mapInArrow(_pass1, SUMMARY_SCHEMA).collect()]
+    return ordered.mapInArrow(_pass2_fn(_chain(summaries)), TRACE_SCHEMA)
 
 
 def atbat_summary(trace: DataFrame) -> DataFrame:
     """One row per session — final count, outs, runners, whether the
-    at-bat is still active, pitch count and the ordered history.
-
-    The last event per session is a ``max_by`` (partial aggregate).  The
-    history text is built per session from the trace; it grows with the
-    session, so it is meant for at-bat sessions (bounded by the game's rules),
-    not for whole user logs."""
+    at-bat is still active, pitch count and at-bats ended.  The last event per
+    session is a ``max_by`` (partial aggregate)."""
     last = F.struct("ts", "seq")
     return trace.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_pitches"),
@@ -275,67 +318,63 @@ def atbat_export_json(trace: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------------------
 # Streaming fold
 # ---------------------------------------------------------------------------
-STATE_SCHEMA = "b int, s int, outs int, r1 boolean, r2 boolean, r3 boolean, active boolean, last_ts timestamp, last_seq long"
-
-
-def _stream_fn(key, pdfs, state):
-    (sid,) = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        b, s, outs, r1, r2, r3, active, last_ts, last_seq = state.get
-        cur = State(b, s, outs, r1, r2, r3, active)
-        last = (pd.Timestamp(last_ts), last_seq)
-    else:
-        cur, last = State(), None
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
-    if last is not None:
-        keep = (pdf["ts"] > last[0]) | ((pdf["ts"] == last[0]) & (pdf["seq"] > last[1]))
-        pdf = pdf[keep]
-    pdf = pdf.drop_duplicates(subset=["ts", "seq"])
-    if len(pdf):
-        cur, rows = fold_events(cur, pdf["outcome"].tolist())
-        out = pdf[["session_id", "seq", "ts", "pitch", "outcome"]].reset_index(drop=True)
-        tr = pd.DataFrame(rows, columns=["count_before", "count_after", "outs_after", "on_1b", "on_2b", "on_3b",
-                                         "at_bat_ended", "at_bat_active"])
-        last_row = pdf.iloc[-1]
-        state.update((cur.b, cur.s, cur.outs, cur.r[0], cur.r[1], cur.r[2], cur.active,
-                      last_row["ts"].to_pydatetime(), int(last_row["seq"])))
-        yield pd.concat([out, tr], axis=1)
-    if state.exists:
-        # drop the session once event time passes its last event by the gap
-        state.setTimeoutTimestamp(int(pd.Timestamp(state.get[7]).timestamp() * 1000) + IDLE_GAP_MS)
-
-
+STATE_SCHEMA = ("count int, outs int, r1 boolean, r2 boolean, r3 boolean, active boolean, last_ts timestamp, last_seq long, "
+                "ts array<timestamp>, seq array<long>, pitch array<string>, outcome array<string>")
+#: A session is forgotten when the watermark is so far past its last event; a
+#: later event starts the session anew.  None keeps sessions for ever.
 IDLE_GAP_MS = 6 * 3600 * 1000
 
 
-def atbat_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def _stream_fn(idle_gap_ms: int | None):
+    def fold(key, pdfs, state):
+        if state.exists:
+            count, outs, r1, r2, r3, active, last_ts, last_seq, ts, seq, pitch, outcome = state.get
+            cur = State(count, outs, r1, r2, r3, active)
+            last = (pd.Timestamp(last_ts), last_seq) if last_ts is not None else None
+            held = pd.DataFrame({"ts": pd.to_datetime(pd.Series(list(ts), dtype="datetime64[ns]")), "seq": list(seq), "pitch": list(pitch), "outcome": list(outcome)})
+        else:
+            cur, last, held = State(), None, None
+        new = [] if state.hasTimedOut else [p[["ts", "seq", "pitch", "outcome"]] for p in pdfs]
+        pdf = pd.concat([x for x in [held, *new] if x is not None and len(x)] or [held if held is not None else pd.DataFrame(columns=["ts", "seq", "pitch", "outcome"])], ignore_index=True)
+        pdf = pdf.drop_duplicates(subset=["ts", "seq"]).sort_values(["ts", "seq"], kind="mergesort")
+        if last is not None and len(pdf):
+            pdf = pdf[(pdf["ts"] > last[0]) | ((pdf["ts"] == last[0]) & (pdf["seq"] > last[1]))]
+        mark = state.getCurrentWatermarkMs()
+        ready = pdf[pdf["ts"] < pd.Timestamp(mark, unit="ms")] if len(pdf) and mark > 0 else pdf.iloc[:0]
+        rest = pdf.iloc[len(ready):]
+        if len(ready):
+            codes, names = pd.factorize(ready["outcome"], use_na_sentinel=False)
+            cur, columns = fold_events(cur, codes, Outcomes([n if isinstance(n, str) else None for n in names]))
+            out = ready[["seq", "ts", "pitch", "outcome"]].reset_index(drop=True)
+            out.insert(0, "session_id", key[0])
+            last = (ready["ts"].iloc[-1], int(ready["seq"].iloc[-1]))
+            yield pd.concat([out, pd.DataFrame(dict(zip(TRACE_COLUMNS, columns)))], axis=1)
+        if not len(rest) and state.hasTimedOut and not len(ready):
+            state.remove()                  # idle for the gap
+            return
+        state.update((cur.count, cur.outs, *map(bool, cur.r), cur.active, last[0].to_pydatetime() if last else None, last[1] if last else None,
+                      [t.to_pydatetime() for t in rest["ts"]], [int(x) for x in rest["seq"]], rest["pitch"].tolist(), rest["outcome"].tolist()))
+        if len(rest):
+            # wake when the watermark passes the oldest event held
+            state.setTimeoutTimestamp(max(int(rest["ts"].iloc[0].timestamp() * 1000), mark) + 1)
+        elif idle_gap_ms is not None:
+            state.setTimeoutTimestamp(max(int(last[0].timestamp() * 1000), mark) + idle_gap_ms)
+    return fold
+
+
+def atbat_stream(events: DataFrame, watermark: str = "1 hour", idle_gap_ms: int | None = IDLE_GAP_MS) -> DataFrame:
     """Streaming per-event trace; ``events`` is a streaming DataFrame
-    with session_id, seq, ts, pitch, outcome."""
+    with session_id, seq, ts, pitch, outcome.  An event is emitted once the
+    watermark has passed it, in (ts, seq) order whatever the arrival order; a
+    session's held events are those of one watermark's length."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
             .groupBy("session_id")
-            .applyInPandasWithState(_stream_fn, TRACE_SCHEMA, STATE_SCHEMA, "append",
+            .applyInPandasWithState(_stream_fn(idle_gap_ms), TRACE_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
-def replay_stream(spark: SparkSession, log: DataFrame, folder: str, chunks: int = 4) -> DataFrame:
-    """Write the ordered log as ``chunks`` files (by time) and run T2 over
-    them one file per micro-batch; returns the collected trace as a batch
-    DataFrame read back from the sink folder."""
-    import os
-    src, out, ck = os.path.join(folder, "src"), os.path.join(folder, "out"), os.path.join(folder, "ck")
-    # test helper: the replayed log is small, a global ntile is fine here
-    bounded = log.withColumn("_chunk", F.ntile(chunks).over(Window.orderBy("ts", "seq")))
-    for i in range(1, chunks + 1):
-        bounded.filter(F.col("_chunk") == i).drop("_chunk").write.mode("overwrite").parquet(os.path.join(src, f"c{i:04d}"))
-    schema = log.schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    q = (atbat_stream(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ck).outputMode("append").start())
-    q.processAllAvailable()
-    q.stop()
-    return spark.read.schema(TRACE_SCHEMA).parquet(out)
+def late_rows(query) -> int:
+    """Rows a running or ended T2 query has dropped as older than its
+    watermark, from the progress it reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

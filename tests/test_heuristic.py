@@ -48,3 +48,17 @@ def test_candidates_share(spark):
     # Patient: FF 2.0, CU 1.0 + .7 (late, 2 outs) -> 2.0 / 1.7
     assert [(r.pitch, r.pct, r.score) for r in rows] == [("FF", 54.1, 2.0), ("CU", 45.9, 1.7)]
     assert rows[0].is_top and not rows[1].is_top
+
+
+def test_matching_is_first_by_file_order_and_unique(spark):
+    rows = [(1, 20, 1, None, 0.1), (2, 20, 0, None, 0.2), (3, 7, 3, "Patient Hitter", 0.3), (4, 5, None, "Über Slugger", 0.4), (5, None, 2, "No Id", 0.5)]
+    arch = spark.createDataFrame(rows, "line int, batter long, cluster long, label string, pct_hard_hit double")
+    asked = ["20", " 20 ", "patient", "HITTER", "über", "99", "4", "o i", "", "zz", None, "0.3", "slugger!", "7"]
+    req = spark.createDataFrame(list(enumerate(asked)), "request_id int, batter string")
+    m = HE.match_archetypes(req, arch, line="line")
+    got = {r.request_id: r.archetype for r in m.collect()}
+    assert m.count() == len(asked)
+    assert got == {0: "Contact Hitter", 1: "Contact Hitter", 2: "Patient Hitter", 3: "Patient Hitter", 4: "Über Slugger", 5: "unknown",
+                   6: "Über Slugger", 7: "No Id", 8: "Contact Hitter", 9: "unknown", 10: "unknown", 11: "Patient Hitter", 12: "unknown", 13: "Patient Hitter"}
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -42,8 +42,7 @@ def test_rolling_folds(spark, small_dir):
 
 
 def test_older_trainer(spark, small_dir):
-    f = Tables(spark, small_dir).features
-    model, err = ML.train_random_split(f, max_iter=3)
+    model, err = ML.train_random_split(ML.older_features(Tables(spark, small_dir).pitches), max_iter=3)
     rmse = err.first().rmse
     assert rmse is not None and rmse > 0
 

@@ -1,5 +1,6 @@
 """ML thresholds (not equality): the fitted model beats predicting the
 training mean on the held-out split, and fitting is repeatable."""
+import pytest
 from pyspark.sql import functions as F
 
 from moundflow.operators import model as ML
@@ -20,5 +21,39 @@ def test_beats_mean_and_repeatable(spark):
     a = ML.predict(model, df, "p").select("p").collect()
     b = ML.predict(model2, df, "p").select("p").collect()
     assert a == b
-    imp = ML.feature_importance(model, model.transform(df.limit(1)))
+    imp = ML.feature_importance(model, model.transform(df))
     assert imp.count() == 30 and imp.filter(F.col("importance") < 0).count() == 0
+
+
+@pytest.mark.parametrize("losses,stop", [([3, 2, 1], None), ([3, 4, 2] + [5] * 9, None), ([3, 4, 2] + [5] * 10, 13), ([1] * 11, 11), ([], None)])
+def test_patience_rule(losses, stop):
+    assert ML.stop_round(losses, 10) == stop
+
+
+def test_boosting_goes_past_a_round_that_does_not_improve(spark):
+    """The holdout loss of some round is no better than before, yet more trees
+    follow and lower it again: a patience of one would have stopped there."""
+    f = Tables(spark, "/root/testdata/sf0.001").features
+    df = ML.time_split(f.filter(F.col("run_value").isNotNull()))
+    numeric, categorical = ML.column_types(df)
+    df = ML.prepare(df, categorical).repartition(2, "game_pk").sortWithinPartitions("game_pk", "at_bat_number", "pitch_number").checkpoint()
+    tr = df.filter(F.col("split") == "train")
+    tr = tr.withColumn("_es_holdout", ML.holdout_flag(tr, 0.3))
+    model = ML.fit_boosted(tr, numeric, categorical, max_depth=3, step=0.3, max_iter=60)
+    gbt = model.stages[-1]
+    held = model.transform(tr.filter("_es_holdout")).drop("prediction")
+    losses = gbt.evaluateEachIteration(held, "squared")
+    first = next((i for i in range(1, len(losses)) if losses[i] >= min(losses[:i])), None)
+    assert first is not None and gbt.getNumTrees > first + 1 and gbt.getNumTrees >= ML.K.GBT_PATIENCE
+    assert gbt.getNumTrees == (ML.stop_round(losses) or 60)
+
+
+def test_older_trainer(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = ML.older_features(t.pitches)
+    model, err = ML.train_random_split(rows, max_iter=3)
+    assert list(model.stages[0].getInputCols()) == ML.K.OLD_NUMERIC and model.stages[0].getStrategy() == "median"
+    assert list(model.stages[1].getInputCols()) == ML.K.OLD_CATEGORICAL
+    assert err.first().rmse > 0
+    with pytest.raises(ValueError):
+        ML.train_random_split(rows.drop("zone"))

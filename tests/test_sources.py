@@ -86,3 +86,64 @@ def test_model_save_load(spark, small_dir):
     a = ML.predict(model, df, "p").select("p").collect()
     b = ML.predict(again, df, "p").select("p").collect()
     assert a == b
+
+
+def test_several_files_with_columns_in_other_order(spark):
+    d = _tmp()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("game_pk,pitcher,batter,zone\n1,10,20,5\n")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("batter,extra,pitcher,game_pk\n21,x,11,2\n")
+    for path in (d, [os.path.join(d, "b.csv"), os.path.join(d, "a.csv")], os.path.join(d, "*.csv")):
+        got = sorted((r.game_pk, r.pitcher, r.batter, r.zone) for r in FI.read_pitch_log(spark, path).collect())
+        assert got == [(1, 10, 20, 5.0), (2, 11, 21, None)]
+
+
+def test_tolerant_csv_by_header_name_after_junk(spark):
+    d = _tmp()
+    p = os.path.join(d, "ars.csv")
+    with open(p, "w") as f:
+        f.write("version https://example.org/spec/v1\nnot,a header\npitch_type,note,pitcher\nFF,x,1\nSL,y,abc\npitch_type,note,pitcher\nCU,z,2\nCH\nFF,,3\n")
+    from pyspark.sql.types import _parse_datatype_string
+    df = FI.read_tolerant_csv(spark, [p], _parse_datatype_string("pitcher long, pitch_type string, hand string"))
+    assert sorted((r.pitcher, r.pitch_type, r.hand) for r in df.collect()) == [(1, "FF", None), (2, "CU", None), (3, "FF", None)]
+
+
+def test_name_map_last_line_by_file_and_place(spark):
+    d = _tmp()
+    for name, rows in (("b.csv", "5,zed\n6,amy\n"), ("a.csv", "1,zed\n2,amy\n3,amy\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("id,name\n" + rows)
+    assert [(r.name, r.id) for r in FI.name_map(spark, d).collect()] == [("amy", "6"), ("zed", "5")]
+
+
+def test_a_season_is_written_by_many_tasks(spark, small_dir):
+    from moundflow.plans.tables import Tables
+    d = os.path.join(_tmp(), "p")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        FI.write_pitch_table(Tables(spark, small_dir).pitches.select("game_pk", "game_date", "pitch_number"), d)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(x.endswith(".parquet") for x in os.listdir(os.path.join(d, "game_year=2024"))) > 1
+
+
+def test_checkpoint_folder_is_not_local_on_a_cluster():
+    import pytest
+    from moundflow.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
