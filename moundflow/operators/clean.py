@@ -2,9 +2,10 @@
 canonical order, per-job filters, clipping and minimum exposure."""
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from moundflow.functions.pitch import occupied
 
@@ -51,9 +52,10 @@ def with_tiebreak(df: DataFrame) -> DataFrame:
 def dedup_pitches(df: DataFrame, key=PITCH_KEY) -> DataFrame:
     """C4: keep the first row (lowest tie-break) per pitch key.
 
-    Written as a hash aggregate with ``min_by``: the aggregate is partial, so
-    copies of one pitch collapse map-side before the shuffle and a key with
-    a huge number of copies never lands whole in one task.  (``dropDuplicates``
+    Written as an aggregate with ``min_by``: the aggregate is partial (sort
+    based, as its buffer is a row), so copies of one pitch collapse map-side
+    before the shuffle and a key with a huge number of copies never lands whole
+    in one task.  (``dropDuplicates``
     keeps an arbitrary row; a row_number window would sort every copy.)
     """
     df = with_tiebreak(df)
@@ -65,27 +67,32 @@ def dedup_pitches(df: DataFrame, key=PITCH_KEY) -> DataFrame:
 
 def clean_pitches(raw: DataFrame, report: Observation | None = None) -> DataFrame:
     """C1-C4 in order; C5 (canonical order) is carried by the window specs
-    downstream, not by a global sort.  ``report`` (C8) collects the before /
-    after counts with no extra pass over the data."""
-    df = raw
-    if report is not None:
-        df = df.observe(report, F.count(F.lit(1)).alias("rows_in"))
+    downstream, not by a global sort.  ``report`` counts the rows read with no
+    extra pass; ``cleaning_report`` has the counts before and after."""
+    df = raw if report is None else raw.observe(report, F.count(F.lit(1)).alias("rows_in"))
     df = required_fields(df)
     df = coerce_types(df)
     df = base_occupancy(df)
-    df = dedup_pitches(df)
-    return df
+    return dedup_pitches(df)
+
+
+def cleaning_report(raw: DataFrame, key=PITCH_KEY) -> DataFrame:
+    """One row: rows before, rows with the required fields, rows after
+    de-duplication, and the difference of before and after."""
+    key = [k for k in key if k in raw.columns]
+    have = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED if c in raw.columns])
+    # one row per pitch key: copies collapse map-side
+    per = raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(have, 1)).alias("ok"))
+    out = per.agg(F.sum("n").alias("rows_before"), F.sum("ok").alias("rows_complete"), F.count(F.when(F.col("ok") > 0, 1)).alias("rows_after"))
+    return out.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
 
 
 def clip_columns(df: DataFrame, bounds: dict) -> DataFrame:
-    """Clip named columns to [lo, hi] (documented by the reference, off by default)."""
-    return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)) for c, (lo, hi) in bounds.items()})
+    """Clip named columns to [lo, hi] (documented by the reference, off by
+    default); nulls stay null."""
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))) for c, (lo, hi) in bounds.items()})
 
 
 def min_exposure(df: DataFrame, count_col: str, k: int) -> DataFrame:
     """Keep groups with at least k observations."""
     return df.filter(F.col(count_col) >= k)
-
-
-def is_text(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, StringType)

@@ -187,7 +187,7 @@ CARRY = ["pitch_type", "pitch_category", "predicted_rv", "probability", "current
          "batter_whiff_rate_vs_this_cat", "batter_chase_rate_vs_this_cat", "batter_xwoba_vs_this_cat"]
 
 
-def optimize_locations(cands: DataFrame, zone_long: DataFrame, model, carry=CARRY) -> DataFrame:
+def optimize_locations(cands: DataFrame, zone_long: DataFrame, model=None, carry=CARRY, scorer: Column | None = None) -> DataFrame:
     """Score 25 grid cells per candidate and keep the lowest predicted
     run value (first cell wins ties).
 
@@ -197,7 +197,8 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model, carry=CARR
     cell number and the candidate's output columns (carried in a narrow
     struct, so no join back and no recomputation of the candidate plan).
     Candidates arrive hash-partitioned by request, so the reduction and the
-    later rank window add no shuffle.
+    later rank window add no shuffle.  ``scorer``, a column over the cell's and
+    the candidate's columns, takes the model's place.
     """
     keep = F.struct(*[F.col(c) for c in carry]).alias("_cand")
     g = cands.select("request_id", "arsenal_pos", keep, *[F.col(c) for c in cands.columns
@@ -222,13 +223,17 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model, carry=CARR
     g = g.withColumns({f"batter_{s}_at_zone": F.when(F.col("_zhit"), F.col(f"_z_{s}")).otherwise(F.lit(d))
                        for s, d in dflt.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in dflt])
     # score only what the model reads: narrow rows through the transformer chain
-    if model is not None:
+    if scorer is not None:
+        g, needed = g.withColumn("_cell_rv", scorer), ["_cell_rv"]
+    elif model is not None:
         from moundflow.operators.model import model_inputs
         needed = model_inputs(model)
     else:
         needed = ["batter_whiff_rate_vs_this_cat"]
     g = g.select("request_id", "arsenal_pos", "_cand", "cell_no", *[c for c in needed if c in g.columns])
-    g = score(g, model, out="_cell_rv").select("request_id", "arsenal_pos", "_cand", "cell_no", "_cell_rv")
+    if scorer is None:
+        g = score(g, model, out="_cell_rv")
+    g = g.select("request_id", "arsenal_pos", "_cand", "cell_no", "_cell_rv")
     best = g.groupBy("request_id", "arsenal_pos").agg(
         F.first("_cand").alias("_cand"),
         F.min_by(F.struct(F.col("cell_no"), F.col("_cell_rv")),

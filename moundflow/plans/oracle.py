@@ -819,3 +819,62 @@ SELECT policy, avg(run_value) AS mean_rv, avg(CAST(in_zone AS DOUBLE)) AS strike
     AND f.loc_horizontal || '-' || f.loc_vertical = b.worst_location
   UNION ALL SELECT 'in_zone', run_value, in_zone FROM features WHERE in_zone = 1) u
 GROUP BY policy""")
+
+# --- text input, reports, clipping, exposure, geometry, names, location grid ---
+def _bad(col: str, kind: str) -> str:
+    return f"TRY_CAST(CASE WHEN src_key % 7 = 0 THEN 'n/a' ELSE CAST({col} AS VARCHAR) END AS {kind}) AS {col}"
+
+
+cte("coerced", ["raw"], f"""
+SELECT src_key, {_bad('release_speed', 'DOUBLE')}, {_bad('plate_x', 'DOUBLE')}, {_bad('zone', 'DOUBLE')}, {_bad('balls', 'DOUBLE')},
+  {_bad('game_date', 'DATE')} FROM raw""")
+cte("creport", ["raw", "clean"], """
+SELECT (SELECT count(*) FROM raw) AS rows_before,
+  (SELECT count(*) FROM raw WHERE pitcher IS NOT NULL AND batter IS NOT NULL AND pitch_type IS NOT NULL AND description IS NOT NULL) AS rows_complete,
+  (SELECT count(*) FROM clean) AS rows_after, (SELECT count(*) FROM raw) - (SELECT count(*) FROM clean) AS rows_dropped""")
+
+
+def _clip(col: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN {col} < {_d(lo)} THEN {_d(lo)} WHEN {col} > {_d(hi)} THEN {_d(hi)} ELSE {col} END AS {col}"
+
+
+cte("clipped", ["raw"], f"SELECT src_key, {_clip('release_speed', 70.0, 95.0)}, {_clip('plate_x', -1.0, 1.0)}, {_clip('plate_z', 1.0, 4.0)} FROM raw")
+cte("exposed", ["bcounts"], "SELECT batter, pitch_category, total_pitches FROM bcounts WHERE total_pitches >= 50")
+
+
+def sql_zone_of(x: str, z: str) -> str:
+    w, h = (K.SZ_RIGHT - K.SZ_LEFT) / 3, (K.SZ_TOP - K.SZ_BOTTOM) / 3
+    column = f"least(greatest(floor(({x} - {_d(K.SZ_LEFT)}) / {_d(w)}), 0), 2)"
+    row = f"least(greatest(2 - floor(({z} - {_d(K.SZ_BOTTOM)}) / {_d(h)}), 0), 2)"
+    return (f"(CASE WHEN {x} BETWEEN {_d(K.SZ_LEFT)} AND {_d(K.SZ_RIGHT)} AND {z} BETWEEN {_d(K.SZ_BOTTOM)} AND {_d(K.SZ_TOP)} "
+            f"THEN CAST({row} * 3 + {column} + 1 AS INTEGER) WHEN {z} > {_d(K.SZ_TOP)} THEN 11 WHEN {z} < {_d(K.SZ_BOTTOM)} THEN 12 "
+            f"WHEN {x} < {_d(K.SZ_LEFT)} THEN 13 ELSE 14 END)")
+
+
+def _steps(col: str, edges, labels) -> str:
+    return "CASE " + " ".join(f"WHEN {col} < {_d(e)} THEN '{b}'" for e, b in zip(edges[1:-1], labels)) + f" ELSE '{labels[-1]}' END"
+
+
+cte("locrules", ["clean"], f"""
+SELECT game_pk, at_bat_number, pitch_number, {sql_zone_of('plate_x', 'plate_z')} AS zone_of_coords,
+  {_steps('plate_x', K.H_EDGES, K.H_LABELS)} AS h_scoring, {_steps('plate_z', K.V_EDGES, K.V_LABELS)} AS v_scoring,
+  CASE WHEN plate_x < {_d(-K.LABEL_X)} THEN 'inside' WHEN plate_x > {_d(K.LABEL_X)} THEN 'outside' ELSE 'middle' END || '-' ||
+  CASE WHEN plate_z < {_d(K.LABEL_Z_LOW)} THEN 'low' WHEN plate_z > {_d(K.LABEL_Z_HIGH)} THEN 'high' ELSE 'mid' END AS label
+FROM clean""")
+cte("retable", ["seq", "re24"], """
+SELECT outs, bases_state, pitches, v AS run_expectancy FROM (SELECT outs, bases_state, count(*) AS pitches FROM seq GROUP BY ALL) s
+LEFT JOIN re24 ON o = outs AND b = bases_state""")
+cte("resolved", [], """
+SELECT request_id, who, player_id, player_id IS NOT NULL AS player_id_resolved FROM (
+  SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 8 = 0 THEN 'Nobody ' ELSE 'Customer ' END || CAST(o_custkey AS VARCHAR) AS who FROM orders) r
+LEFT JOIN (SELECT 'Customer ' || CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR) AS name,
+  max(c_custkey) AS player_id FROM customer GROUP BY name) n ON n.name = r.who""")
+_CELLS = ", ".join(f"({i}, {_d(x)}, {_d(z)})" for i, (x, z) in enumerate((x, z) for x in K.GRID_X for z in K.GRID_Z))
+cte("grid", ["rc", "zlong"], f"""
+SELECT request_id, arsenal_pos, pitch_type, x AS plate_x, z AS plate_z, zone, CASE WHEN zone <= 9 THEN 1 ELSE 0 END AS in_zone, s AS expected_rv
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id, arsenal_pos ORDER BY s, cell) AS k FROM (
+  SELECT rc.request_id, rc.arsenal_pos, rc.pitch_type, c.cell, c.x, c.z, c.zone,
+    CASE WHEN l.batter IS NULL THEN 0.25E0 ELSE l.whiff_rate END * -0.2E0 + CASE WHEN l.batter IS NULL THEN 0.32E0 ELSE l.xwoba END * 0.1E0
+      + abs(c.x) * 0.01E0 + CASE WHEN c.z > 1.8E0 AND c.z <= 2.5E0 THEN 0.004E0 ELSE 0.0E0 END AS s
+  FROM rc CROSS JOIN (SELECT cell, x, z, {sql_zone_of('x', 'z')} AS zone FROM (VALUES {_CELLS}) v(cell, x, z)) c
+  LEFT JOIN zlong l ON l.batter = rc.batter AND l.zone = c.zone) u) w WHERE k = 1""")

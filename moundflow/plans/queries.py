@@ -351,3 +351,61 @@ register(Query("a24_unique_batters", lambda t: AN.unique_players(t.raw, "batter"
 register(Query("a25_decision_quality",
                lambda t: AN.decision_quality(t.features, AN.best_worst_location(t.features)),
                "policy:s mean_rv:f strike_share:f n:i", source="dq"))
+
+# --- text input, reports, clipping, exposure, geometry, names, location grid ---
+from moundflow.functions import location as LOC  # noqa: E402
+from moundflow.operators import clean as CL  # noqa: E402
+from moundflow.sources import files as FI  # noqa: E402
+
+
+def _as_text(t: Tables):
+    """The raw log as text with values that do not parse."""
+    bad = F.col("src_key") % 7 == 0
+    text = {c: F.when(bad, F.lit("n/a")).otherwise(F.col(c).cast("string")) for c in ("release_speed", "plate_x", "zone", "balls", "game_date")}
+    return CL.coerce_types(t.raw.withColumns(text))
+
+
+register(Query("c02_coerced_text", _as_text, "src_key:i release_speed:f plate_x:f zone:f balls:f game_date:d", source="coerced"))
+register(Query("c08_cleaning_report", lambda t: CL.cleaning_report(t.raw), "rows_before:i rows_complete:i rows_after:i rows_dropped:i", source="creport"))
+register(Query("c09_clipped", lambda t: CL.clip_columns(t.raw, {"release_speed": (70.0, 95.0), "plate_x": (-1.0, 1.0), "plate_z": (1.0, 4.0)}),
+               "src_key:i release_speed:f plate_x:f plate_z:f", source="clipped"))
+register(Query("c10_min_exposure", lambda t: CL.min_exposure(t.batter_counts, "total_pitches", 50),
+               "batter:i pitch_category:s total_pitches:i", source="exposed"))
+register(Query(
+    "e16_location_rules",
+    lambda t: t.clean.select(*CL.PITCH_KEY, LOC.coords_to_zone("plate_x", "plate_z").alias("zone_of_coords"),
+                             LOC.loc_horizontal_scoring("plate_x").alias("h_scoring"), LOC.loc_vertical_scoring("plate_z").alias("v_scoring"),
+                             LOC.location_label("plate_x", "plate_z").alias("label")),
+    f"{KEY} zone_of_coords:i h_scoring:s v_scoring:s label:s", source="locrules"))
+register(Query(
+    "s06_re_table_join",
+    lambda t: t.pitches.groupBy("outs", "bases_state").agg(F.count(F.lit(1)).alias("pitches")).join(
+        FI.run_expectancy_table(t.spark), ["outs", "bases_state"], "left"),
+    "outs:i bases_state:s pitches:i run_expectancy:f", source="retable"))
+
+
+def _resolved(t: Tables):
+    """Requests by customer name, some of them unknown, to ids: the last
+    customer of a name wins (every tenth shares its name with the one before)."""
+    shared = F.when(F.col("c_custkey") % 10 == 0, F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
+    names = FI.names_of(t.table("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Customer "), shared.cast("string")).alias("name"),
+                                                   F.col("c_custkey").alias("line")), "line")
+    asked = t.table("orders").select(F.col("o_orderkey").alias("request_id"),
+                                     F.concat(F.when(F.col("o_orderkey") % 8 == 0, "Nobody ").otherwise("Customer "), F.col("o_custkey").cast("string")).alias("who"))
+    return FI.resolve_names(asked, names, "who", "player_id")
+
+
+register(Query("j11_resolved_names", _resolved, "request_id:i who:s player_id:i player_id_resolved:b", source="resolved"))
+
+
+def _grid(t: Tables):
+    """R6's 25 cells per candidate with a scorer that depends on the place."""
+    c = RE.resolve_arsenal(_requests(t).select("request_id", "pitcher", "batter"), t.pitcher_arsenals, t.pitcher_profiles)
+    scorer = (F.col("batter_whiff_rate_at_zone") * F.lit(-0.2) + F.col("batter_xwoba_at_zone") * F.lit(0.1)
+              + F.abs(F.col("plate_x")) * F.lit(0.01) + F.when(F.col("loc_vertical") == "mid_low", 0.004).otherwise(0.0))
+    best = RE.optimize_locations(c, t.zone_long, carry=["pitch_type"], scorer=scorer)
+    return best.select("request_id", "arsenal_pos", "pitch_type", "location.*")
+
+
+register(Query("r06_location_grid", _grid,
+               "request_id:i arsenal_pos:i pitch_type:s plate_x:f plate_z:f zone:i in_zone:i expected_rv:f", source="grid"))

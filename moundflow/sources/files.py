@@ -179,8 +179,13 @@ def name_map(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).csv(path)
     id_col, name_col = df.columns[0], df.columns[1]
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    df = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), place.alias("_line"))
-    return df.groupBy("name").agg(F.max_by("id", "_line").alias("id")).orderBy("name")
+    return names_of(df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), place.alias("_line")), "_line")
+
+
+def names_of(rows: DataFrame, line: str) -> DataFrame:
+    """(id, name) rows -> one row per name with the id of its last row by
+    ``line``, sorted by name."""
+    return rows.groupBy("name").agg(F.max_by("id", line).alias("id")).orderBy("name")
 
 
 def resolve_names(requests: DataFrame, names: DataFrame, name_col: str, id_out: str) -> DataFrame:
