@@ -210,11 +210,23 @@ def eprv_by_context(dist: DataFrame, rv_table: DataFrame) -> DataFrame:
         F.sum(F.col("p") * F.coalesce(F.col("_rv"), F.lit(0.0))).alias("raw_eprv"))
 
 
-def eprv_candidates(candidates: DataFrame, eprv: DataFrame, baseline: DataFrame) -> DataFrame:
+def count_distribution(dist: DataFrame) -> DataFrame:
+    """The backoff of ``outcome_distribution``: P(outcome | count) over all
+    pitch types, from the same additive counts."""
+    g = dist.groupBy("count", "outcome").agg(F.sum("n").alias("n"))
+    return g.select("count", F.lit("*").alias("pitch_type"), "outcome", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("count"))).alias("p"))
+
+
+def eprv_candidates(candidates: DataFrame, eprv: DataFrame, baseline: DataFrame, by_count: DataFrame | None = None) -> DataFrame:
     """R12 per candidate: raw EPRV, its baseline by backoff, and
     RVAA = raw - baseline.  ``candidates`` has request_id, count, pitch_type,
-    zone, p_throws, stand."""
+    zone, p_throws, stand.  A (count, pitch type) that was never seen takes the
+    EPRV of its count (``by_count``: ``eprv_by_context`` of
+    ``count_distribution``), so it stays in the choice."""
     c = candidates.join(eprv, ["count", "pitch_type"], "left")
+    if by_count is not None:
+        c = c.join(by_count.select("count", F.col("raw_eprv").alias("_of_count")), "count", "left")
+        c = c.withColumn("raw_eprv", F.coalesce("raw_eprv", "_of_count")).drop("_of_count")
     c = baseline_lookup(c, baseline)
     return c.withColumn("rvaa", F.col("raw_eprv") - F.col("baseline_rv"))
 

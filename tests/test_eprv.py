@@ -56,3 +56,18 @@ def test_deterministic_repeated_runs(spark):
     _, a = _run(spark, dist, rv, bl, [(1, "0-0", "FF", 5, "R", "R")])
     _, b = _run(spark, dist, rv, bl, [(1, "0-0", "FF", 5, "R", "R")])
     assert a.collect() == b.collect()
+
+
+def test_unseen_context_backs_off_to_its_count(spark):
+    dist = spark.createDataFrame([("0-0", "FF", "ball", 3), ("0-0", "SL", "1B", 1), ("1-0", "FF", "foul", 2)],
+                                 "count string, pitch_type string, outcome string, n long")
+    per_count = AN.count_distribution(dist)
+    assert {(r["count"], r.outcome): r.p for r in per_count.collect()} == {("0-0", "ball"): 0.75, ("0-0", "1B"): 0.25, ("1-0", "foul"): 1.0}
+    rv = spark.createDataFrame([("ball", "0-0", 0.1), ("1B", "0-0", 0.5)], "outcome string, count string, rv double")
+    bl = _baseline(spark, [("0-0", "*", "*", "*", "*", 15, 0.0, 1)])
+    c = spark.createDataFrame([(1, "0-0", "KN", 5, "R", "R")], "request_id int, count string, pitch_type string, zone int, p_throws string, stand string")
+    from pyspark.sql import functions as F
+    seen = AN.eprv_by_context(dist.withColumn("p", F.lit(1.0)), rv)
+    assert AN.choose_eprv(AN.eprv_candidates(c, seen, bl)).first().best_pitch is None
+    best = AN.choose_eprv(AN.eprv_candidates(c, seen, bl, AN.eprv_by_context(per_count, rv))).first()
+    assert best.best_pitch == "KN" and abs(best.raw_eprv - 0.2) < 1e-9
