@@ -196,3 +196,13 @@ RULE_LOCATIONS = {
     "FS": ("outside", "low"),
 }
 RULE_DEFAULT = ("outside", "low")
+# the cell each pitch type should stay out of (none for other types)
+RULE_AVOID = {"FF": "middle-low", "SI": "high-middle", "SL": "middle", "CU": "middle-middle", "CH": "middle-high", "FS": "middle"}
+# buckets that fit a rule-based location (horizontal, vertical)
+RULE_BUCKETS = {
+    "away-low": (["outside", "outside_outside"], ["low"]),
+    "in-low": (["inside", "inside_inside"], ["low"]),
+    "in-high": (["inside", "inside_inside"], ["high"]),
+    "inside-or-outside-low": (["inside", "inside_inside", "outside", "outside_outside"], ["low"]),
+    "middle-outside-low": (["middle", "outside"], ["low"]),
+}

@@ -92,6 +92,19 @@ def rule_based_location(pitch_type, stand) -> Column:
             .otherwise(F.concat_ws("-", h, v)))
 
 
+def rule_avoid(pitch_type) -> Column:
+    """The location the design table warns of; null for other types."""
+    return F.try_element_at(literal_map(K.RULE_AVOID), _c(pitch_type))
+
+
+def fits_rule(location, horizontal, vertical) -> Column:
+    """Whether location buckets are those a rule-based location asks for."""
+    fit = F.lit(False)
+    for name, (h, v) in K.RULE_BUCKETS.items():
+        fit = fit | ((_c(location) == name) & _c(horizontal).isin(*h) & _c(vertical).isin(*v))
+    return F.coalesce(fit, F.lit(False))
+
+
 def location_grid(spark):
     """The 25 candidate cells (x-major), with zone and in-zone flag.
     A fixed 25-row table, safe to broadcast."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import free, named, row_key
+from moundflow.llm.base import free, named, row_key, saved
 
 WINDOW = 3
 
@@ -38,7 +38,8 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all texts share costs a row per text and no pairs."""
     w = line_windows(docs, id_col, text_col, window)
     place = F.struct(F.col("id").isNull().alias("z"), "id", "r1", "r2", "s")
-    first = (w.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    # written first: adaptive execution splits the hot keys of a join of plain shuffles
+    first = saved(w.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     marked = w.join(first, ["a", "b"]).where(place > F.col("first"))
     return marked.groupBy("r1", "r2").agg(F.collect_set("s").alias("at")).select(
         "r1", "r2", _flags(F.col("at")).alias("later"))

@@ -250,19 +250,22 @@ def repeated_runs(docs: DataFrame, spec: Spec, keep_first: bool = False, max_gro
     occ = docs.mapInArrow(_occurrences(spec), OCC_SQL)
     known = (occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi"))
              .where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
-    found = saved(occ.join(known, "key"))
+    # written first: a join of two plain shuffles is one whose hot keys adaptive
+    # execution splits, a join with an aggregate in the same stage is not
+    found = saved(occ.join(saved(known), "key"))
     place = F.struct("r2", "r1", "p")
     s, n = F.shiftright("p", 24), F.shiftright("p", 12).bitwiseAND(F.lit(PLACE - 1))
     whole = F.struct(s.alias("a"), (s + n + (spec.length - 1)).alias("b")).alias("run")
     equal = found.where(~F.col("mixed"))
     if keep_first:
-        equal = equal.join(equal.groupBy("key").agg(F.min(place).alias("f")), "key").where(place > F.col("f"))
+        equal = equal.join(saved(equal.groupBy("key").agg(F.min(place).alias("f"))), "key").where(place > F.col("f"))
     # mixed grams: equal pieces collapse to their first place
     mixed = found.where("mixed")
-    same = mixed.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f"))
-    kinds = same.groupBy("key").agg((F.count(F.lit(1)) > max_group).alias("hot"))
-    mixed = saved(mixed.join(same, ["key", "ph"]).join(kinds, "key")
-                  .select("key", "r1", "r2", "p", "hot", (F.col("c") > 1).alias("more"), (place == F.col("f")).alias("lead")))
+    same = saved(mixed.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")))
+    many = saved(same.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_group).select("key", F.lit(True).alias("hot")))
+    mixed = saved(mixed.join(same, ["key", "ph"]).join(many, "key", "left")
+                  .select("key", "r1", "r2", "p", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("c") > 1).alias("more"),
+                          (place == F.col("f")).alias("lead")))
     copies = mixed.where(~F.col("lead") if keep_first else F.col("more"))
     want = mixed.where("lead").groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "p", "hot")).alias("want"))
     cut = saved(packed(docs).join(want, ["r1", "r2"]).mapInArrow(_cut(spec), CUT_SQL))
@@ -270,7 +273,7 @@ def repeated_runs(docs: DataFrame, spec: Spec, keep_first: bool = False, max_gro
     close = cool.mapInArrow(_compare(spec, keep_first), RUNS_SQL)
     start = F.struct("r2", "r1", "s")
     hot = cut.where("hot").select("key", "key2", "r1", "r2", "s")
-    often = hot.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("c"), F.min(start).alias("f")).where("c > 1").drop("c")
+    often = saved(hot.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("c"), F.min(start).alias("f")).where("c > 1").drop("c"))
     hot = hot.join(often, ["key", "key2"]).where(start > F.col("f") if keep_first else F.lit(True))
     runs = (equal.select("r1", "r2", whole).unionByName(copies.select("r1", "r2", whole))
             .unionByName(close.select("r1", "r2", F.struct("a", "b").alias("run")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moundflow import constants as K
+from moundflow.functions.location import fits_rule, rule_based_location
 from moundflow.functions.pitch import _c, is_contact, is_swing, outcome_class, safe_divide
 
 
@@ -255,17 +257,24 @@ def calibration(df: DataFrame, predicted: str, observed: str, bins: int = 10) ->
 
 # A25 -----------------------------------------------------------------------
 def decision_quality(features: DataFrame, best_worst: DataFrame) -> DataFrame:
-    """Mean run value and strike share of pitches by location policy:
-    every pitch ('actual'), pitches thrown in their type's best cell
-    ('recommended'), in its worst cell ('worst'), inside the zone ('in_zone').
-    Each pitch is tagged with the policies it satisfies (at most 4 rows)."""
+    """Mean run value and strike share of pitches by location policy: every
+    pitch ('actual'), those thrown in their type's best cell ('recommended'), in
+    its worst ('worst'), where the rule table wants them ('rule_based'), in a
+    cell drawn for the pitch ('random', by its key), inside the zone
+    ('in_zone').  Choose ``best_worst`` on other games than ``features``
+    (``by_game``), else 'recommended' is judged on the rows that chose it."""
     cell = F.concat_ws("-", "loc_horizontal", "loc_vertical")
     bw = best_worst.select("pitch_type", "best_location", "worst_location")
     j = features.join(bw, "pitch_type", "left")
+    drawn = F.pmod(F.col("game_pk") * 31 + F.col("at_bat_number") * 17 + F.col("pitch_number") * 7, F.lit(len(K.H_LABELS) * len(K.V_LABELS)))
+    cells = F.array(*[F.lit(f"{h}-{v}") for h in K.H_LABELS for v in K.V_LABELS])
+    rule = fits_rule(rule_based_location("pitch_type", "stand"), "loc_horizontal", "loc_vertical")
     tags = F.filter(F.array(
         F.lit("actual"),
         F.when(cell == F.col("best_location"), F.lit("recommended")),
         F.when(cell == F.col("worst_location"), F.lit("worst")),
+        F.when(rule, F.lit("rule_based")),
+        F.when(cell == F.get(cells, drawn.cast("int")), F.lit("random")),
         F.when(F.col("in_zone") == 1, F.lit("in_zone"))), lambda x: x.isNotNull())
     t = j.select(F.explode(tags).alias("policy"), "run_value", "in_zone")
     return t.groupBy("policy").agg(F.avg("run_value").alias("mean_rv"),
@@ -273,6 +282,12 @@ def decision_quality(features: DataFrame, best_worst: DataFrame) -> DataFrame:
                                    F.count(F.lit(1)).alias("n"))
 
 
+def by_game(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two halves of the games: one to choose locations on, one to judge them."""
+    odd = F.pmod(F.col("game_pk"), F.lit(2)) == 1
+    return features.filter(~odd), features.filter(odd)
+
+
 # S10 -----------------------------------------------------------------------
 def season_union(*seasons: DataFrame) -> DataFrame:
     out = seasons[0]

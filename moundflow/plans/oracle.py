@@ -405,15 +405,19 @@ cte("rvloc", ["features"], """
 SELECT loc_horizontal, loc_vertical, GROUPING(loc_horizontal, loc_vertical) AS level,
   avg(run_value) AS mean_rv, count(*) AS pitches
 FROM features GROUP BY GROUPING SETS ((loc_horizontal), (loc_vertical), (loc_horizontal, loc_vertical))""")
-cte("bestloc", ["features"], """
+def _best_locations(features: str) -> str:
+    return f"""
 WITH cells AS (
   SELECT pitch_type, loc_horizontal || '-' || loc_vertical AS cell, avg(run_value) AS mean_rv
-  FROM features WHERE loc_horizontal IS NOT NULL AND loc_vertical IS NOT NULL
+  FROM {features} WHERE loc_horizontal IS NOT NULL AND loc_vertical IS NOT NULL
   GROUP BY pitch_type, loc_horizontal, loc_vertical),
 r AS (SELECT *, row_number() OVER (PARTITION BY pitch_type ORDER BY mean_rv, cell) AS rb,
              row_number() OVER (PARTITION BY pitch_type ORDER BY mean_rv DESC, cell) AS rw FROM cells)
 SELECT b.pitch_type, b.cell AS best_location, b.mean_rv AS best_rv, w.cell AS worst_location, w.mean_rv AS worst_rv
-FROM r b JOIN r w ON w.pitch_type = b.pitch_type AND w.rw = 1 WHERE b.rb = 1""")
+FROM r b JOIN r w ON w.pitch_type = b.pitch_type AND w.rw = 1 WHERE b.rb = 1"""
+
+
+cte("bestloc", ["features"], _best_locations("features"))
 cte("baseline", ["seq"], f"""
 SELECT CASE WHEN GROUPING("count") = 1 THEN '*' ELSE "count" END AS "count",
   CASE WHEN GROUPING(pitch_type) = 1 THEN '*' ELSE pitch_type END AS pitch_type,
@@ -804,8 +808,9 @@ def _rule_sql() -> str:
 
 
 cte("rule_loc", ["seq"], f"""
-SELECT rule_location, pitch_type, count(*) AS pitches, avg(run_value) AS mean_rv
-FROM (SELECT *, {_rule_sql()} AS rule_location FROM seq) s GROUP BY rule_location, pitch_type""")
+SELECT rule_location, rule_avoid, pitch_type, count(*) AS pitches, avg(run_value) AS mean_rv
+FROM (SELECT *, {_rule_sql()} AS rule_location, CASE pitch_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in K.RULE_AVOID.items())} END AS rule_avoid
+  FROM seq) s GROUP BY rule_location, rule_avoid, pitch_type""")
 cte("search", ["raw"], """
 SELECT pitcher, count(*) AS pitches FROM raw
 WHERE strpos(lower(concat_ws('|', inning_topbot, p_throws, stand, pitch_type, description, events)), 'home_run') > 0
@@ -816,14 +821,21 @@ SELECT count(*) AS pitches, count(DISTINCT pitcher) AS pitchers, count(DISTINCT
 FROM (SELECT * FROM raw WHERE game_date < DATE '2024-06-01'
       UNION ALL SELECT * FROM raw WHERE game_date >= DATE '2024-06-01' OR game_date IS NULL) u""")
 cte("players", ["raw"], "SELECT DISTINCT CAST(batter AS BIGINT) AS batter FROM raw WHERE batter IS NOT NULL")
-cte("dq", ["features", "bestloc"], """
+cte("bestloc_even", ["features"], _best_locations("(SELECT * FROM features WHERE game_pk % 2 = 0)"))
+_FITS = " OR ".join(f"(rule = '{n}' AND loc_horizontal IN ({', '.join(map(_q, h))}) AND loc_vertical IN ({', '.join(map(_q, v))}))"
+                    for n, (h, v) in K.RULE_BUCKETS.items())
+_LIST = "[" + ", ".join(f"'{h}-{v}'" for h in K.H_LABELS for v in K.V_LABELS) + "]"
+cte("odd", ["features"], f"""
+SELECT *, CASE WHEN loc_horizontal IS NOT NULL AND loc_vertical IS NOT NULL THEN loc_horizontal || '-' || loc_vertical END AS cell,
+  {_rule_sql()} AS rule FROM features WHERE game_pk % 2 = 1""")
+cte("dq", ["odd", "bestloc_even"], f"""
 SELECT policy, avg(run_value) AS mean_rv, avg(CAST(in_zone AS DOUBLE)) AS strike_share, count(*) AS n FROM (
-  SELECT 'actual' AS policy, run_value, in_zone FROM features
-  UNION ALL SELECT 'recommended', f.run_value, f.in_zone FROM features f JOIN bestloc b ON b.pitch_type = f.pitch_type
-    AND f.loc_horizontal || '-' || f.loc_vertical = b.best_location
-  UNION ALL SELECT 'worst', f.run_value, f.in_zone FROM features f JOIN bestloc b ON b.pitch_type = f.pitch_type
-    AND f.loc_horizontal || '-' || f.loc_vertical = b.worst_location
-  UNION ALL SELECT 'in_zone', run_value, in_zone FROM features WHERE in_zone = 1) u
+  SELECT run_value, in_zone, 'actual' AS policy FROM odd
+  UNION ALL SELECT run_value, in_zone, 'recommended' FROM odd JOIN bestloc_even b USING (pitch_type) WHERE cell = b.best_location
+  UNION ALL SELECT run_value, in_zone, 'worst' FROM odd JOIN bestloc_even b USING (pitch_type) WHERE cell = b.worst_location
+  UNION ALL SELECT run_value, in_zone, 'rule_based' FROM odd WHERE {_FITS}
+  UNION ALL SELECT run_value, in_zone, 'random' FROM odd WHERE cell = {_LIST}[1 + (game_pk * 31 + at_bat_number * 17 + pitch_number * 7) % {len(K.H_LABELS) * len(K.V_LABELS)}]
+  UNION ALL SELECT run_value, in_zone, 'in_zone' FROM odd WHERE in_zone = 1) u
 GROUP BY policy""")
 
 # --- text input, reports, clipping, exposure, geometry, names, location grid ---

@@ -316,7 +316,7 @@ register(Query(
     source="atsum"))
 
 # --- older run value, extra sequence columns, rule locations, search, union --
-from moundflow.functions.location import rule_based_location  # noqa: E402
+from moundflow.functions.location import rule_avoid, rule_based_location  # noqa: E402
 from moundflow.operators import runvalue as RV  # noqa: E402
 from moundflow.operators import sequence as SQ  # noqa: E402
 
@@ -332,9 +332,9 @@ register(Query("w14_extra_sequence", lambda t: SQ.add_extra_sequence(t.pitches),
                f"{KEY} last_pitch_swing:b fastball_pct_this_ab:f", source="seq_extra"))
 register(Query(
     "e26_rule_based_location",
-    lambda t: t.pitches.withColumn("rule_location", rule_based_location("pitch_type", "stand"))
-    .groupBy("rule_location", "pitch_type").agg(F.count(F.lit(1)).alias("pitches"), F.avg("run_value").alias("mean_rv")),
-    "rule_location:s pitch_type:s pitches:i mean_rv:f", source="rule_loc"))
+    lambda t: t.pitches.withColumns({"rule_location": rule_based_location("pitch_type", "stand"), "rule_avoid": rule_avoid("pitch_type")})
+    .groupBy("rule_location", "rule_avoid", "pitch_type").agg(F.count(F.lit(1)).alias("pitches"), F.avg("run_value").alias("mean_rv")),
+    "rule_location:s rule_avoid:s pitch_type:s pitches:i mean_rv:f", source="rule_loc"))
 register(Query(
     "e27_text_search",
     lambda t: AN.text_search(t.raw, "home_run", ["inning_topbot", "p_throws", "stand", "pitch_type", "description",
@@ -351,9 +351,14 @@ def _seasons(t: Tables):
 
 register(Query("s10_season_union", _seasons, "pitches:i pitchers:i batters:i pitcher_pitches:i", source="seasons"))
 register(Query("a24_unique_batters", lambda t: AN.unique_players(t.raw, "batter"), "batter:i", source="players"))
-register(Query("a25_decision_quality",
-               lambda t: AN.decision_quality(t.features, AN.best_worst_location(t.features)),
-               "policy:s mean_rv:f strike_share:f n:i", source="dq"))
+
+
+def _decision_quality(t: Tables):
+    chosen_on, judged_on = AN.by_game(t.features)
+    return AN.decision_quality(judged_on, AN.best_worst_location(chosen_on))
+
+
+register(Query("a25_decision_quality", _decision_quality, "policy:s mean_rv:f strike_share:f n:i", source="dq"))
 
 # --- text input, reports, clipping, exposure, geometry, names, location grid ---
 from moundflow.functions import location as LOC  # noqa: E402
