@@ -538,8 +538,11 @@ FROM (
       CASE WHEN balls = 3 AND category = 'FB' THEN {_q(K.REASON_NEED_STRIKE)} END) AS txt
   FROM rs) t""")
 cte("legacy", ["recommend"], """
-SELECT request_id, first(pitch_type ORDER BY rank) AS best_pitch, first(predicted_rv ORDER BY rank) AS best_rv,
-  count(*) AS options FROM recommend GROUP BY request_id""")
+SELECT g.*, m.predictions FROM (
+  SELECT request_id, first(pitch_type ORDER BY rank) AS best_pitch, first(predicted_rv ORDER BY rank) AS best_rv,
+    count(*) AS options FROM recommend GROUP BY request_id) g
+JOIN (SELECT request_id, string_agg(pitch_type || ':' || CAST(CAST(floor(predicted_rv * 1000000.0 + 0.501) AS BIGINT) AS VARCHAR), ',' ORDER BY pitch_type)
+  AS predictions FROM (SELECT DISTINCT request_id, pitch_type, predicted_rv FROM recommend) d GROUP BY request_id) m USING (request_id)""")
 
 
 def _arch_label() -> str:

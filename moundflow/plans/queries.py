@@ -185,8 +185,16 @@ register(Query(
     "request_id:i rank:i pitch_type:s category:s predicted_rv:f expected_re_after:f probability:f "
     "probability_pct:f batter_whiff_rate:f batter_chase_rate:f batter_xwoba:f reasoning:s loc_plate_x:f "
     "loc_plate_z:f loc_zone:i loc_in_zone:b loc_expected_rv:f location_label:s", source="recommend"))
-register(Query("r09_legacy_summary", lambda t: RE.legacy_summary(_recommend(t)),
-               "request_id:i best_pitch:s best_rv:f options:i", source="legacy"))
+
+
+def _legacy(t: Tables):
+    """The pitch -> run value map as text, values in millionths."""
+    entry = lambda e: F.concat(e["key"], F.lit(":"), F.floor(e["value"] * 1000000.0 + 0.501).cast("string"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("predictions")), entry), ",")
+    return RE.legacy_summary(_recommend(t)).withColumn("predictions", text)
+
+
+register(Query("r09_legacy_summary", _legacy, "request_id:i best_pitch:s best_rv:f options:i predictions:s", source="legacy"))
 register(Query(
     "r10_heuristic_candidates",
     lambda t: HE.next_pitch_candidates(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw), "batter_query"),
@@ -274,21 +282,33 @@ def _calibration(t: Tables):
 register(Query("a26_calibration", _calibration, "bin:i mean_predicted:f observed_rate:f n:i", source="a26"))
 
 
+_FITS: dict[tuple[str, str], tuple] = {}
+
+
+def _trained(t: Tables):
+    """(model, split rows) of an input folder.  A fit is repeatable, so the three
+    queries that need the model share one per session; its rows are a checkpoint
+    in the shared folder, nothing stays in executors' memory."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _FITS:
+        model, _, _, df = ML.train(t.features)
+        _FITS[key] = (model, df)
+    return _FITS[key]
+
+
 def _gbt_metrics(t: Tables):
-    model, _, _, df = ML.train(t.features)
-    scored = ML.predict(model, df, "prediction")
-    return ML.regression_metrics(scored)
+    model, df = _trained(t)
+    return ML.regression_metrics(ML.predict(model, df, "prediction"))
 
 
 def _gbt_importance(t: Tables):
-    model, _, _, df = ML.train(t.features)
+    model, df = _trained(t)
     return ML.feature_importance(model, model.transform(df))
 
 
 def _recommend_with_model(t: Tables):
-    model, _, _, _ = ML.train(t.features)
     return RE.recommend(_requests(t), t.pitcher_arsenals, t.pitcher_profiles, t.batter_wide, t.zone_long,
-                        model=model, top_n=None, optimize_location=True)
+                        model=_trained(t)[0], top_n=None, optimize_location=True)
 
 
 register(Query("m03_gbt_metrics", _gbt_metrics, "split:s n:i mse:f rmse:f mae:f r2:f explained_variance:f"))
