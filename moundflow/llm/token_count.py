@@ -87,9 +87,9 @@ class Encoder:
 
     def chunk(self, text: str) -> tuple[int, list[int], list[int]]:
         """Tokens of a chunk, the offsets of its certain boundaries and the
-        tokens before each.  A boundary counts from the second pre-token on, at a
-        character that is not white space: there a neighbour that also breaks
-        continues in the same way, whatever stood before."""
+        tokens before each.  A boundary counts from the second pre-token on, where
+        one begins at a word or mark or the one space before it: a neighbour that
+        also breaks there continues in the same way, whatever stood before."""
         e = self.tok.encode(text, add_special_tokens=False)
         words, offsets = e.word_ids, e.offsets
         at, before = [], []
@@ -102,7 +102,8 @@ class Encoder:
 
 
 def at_start(text: str, x: int) -> bool:
-    return x < len(text) and not text[x].isspace()
+    """A character that is not white space, or the one space before such a one."""
+    return x + 1 < len(text) and (not text[x].isspace() or text[x] == " " and not text[x + 1].isspace())
 
 
 #: Boundaries between units, for texts with any other white space.

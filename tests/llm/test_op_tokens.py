@@ -47,3 +47,11 @@ def test_empty_table(spark):
 def test_overlap_is_checked(spark):
     with pytest.raises(ValueError):
         T.count_tokens(brute.frame(spark, [(1, "a")]), overlap=T.MARGIN)
+
+
+def test_words_alone_align_at_once():
+    """Spaced words without marks share boundaries: no overlap has to widen."""
+    enc = T.Encoder.of(T.default_path())
+    text = "schkeit " * 400
+    a, b = enc.chunk(text[:1600]), enc.chunk(text[1400:])
+    assert len({x for x in a[1] if 1400 < x < 1568} & {x + 1400 for x in b[1] if x < 168}) > 10
