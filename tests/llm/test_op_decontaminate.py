@@ -18,10 +18,10 @@ def got(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 300])
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 700])
 def test_hits(spark, block):
     rows = TEXTS + brute.awkward()
-    items = ITEMS + [(100 + i, t) for i, t in brute.awkward(9, 5)]
+    items = ITEMS + [(100 + i, t) for i, t in brute.awkward(9, 2)]
     out = D.digest(D.find_hits(brute.frame(spark, rows), bench(spark, items), block_bytes=block))
     assert got(out) == sorted(brute.contamination(rows, items), key=str)
 
