@@ -9,7 +9,7 @@ from moundflow.plans.tables import Tables
 
 def test_beats_mean_and_repeatable(spark):
     f = Tables(spark, "/root/testdata/sf0.01").features
-    model, num, cat, df = ML.train(f, max_iter=20, max_depth=5)
+    model, num, cat, df = ML.train(f, max_iter=8, max_depth=5)
     assert len(num) == 59 and len(cat) == 8
     scored = ML.predict(model, df, "prediction")
     mean_train = df.filter(F.col("split") == "train").agg(F.avg("run_value")).first()[0]
@@ -17,7 +17,7 @@ def test_beats_mean_and_repeatable(spark):
     rmse_model = test.agg(F.sqrt(F.avg((F.col("run_value") - F.col("prediction")) ** 2))).first()[0]
     rmse_mean = test.agg(F.sqrt(F.avg((F.col("run_value") - F.lit(mean_train)) ** 2))).first()[0]
     assert rmse_model <= rmse_mean
-    model2, *_ = ML.train(f, max_iter=20, max_depth=5)
+    model2, *_ = ML.train(f, max_iter=8, max_depth=5)
     a = ML.predict(model, df, "p").select("p").collect()
     b = ML.predict(model2, df, "p").select("p").collect()
     assert a == b
