@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import BYTE_VALUE, NOT_SPACE, Rolling, byte_class, id_text, mix, named, numbered, record, saved, spans, text_slices
+from moundflow.llm import toxic as tox
+from moundflow.llm.base import BYTE_VALUE, NOT_SPACE, Rolling, byte_class, id_text, mix, named, numbered, record, saved, shared, spans, text_slices
 from moundflow.llm.quality_rules import labelled_sample
 
 #: Hash buckets of words and word pairs: the models' size does not follow the input.
@@ -89,16 +90,18 @@ def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 1,
-          least: float | None = None) -> DataFrame:
-    """The documents with __weight (log p_target - log p_raw of the text) and
-    __key (weight plus Gumbel noise), or with ``least`` only those whose key
-    reaches it, columns as they were; same partitions, no shuffle.  Null and
-    empty texts weigh 0."""
+          least: float | None = None, toxic: tox.Table | None = None) -> DataFrame:
+    """The documents with __weight (log p_target - log p_raw of the text),
+    __key (weight plus Gumbel noise) and, given a ``toxic`` table, __toxic; or
+    with ``least`` only those whose key reaches it and that are not toxic,
+    columns as they were; same partitions, no shuffle.  Null and empty texts
+    weigh 0."""
     names, t = docs.columns, named(text_col).cast("string")
     d = docs.select(*map(named, names), gumbel(named(id_col), t, seed).alias("noise"), t.alias("words"))
     d, k = numbered(d), len(names)
     table = docs.sparkSession.sparkContext.broadcast(ratio)
-    added = [] if least is not None else [F.lit(0.0).alias("weight"), F.lit(0.0).alias("key")]
+    judge = shared(docs, toxic) if toxic is not None else None
+    added = [] if least is not None else [F.lit(0.0).alias("weight"), F.lit(0.0).alias("key")] + [F.lit(False).alias("toxic")] * (judge is not None)
 
     def run(batches):
         for part, data, off in text_slices(batches, f"c{k + 1}"):
@@ -106,13 +109,15 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
             weight = np.bincount(owner, table.value[b], minlength=len(off) - 1)
             key = weight + np.asarray(part.column(k))
             own = pa.RecordBatch.from_arrays(part.columns[:k], names=part.schema.names[:k])
+            bad = judge().score(data, off) > judge().cut if judge else np.zeros(len(key), bool)
             if least is None:
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(weight), pa.array(key)], names=[*own.schema.names, "weight", "key"])
+                more = {"weight": pa.array(weight), "key": pa.array(key)} | ({"toxic": pa.array(bad)} if judge else {})
+                yield pa.RecordBatch.from_arrays([*own.columns, *more.values()], names=[*own.schema.names, *more])
             else:
-                yield own.filter(pa.array(key >= least))
+                yield own.filter(pa.array((key >= least) & ~bad))
 
     out = d.mapInArrow(run, d.select(*[f"c{i}" for i in range(k)], *added).schema)
-    return out.toDF(*names, *(["__weight", "__key"] if least is None else []))
+    return out.toDF(*names, *(["__weight", "__key", "__toxic"][:len(added)]))
 
 
 def threshold(docs: DataFrame, ratio: np.ndarray, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -138,11 +143,11 @@ def fit_all(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TARGET_ROWS)
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the sample takes, same columns.  Without any labelled
-    target row nothing is rejected.  Null and empty texts weigh 0 and stay or go
+    """The documents that the sample takes and that are not toxic, same columns.
+    Without any labelled target row nothing is rejected.  Null and empty texts weigh 0 and stay or go
     by their noise; equal rows share it."""
     ratio, least = fit_all(docs, labels)
-    return weigh(docs, ratio, least=least)
+    return weigh(docs, ratio, least=least, toxic=tox.fit(docs, labels))
 
 
 def gumbel_top_k(weighed: DataFrame, k: int, bins: int = 4096) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundflow.llm import (decontaminate, importance, line_dedup, lpf_dedup, mixing, quality_rules, seed_extend, simhash,
-                           token_count, url_filter)
+                           token_count, toxic, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, weight (log likelihood ratio of target to raw text), key (with
-    Gumbel noise), kept (among the k largest keys)."""
-    docs = _table(spark, sf_dir, "documents")
-    ratio, least = importance.fit_all(docs, _table(spark, sf_dir, "labels"))
-    got = importance.weigh(docs.select("doc_id", "text"), ratio)
-    return got.select("doc_id", F.col("__weight").alias("weight"), F.col("__key").alias("key"), (F.col("__key") >= least).alias("kept"))
+    Gumbel noise), kept (among the k largest keys, and not toxic)."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratio, least = importance.fit_all(docs, labels)
+    got = importance.weigh(docs.select("doc_id", "text"), ratio, toxic=toxic.fit(docs, labels))
+    return got.select("doc_id", F.col("__weight").alias("weight"), F.col("__key").alias("key"),
+                      ((F.col("__key") >= least) & ~F.col("__toxic")).alias("kept"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
