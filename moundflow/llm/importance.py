@@ -15,22 +15,26 @@ from moundflow.llm.quality_rules import labelled_sample
 BUCKETS = 1 << 14
 #: Labelled rows that say what target text is: at most so many, the first by hash.
 MAX_TARGET_ROWS = 20_000
-#: Pseudo-counts a bucket, spread like the raw text, that the target counts
-#: start with: few labelled texts give ratios near 1 instead of noise.
-SMOOTH = 50.0 * BUCKETS
-#: Every so-manieth target row sets the threshold and is kept out of the counts,
-#: so the threshold is one for texts the model has not seen.
-HELD = 4
-#: The lowest key that is kept: ``SLACK`` below the key that all but this share
-#: of the labelled target rows reach, so that their like is kept.
-LOSS, SLACK = 0.0005, 2.0
+#: Pseudo-counts, spread like the raw text, that the target counts start with,
+#: as a share of these: an unseen word costs the same with few labels and many.
+SMOOTH = 0.3
+#: Labelled rows are weighed by ratios made without their fold, so the threshold
+#: is one for texts the model has not seen.
+FOLDS = 4
+#: The lowest key that is kept loses at most this share of the labelled target
+#: rows; without rejected rows it is ``SLACK`` below what they reach.
+LOSS, SLACK = 0.003, 2.0
+#: Tried as the gap a gram between seen and unseen target text: by minus these
+#: quantiles of the mean ratio of target rows.
+GAPS = (0.002, 0.005, 0.01, 0.02, 0.05)
 _ALNUM = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _ROLL = Rolling(0x8EBC6AF09C88C6E3)
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of tokens (runs of letters and digits, runs of other
-    marks) and of token pairs, text by text, with their text's index."""
+    marks) and of token pairs, text by text, with their text's index.  Pairs of
+    a token that is said again and again share a bucket."""
     kind = _ALNUM[data]
     split = np.zeros(len(data), bool)
     split[1:] = kind[1:] != kind[:-1]
@@ -38,49 +42,70 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = _ROLL.runs(_ROLL.prefix(BYTE_VALUE[data]), s, e)
     owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
     pair = np.flatnonzero(owner[1:] == owner[:-1])
-    b = np.concatenate([mix(h), mix(h[pair] * np.uint64(3) + h[pair + 1])]) % np.uint64(BUCKETS)
+    pairs = mix(h[pair] * np.uint64(3) + h[pair + 1])
+    again, n = h[pair] == h[pair + 1], len(h) - 4
+    if n > 0:       # with a mark between: x . x . x
+        every = (h[:n] == h[2:n + 2]) & (h[:n] == h[4:]) & (owner[:n] == owner[4:])
+        again |= np.append(every, np.zeros(4, bool))[pair]
+    pairs[again] = 0
+    b = np.concatenate([mix(h), pairs]) % np.uint64(BUCKETS)
     return b.astype(np.int64), np.concatenate([owner, owner[pair]])
 
 
-COUNTS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
+COUNTS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), *[(f"t{i}", pa.int64()) for i in range(FOLDS)]])
 
 
 def _count(batches):
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros((FOLDS, BUCKETS), np.int64)
     for part, data, off in text_slices(batches):
         b, owner = grams(data, off)
         raw += np.bincount(b, minlength=BUCKETS)
-        chosen = np.asarray(part.column(1).fill_null(0)) > 0
-        target += np.bincount(b[chosen[owner]], minlength=BUCKETS)
+        fold = np.asarray(part.column(1).fill_null(-1))[owner]
+        for i in range(FOLDS):
+            target[i] += np.bincount(b[fold == i], minlength=BUCKETS)
     some = np.flatnonzero(raw)
-    yield record(COUNTS, some.astype(np.int32), raw[some], target[some])
+    yield record(COUNTS, some.astype(np.int32), raw[some], *target[:, some])
 
 
-def target_rows(labels: DataFrame, limit: int = MAX_TARGET_ROWS) -> DataFrame:
-    """Labelled ids with y = 1 for target text: good quality and not toxic."""
-    good = labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int").alias("good"))
-    return labelled_sample(good, "good", limit=limit)
+def judged_rows(labels: DataFrame, limit: int = MAX_TARGET_ROWS) -> DataFrame:
+    """Labelled ids with y = 1 for target text, good quality and not toxic, and
+    y = 0 for rejected text, bad quality."""
+    kind = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 1)
+    return labelled_sample(labels.select("doc_id", kind.alias("kind")), "kind", limit=limit)
 
 
-def _held() -> Column:
-    return F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0
+def _fold(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held"), doc_id), F.lit(FOLDS)).cast("int")
 
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float = SMOOTH) -> np.ndarray:
-    """log(p_target / p_raw) by hash bucket.  The raw counts are of every
-    document, the target counts of those whose id has y = 1 in ``target`` (a
-    bounded table, so it is broadcast); a task sends at most BUCKETS rows, the
-    driver gets BUCKETS sums."""
-    t = target.where("y = 1").select("doc_id").distinct().withColumn("y", F.lit(1))
-    d = id_text(docs, id_col, text_col).join(F.broadcast(t), "doc_id", "left").select("doc_id", "y", "text")
-    sums = d.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, tgt = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, g in sums:
-        raw[b], tgt[b] = r, g
-    if not tgt.sum():
+def counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Counts by hash bucket: raw, of every document, and by fold those of the
+    ids that have y = 1 in ``target`` (a bounded table, so it is broadcast); a
+    task sends at most BUCKETS rows, the driver gets BUCKETS sums."""
+    t = target.where("y = 1").select("doc_id").distinct().withColumn("fold", _fold(F.col("doc_id")))
+    d = id_text(docs, id_col, text_col).join(F.broadcast(t), "doc_id", "left").select("doc_id", "fold", "text")
+    names = [n for n in COUNTS.names if n != "bucket"]
+    sums = d.mapInArrow(_count, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n) for n in names]).collect()
+    out = np.zeros((1 + FOLDS, BUCKETS))
+    for b, *got in sums:
+        out[:, b] = got
+    return out[0], out[1:]
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray, smooth: float | None = None) -> np.ndarray:
+    """log(p_target / p_raw) by hash bucket; ``smooth`` pseudo-counts, SMOOTH
+    of the target counts by default."""
+    if not target.sum():
         return np.zeros(BUCKETS)
+    smooth = SMOOTH * target.sum() if smooth is None else smooth
     p = (raw + 0.01) / (raw + 0.01).sum()
-    return np.log((tgt + smooth * p) / (tgt.sum() + smooth) / p)
+    return np.log((target + smooth * p) / (target.sum() + smooth) / p)
+
+
+def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float | None = None) -> np.ndarray:
+    """log(p_target / p_raw) by hash bucket."""
+    raw, tgt = counts(docs, target, id_col, text_col)
+    return log_ratio(raw, tgt.sum(0), smooth)
 
 
 def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
@@ -120,26 +145,53 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     return out.toDF(*names, *(["__weight", "__key", "__toxic"][:len(added)]))
 
 
-def threshold(docs: DataFrame, ratio: np.ndarray, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              seed: int = 1, loss: float = LOSS) -> float:
-    """The k of the top-k, as the key the last of the k has: the sample takes
-    as many documents as reach SLACK below the lowest key of the labelled target
-    rows, but for a share ``loss`` of those; never above -SLACK (at 0 a text is
-    as likely raw as target)."""
-    t = target.where("y = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    keys = weigh(docs.select(id_col, text_col).join(F.broadcast(t), id_col), ratio, id_col, text_col, seed)
-    low = keys.agg(F.percentile("__key", F.lit(loss))).first()[0]
-    return min(0.0, low) - SLACK if low is not None else float("-inf")
+HELD = pa.schema([("y", pa.float64()), ("noise", pa.float64()), ("weight", pa.float64()), ("n", pa.int64())])
+
+
+def held_out(docs: DataFrame, ratios: np.ndarray, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> pa.Table:
+    """y, noise, weight and number of grams of the labelled rows, weighed by
+    the ratios (by fold, bucket) that were made without them."""
+    d = id_text(docs, id_col, text_col).join(F.broadcast(judged), "doc_id")
+    d = d.select("y", gumbel(F.col("doc_id"), F.col("text"), seed).alias("noise"), _fold(F.col("doc_id")).alias("fold"), "text")
+    table = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(batches):
+        for part, data, off in text_slices(batches):
+            b, owner = grams(data, off)
+            fold, n = np.asarray(part.column(2)), len(off) - 1
+            noise = part.column(1).fill_null(0.0)
+            yield record(HELD, part.column(0), noise, np.bincount(owner, table.value[fold[owner], b], minlength=n), np.bincount(owner, minlength=n))
+
+    return d.mapInArrow(run, "y double, noise double, weight double, n long").toArrow()
+
+
+def threshold(held: pa.Table, loss: float = LOSS) -> tuple[float, float]:
+    """(gap, lowest key that is kept): the k of the top-k as the key the last
+    of the k has.  Unseen target text weighs less than the text that was
+    counted, a gap a gram, added to the ratios; of the gaps tried the one by
+    which a cut that loses at most ``loss`` of the target rows keeps the fewest
+    rejected rows, the cut in the middle between both."""
+    y, key, n = np.asarray(held["y"]), np.asarray(held["weight"]) + np.asarray(held["noise"]), np.asarray(held["n"])
+    good, bad = y == 1, y == 0
+    if not good.any():
+        return 0.0, float("-inf")
+    if not bad.any():
+        return 0.0, min(0.0, tox.between(key[good], key[bad], loss)) - SLACK
+    mean = np.asarray(held["weight"])[good] / np.maximum(n[good], 1)
+    best = []
+    for gap in (0.0, *(-np.quantile(mean, GAPS))):
+        k = key + gap * n
+        cut = tox.between(k[good], k[bad], loss)
+        best.append(((k[bad] >= cut).sum(), (k[good] < cut).sum(), abs(gap), gap, cut))
+    return tuple(map(float, min(best)[3:]))
 
 
 def fit_all(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TARGET_ROWS) -> tuple[np.ndarray, float]:
     """(log ratios, lowest key that is kept) from the documents and labels."""
-    target = saved(target_rows(labels, max_rows))
-    some, held = target.where(~_held()), target.where(_held())
-    if held.where("y = 1").isEmpty() or some.where("y = 1").isEmpty():
-        some = held = target
-    ratio = fit(docs, some)
-    return ratio, threshold(docs, ratio, held)
+    judged = saved(judged_rows(labels, max_rows))
+    raw, target = counts(docs, judged)
+    gap, least = threshold(held_out(docs, np.stack([log_ratio(raw, target.sum(0) - target[i]) for i in range(FOLDS)]), judged))
+    return log_ratio(raw, target.sum(0)) + gap, least
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
