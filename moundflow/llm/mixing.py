@@ -1,8 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule: points of
-the golden-ratio sequence fall on cumulative weights, each source's slots are
-ranked, and the r-th slot of a source takes its r-th shuffled block of words."""
+a sequence by about the golden ratio fall on cumulative slots, each source's
+slots are ranked, and the r-th slot of a source takes its r-th shuffled block of
+words, the last one as many words of it as are left to the target."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +20,9 @@ WEIGHTS, SHARE, MAX_REPEAT = (3, 1, 2), 1.5, 2
 GOLDEN, ONE = 618_033_988_749_894_848, 10**18
 #: Slots of a chunk, within which slots are ranked; chunks are added up.
 CHUNK = 1 << 14
-#: Cells of [0, 1): a point meets only the sources that share its cell.
+#: Steps tried on either side of the golden ratio.
+STEPS = 500
+#: Cells of the line of slots: a point meets only the sources that share its cell.
 CELLS = 1 << 12
 #: Rows of a shuffle bucket, about.
 BUCKET_ROWS = 1 << 14
@@ -64,44 +69,63 @@ def targets(sources: DataFrame, share: float = SHARE, max_repeat: float = MAX_RE
     return out.withColumn("target", F.least(cap.cast("double"), F.coalesce(rate * F.col("weight"), cap.cast("double")))).drop("__rate", "__nth")
 
 
+def golden_step(n: int) -> int:
+    """A step p without a common factor with n, so i * p mod n meets every
+    place once: of those near n times the golden ratio the one whose fraction
+    p / n has the smallest terms in sum, which keeps every stretch even."""
+    def terms(p: int) -> int:
+        out, a, b = 0, n, p
+        while b:
+            out, a, b = out + a // b, b, a % b
+        return out
+
+    near = n * GOLDEN // ONE
+    tried = [p for p in range(max(1, near - STEPS), min(n - 1, near + STEPS) + 1) if math.gcd(p, n) == 1]
+    return min(tried, key=lambda p: (terms(p), abs(p - near), p), default=1)
+
+
 def schedule(goal: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """slot, source, rank, block, epoch: slot i belongs to the source whose
-    stretch of the cumulative targets holds frac(i * golden ratio); the rank
-    counts the source's slots so far; rank r takes block r mod n_blocks in
-    epoch r div n_blocks.  A slot that would be a source's ``max_repeat`` + 1st
-    epoch (its target was reached within rounding) is left out.
+    """slot, source, rank, block, epoch, words, size: a source has as many
+    slots as its target (in whole words) needs, whole epochs and the rest, one
+    after the other on a line; slot i of n belongs to the source whose stretch
+    holds i * step mod n.  The rank counts the source's slots so far; rank r
+    takes block r mod n_blocks in epoch r div n_blocks, all ``size`` words of
+    it but in the source's last slot, which takes the first ``words``.
 
     Slots are dealt to chunks of CHUNK; ranks inside a chunk add to the counts
     of the chunks before, so no window holds all slots of a source."""
     spark = goal.sparkSession
     w = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("target").over(Window.partitionBy())
-    line = goal.where("target > 0").select(
-        "source", F.ceil(F.col("source_size") / block_words).alias("n_blocks"),
-        F.least(F.lit(ONE), F.round(F.sum("target").over(w) / total * F.lit(float(ONE))).cast("long")).alias("hi"),
-        F.ceil(total / block_words).alias("slots"))
-    line = line.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy(F.col("source").asc_nulls_last())), F.lit(0)))
-    line = line.withColumn("hi", F.when(F.lead("hi").over(Window.orderBy(F.col("source").asc_nulls_last())).isNull(), ONE).otherwise(F.col("hi")))
+    size = F.col("source_size")
+    line = goal.where("source_size > 0").withColumn("due", F.least(F.round("target").cast("long"), F.floor(max_repeat * size))).where("due > 0")
+    line = line.select("source", "source_size", F.ceil(size / block_words).alias("n_blocks"),
+                       F.floor(F.col("due") / size).alias("full"), (F.col("due") % size).alias("rest"))
+    line = line.withColumn("turns", F.col("full") * F.col("n_blocks") + F.ceil(F.col("rest") / block_words))
+    line = line.withColumn("last", F.when(F.col("rest") > 0, (F.col("rest") - 1) % block_words + 1)).drop("full", "rest")
+    line = line.withColumn("hi", F.sum("turns").over(w)).withColumn("lo", F.col("hi") - F.col("turns"))
     line = saved(line)
-    n = line.agg(F.max("slots")).first()[0] or 0
-    cell = ONE // CELLS + 1
-    cells = line.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))))
-    point = ((F.col("id") * F.lit(GOLDEN).cast("decimal(18,0)")) % F.lit(ONE).cast("decimal(19,0)")).cast("long")
+    n = line.agg(F.max("hi")).first()[0] or 0
+    cell = n // CELLS + 1
+    cells = line.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))))
+    point = ((F.col("id") * F.lit(golden_step(n)).cast("decimal(18,0)")) % F.lit(max(n, 1)).cast("decimal(19,0)")).cast("long")
     parts = max(1, -(-n // (8 * CHUNK)))
     slots = (spark.range(0, n, 1, parts).withColumn("id", F.col("id").cast("decimal(19,0)")).withColumn("u", point)
              .select(F.col("id").cast("long").alias("slot"), "u", F.floor(F.col("u") / cell).alias("cell")))
     # CELLS rows and one more per source at most: bounded by the number of sources, which the driver's plan knows
     small = line.count() <= 100_000
     hit = slots.join(F.broadcast(cells) if small else cells, "cell").where("u >= lo and u < hi")
-    hit = hit.select("slot", "source", "n_blocks", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    of = ["n_blocks", "turns", "last", "source_size"]
+    hit = hit.select("slot", "source", *of, F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = hit.groupBy("chunk", "source").agg(F.count(F.lit(1)).alias("c"))
     base = counts.select(F.col("chunk").alias("bc"), F.col("source").alias("bs"),
                          (F.sum("c").over(Window.partitionBy("source").orderBy("chunk")) - F.col("c")).alias("base"))
     ranked = hit.withColumn("r", F.row_number().over(Window.partitionBy("chunk", "source").orderBy("slot")) - 1)
     ranked = (ranked.join(base, (F.col("chunk") == F.col("bc")) & F.col("source").eqNullSafe(F.col("bs")))
-              .select("slot", "source", "n_blocks", (F.col("r") + F.col("base")).alias("rank")))
-    return ranked.select("slot", "source", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"),
-                         F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch")).where(F.col("epoch") < max_repeat)
+              .select("slot", "source", *of, (F.col("r") + F.col("base")).alias("rank")))
+    ranked = ranked.withColumn("block", F.col("rank") % F.col("n_blocks"))
+    ranked = ranked.withColumn("size", F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("block") * block_words))
+    words = F.when((F.col("rank") == F.col("turns") - 1) & F.col("last").isNotNull(), F.col("last")).otherwise(F.col("size"))
+    return ranked.select("slot", "source", "rank", "block", F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch"), words.alias("words"), "size")
 
 
 def laid_out(rows: DataFrame, seed: int = 5) -> DataFrame:
@@ -130,7 +154,8 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS
     """(schedule, parts, taken): the order in which blocks are read; which
     words of which document make a block (source, block, doc_id, h, first word,
     words); and per document row doc_id, size, source_size, target and taken,
-    the words the mix takes from it, repeats counted.
+    the words the mix takes from it, repeats counted; a source's sum is its target,
+    rounded.
 
     A null source is a source of its own, after the others.  Null and empty
     texts have size 0 and nothing taken.  Repeated rows take places of their
@@ -145,10 +170,14 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS
     first = F.greatest(F.col("start"), F.col("block") * block_words)
     parts = parts.select("source", "block", "doc_id", "h", "size", "start", (first - F.col("start")).alias("first"),
                          (F.least(end, (F.col("block") + 1) * block_words) - first).alias("words"))
-    times = plan.groupBy(F.col("source").alias("ts"), F.col("block").alias("tb")).agg(F.count(F.lit(1)).alias("times"))
+    cut = F.col("words") < F.col("size")      # in one slot of a source at most
+    times = plan.groupBy(F.col("source").alias("ts"), F.col("block").alias("tb")).agg(
+        F.sum(F.when(cut, 0).otherwise(1)).alias("times"), F.max(F.when(cut, F.col("words")).otherwise(0)).alias("some"))
     used = parts.join(times, F.col("source").eqNullSafe(F.col("ts")) & (F.col("block") == F.col("tb")))
+    before = F.col("start") + F.col("first") - F.col("block") * block_words      # words of the block before the part
     # (source, start) names a row: each takes places of its own
-    got = used.groupBy(F.col("source").alias("gs"), F.col("start").alias("g")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    got = used.groupBy(F.col("source").alias("gs"), F.col("start").alias("g")).agg(
+        F.sum(F.col("words") * F.col("times") + F.greatest(F.lit(0), F.least(F.col("words"), F.col("some") - before))).alias("taken"))
     one = placed.join(got, F.col("source").eqNullSafe(F.col("gs")) & (F.col("start") == F.col("g")), "left").select(
         "doc_id", "source", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     everyone = one.unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
