@@ -1,6 +1,6 @@
-"""Suffix-array dedup: in the suffix order of all pieces that may repeat, the
-nearest entries with a smaller position give each suffix its longest previous
-factor; bytes that a long enough factor covers go."""
+"""Suffix-array dedup: suffixes of pieces that may repeat are ranked by their
+first 200 bytes; entries of equal rank have a previous (next) factor that is
+long enough, and the bytes it covers go.  Factor lengths are not computed."""
 from __future__ import annotations
 
 import hashlib
