@@ -49,8 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="moundflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        # spark.checkpoint.dir is a static setting: a running session keeps the folder in its context
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="moundflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+        return sc.getCheckpointDir()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
