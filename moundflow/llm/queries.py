@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundflow.llm import (conversation, decontaminate, importance, line_dedup, lpf_dedup, mixing, quality_rules, records, seed_extend,
-                           simhash, token_count, toxic, url_filter)
+from moundflow.llm import (collocation, conversation, decontaminate, importance, line_dedup, lpf_dedup, mixing, quality_rules, records,
+                           seed_extend, simhash, token_count, toxic, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,11 +71,15 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digest(records.read_records(spark, records.write_records(_table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_suffix_dedup, op4_token_counts, op5_mix_sources,
                                    op6_quality_rules, op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_substring_dedup, op11_repair_conversations,
-                                   op13_token_records)}
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+                                   op12_collocations, op13_token_records)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_collocations": collocation.ORACLE}
