@@ -306,10 +306,10 @@ def union_stats(df: DataFrame, pitcher_id: int | None = None) -> DataFrame:
 
 # E27 -----------------------------------------------------------------------
 def text_search(df: DataFrame, query: str, cols: list[str] | None = None) -> DataFrame:
-    """Rows where any of the text columns contains the query, case-insensitive."""
-    cols = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    hay = F.lower(F.concat_ws("|", *[F.col(c) for c in cols]))
-    return df.filter(hay.contains(query.lower()))
+    """Rows where the text of any one column (all columns by default, numbers
+    and dates included) contains the query, case-insensitive."""
+    texts = [F.lower(F.col("`" + c.replace("`", "``") + "`").cast("string")) for c in cols or df.columns]
+    return df.filter(F.exists(F.array(*texts), lambda x: x.contains(query.lower())))
 
 
 # A24 -----------------------------------------------------------------------

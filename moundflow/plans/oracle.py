@@ -899,3 +899,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY request_id, arsenal_pos ORDER BY
       + abs(c.x) * 0.01E0 + CASE WHEN c.z > 1.8E0 AND c.z <= 2.5E0 THEN 0.004E0 ELSE 0.0E0 END AS s
   FROM rc CROSS JOIN (SELECT cell, x, z, {sql_zone_of('x', 'z')} AS zone FROM (VALUES {_CELLS}) v(cell, x, z)) c
   LEFT JOIN zlong l ON l.batter = rc.batter AND l.zone = c.zone) u) w WHERE k = 1""")
+
+# --- untidy files, search over all columns ------------------------------------------
+cte("untidy", ["raw"], """
+SELECT src_key, pitcher, pitch_type, CASE WHEN src_key % 3 = 2 THEN NULL ELSE release_speed END AS speed
+FROM raw WHERE src_key % 11 <> 0 AND src_key % 13 <> 0""")
+cte("search12", ["raw"], f"""
+SELECT pitcher, count(*) AS pitches FROM raw
+WHERE {" OR ".join(f"contains(lower(CAST({c} AS VARCHAR)), '12')" for c in ("src_key", "game_pk", "pitcher", "batter", "zone", "description", "events"))}
+GROUP BY pitcher""")

@@ -437,3 +437,27 @@ def _grid(t: Tables):
 
 register(Query("r06_location_grid", _grid,
                "request_id:i arsenal_pos:i pitch_type:s plate_x:f plate_z:f zone:i in_zone:i expected_rv:f", source="grid"))
+
+
+# --- untidy files, search over all columns ------------------------------------------
+import uuid  # noqa: E402
+
+from moundflow.session import ensure_checkpoint_dir  # noqa: E402
+from moundflow.sources.untidy import write_untidy  # noqa: E402
+
+
+def _tolerant(t: Tables):
+    folder = f"{ensure_checkpoint_dir(t.spark)}/untidy-{uuid.uuid4().hex}"
+    write_untidy(t.raw, folder)
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("src_key", T.LongType()), T.StructField("pitcher", T.LongType()),
+                           T.StructField("pitch_type", T.StringType()), T.StructField("speed", T.DoubleType())])
+    return FI.read_tolerant_csv(t.spark, [f"{folder}/absent.csv", folder], schema)
+
+
+register(Query("s02_tolerant_csv", _tolerant, "src_key:i pitcher:i pitch_type:s speed:f", source="untidy"))
+register(Query(
+    "e27_search_numbers_and_text",
+    lambda t: AN.text_search(t.raw.select("src_key", "game_pk", "pitcher", "batter", "zone", "description", "events"), "12")
+    .groupBy("pitcher").agg(F.count(F.lit(1)).alias("pitches")),
+    "pitcher:i pitches:i", source="search12"))

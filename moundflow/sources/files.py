@@ -7,14 +7,18 @@ task on executor loss.
 from __future__ import annotations
 
 import functools
+import json
 import logging
 from typing import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moundflow import constants as K
+from moundflow.sources.store import open_store
+from moundflow.sources.tolerant import HEADER_BYTES, TolerantCsv, fields
 
 log = logging.getLogger(__name__)
 
@@ -46,6 +50,11 @@ PITCH_LOG_SCHEMA = T.StructType([
 def list_files(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The data files under paths (files, folders or globs), by any file system
     Spark reads; hidden and marker files are skipped."""
+    return [f for f, _ in file_sizes(spark, paths)]
+
+
+def file_sizes(spark: SparkSession, paths: Iterable[str]) -> list[tuple[str, int]]:
+    """``list_files`` with the files' bytes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in paths:
@@ -54,11 +63,11 @@ def list_files(spark: SparkSession, paths: Iterable[str]) -> list[str]:
         for top in fs.globStatus(at) or []:
             it = fs.listFiles(top.getPath(), True) if top.isDirectory() else None
             if it is None:
-                out.append(top.getPath().toString())
+                out.append((top.getPath().toString(), top.getLen()))
             while it is not None and it.hasNext():
-                f = it.next().getPath()
-                if not f.getName().startswith(("_", ".")):
-                    out.append(f.toString())
+                f = it.next()
+                if not f.getPath().getName().startswith(("_", ".")):
+                    out.append((f.getPath().toString(), f.getLen()))
     return sorted(out)
 
 
@@ -73,8 +82,8 @@ def read_pitch_log(spark: SparkSession, path: str | list[str], fmt: str = "csv")
     if fmt != "csv":
         return _typed(spark.read.format(fmt).option("mergeSchema", True).load(paths), False)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in list_files(spark, paths):
-        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    for f, header in headers(spark, list_files(spark, paths)):
+        groups.setdefault(header, []).append(f)
     if not groups:
         raise FileNotFoundError(f"no files at {paths}")
     frames = [_typed(spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).option("header", True)
@@ -82,6 +91,29 @@ def read_pitch_log(spark: SparkSession, path: str | list[str], fmt: str = "csv")
     return functools.reduce(DataFrame.unionByName, frames)
 
 
+def headers(spark: SparkSession, files: list[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """Each file's first line as column names, a name that is empty or stands
+    twice replaced by its place.  One job reads the first lines of all files."""
+    def first(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in rows:
+            names = b.column(0).to_pylist()
+            lines = []
+            for name in names:
+                fs, path = open_store(name)
+                with fs.open_input_stream(path) as f:
+                    lines.append(f.read(HEADER_BYTES).split(b"\n")[0].decode("utf-8", "replace").lstrip("\ufeff").rstrip("\r"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.string())], names=["file", "line"])
+    if not files:
+        return []
+    many = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(f,) for f in files], "file string").repartition(many).mapInArrow(first, "file string, line string").collect()
+    out = []
+    for r in sorted(rows):
+        cols = fields(r.line)
+        out.append((r.file, tuple(c if c and cols.index(c) == i else f"_c{i}" for i, c in enumerate(cols))))
+    return out
+
+
 def _typed(raw: DataFrame, text: bool) -> DataFrame:
     """The wanted columns of a raw log under their declared types."""
     missing = [f.name for f in PITCH_LOG_SCHEMA.fields if f.name not in raw.columns]
@@ -92,45 +124,25 @@ def _typed(raw: DataFrame, text: bool) -> DataFrame:
     return raw.select(*[c.alias(f.name) for c, f in zip(cols, PITCH_LOG_SCHEMA.fields)]).withColumn("game_date", F.to_date("game_date"))
 
 
-#: Lines that are searched for the header of a tolerant CSV.
-HEADER_LINES = 50
-
-
-def read_tolerant_csv(spark: SparkSession, candidates: Iterable[str], schema: T.StructType) -> DataFrame:
-    """The first candidate path that exists, read by its header's column
-    names.  The header is the first of the first 50 lines that names one of the
-    wanted columns (junk may stand before it); wanted columns it lacks are
-    null.  Lines with another number of fields than the header, values that are
-    not of their column's type and repeated header lines are dropped.  An empty
-    typed frame when no candidate exists or none has a header."""
+def read_tolerant_csv(spark: SparkSession, candidates: Iterable[str], schema: T.StructType, split_bytes: int | None = None) -> DataFrame:
+    """The first candidate path that exists, read by its files' own headers
+    (``sources.tolerant``).  A header is the first of a file's first 50 lines that
+    names a wanted column; wanted columns it lacks are null.  Lines before it,
+    repeated headers, lines with another number of fields and values that are not
+    of their column's type are dropped.  An empty typed frame when no candidate
+    exists or no file has a header."""
     for p in candidates:
-        files = list_files(spark, [p])
+        files = file_sizes(spark, [p])
         if not files:
             continue
-        lines = [r[0] for r in spark.read.text(files[0]).limit(HEADER_LINES).collect()]
-        names = [f.name for f in schema.fields]
-        split = [[c.strip().strip('"') for c in line.split(",")] for line in lines]
-        at = next((i for i, cols in enumerate(split) if set(cols) & set(names)), None)
-        if at is None:
-            break
-        header = split[at]
-        unique = [c if header.index(c) == i and c else f"_c{i}" for i, c in enumerate(header)]
-        raw = (spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in unique]))
-               .option("mode", "DROPMALFORMED").csv(files))
-        junk = None
-        for line in split[:at]:
-            if len(line) == len(header):
-                same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v or None)) for c, v in zip(unique, line)])
-                junk = same if junk is None else junk | same
-        if junk is not None:
-            raw = raw.filter(~junk)
-        head = functools.reduce(lambda a, b: a & b, [F.trim(F.col(c)).eqNullSafe(F.lit(h or None)) for c, h in zip(unique, header)])
-        raw = raw.filter(~head)
-        for f in schema.fields:
-            if f.name in unique:
-                raw = raw.filter(F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull())
-        return raw.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in unique else F.lit(None).cast(f.dataType)).alias(f.name)
-                            for f in schema.fields])
+        spark.dataSource.register(TolerantCsv)
+        reader = spark.read.format("tolerant_csv").option("files", json.dumps(files))
+        if split_bytes:
+            reader = reader.option("split_bytes", str(split_bytes))
+        raw = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).load()
+        typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+        fits = [F.col(name).isNull() | c.isNotNull() for name, c in typed.items()]
+        return raw.where(functools.reduce(lambda a, b: a & b, fits)).select(*[c.alias(name) for name, c in typed.items()])
     return spark.createDataFrame([], schema)
 
 
