@@ -461,3 +461,13 @@ register(Query(
     lambda t: AN.text_search(t.raw.select("src_key", "game_pk", "pitcher", "batter", "zone", "description", "events"), "12")
     .groupBy("pitcher").agg(F.count(F.lit(1)).alias("pitches")),
     "pitcher:i pitches:i", source="search12"))
+
+
+def _trace_stream(t: Tables):
+    return AB.replay(RQ.atbat_log(t.spark, t.sf_dir), f"{ensure_checkpoint_dir(t.spark)}/atbat-{uuid.uuid4().hex}")
+
+
+register(Query(
+    "t02_atbat_stream", _trace_stream,
+    "session_id:i seq:i pitch:s outcome:s count_before:s count_after:s outs_after:i on_1b:b on_2b:b on_3b:b "
+    "at_bat_ended:b at_bat_active:b", source="trace"))

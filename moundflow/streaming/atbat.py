@@ -24,10 +24,10 @@ An outcome is a table over the 12 counts; the tables of a batch of events are
 composed by doubling, so no step runs per event.  Memory per task is one Arrow
 batch plus a constant-size state.
 
-T2 (stream) holds events in ``applyInPandasWithState`` keyed by session until
-the watermark passes them, so events out of order within the watermark are
-folded in order; replays and duplicates are ignored; what is older than the
-watermark is dropped by Spark and counted (``late_rows``).
+T2 (stream) holds events in ``transformWithStateInPandas``, by session and stretch
+of event time, until the watermark passes the stretch, so events out of order
+within the watermark are folded in order; replays and duplicates are ignored; what
+is older than the watermark is dropped by Spark and counted (``late_rows``).
 """
 from __future__ import annotations
 
@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from moundflow.session import ensure_checkpoint_dir
 
@@ -318,60 +319,114 @@ def atbat_export_json(trace: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------------------
 # Streaming fold
 # ---------------------------------------------------------------------------
-STATE_SCHEMA = ("count int, outs int, r1 boolean, r2 boolean, r3 boolean, active boolean, last_ts timestamp, last_seq long, "
-                "ts array<timestamp>, seq array<long>, pitch array<string>, outcome array<string>")
 #: A session is forgotten when the watermark is so far past its last event; a
 #: later event starts the session anew.  None keeps sessions for ever.
 IDLE_GAP_MS = 6 * 3600 * 1000
-
-
-def _stream_fn(idle_gap_ms: int | None):
-    def fold(key, pdfs, state):
-        if state.exists:
-            count, outs, r1, r2, r3, active, last_ts, last_seq, ts, seq, pitch, outcome = state.get
-            cur = State(count, outs, r1, r2, r3, active)
-            last = (pd.Timestamp(last_ts), last_seq) if last_ts is not None else None
-            held = pd.DataFrame({"ts": pd.to_datetime(pd.Series(list(ts), dtype="datetime64[ns]")), "seq": list(seq), "pitch": list(pitch), "outcome": list(outcome)})
-        else:
-            cur, last, held = State(), None, None
-        new = [] if state.hasTimedOut else [p[["ts", "seq", "pitch", "outcome"]] for p in pdfs]
-        pdf = pd.concat([x for x in [held, *new] if x is not None and len(x)] or [held if held is not None else pd.DataFrame(columns=["ts", "seq", "pitch", "outcome"])], ignore_index=True)
-        pdf = pdf.drop_duplicates(subset=["ts", "seq"]).sort_values(["ts", "seq"], kind="mergesort")
-        if last is not None and len(pdf):
-            pdf = pdf[(pdf["ts"] > last[0]) | ((pdf["ts"] == last[0]) & (pdf["seq"] > last[1]))]
-        mark = state.getCurrentWatermarkMs()
-        ready = pdf[pdf["ts"] < pd.Timestamp(mark, unit="ms")] if len(pdf) and mark > 0 else pdf.iloc[:0]
-        rest = pdf.iloc[len(ready):]
-        if len(ready):
-            codes, names = pd.factorize(ready["outcome"], use_na_sentinel=False)
-            cur, columns = fold_events(cur, codes, Outcomes([n if isinstance(n, str) else None for n in names]))
-            out = ready[["seq", "ts", "pitch", "outcome"]].reset_index(drop=True)
-            out.insert(0, "session_id", key[0])
-            last = (ready["ts"].iloc[-1], int(ready["seq"].iloc[-1]))
-            yield pd.concat([out, pd.DataFrame(dict(zip(TRACE_COLUMNS, columns)))], axis=1)
-        if not len(rest) and state.hasTimedOut and not len(ready):
-            state.remove()                  # idle for the gap
+#: Events are held by stretches of this many milliseconds of event time; an event
+#: that arrives rewrites its own stretch of its session and nothing else.
+STRETCH_MS = 15 * 60 * 1000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NOW = "count int, outs int, r1 boolean, r2 boolean, r3 boolean, active boolean, last_ts long, last_seq long"
+HELD = "ts array<long>, seq array<long>, pitch array<string>, outcome array<string>"
+
+
+class AtBatFold(StatefulProcessor):
+    """State of a session: where the fold stands (``now``), and the events that the
+    watermark has not passed (``held``: a map from stretches of event time).  A
+    timer at a stretch's end folds it; one a gap after the last event forgets."""
+
+    def __init__(self, idle_gap_ms: int | None, stretch_ms: int):
+        self.idle_gap_ms, self.stretch_ms = idle_gap_ms, stretch_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", NOW)
+        self.held = handle.getMapState("held", "stretch long", HELD)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows), ignore_index=True)
+        us = new["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        last = self.now.get()[6:8] if self.now.exists() else None
+        of = us // (self.stretch_ms * 1000)
+        for stretch in np.unique(of):
+            at = np.flatnonzero(of == stretch)
+            events = [list(c) for c in self.held.getValue((int(stretch),))] if self.held.containsKey((int(stretch),)) else [[], [], [], []]
+            known = set(zip(events[0], events[1]))
+            for t, q, pitch, outcome in zip(us[at].tolist(), new["seq"].iloc[at].tolist(), new["pitch"].iloc[at], new["outcome"].iloc[at]):
+                if (t, q) in known or (last is not None and (t, q) <= tuple(last)):
+                    continue                    # a replay or a duplicate
+                known.add((t, q))
+                for column, value in zip(events, (t, q, pitch, outcome)):
+                    column.append(value)
+            if events[0]:
+                self.held.updateValue((int(stretch),), tuple(events))
+                self.handle.registerTimer(int((stretch + 1) * self.stretch_ms))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        for stretch in sorted(k[0] for k in self.held.keys()):
+            if (stretch + 1) * self.stretch_ms <= due:
+                yield self._fold(key[0], stretch)
+        if self.idle_gap_ms is None or not self.now.exists():
             return
-        state.update((cur.count, cur.outs, *map(bool, cur.r), cur.active, last[0].to_pydatetime() if last else None, last[1] if last else None,
-                      [t.to_pydatetime() for t in rest["ts"]], [int(x) for x in rest["seq"]], rest["pitch"].tolist(), rest["outcome"].tolist()))
-        if len(rest):
-            # wake when the watermark passes the oldest event held
-            state.setTimeoutTimestamp(max(int(rest["ts"].iloc[0].timestamp() * 1000), mark) + 1)
-        elif idle_gap_ms is not None:
-            state.setTimeoutTimestamp(max(int(last[0].timestamp() * 1000), mark) + idle_gap_ms)
-    return fold
-
-
-def atbat_stream(events: DataFrame, watermark: str = "1 hour", idle_gap_ms: int | None = IDLE_GAP_MS) -> DataFrame:
-    """Streaming per-event trace; ``events`` is a streaming DataFrame
-    with session_id, seq, ts, pitch, outcome.  An event is emitted once the
-    watermark has passed it, in (ts, seq) order whatever the arrival order; a
-    session's held events are those of one watermark's length."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+        last_ms = self.now.get()[6] // 1000
+        if next(iter(self.held.keys()), None) is None:
+            if due >= last_ms + self.idle_gap_ms:
+                self.now.clear()                # idle for the gap
+            else:
+                self.handle.registerTimer(int(last_ms + self.idle_gap_ms))
+
+    def _fold(self, session, stretch: int) -> pd.DataFrame:
+        ts, seq, pitch, outcome = self.held.getValue((stretch,))
+        self.held.removeKey((stretch,))
+        order = sorted(range(len(ts)), key=lambda i: (ts[i], seq[i]))
+        count, outs, r1, r2, r3, active = self.now.get()[:6] if self.now.exists() else (0, 0, False, False, False, True)
+        codes, names = pd.factorize(pd.Series([outcome[i] for i in order], dtype=object), use_na_sentinel=False)
+        end, columns = fold_events(State(count, outs, r1, r2, r3, active), codes, Outcomes([n if isinstance(n, str) else None for n in names]))
+        self.now.update((end.count, end.outs, *map(bool, end.r), bool(end.active), ts[order[-1]], seq[order[-1]]))
+        out = {"session_id": session, "seq": [seq[i] for i in order], "ts": pd.to_datetime([ts[i] for i in order], unit="us"),
+               "pitch": [pitch[i] for i in order], "outcome": [outcome[i] for i in order]}
+        return pd.DataFrame({**out, **dict(zip(TRACE_COLUMNS, columns))})
+
+    def close(self) -> None:
+        pass
+
+
+def atbat_stream(events: DataFrame, watermark: str = "1 hour", idle_gap_ms: int | None = IDLE_GAP_MS, stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """Streaming per-event trace; ``events`` is a streaming DataFrame with
+    session_id, seq, ts, pitch, outcome.  An event is emitted once the watermark
+    has passed its stretch of event time, in (ts, seq) order whatever the arrival
+    order; a session's held events are those of one watermark and one stretch.
+    State is kept in RocksDB, which this sets for the session."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return (events.select("session_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "pitch", "outcome").withWatermark("ts", watermark)
             .groupBy("session_id")
-            .applyInPandasWithState(_stream_fn(idle_gap_ms), TRACE_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            .transformWithStateInPandas(AtBatFold(idle_gap_ms, stretch_ms), TRACE_SCHEMA, "append", "eventTime"))
+
+
+def replay(log: DataFrame, folder: str, pieces: int = 3) -> DataFrame:
+    """The stream's trace of a finished log.  The log is written in ``pieces`` of
+    equal time, in order, as what arrives, then an event far ahead that lets the
+    watermark pass all others; the stream takes a number of files a batch and
+    ends.  The watermark is as long as a piece, whose files may be in two batches.
+    Events without a session are left out."""
+    spark, log = log.sparkSession, log.where(F.col("session_id").isNotNull())
+    at = F.col("ts").cast("timestamp").cast("double")
+    low, high = log.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) / pieces or 1.0
+    piece = F.least(F.floor((at - F.lit(low or 0)) / step), F.lit(pieces - 1)).cast("int")
+    last = {"session_id": F.lit(-2**63), "seq": F.lit(0), "ts": F.lit("2261-01-01 00:00:00").cast("timestamp")}      # never emitted itself
+    end = spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema.fields])
+    for i in range(pieces + 1):
+        part = log.where(piece == i) if i < pieces else end.select(log.columns)
+        part.write.parquet(f"{folder}/log/piece={i}")
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, spark.sparkContext.defaultParallelism))
+              .option("recursiveFileLookup", "true").parquet(f"{folder}/log"))
+    query = (atbat_stream(stream, f"{int(step) + 1} seconds").writeStream.format("parquet").option("path", f"{folder}/trace")
+             .option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(TRACE_SCHEMA).parquet(f"{folder}/trace")
 
 
 def late_rows(query) -> int:
