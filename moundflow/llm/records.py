@@ -29,8 +29,10 @@ from moundflow.session import ensure_checkpoint_dir, task_slots
 FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 #: Bytes of records that a reader checks at once, and files a task of a shuffled read keeps open.
 READ_BYTES, OPEN_FILES = 4 << 20, 64
-#: Units whose ids a worker keeps (a memory bound; texts are encoded whole).
-MEMO = 400_000
+#: Text bytes encoded at once.
+SLICE = 1 << 20
+#: Parts whose ids a worker keeps (a memory bound; texts are encoded whole).
+MEMO = 800_000
 END_ID = 2
 
 
@@ -143,13 +145,19 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Marks that end a word: after a letter or digit they are words of their own.
+TAILS = ".,;:!?#$%&*"
+
+
 class Ids:
     """Ids of whole texts as little-endian bytes.
 
     A tokenizer that drops white space and looks at nothing beyond it gives the
     ids of the parts between spaces and line ends, one after the other; these
-    are remembered (tests hold this against the library on whole texts).  Other
-    tokenizers encode whole texts."""
+    are remembered (tests hold this against the library on whole texts).  A new
+    part is a word and the marks after it; words of letters alone are one word
+    to the tokenizer too, so many are encoded as one text and cut where its
+    word ends are.  Other tokenizers encode whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -159,6 +167,7 @@ class Ids:
         self.tok.no_truncation()
         self.dtype = id_type(self.tok.get_vocab_size(with_added_tokens=True))
         self.by_parts = drops_space(path)
+        self.last = word_ends(path, self.tok.get_vocab(with_added_tokens=True))
         self.memo: dict[str, bytes] = {}
 
     @classmethod
@@ -173,17 +182,56 @@ class Ids:
         return [np.array(e.ids, self.dtype).tobytes() for i in range(0, len(texts), 4096)
                 for e in self.tok.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, 200 to a text."""
+        if self.last is None:
+            return self.library(words)
+        out, width = [], np.dtype(self.dtype).itemsize
+        groups = [words[i:i + 200] for i in range(0, len(words), 200)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
+            if len(ends) != len(group):         # some word is several to the tokenizer, and none is nothing
+                out += self.library(group)
+                continue
+            data = ids.tobytes()
+            out += [data[a:z] for a, z in zip([0, *ends], ends)]
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        memo = self.memo
+        words = [x for x in parts if x.isalpha()]
+        rest = [x for x in parts if not x.isalpha()]
+        cores = [x.rstrip(TAILS) for x in rest]
+        words += {c for c in cores if c.isalpha()}.difference(memo.keys(), parts)
+        whole = [x for x, c in zip(rest, cores) if not c.isalpha()]
+        whole += {x[len(c):] for x, c in zip(rest, cores) if c.isalpha()} - memo.keys() - parts
+        memo.update(zip(words, self.words(words)))
+        memo.update(zip(whole, self.library(whole)))
+        memo.update([(x, memo[c] + memo[x[len(c):]]) for x, c in zip(rest, cores) if c.isalpha()])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_parts:
             return self.library(texts)
         if len(self.memo) > MEMO:
             self.memo.clear()
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for x in parts for p in x} - self.memo.keys())
-        self.memo.update(zip(new, self.library(new)))
+        self.learn(set().union(*parts) - self.memo.keys())
         return [b"".join(map(self.memo.__getitem__, x)) for x in parts]
 
 
+def word_ends(path: str, vocabulary: dict[str, int]) -> np.ndarray | None:
+    """Which ids end a word, for a vocabulary that marks them."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        suffix = (json.load(f).get("model") or {}).get("end_of_word_suffix")
+    if not suffix:
+        return None
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+    return out
+
+
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -223,7 +271,7 @@ def _write(path: str, tokenizer: str, end_id: int | None):
         ids = Ids.of(tokenizer)
         end = b"" if end_id is None else np.array([end_id], ids.dtype).tobytes()
         width, name, out, first, at, n, tokens = np.dtype(ids.dtype).itemsize, f"part-{uuid.uuid4().hex}", None, None, 0, 0, 0
-        for part, _, _ in text_slices(batches):
+        for part, _, _ in text_slices(batches, limit=SLICE):
             doc, r1, r2, texts = (c.to_pylist() for c in part.columns)
             if out is None:
                 fs, top = store(path)
