@@ -21,7 +21,7 @@ from moundflow.llm.base import BYTE_VALUE, LOWER, U64, Rolling, byte_class, mix,
 from moundflow.session import task_slots
 
 #: Occurrences that one hash partition shall have about; n-grams that a task counts at once.
-MASS, BLOCK = 1 << 25, 1 << 22
+MASS, BLOCK = 1 << 25, 1 << 21
 #: Bytes of text hashed at once.
 SLICE = 1 << 19
 #: Bits of the survivors' filter are at most 2 to this power (64 MB).  A fuller
