@@ -908,3 +908,6 @@ cte("search12", ["raw"], f"""
 SELECT pitcher, count(*) AS pitches FROM raw
 WHERE {" OR ".join(f"contains(lower(CAST({c} AS VARCHAR)), '12')" for c in ("src_key", "game_pk", "pitcher", "batter", "zone", "description", "events"))}
 GROUP BY pitcher""")
+cte("atdocs", ["trace", "atsum"], """
+SELECT a.session_id, a."count", a.outs, a.on_1b, a.on_2b, a.on_3b, a.n_pitches, a.atbat_active, t.rn AS place, t.seq, t.pitch, t.outcome, t.count_before
+FROM trace t JOIN atsum a ON a.session_id = t.session_id""")

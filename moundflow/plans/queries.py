@@ -471,3 +471,17 @@ register(Query(
     "t02_atbat_stream", _trace_stream,
     "session_id:i seq:i pitch:s outcome:s count_before:s count_after:s outs_after:i on_1b:b on_2b:b on_3b:b "
     "at_bat_ended:b at_bat_active:b", source="trace"))
+
+
+def _documents(t: Tables):
+    """The exported documents, parsed, a row for each entry of a history."""
+    path = AB.write_documents(RQ.atbat_log(t.spark, t.sf_dir), f"{ensure_checkpoint_dir(t.spark)}/documents-{uuid.uuid4().hex}")
+    docs = AB.read_documents(t.spark, path)
+    return docs.select("session_id", "count", "situation.*", "n_pitches", "atbat_active", F.posexplode("history").alias("pos", "h")).select(
+        "*", (F.col("pos") + 1).alias("place"), "h.seq", "h.pitch", "h.outcome", "h.count_before")
+
+
+register(Query(
+    "s09_atbat_export", _documents,
+    "session_id:i count:s outs:i on_1b:b on_2b:b on_3b:b n_pitches:i atbat_active:b place:i seq:i pitch:s outcome:s count_before:s",
+    source="atdocs"))

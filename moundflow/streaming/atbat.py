@@ -31,16 +31,20 @@ is older than the watermark is dropped by Spark and counted (``late_rows``).
 """
 from __future__ import annotations
 
+import json
+import uuid
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from moundflow.session import ensure_checkpoint_dir
+from moundflow.sources.store import open_store
 
 TRACE_SCHEMA = ("session_id long, seq long, ts timestamp, pitch string, outcome string, count_before string, "
                 "count_after string, outs_after int, on_1b boolean, on_2b boolean, on_3b boolean, "
@@ -301,19 +305,134 @@ def atbat_summary(trace: DataFrame) -> DataFrame:
     )
 
 
-def atbat_export_json(trace: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S9 export as JSON text, row-wise: one summary document per session
-    (ids, final count, situation) and one history line per event
-    ({session_id, seq, pitch, outcome, count_before}).  Nothing gathers a
-    session's whole history into one value, so a session of any length
-    exports in parallel; a reader groups the lines by session_id."""
-    s = atbat_summary(trace)
-    summary = s.select("session_id", F.to_json(F.struct(
-        "session_id", "count", F.struct("outs", "on_1b", "on_2b", "on_3b").alias("situation"),
-        "n_pitches", "atbat_active")).alias("json"))
-    history = trace.select("session_id", "ts", "seq", F.to_json(F.struct(
-        "session_id", "seq", "pitch", "outcome", "count_before")).alias("json"))
-    return summary, history
+#: Events of one piece of a session's history.
+PIECE_EVENTS = 4096
+PIECE_SCHEMA = ("session_id long, ts timestamp, seq long, n long, entries string, count string, outs int, on_1b boolean, on_2b boolean, "
+                "on_3b boolean, active boolean, file string")
+PIECE_ARROW = pa.schema([("session_id", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("seq", pa.int64()), ("n", pa.int64()), ("entries", pa.string()),
+                         ("count", pa.string()), ("outs", pa.int32()), *[(c, pa.bool_()) for c in ("on_1b", "on_2b", "on_3b", "active")],
+                         ("file", pa.string())])
+DOCUMENT_SCHEMA = ("session_id long, history array<struct<seq:long,pitch:string,outcome:string,count_before:string>>, count string, "
+                   "situation struct<outs:int,on_1b:boolean,on_2b:boolean,on_3b:boolean>, n_pitches long, atbat_active boolean")
+
+
+class _Documents:
+    """A file of documents, one a line, written piece by piece: the history as
+    it comes, what is known only at a session's end after it."""
+
+    def __init__(self, path: str):
+        self.path, self.name, self.out, self.n, self.open = path, f"part-{uuid.uuid4().hex}.json", None, 0, None
+
+    def add(self, session: int, n: int, entries: str, last: tuple) -> None:
+        if self.out is None:
+            fs, top = open_store(self.path)
+            fs.create_dir(top, recursive=True)
+            self.out = fs.open_output_stream(f"{top}/{self.name}")
+        if self.open is None or self.open[0] != session:
+            self.end()
+            self.out.write(f'{{"session_id":{session},"history":[{entries}'.encode())
+            self.open = [session, n, last]
+            self.n += 1
+        else:
+            self.out.write(f",{entries}".encode())
+            self.open[1:] = self.open[1] + n, last
+
+    def end(self) -> None:
+        if self.open is not None:
+            _, n, (count, outs, on1, on2, on3, active) = self.open
+            situation = json.dumps({"outs": outs, "on_1b": on1, "on_2b": on2, "on_3b": on3})
+            self.out.write(f'],"count":{json.dumps(count)},"situation":{situation},"n_pitches":{n},"atbat_active":{json.dumps(active)}}}\n'.encode())
+            self.open = None
+
+    def close(self) -> list:
+        """A row that names the file, if there is one."""
+        if self.out is None:
+            return []
+        self.end()
+        self.out.close()
+        return [{"n": self.n, "file": self.name}]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]):
+    """Stretches of one session's trace as JSON entries: (session, ts, seq, n, entries, state after)."""
+    text: dict = {}
+
+    def said(v):
+        if v not in text:
+            if len(text) > 100_000:
+                text.clear()
+            text[v] = json.dumps(v)
+        return text[v]
+
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)]
+        sid, seq, ts, pitch, outcome, before, *after = cols
+        a = 0
+        while a < len(sid):
+            z = a + 1
+            while z < len(sid) and z - a < PIECE_EVENTS and sid[z] == sid[a]:
+                z += 1
+            entries = ",".join(f'{{"seq":{q},"pitch":{said(p)},"outcome":{said(o)},"count_before":{said(c)}}}'
+                               for q, p, o, c in zip(seq[a:z], pitch[a:z], outcome[a:z], before[a:z]))
+            yield sid[a], ts[a], seq[a], z - a, entries, tuple(c[z - 1] for c in after)
+            a = z
+
+
+def _write_whole(path: str, split: frozenset):
+    """Documents of the sessions that stand in one partition; the others as pieces."""
+    def run(batches):
+        docs = _Documents(path)
+        for sid, ts, seq, n, entries, last in _pieces(batches):
+            if sid in split:
+                yield pa.RecordBatch.from_pylist([dict(zip(PIECE_ARROW.names, (sid, ts, seq, n, entries, *last)))], schema=PIECE_ARROW)
+            else:
+                docs.add(sid, n, entries, last)
+        if rows := docs.close():
+            yield pa.RecordBatch.from_pylist(rows, schema=PIECE_ARROW)
+    return run
+
+
+def _write_split(path: str):
+    """Pieces in order to documents: each goes to the file as it comes."""
+    def run(batches):
+        docs = _Documents(path)
+        for b in batches:
+            for r in b.to_pylist():
+                docs.add(r["session_id"], r["n"], r["entries"], tuple(r[c] for c in ("count", "outs", "on_1b", "on_2b", "on_3b", "active")))
+        if rows := docs.close():
+            yield pa.RecordBatch.from_pylist(rows, schema=PIECE_ARROW)
+    return run
+
+
+def write_documents(log: DataFrame, path: str, partitions: int | None = None) -> str:
+    """One JSON document per session (its id, ``history``, final count and
+    situation), a line each, in files under ``path``; returns the path.
+
+    Sessions whose events stand in one partition of the ordered log are written
+    there.  Those that are split, at most two a partition, give pieces that are
+    sorted by session and time and stitched by a second pass.  Pieces pass
+    straight to the file: no session is held, whatever its length.  ``files`` (a
+    table) names the files of attempts that ended well; others do not count."""
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
+    ordered = _ordered(log, partitions).checkpoint(eager=True)
+    summaries = [r.asDict() for r in ordered.mapInArrow(_pass1, SUMMARY_SCHEMA).collect()]
+    met = Counter(r["session_id"] for r in summaries)
+    split = frozenset(s for s, n in met.items() if n > 1)
+    trace = ordered.mapInArrow(_pass2_fn(_chain(summaries)), TRACE_SCHEMA)
+    trace.mapInArrow(_write_whole(path, split), PIECE_SCHEMA).write.parquet(f"{path}/files/pass=1")
+    pieces = spark.read.schema(PIECE_SCHEMA).parquet(f"{path}/files/pass=1").where(F.col("session_id").isNotNull())
+    (pieces.repartition("session_id").sortWithinPartitions("session_id", "ts", "seq").mapInArrow(_write_split(path), PIECE_SCHEMA)
+     .write.parquet(f"{path}/files/pass=2"))
+    return path
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of ``write_documents`` as a table."""
+    names = spark.read.schema(PIECE_SCHEMA).parquet(f"{path}/files/*").where(F.col("file").isNotNull()).select("file").collect()
+    if not names:
+        return spark.createDataFrame([], DOCUMENT_SCHEMA)
+    return spark.read.schema(DOCUMENT_SCHEMA).json([f"{path}/{r.file}" for r in names])
 
 
 # ---------------------------------------------------------------------------
