@@ -198,17 +198,19 @@ class Ids:
             out += [data[a:z] for a, z in zip([0, *ends], ends)]
         return out
 
-    def learn(self, parts: set[str]) -> None:
+    def learn(self, parts: list[str]) -> None:
+        """A part is a word, in small letters where that is plain, and its tail."""
         memo = self.memo
-        words = [x for x in parts if x.isalpha()]
-        rest = [x for x in parts if not x.isalpha()]
-        cores = [x.rstrip(TAILS) for x in rest]
-        words += {c for c in cores if c.isalpha()}.difference(memo.keys(), parts)
-        whole = [x for x, c in zip(rest, cores) if not c.isalpha()]
-        whole += {x[len(c):] for x, c in zip(rest, cores) if c.isalpha()} - memo.keys() - parts
-        memo.update(zip(words, self.words(words)))
+        cores = [x.rstrip(TAILS) for x in parts]
+        words = [c.lower() if c.isascii() else c for c in cores]
+        plain = [w.isalpha() for w in words]
+        new = list({w for w, ok in zip(words, plain) if ok}.difference(memo))
+        whole = [x for x, ok in zip(parts, plain) if not ok]
+        whole += {x[len(c):] for x, c, ok in zip(parts, cores, plain) if ok and len(x) > len(c)}.difference(memo)
+        memo.update(zip(new, self.words(new)))
         memo.update(zip(whole, self.library(whole)))
-        memo.update([(x, memo[c] + memo[x[len(c):]]) for x, c in zip(rest, cores) if c.isalpha()])
+        memo[""] = b""
+        memo.update([(x, memo[w] + memo[x[len(c):]]) for x, c, w, ok in zip(parts, cores, words, plain) if ok])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_parts:
@@ -216,7 +218,7 @@ class Ids:
         if len(self.memo) > MEMO:
             self.memo.clear()
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts) - self.memo.keys())
+        self.learn(list(set().union(*parts).difference(self.memo)))
         return [b"".join(map(self.memo.__getitem__, x)) for x in parts]
 
 
