@@ -9,14 +9,17 @@ come from a 3-row aggregate joined back (broadcast, bounded by 3).
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel,
+                                VectorAssembler)
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from moundflow import constants as K
+from moundflow.operators.boosting import boost, stop_round  # noqa: F401
 from moundflow.operators.features import ALL_FEATURES
+from moundflow.operators.order_stats import exact_quantiles
 from moundflow.session import ensure_checkpoint_dir
 
 ORDER = ["game_date", "game_pk", "at_bat_number", "pitch_number"]
@@ -37,10 +40,10 @@ def time_ordinal(df: DataFrame, partitions: int | None = None) -> DataFrame:
     partitioned, indexed rows are written once (reliable checkpoint) and both
     the counts and the ranks are read from that copy.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_last() for c in ORDER]
     ensure_checkpoint_dir(df.sparkSession)
-    o = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)      # without a number it follows the data
+    o = (dealt.sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
          .checkpoint(eager=True))
@@ -56,7 +59,10 @@ def time_ordinal(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def time_split(df: DataFrame, train_frac: float = K.SPLIT_TRAIN, val_frac: float = K.SPLIT_VAL) -> DataFrame:
     """Label rows train / val / test at int(.70 n) and int(.85 n)."""
-    o = time_ordinal(df)
+    return label_split(time_ordinal(df), train_frac, val_frac)
+
+
+def label_split(o: DataFrame, train_frac: float = K.SPLIT_TRAIN, val_frac: float = K.SPLIT_VAL) -> DataFrame:
     cut1 = F.floor(F.col("_total") * F.lit(train_frac))
     cut2 = F.floor(F.col("_total") * F.lit(train_frac + val_frac))
     return o.withColumn("split", F.when(F.col("time_rank") < cut1, "train")
@@ -73,30 +79,28 @@ def rolling_folds(df: DataFrame, n_folds: int = 5) -> DataFrame:
 
 # M1 ------------------------------------------------------------------------
 def column_types(df: DataFrame, feature_cols=ALL_FEATURES):
-    """Strings and booleans are categorical, numbers numeric."""
-    numeric, categorical = [], []
-    for f in df.schema.fields:
-        if f.name not in feature_cols:
-            continue
-        if isinstance(f.dataType, (StringType, BooleanType)):
-            categorical.append(f.name)
-        elif isinstance(f.dataType, NumericType):
-            numeric.append(f.name)
-        else:
-            numeric.append(f.name)
-    order = {c: i for i, c in enumerate(feature_cols)}
-    return sorted(numeric, key=order.get), sorted(categorical, key=order.get)
+    """The feature columns of a table: (numeric, categorical), in the features'
+    order.  Text and truth values are categorical."""
+    kinds = {f.name: isinstance(f.dataType, (StringType, BooleanType)) for f in df.schema.fields}
+    present = [c for c in feature_cols if c in kinds]
+    return [c for c in present if not kinds[c]], [c for c in present if kinds[c]]
 
 
 # M2 / M3 -------------------------------------------------------------------
-def preprocessing(numeric: list[str], categorical: list[str]) -> list:
-    """M2 stages: median impute + standardise numerics; one-hot categoricals
-    with unseen levels mapped to all zeros; one ``features`` vector."""
+def imputer(numeric: list[str], medians: dict[str, float | None]) -> SQLTransformer:
+    """Nulls and NaN to exact medians (0 where a column has no value)."""
+    filled = [f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {0.0 if medians[c] is None else medians[c]!r}D) AS `_imp_{c}`" for c in numeric]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def preprocessing(numeric: list[str], categorical: list[str], medians: dict[str, float | None]) -> list:
+    """M2 stages: exact median impute + standardise numerics; one-hot
+    categoricals with unseen levels mapped to all zeros; one ``features`` vector."""
     num_imp = [f"_imp_{c}" for c in numeric]
     idx = [f"_idx_{c}" for c in categorical]
     ohe = [f"_ohe_{c}" for c in categorical]
     stages = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=num_imp),
+        imputer(numeric, medians),
         VectorAssembler(inputCols=num_imp, outputCol="_num_vec", handleInvalid="keep"),
         StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True),
     ]
@@ -110,53 +114,44 @@ def preprocessing(numeric: list[str], categorical: list[str]) -> list:
     return stages
 
 
-def stop_round(losses, patience: int = K.GBT_PATIENCE) -> int | None:
-    """The iteration count at which boosting stops: ``patience`` iterations in
-    a row have not lowered the holdout loss; None while it goes on."""
-    best, since = float("inf"), 0
-    for i, loss in enumerate(losses):
-        best, since = (loss, 0) if loss < best else (best, since + 1)
-        if since >= patience:
-            return i + 1
-    return None
+def fit_preprocessing(tr: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
+    medians = {c: v[0] for c, v in exact_quantiles(tr, numeric, [0.5]).items()}
+    return Pipeline(stages=preprocessing(numeric, categorical, medians)).fit(tr)
+
+
+def preprocessing_summary(pre: PipelineModel, tr: DataFrame) -> DataFrame:
+    """What a fitted preprocessing holds: a row per column with its median, mean
+    and deviation after imputing, or its levels."""
+    numeric, categorical = model_columns(pre)
+    scaler = pre.stages[2]
+    medians = exact_quantiles(tr, numeric, [0.5])
+    rows = [(c, "numeric", medians[c][0], float(m), float(s), None) for c, m, s in zip(numeric, scaler.mean, scaler.std)]
+    if categorical:
+        rows += [(c, "categorical", None, None, None, ",".join(x)) for c, x in zip(categorical, pre.stages[3].labelsArray)]
+    return tr.sparkSession.createDataFrame(rows, "feature string, kind string, median double, mean double, std double, levels string")
 
 
 def fit_boosted(tr: DataFrame, numeric: list[str], categorical: list[str], max_depth: int = K.GBT_MAX_DEPTH,
                 step: float = K.GBT_STEP, max_iter: int = K.GBT_MAX_ITER, seed: int = K.GBT_SEED,
-                patience: int | None = K.GBT_PATIENCE, label: str = "run_value") -> PipelineModel:
-    """M3: preprocessing, then boosting until ``patience`` iterations bring no
-    lower loss on the holdout (``_es_holdout`` rows), at most ``max_iter``.
-
-    Spark's own early stop has a patience of one, so the rounds are fitted
-    without it and the holdout loss after each round decides.  The fit doubles
-    its rounds until the rule fires (a longer fit starts with the same trees:
-    seed and row layout are fixed), then keeps the trees up to that round; the
-    preprocessed rows are written once and read by every fit."""
+                patience: int | None = K.GBT_PATIENCE, label: str = "run_value", folder: str | None = None) -> PipelineModel:
+    """M3: preprocessing, then boosting (``operators.boosting``) until
+    ``patience`` iterations bring no lower loss on the holdout (``_es_holdout``
+    rows), at most ``max_iter``.  The preprocessed rows are written once and read
+    by every round; ``folder`` keeps the rounds, so that a fit can go on."""
     ensure_checkpoint_dir(tr.sparkSession)
-    pre = Pipeline(stages=preprocessing(numeric, categorical)).fit(tr)
-    keep = [F.col("_es_holdout").alias("_h")] if patience else [F.lit(False).alias("_h")]
-    rows = pre.transform(tr).select("features", label, *keep).checkpoint(eager=True)
-    fit_rows, held = rows.filter(~F.col("_h")), rows.filter(F.col("_h"))
-
-    def boosted(rounds: int):
-        return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxDepth=max_depth,
-                            stepSize=step, maxIter=rounds, seed=seed, maxBins=64, subsamplingRate=1.0,
-                            # depth-8 trees: keep each row's node id instead of
-                            # re-walking the trees at every level
-                            cacheNodeIds=True, checkpointInterval=10).fit(fit_rows)
-
-    if not patience or held.isEmpty():
-        return PipelineModel(stages=[*pre.stages, boosted(max_iter)])
-    rounds = min(max_iter, 2 * patience)
-    while True:
-        gbt = boosted(rounds)
-        stop = stop_round(gbt.evaluateEachIteration(held, "squared"), patience)
-        if stop is not None or rounds == max_iter:
-            break
-        rounds = min(max_iter, 2 * rounds)
-    if stop is not None and stop < rounds:
-        gbt = boosted(stop)
-    return PipelineModel(stages=[*pre.stages, gbt])
+    pre = fit_preprocessing(tr, numeric, categorical)
+    keep = F.col("_es_holdout") if patience else F.lit(False)
+    rows = pre.transform(tr).select("features", label, keep.alias("_h")).checkpoint(eager=True)
+    if patience and rows.where("_h").isEmpty():
+        patience = None
+    gbt, _ = boost(rows, label, "_h", max_iter, step, max_depth, seed, patience, folder)
+    return PipelineModel(stages=[*pre.stages, gbt.setFeaturesCol("features").setPredictionCol("prediction")])
+
+
+def layout_partitions(n: int) -> int:
+    """Partitions of a training table, from its rows alone: a million rows each
+    at scale, a few thousand at least."""
+    return max(-(-n // (1 << 20)), min(64, -(-n // 8192)), 1)
 
 
 def prepare(df: DataFrame, categorical: list[str]) -> DataFrame:
@@ -171,33 +166,44 @@ def holdout_flag(df: DataFrame, fraction: float = K.GBT_VALIDATION_FRACTION, see
     return F.pmod(h, F.lit(1000)) < int(fraction * 1000)
 
 
-def train(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, max_depth: int = K.GBT_MAX_DEPTH,
-          early_stopping: bool = True):
-    """Fit on the train split; returns (model, numeric, categorical, split df)."""
-    df = features.filter(F.col("run_value").isNotNull())
-    df = time_split(df)
+def split_table(features: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """The split rows as every stage reads them; numeric and categorical columns.
+
+    The trees' split sampling depends on how rows are spread over partitions: the
+    table is laid out by a hash of the pitch key over a number of partitions that
+    its rows give, sorted, and written once, so a fit is repeatable whatever the
+    earlier range sampling did."""
+    df = time_ordinal(features.filter(F.col("run_value").isNotNull()))
     numeric, categorical = column_types(df)
-    # every pipeline stage reads the training rows (imputer, indexer, scaler,
-    # trees), and the approximate median and the trees' split sampling depend
-    # on how rows are spread over partitions: lay the table out by a hash of
-    # the pitch key with a fixed partition count, sorted, and write it once —
-    # the fit is then repeatable whatever the earlier range sampling did
     key = ["game_pk", "at_bat_number", "pitch_number"]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = prepare(df, categorical).repartition(n, *key).sortWithinPartitions(*key).checkpoint(eager=True)
+    n = df.agg(F.max("_total")).first()[0] or 0
+    df = prepare(label_split(df), categorical).repartition(layout_partitions(n), *key).sortWithinPartitions(*key).checkpoint(eager=True)
+    return df, numeric, categorical
+
+
+def train(features: DataFrame, max_iter: int = K.GBT_MAX_ITER, max_depth: int = K.GBT_MAX_DEPTH,
+          early_stopping: bool = True, folder: str | None = None):
+    """Fit on the train split; returns (model, numeric, categorical, split df)."""
+    df, numeric, categorical = split_table(features)
     tr = df.filter(F.col("split") == "train")
     if early_stopping:
         tr = tr.withColumn("_es_holdout", holdout_flag(tr))
     model = fit_boosted(tr, numeric, categorical, max_iter=max_iter, max_depth=max_depth,
-                        patience=K.GBT_PATIENCE if early_stopping else None)
+                        patience=K.GBT_PATIENCE if early_stopping else None, folder=folder)
     return model, numeric, categorical, df
 
 
 # M8 ------------------------------------------------------------------------
+def model_columns(model: PipelineModel) -> tuple[list[str], list[str]]:
+    """The numeric and the categorical columns a fitted pipeline reads."""
+    numeric = [c.removeprefix("_imp_") for c in model.stages[1].getInputCols()]
+    categorical = list(model.stages[3].getInputCols()) if isinstance(model.stages[3], StringIndexerModel) else []
+    return numeric, categorical
+
+
 def model_inputs(model: PipelineModel) -> list[str]:
     """The feature columns a fitted pipeline reads (numeric, then categorical)."""
-    numeric = list(model.stages[0].getInputCols())
-    categorical = list(model.stages[3].getInputCols()) if len(model.stages) > 5 else []
+    numeric, categorical = model_columns(model)
     return numeric + categorical
 
 
@@ -205,8 +211,7 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_rv") -> D
     """Score a table with the fitted pipeline; feature columns it lacks are
     filled with 0 (numeric) / '0' (categorical), as the published scorer
     does, then the prediction is renamed to ``out``."""
-    numeric = list(model.stages[0].getInputCols())
-    categorical = list(model.stages[3].getInputCols()) if len(model.stages) > 5 else []
+    numeric, categorical = model_columns(model)
     fill = {}
     for c in numeric:
         if c not in df.columns:

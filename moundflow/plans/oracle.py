@@ -911,3 +911,19 @@ GROUP BY pitcher""")
 cte("atdocs", ["trace", "atsum"], """
 SELECT a.session_id, a."count", a.outs, a.on_1b, a.on_2b, a.on_3b, a.n_pitches, a.atbat_active, t.rn AS place, t.seq, t.pitch, t.outcome, t.count_before
 FROM trace t JOIN atsum a ON a.session_id = t.session_id""")
+
+
+# --- M2: medians, means, deviations and levels of the training rows ----------------------
+def _m02_sql() -> str:
+    from moundflow.operators import features as FE
+    numeric = [c for c in FE.ALL_FEATURES if c not in FE.CATEGORICAL_FEATURES]
+    one = [f"""
+SELECT '{c}' AS feature, 'numeric' AS kind, m AS median, avg(coalesce(x, m)) AS mean, stddev_samp(coalesce(x, m)) AS std, NULL AS levels
+FROM (SELECT x, median(x) OVER () AS m FROM (SELECT CAST({c} AS DOUBLE) AS x FROM w10 WHERE split = 'train') a) b GROUP BY m""" for c in numeric]
+    one += [f"""
+SELECT '{c}' AS feature, 'categorical' AS kind, NULL AS median, NULL AS mean, NULL AS std, string_agg(x, ',' ORDER BY x) AS levels
+FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'missing') AS x FROM w10 WHERE split = 'train') a""" for c in FE.CATEGORICAL_FEATURES]
+    return " UNION ALL ".join(one)
+
+
+cte("m02", ["w10"], _m02_sql())

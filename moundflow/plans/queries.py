@@ -485,3 +485,12 @@ register(Query(
     "s09_atbat_export", _documents,
     "session_id:i count:s outs:i on_1b:b on_2b:b on_3b:b n_pitches:i atbat_active:b place:i seq:i pitch:s outcome:s count_before:s",
     source="atdocs"))
+
+
+def _preprocessing(t: Tables):
+    df, numeric, categorical = ML.split_table(t.features)
+    tr = df.filter(F.col("split") == "train")
+    return ML.preprocessing_summary(ML.fit_preprocessing(tr, numeric, categorical), tr)
+
+
+register(Query("m02_preprocessing", _preprocessing, "feature:s kind:s median:f mean:f std:f levels:s", source="m02"))
