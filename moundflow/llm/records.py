@@ -32,7 +32,7 @@ READ_BYTES, OPEN_FILES = 4 << 20, 64
 #: Text bytes encoded at once.
 SLICE = 1 << 20
 #: Parts whose ids a worker keeps (a memory bound; texts are encoded whole).
-MEMO = 800_000
+MEMO = 1_400_000
 END_ID = 2
 
 
