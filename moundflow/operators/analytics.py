@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow import constants as K
-from moundflow.functions.location import fits_rule, rule_based_location
+from moundflow.functions.location import fits_rule, loc_horizontal, loc_vertical, rule_based_location
 from moundflow.functions.pitch import _c, is_contact, is_swing, outcome_class, safe_divide
+from moundflow.operators.order_stats import exact_quantiles
+from moundflow.session import ensure_checkpoint_dir
 
 
 # A12 -----------------------------------------------------------------------
@@ -72,7 +74,11 @@ def top_pitch_types(arsenal: DataFrame, n: int = 3, default=("FF", "SL", "CU"))
 def dataset_summary(pitches: DataFrame) -> DataFrame:
     """Rows, distinct players, date range and the run-value distribution
     (count, mean, sample std, min, quartiles by linear interpolation, max)."""
+    # read several times, so written once
+    ensure_checkpoint_dir(pitches.sparkSession)
+    pitches = pitches.select("run_value", "game_date", "pitcher", "batter").checkpoint(eager=True)
     rv = F.col("run_value")
+    quartiles = exact_quantiles(pitches, ["run_value"], [0.25, 0.5, 0.75])["run_value"]
     whole = pitches.agg(
         F.count(F.lit(1)).alias("pitches"),
         F.min("game_date").alias("first_date"),
@@ -82,16 +88,11 @@ def dataset_summary(pitches: DataFrame) -> DataFrame:
         F.stddev_samp(rv).alias("rv_std"),
         F.min(rv).alias("rv_min"),
         F.max(rv).alias("rv_max"),
+        *[F.lit(q).cast("double").alias(f"rv_p{p}") for p, q in zip((25, 50, 75), quartiles)],
     )
-    # distinct players are counted after a distributed distinct, and the exact
-    # quartiles are taken over the distinct run values with their frequencies
-    # (the base-out states and runs allow a few thousand), not over the rows
-    players = [pitches.groupBy(c).count().agg(F.count(c).alias(f"{c}s")) for c in ("pitcher", "batter")]
-    q = (pitches.groupBy(rv).agg(F.count(rv).alias("_n")).filter(rv.isNotNull())
-         .agg(F.percentile(rv, [0.25, 0.5, 0.75], F.col("_n")).alias("_q"))
-         .select(*[F.get("_q", F.lit(i)).alias(f"rv_p{p}") for i, p in enumerate((25, 50, 75))]))
-    for one in (*players, q):
-        whole = whole.join(F.broadcast(one))        # one row each
+    # distinct players are counted after a distributed distinct
+    for c in ("pitcher", "batter"):
+        whole = whole.join(F.broadcast(pitches.groupBy(c).count().agg(F.count(c).alias(f"{c}s"))))     # one row each
     return whole
 
 
@@ -256,16 +257,48 @@ def calibration(df: DataFrame, predicted: str, observed: str, bins: int = 10) ->
 
 
 # A25 -----------------------------------------------------------------------
-def decision_quality(features: DataFrame, best_worst: DataFrame) -> DataFrame:
-    """Mean run value and strike share of pitches by location policy: every
-    pitch ('actual'), those thrown in their type's best cell ('recommended'), in
-    its worst ('worst'), where the rule table wants them ('rule_based'), in a
-    cell drawn for the pitch ('random', by its key), inside the zone
-    ('in_zone').  Choose ``best_worst`` on other games than ``features``
-    (``by_game``), else 'recommended' is judged on the rows that chose it."""
+#: Weighted copies of the rows that give a policy's interval.
+REPLICATES = 12
+#: P(w <= k) of a Poisson weight of mean one, in millionths.
+POISSON = [367_879, 735_759, 919_699, 981_012, 996_340, 999_406, 999_917, 999_990]
+
+
+def poisson_weight(replicate: int) -> Column:
+    """A Poisson weight of mean one, drawn from the pitch's key: whole-number
+    arithmetic, so any engine draws the same."""
+    key = F.col("game_pk") * 7919 + F.col("at_bat_number") * 104729 + F.col("pitch_number") * 1299709 + F.lit(replicate * 15485863)
+    u = F.pmod(F.pmod(key * 48271 + 11, F.lit(2147483647)) * 69621 + 7, F.lit(1000003)) * F.lit(1000000) / F.lit(1000003)
+    return sum((u >= F.lit(p)).cast("int") for p in POISSON)
+
+
+def game_fold(folds: int = 2) -> Column:
+    return F.coalesce(F.pmod(F.col("game_pk"), F.lit(folds)), F.lit(0))
+
+
+def cross_fitted_locations(features: DataFrame, folds: int = 2) -> DataFrame:
+    """Per (fold, pitch type) the best and the worst cell by the mean run value
+    in all other folds: sums by fold are additive, so one pass serves all folds."""
+    cell = F.concat_ws("-", "loc_horizontal", "loc_vertical")
+    sums = (features.where(F.col("loc_horizontal").isNotNull() & F.col("loc_vertical").isNotNull() & F.col("run_value").isNotNull())
+            .groupBy(game_fold(folds).alias("fold"), "pitch_type", cell.alias("cell")).agg(F.sum("run_value").alias("s"), F.count(F.lit(1)).alias("n")))
+    others = (sums.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))).alias("held"), "pitch_type", "cell", "s", "n")
+              .groupBy(F.col("held").alias("fold"), "pitch_type", "cell").agg(F.round(F.sum("s") / F.sum("n"), 12).alias("mean_rv")))
+    return others.groupBy("fold", "pitch_type").agg(F.min_by("cell", F.struct("mean_rv", "cell")).alias("best_location"),
+                                                    F.min_by("cell", F.struct(-F.col("mean_rv"), "cell")).alias("worst_location"))
+
+
+def decision_quality(features: DataFrame, folds: int = 2, modelled: DataFrame | None = None, replicates: int = REPLICATES) -> DataFrame:
+    """Mean run value, its bootstrap deviation and strike share of pitches
+    by location policy: every pitch ('actual'), those thrown in their type's best
+    cell ('recommended') or worst ('worst'), both chosen on the other folds of
+    games and judged on the held one; where the rule table wants them
+    ('rule_based'), in a cell drawn for the pitch ('random'), inside the zone
+    ('in_zone'), and in the cell a model prefers for the pitch ('model', with
+    ``modelled``: the pitch key and ``cell``).  All sums are additive."""
     cell = F.concat_ws("-", "loc_horizontal", "loc_vertical")
-    bw = best_worst.select("pitch_type", "best_location", "worst_location")
-    j = features.join(bw, "pitch_type", "left")
+    j = features.withColumn("fold", game_fold(folds)).join(cross_fitted_locations(features, folds), ["fold", "pitch_type"], "left")
+    keys = ["game_pk", "at_bat_number", "pitch_number"]
+    j = j.withColumn("_model", F.lit(None).cast("string")) if modelled is None else j.join(modelled.select(*keys, F.col("cell").alias("_model")), keys, "left")
     drawn = F.pmod(F.col("game_pk") * 31 + F.col("at_bat_number") * 17 + F.col("pitch_number") * 7, F.lit(len(K.H_LABELS) * len(K.V_LABELS)))
     cells = F.array(*[F.lit(f"{h}-{v}") for h in K.H_LABELS for v in K.V_LABELS])
     rule = fits_rule(rule_based_location("pitch_type", "stand"), "loc_horizontal", "loc_vertical")
@@ -275,17 +308,25 @@ def decision_quality(features: DataFrame, best_worst: DataFrame) -> DataFrame:
         F.when(cell == F.col("worst_location"), F.lit("worst")),
         F.when(rule, F.lit("rule_based")),
         F.when(cell == F.get(cells, drawn.cast("int")), F.lit("random")),
+        F.when(cell == F.col("_model"), F.lit("model")),
         F.when(F.col("in_zone") == 1, F.lit("in_zone"))), lambda x: x.isNotNull())
-    t = j.select(F.explode(tags).alias("policy"), "run_value", "in_zone")
-    return t.groupBy("policy").agg(F.avg("run_value").alias("mean_rv"),
-                                   F.avg(F.col("in_zone").cast("double")).alias("strike_share"),
-                                   F.count(F.lit(1)).alias("n"))
-
-
-def by_game(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two halves of the games: one to choose locations on, one to judge them."""
-    odd = F.pmod(F.col("game_pk"), F.lit(2)) == 1
-    return features.filter(~odd), features.filter(odd)
+    weights = {f"_w{b}": poisson_weight(b) for b in range(replicates)}
+    t = j.select(F.explode(tags).alias("policy"), "run_value", "in_zone", *[w.alias(n) for n, w in weights.items()])
+    rv = F.col("run_value")
+    g = t.groupBy("policy").agg(
+        F.avg(rv).alias("mean_rv"), F.avg(F.col("in_zone").cast("double")).alias("strike_share"), F.count(F.lit(1)).alias("n"),
+        *[F.try_divide(F.sum(rv * F.col(w)), F.sum(F.when(rv.isNotNull(), F.col(w)))).alias(w) for w in weights])
+    means = F.array(*[F.col(w) for w in weights])
+    total = F.aggregate(means, F.lit(0.0), lambda a, x: a + x)
+    spread = F.aggregate(means, F.lit(0.0), lambda a, x: a + (x - total / replicates) * (x - total / replicates))
+    return g.select("policy", "mean_rv", F.sqrt(spread / (replicates - 1)).alias("se_rv"), "strike_share", "n")
+
+
+def modelled_cells(best: DataFrame) -> DataFrame:
+    """The pitch key and the bucket cell of the place a model prefers for it;
+    ``best`` has the key and ``plate_x``, ``plate_z``."""
+    keys = ["game_pk", "at_bat_number", "pitch_number"]
+    return best.select(*keys, F.concat_ws("-", loc_horizontal("plate_x"), loc_vertical("plate_z")).alias("cell"))
 
 
 # S10 -----------------------------------------------------------------------

@@ -824,22 +824,56 @@ SELECT count(*) AS pitches, count(DISTINCT pitcher) AS pitchers, count(DISTINCT
 FROM (SELECT * FROM raw WHERE game_date < DATE '2024-06-01'
       UNION ALL SELECT * FROM raw WHERE game_date >= DATE '2024-06-01' OR game_date IS NULL) u""")
 cte("players", ["raw"], "SELECT DISTINCT CAST(batter AS BIGINT) AS batter FROM raw WHERE batter IS NOT NULL")
-cte("bestloc_even", ["features"], _best_locations("(SELECT * FROM features WHERE game_pk % 2 = 0)"))
 _FITS = " OR ".join(f"(rule = '{n}' AND loc_horizontal IN ({', '.join(map(_q, h))}) AND loc_vertical IN ({', '.join(map(_q, v))}))"
                     for n, (h, v) in K.RULE_BUCKETS.items())
 _LIST = "[" + ", ".join(f"'{h}-{v}'" for h in K.H_LABELS for v in K.V_LABELS) + "]"
-cte("odd", ["features"], f"""
+cte("placed", ["features"], f"""
 SELECT *, CASE WHEN loc_horizontal IS NOT NULL AND loc_vertical IS NOT NULL THEN loc_horizontal || '-' || loc_vertical END AS cell,
-  {_rule_sql()} AS rule FROM features WHERE game_pk % 2 = 1""")
-cte("dq", ["odd", "bestloc_even"], f"""
-SELECT policy, avg(run_value) AS mean_rv, avg(CAST(in_zone AS DOUBLE)) AS strike_share, count(*) AS n FROM (
-  SELECT run_value, in_zone, 'actual' AS policy FROM odd
-  UNION ALL SELECT run_value, in_zone, 'recommended' FROM odd JOIN bestloc_even b USING (pitch_type) WHERE cell = b.best_location
-  UNION ALL SELECT run_value, in_zone, 'worst' FROM odd JOIN bestloc_even b USING (pitch_type) WHERE cell = b.worst_location
-  UNION ALL SELECT run_value, in_zone, 'rule_based' FROM odd WHERE {_FITS}
-  UNION ALL SELECT run_value, in_zone, 'random' FROM odd WHERE cell = {_LIST}[1 + (game_pk * 31 + at_bat_number * 17 + pitch_number * 7) % {len(K.H_LABELS) * len(K.V_LABELS)}]
-  UNION ALL SELECT run_value, in_zone, 'in_zone' FROM odd WHERE in_zone = 1) u
-GROUP BY policy""")
+  {_rule_sql()} AS rule, game_pk % 2 AS fold FROM features""")
+
+
+def _cross_fitted() -> str:
+    """Best and worst cell of each fold's pitch types, by the rows of the other fold."""
+    return """
+WITH c AS (SELECT 1 - fold AS fold, pitch_type, cell, avg(run_value) AS m FROM placed WHERE cell IS NOT NULL AND run_value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold, pitch_type ORDER BY round(m, 12), cell) AS rb,
+             row_number() OVER (PARTITION BY fold, pitch_type ORDER BY round(m, 12) DESC, cell) AS rw FROM c)
+SELECT b.fold, b.pitch_type, b.cell AS best_location, w.cell AS worst_location
+FROM r b JOIN r w ON w.fold = b.fold AND w.pitch_type = b.pitch_type AND w.rw = 1 WHERE b.rb = 1"""
+
+
+cte("crossfit", ["placed"], _cross_fitted())
+
+
+def _weights() -> str:
+    from moundflow.operators.analytics import POISSON, REPLICATES
+    out = []
+    for b in range(REPLICATES):
+        key = f"(game_pk * 7919 + at_bat_number * 104729 + pitch_number * 1299709 + {b * 15485863})"
+        u = f"((({key} * 48271 + 11) % 2147483647 * 69621 + 7) % 1000003 * 1000000 / 1000003)"
+        out.append("(" + " + ".join(f"CASE WHEN {u} >= {p} THEN 1 ELSE 0 END" for p in POISSON) + f") AS w{b}")
+    return ", ".join(out)
+
+
+def _dq_sql() -> str:
+    from moundflow.operators.analytics import REPLICATES
+    draw = f"{_LIST}[1 + (game_pk * 31 + at_bat_number * 17 + pitch_number * 7) % {len(K.H_LABELS) * len(K.V_LABELS)}]"
+    best = "p JOIN crossfit b ON b.fold = p.fold AND b.pitch_type = p.pitch_type"
+    row = "p.game_pk, p.at_bat_number, p.pitch_number, p.run_value, p.in_zone"
+    means = ", ".join(f"sum(run_value * w{b}) / nullif(sum(CASE WHEN run_value IS NOT NULL THEN w{b} END), 0)" for b in range(REPLICATES))
+    return f"""
+SELECT policy, mean_rv, list_stddev_samp(ms) AS se_rv, strike_share, n FROM (
+SELECT policy, avg(run_value) AS mean_rv, avg(CAST(in_zone AS DOUBLE)) AS strike_share, count(*) AS n, [{means}] AS ms FROM (SELECT *, {_weights()} FROM (
+  SELECT {row}, 'actual' AS policy FROM placed p
+  UNION ALL SELECT {row}, 'recommended' FROM placed {best} WHERE p.cell = b.best_location
+  UNION ALL SELECT {row}, 'worst' FROM placed {best} WHERE p.cell = b.worst_location
+  UNION ALL SELECT {row}, 'rule_based' FROM placed p WHERE {_FITS}
+  UNION ALL SELECT {row}, 'random' FROM placed p WHERE cell = {draw}
+  UNION ALL SELECT {row}, 'model' FROM placed p JOIN pitchgrid g ON g.game_pk = p.game_pk AND g.at_bat_number = p.at_bat_number
+    AND g.pitch_number = p.pitch_number WHERE p.cell = g.cell
+  UNION ALL SELECT {row}, 'in_zone' FROM placed p WHERE in_zone = 1) u) v
+GROUP BY policy) w"""
+
 
 # --- text input, reports, clipping, exposure, geometry, names, location grid ---
 def _bad(col: str, kind: str) -> str:
@@ -927,3 +961,15 @@ FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'missing') AS x FROM w10 WH
 
 
 cte("m02", ["w10"], _m02_sql())
+
+
+# --- A25 with the place a scorer prefers for each pitch -------------------------------------
+cte("pitchgrid", ["features", "zlong"], f"""
+SELECT game_pk, at_bat_number, pitch_number, {_bucket('x', K.H_EDGES, K.H_LABELS)} || '-' || {_bucket('z', K.V_EDGES, K.V_LABELS)} AS cell
+FROM (SELECT *, row_number() OVER (PARTITION BY game_pk, at_bat_number, pitch_number ORDER BY s, cell_no) AS k FROM (
+  SELECT f.game_pk, f.at_bat_number, f.pitch_number, c.cell AS cell_no, c.x, c.z,
+    CASE WHEN l.batter IS NULL THEN 0.25E0 ELSE l.whiff_rate END * -0.2E0 + CASE WHEN l.batter IS NULL THEN 0.32E0 ELSE l.xwoba END * 0.1E0
+      + abs(c.x) * 0.01E0 + CASE WHEN c.z > 1.8E0 AND c.z <= 2.5E0 THEN 0.004E0 ELSE 0.0E0 END AS s
+  FROM features f CROSS JOIN (SELECT cell, x, z, {sql_zone_of('x', 'z')} AS zone FROM (VALUES {_CELLS}) v(cell, x, z)) c
+  LEFT JOIN zlong l ON l.batter = f.batter AND l.zone = c.zone) u) w WHERE k = 1""")
+cte("dq", ["placed", "crossfit", "pitchgrid"], _dq_sql())

@@ -374,11 +374,15 @@ register(Query("a24_unique_batters", lambda t: AN.unique_players(t.raw, "batter"
 
 
 def _decision_quality(t: Tables):
-    chosen_on, judged_on = AN.by_game(t.features)
-    return AN.decision_quality(judged_on, AN.best_worst_location(chosen_on))
+    """The model's place in the policies is that of a stand-in scorer SQL knows, too."""
+    f = t.features.checkpoint(eager=True)
+    pitch = F.struct("game_pk", "at_bat_number", "pitch_number")
+    c = f.select(pitch.alias("request_id"), F.lit(0).alias("arsenal_pos"), "batter", "pitch_type")
+    best = RE.optimize_locations(c, t.zone_long, carry=["pitch_type"], scorer=_stand_in()).select("request_id.*", "location.plate_x", "location.plate_z")
+    return AN.decision_quality(f, modelled=AN.modelled_cells(best))
 
 
-register(Query("a25_decision_quality", _decision_quality, "policy:s mean_rv:f strike_share:f n:i", source="dq"))
+register(Query("a25_decision_quality", _decision_quality, "policy:s mean_rv:f se_rv:f strike_share:f n:i", source="dq"))
 
 # --- text input, reports, clipping, exposure, geometry, names, location grid ---
 from moundflow.functions import location as LOC  # noqa: E402
@@ -426,12 +430,16 @@ def _resolved(t: Tables):
 register(Query("j11_resolved_names", _resolved, "request_id:i who:s player_id:i player_id_resolved:b", source="resolved"))
 
 
+def _stand_in():
+    """A scorer that depends on the place."""
+    return (F.col("batter_whiff_rate_at_zone") * F.lit(-0.2) + F.col("batter_xwoba_at_zone") * F.lit(0.1)
+            + F.abs(F.col("plate_x")) * F.lit(0.01) + F.when(F.col("loc_vertical") == "mid_low", 0.004).otherwise(0.0))
+
+
 def _grid(t: Tables):
     """R6's 25 cells per candidate with a scorer that depends on the place."""
     c = RE.resolve_arsenal(_requests(t).select("request_id", "pitcher", "batter"), t.pitcher_arsenals, t.pitcher_profiles)
-    scorer = (F.col("batter_whiff_rate_at_zone") * F.lit(-0.2) + F.col("batter_xwoba_at_zone") * F.lit(0.1)
-              + F.abs(F.col("plate_x")) * F.lit(0.01) + F.when(F.col("loc_vertical") == "mid_low", 0.004).otherwise(0.0))
-    best = RE.optimize_locations(c, t.zone_long, carry=["pitch_type"], scorer=scorer)
+    best = RE.optimize_locations(c, t.zone_long, carry=["pitch_type"], scorer=_stand_in())
     return best.select("request_id", "arsenal_pos", "pitch_type", "location.*")
 
 
