@@ -27,7 +27,7 @@ from moundflow.sources import requests as RQ  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 GBT_ITER = int(os.environ.get("BENCH_GBT_ITER", "200"))
-N_REQUESTS = int(os.environ.get("BENCH_REQUESTS", "10000"))
+N_REQUESTS = int(os.environ.get("BENCH_REQUESTS", "0"))
 
 
 def run(df):
@@ -96,7 +96,7 @@ def main():
     all_reqs = RQ.requests(spark, SF_DIR)
     timed("recommend_all_requests_model_no_grid",
           lambda: run(RE.recommend(all_reqs, arsenals, profiles, wide, zones, model=model, optimize_location=False)))
-    # the 25-cell grid costs 25 scorings a candidate: BENCH_REQUESTS requests (0: all)
+    # the 25-cell grid: all requests, or BENCH_REQUESTS of them
     reqs = all_reqs.orderBy("request_id").limit(N_REQUESTS).checkpoint() if N_REQUESTS else all_reqs
     timed(f"recommend_{N_REQUESTS or 'all'}_grid",
           lambda: run(RE.recommend(reqs, arsenals, profiles, wide, zones, model=model, optimize_location=True)))

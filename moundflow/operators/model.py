@@ -12,7 +12,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel,
                                 VectorAssembler)
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -207,10 +208,11 @@ def model_inputs(model: PipelineModel) -> list[str]:
     return numeric + categorical
 
 
-def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_rv") -> DataFrame:
+def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_rv", keep_vector: bool = False) -> DataFrame:
     """Score a table with the fitted pipeline; feature columns it lacks are
     filled with 0 (numeric) / '0' (categorical), as the published scorer
-    does, then the prediction is renamed to ``out``."""
+    does, then the prediction is renamed to ``out``.  ``keep_vector`` leaves
+    the preprocessed ``features``."""
     numeric, categorical = model_columns(model)
     fill = {}
     for c in numeric:
@@ -222,10 +224,41 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_rv") -> D
         fill[c] = F.coalesce(F.col(c).cast("string"), F.lit("missing")) if c in df.columns else F.lit("0")
     keep = [c for c in df.columns if c not in fill and c != "prediction" and not c.startswith("_imp_")]
     scored = model.transform(df.select(*keep, *[v.alias(k) for k, v in fill.items()]))
-    internal = [c for c in scored.columns if c.startswith(("_imp_", "_idx_", "_ohe_", "_num_"))] + ["features"]
+    internal = [c for c in scored.columns if c.startswith(("_imp_", "_idx_", "_ohe_", "_num_"))] + ([] if keep_vector else ["features"])
     return scored.drop(*internal).withColumnRenamed("prediction", out)
 
 
+# R6 over preprocessed candidates ----------------------------------------------
+class LocationSlots:
+    """Where the place of a pitch stands in a model's feature vector, and what
+    each cell of a grid puts there: the pipeline is run once over the cells, so
+    a candidate's vector is made for a cell by exchanging these slots."""
+
+    def __init__(self, model: PipelineModel, spark, cells: list[dict], fixed: list[str], looked_up: list[str], levels: list[str]):
+        numeric, categorical = model_columns(model)
+        if numeric[-len(fixed) - len(looked_up):] != fixed + looked_up or categorical[-len(levels):] != levels:
+            raise ValueError("the columns of a place are not the last of their kind")
+        zeros = {c: 0.0 for c in numeric} | {c: "missing" for c in categorical}
+        rows = [{**zeros, "_cell": i, **cell} for i, cell in enumerate(cells)] + [{**zeros, **{c: None for c in looked_up}, "_cell": len(cells)}]
+        schema = ", ".join([*[f"`{c}` double" for c in numeric], *[f"`{c}` string" for c in categorical], "_cell int"])
+        frame = spark.createDataFrame([tuple(r[c] for c in (*numeric, *categorical, "_cell")) for r in rows], schema)
+        seen = PipelineModel(stages=model.stages[:-1]).transform(frame)
+        vectors = [r.features.toArray().tolist() for r in seen.select("features", "_cell").orderBy("_cell").collect()]       # a row per cell
+        widths = [seen.schema[f"_ohe_{c}"].metadata["ml_attr"]["num_attrs"] for c in levels]
+        self.first, self.fixed = len(numeric) - len(fixed) - len(looked_up), len(fixed)
+        self.after, self.last = len(numeric), len(vectors[0]) - sum(widths)
+        self.numbers = [v[self.first:self.first + len(fixed)] for v in vectors[:-1]]
+        self.levels = [v[self.last:] for v in vectors[:-1]]
+        self.missing = vectors[-1][self.first + len(fixed):self.after]      # what the imputer gives
+        scaler = model.stages[2]
+        self.scale = [(float(scaler.mean[i]), 1.0 / float(scaler.std[i]) if scaler.std[i] else 0.0) for i in range(self.first + len(fixed), self.after)]
+
+    def vector(self, base: Column, numbers: Column, levels: Column, looked_up: list[Column]) -> Column:
+        """The candidate's vector (an array) with a cell's slots."""
+        own = [F.coalesce((v - F.lit(m)) * F.lit(s), F.lit(d)) for v, (m, s), d in zip(looked_up, self.scale, self.missing)]
+        return array_to_vector(F.concat(F.slice(base, 1, self.first), numbers, F.array(*own), F.slice(base, self.after + 1, self.last - self.after), levels))
+
+
 # A22 -----------------------------------------------------------------------
 def regression_metrics(df: DataFrame, label: str = "run_value", pred: str = "prediction",
                        by: str = "split") -> DataFrame:

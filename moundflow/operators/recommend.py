@@ -12,6 +12,7 @@ requests ⋈ arsenal (explode, bounded by the pitcher's pitch types)
 """
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ from moundflow import constants as K
 from moundflow.functions.location import coords_to_zone, loc_horizontal, loc_vertical, location_label
 from moundflow.functions.pitch import fill, pitch_category
 from moundflow.operators.runvalue import run_expectancy
-from moundflow.session import task_slots
 
 CATS = K.CATEGORIES
 
@@ -130,13 +130,13 @@ def no_model_rv(df: DataFrame) -> Column:
     return F.lit(K.NO_MODEL_RV_INTERCEPT) - F.col("batter_whiff_rate_vs_this_cat") * K.NO_MODEL_RV_SLOPE
 
 
-def score(df: DataFrame, model=None, out: str = "predicted_rv") -> DataFrame:
+def score(df: DataFrame, model=None, out: str = "predicted_rv", keep_vector: bool = False) -> DataFrame:
     """Model prediction (missing feature columns filled with 0, as the
     published scorer does) or the no-model rule."""
     if model is None:
         return df.withColumn(out, no_model_rv(df))
     from moundflow.operators.model import predict
-    return predict(model, df, out)
+    return predict(model, df, out, keep_vector)
 
 
 # E24 -----------------------------------------------------------------------
@@ -183,6 +183,8 @@ def _grid_cells() -> Column:
     return F.array(*cells)
 
 
+#: A batter's record at a zone, and what stands in where the batter has none.
+ZONE_STATS = {"swing_rate": 0.5, "whiff_rate": 0.25, "contact_rate": 0.75, "xwoba": 0.32}
 CARRY = ["pitch_type", "pitch_category", "predicted_rv", "probability", "current_re", "balls", "strikes",
          "batter_whiff_rate_vs_this_cat", "batter_chase_rate_vs_this_cat", "batter_xwoba_vs_this_cat"]
 
@@ -219,9 +221,8 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model=None, carry
                          F.lit(True).alias("_zhit"),
                          *[F.col(s).alias(f"_z_{s}") for s in ["swing_rate", "whiff_rate", "contact_rate", "xwoba"]])
     g = g.join(z, (F.col("batter") == F.col("_zb")) & (F.col("zone") == F.col("_zz")), "left")
-    dflt = {"swing_rate": 0.5, "whiff_rate": 0.25, "contact_rate": 0.75, "xwoba": 0.32}
     g = g.withColumns({f"batter_{s}_at_zone": F.when(F.col("_zhit"), F.col(f"_z_{s}")).otherwise(F.lit(d))
-                       for s, d in dflt.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in dflt])
+                       for s, d in ZONE_STATS.items()}).drop("_zb", "_zz", "_zhit", *[f"_z_{s}" for s in ZONE_STATS])
     # score only what the model reads: narrow rows through the transformer chain
     if scorer is not None:
         g, needed = g.withColumn("_cell_rv", scorer), ["_cell_rv"]
@@ -233,7 +234,11 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model=None, carry
     g = g.select("request_id", "arsenal_pos", "_cand", "cell_no", *[c for c in needed if c in g.columns])
     if scorer is None:
         g = score(g, model, out="_cell_rv")
-    g = g.select("request_id", "arsenal_pos", "_cand", "cell_no", "_cell_rv")
+    return _best_cells(g.select("request_id", "arsenal_pos", "_cand", "cell_no", "_cell_rv"))
+
+
+def _best_cells(g: DataFrame) -> DataFrame:
+    """Per candidate the cell of the lowest value, the first of equal ones."""
     best = g.groupBy("request_id", "arsenal_pos").agg(
         F.first("_cand").alias("_cand"),
         F.min_by(F.struct(F.col("cell_no"), F.col("_cell_rv")),
@@ -249,6 +254,39 @@ def optimize_locations(cands: DataFrame, zone_long: DataFrame, model=None, carry
         F.col("_best._cell_rv").alias("expected_rv")).alias("location"))
 
 
+def optimize_vectors(cands: DataFrame, zone_long: DataFrame, model, carry=CARRY) -> DataFrame:
+    """R6 with a model: as ``optimize_locations``, over candidates that keep
+    their preprocessed ``features``.  A candidate is preprocessed once; its 25
+    vectors differ in the place's slots only, and only the trees see them.  The
+    batter's zones come as one map a candidate, not one join row a cell."""
+    from moundflow.operators.model import LocationSlots
+    fixed, looked_up = ["plate_x", "plate_z", "zone", "in_zone"], [f"batter_{s}_at_zone" for s in ZONE_STATS]
+    cells = []
+    for x in K.GRID_X:
+        for z in K.GRID_Z:
+            cells.append((float(x), float(z)))
+    spark = cands.sparkSession
+    places = spark.createDataFrame([(i, x, z) for i, (x, z) in enumerate(cells)], "i int, plate_x double, plate_z double").select(
+        "i", "plate_x", "plate_z", coords_to_zone("plate_x", "plate_z").cast("double").alias("zone"),
+        loc_horizontal("plate_x").alias("loc_horizontal"), loc_vertical("plate_z").alias("loc_vertical")).orderBy("i").collect()      # 25 rows
+    slots = LocationSlots(model, spark, [{"plate_x": r.plate_x, "plate_z": r.plate_z, "zone": r.zone, "in_zone": float(1 <= r.zone <= 9),
+                                          "loc_horizontal": r.loc_horizontal or "missing", "loc_vertical": r.loc_vertical or "missing"} for r in places],
+                          fixed, looked_up, ["loc_horizontal", "loc_vertical"])
+    grid = F.array(*[F.struct(F.lit(i).alias("cell_no"), F.lit(int(r.zone)).cast("long").alias("zone"),
+                              F.array(*map(F.lit, slots.numbers[i])).alias("numbers"), F.array(*map(F.lit, slots.levels[i])).alias("levels"))
+                     for i, r in enumerate(places)])
+    zones = zone_long.groupBy(F.col("batter").alias("_zb")).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("zone").cast("long"), F.struct(*ZONE_STATS)))).alias("_zones"))          # 14 zones a batter
+    g = cands.join(zones, F.col("batter") == F.col("_zb"), "left")
+    g = g.select("request_id", "arsenal_pos", F.struct(*carry).alias("_cand"), vector_to_array("features").alias("_base"), "_zones", F.explode(grid).alias("_cell"))
+    at = F.try_element_at("_zones", F.col("_cell.zone"))
+    stats = [F.when(at.isNotNull(), at[s]).otherwise(F.lit(d)) for s, d in ZONE_STATS.items()]
+    g = g.select("request_id", "arsenal_pos", "_cand", "_cell.cell_no",
+                 slots.vector(F.col("_base"), F.col("_cell.numbers"), F.col("_cell.levels"), stats).alias("features"))
+    g = model.stages[-1].transform(g).select("request_id", "arsenal_pos", "_cand", "cell_no", F.col("prediction").alias("_cell_rv"))
+    return _best_cells(g)
+
+
 # R5 ------------------------------------------------------------------------
 def recommend(requests: DataFrame, arsenals: DataFrame, pitcher_profiles: DataFrame, batter_wide: DataFrame,
               zone_long: DataFrame | None = None, model=None, top_n: int | None = None,
@@ -261,15 +299,16 @@ def recommend(requests: DataFrame, arsenals: DataFrame, pitcher_profiles: DataFr
     # spread the candidates over the cluster by request: scoring (and the x25
     # grid) then runs in parallel, and the softmax / min_by / rank steps all
     # cluster on request_id, so this is the only shuffle they need
-    c = c.repartition(task_slots(c.sparkSession), "request_id")
-    c = score(c, model)
+    c = c.repartition("request_id")
+    grid = model is not None and optimize_location and zone_long is not None
+    c = score(c, model, keep_vector=grid)
     req = Window.partitionBy("request_id")
     neg = -F.col("predicted_rv")
     c = c.withColumn("_e", F.exp(neg - F.max(neg).over(req)))
     c = c.withColumn("probability", F.col("_e") / F.sum("_e").over(req)).drop("_e")
     c = c.withColumn("current_re", run_expectancy("outs", "on_1b", "on_2b", "on_3b"))
-    if model is not None and optimize_location and zone_long is not None:
-        c = optimize_locations(c, zone_long, model)
+    if grid:
+        c = optimize_vectors(c, zone_long, model)
     else:
         fb = K.FALLBACK_LOCATION
         c = c.withColumn("location", F.struct(
