@@ -152,28 +152,37 @@ def baseline_table(pitches: DataFrame) -> DataFrame:
 BACKOFF = [("full", 0), ("zone", 3), ("pitch", 7), ("count", 15)]
 
 
-def baseline_lookup(df: DataFrame, baseline: DataFrame, count="count", pitch_type="pitch_type",
-                    zone="zone", p_throws="p_throws", stand="stand") -> DataFrame:
-    """First match of (count, pitch, zone, hand, stance) ->
-    (count, pitch, zone, *) -> (count, pitch, *) -> (count, *).  Four left
-    joins against levels of one small rollup table."""
-    out = df.withColumn("_zone_s", _c(zone).cast("long").cast("string"))
-    cols = [count, pitch_type, "_zone_s", p_throws, stand]
+def baseline_closure(keys: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Per distinct key the value and the level its backoff ends at.  The keys are
+    bounded by the game (counts, pitch types, zones, hands), whatever the rows."""
+    out = keys
     picked = []
     for name, level in BACKOFF:
         n_keys = {0: 5, 3: 3, 7: 2, 15: 1}[level]
-        b = baseline.filter(F.col("level") == level).select(
-            *[F.col(k).alias(f"_b{name}_{i}") for i, k in enumerate(BASELINE_KEYS[:n_keys])],
-            F.col("rv").alias(f"_bl_{name}"))
+        b = baseline.filter(F.col("level") == level).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(BASELINE_KEYS[:n_keys])], F.col("rv").alias(f"_bl_{name}"))
         cond = None
         for i in range(n_keys):
-            c = _c(cols[i]) == F.col(f"_b{name}_{i}")
+            c = F.col(f"_k{i}") == F.col(f"_b{i}")
             cond = c if cond is None else cond & c
-        out = out.join(b, cond, "left").drop(*[f"_b{name}_{i}" for i in range(n_keys)])
+        out = out.join(b, cond, "left").drop(*[f"_b{i}" for i in range(n_keys)])
         picked.append(f"_bl_{name}")
     level_name = F.coalesce(*[F.when(F.col(p).isNotNull(), F.lit(n)) for p, (n, _) in zip(picked, BACKOFF)])
-    return (out.withColumn("baseline_rv", F.coalesce(*[F.col(p) for p in picked]))
-            .withColumn("baseline_level", level_name).drop("_zone_s", *picked))
+    return out.select(*[f"_k{i}" for i in range(5)], F.coalesce(*[F.col(p) for p in picked]).alias("baseline_rv"), level_name.alias("baseline_level"))
+
+
+def baseline_lookup(df: DataFrame, baseline: DataFrame, count="count", pitch_type="pitch_type",
+                    zone="zone", p_throws="p_throws", stand="stand") -> DataFrame:
+    """First match of (count, pitch, zone, hand, stance) ->
+    (count, pitch, zone, *) -> (count, pitch, *) -> (count, *).  The four levels
+    are resolved once per distinct key; the rows meet the result in one join."""
+    key = [_c(count), _c(pitch_type), _c(zone).cast("long").cast("string"), _c(p_throws), _c(stand)]
+    keys = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(key)]).distinct()
+    closure = baseline_closure(keys, baseline)
+    same = None
+    for i, k in enumerate(key):
+        c = k.eqNullSafe(F.col(f"_k{i}"))
+        same = c if same is None else same & c
+    return df.join(closure, same, "left").drop(*[f"_k{i}" for i in range(5)])
 
 
 # A20 / A21 / R12 -----------------------------------------------------------
@@ -345,6 +354,30 @@ def union_stats(df: DataFrame, pitcher_id: int | None = None) -> DataFrame:
     return df.agg(*aggs)
 
 
+def season_summary(df: DataFrame, season: str = "season") -> DataFrame:
+    """A season's rows, and its players as bitmaps: (season, role, bucket,
+    bitmap, pitches).  A bitmap has 32,768 ids of a role; summaries are stored and
+    merged, so a new season costs its own rows only.  The count of rows stands
+    in the row of the role ``pitches``."""
+    rows = df.groupBy(F.col(season).alias("season")).agg(F.count(F.lit(1)).alias("pitches")).select(
+        "season", F.lit("pitches").alias("role"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bitmap"), "pitches")
+    for role in ("pitcher", "batter"):
+        ids = df.where(F.col(role).isNotNull()).select(F.col(season).alias("season"), F.col(role).cast("long").alias("id"))
+        bits = ids.groupBy("season", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap"))
+        rows = rows.unionByName(bits.select("season", F.lit(role).alias("role"), "bucket", "bitmap", F.lit(0).cast("long").alias("pitches")))
+    return rows
+
+
+def merge_seasons(summaries: DataFrame, by: Column | None = None) -> DataFrame:
+    """Pitches and distinct pitchers and batters of stored summaries, exactly:
+    by a column over ``season``, or of all together."""
+    s = summaries.withColumn("seasons", F.lit("all") if by is None else by)
+    merged = s.groupBy("seasons", "role", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"), F.sum("pitches").alias("pitches"))
+    ids = F.coalesce(F.bitmap_count("bitmap"), F.lit(0))
+    return merged.groupBy("seasons").agg(F.sum("pitches").alias("pitches"), F.sum(F.when(F.col("role") == "pitcher", ids)).alias("pitchers"),
+                                       F.sum(F.when(F.col("role") == "batter", ids)).alias("batters"))
+
+
 # E27 -----------------------------------------------------------------------
 def text_search(df: DataFrame, query: str, cols: list[str] | None = None) -> DataFrame:
     """Rows where the text of any one column (all columns by default, numbers

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from moundflow import constants as K
 from moundflow.functions.pitch import fill, literal_map
 from moundflow.operators.runvalue import run_expectancy
+from moundflow.session import ensure_checkpoint_dir
 
 
 # E23 / J12 -----------------------------------------------------------------
@@ -43,22 +44,45 @@ def _grams(text: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+def _all_grams(text: Column) -> Column:
+    return F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))
+
+
+def _long_hits(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, row) pairs of queries of more than three characters whose text
+    is in the row's: a query is looked up by its rarest run of three, and what
+    meets there is verified.  Queries with a run that no row has match nothing."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    # read for the counts and for the look-up, so written once
+    index = rows.select("*", F.explode(_grams(F.col("_text"), GRAM)).alias("_g")).checkpoint(eager=True)
+    often = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
+    long = queries.where(F.length("_q") > GRAM)
+    runs = _grams(F.col("_q"), GRAM)
+    rarest = (long.select("_q", F.size(runs).alias("_all"), F.explode(runs).alias("_g")).join(often, "_g")
+              .groupBy("_q", "_all").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_g", F.struct("_often", "_g")).alias("_g"))
+              .where(F.col("_n") == F.col("_all")).select("_q", "_g"))
+    return rarest.join(index, "_g").where(F.contains("_text", "_q"))
+
+
 def first_containing(queries: DataFrame, rows: DataFrame, value: str, line: str) -> DataFrame:
     """For each distinct ``_q`` the ``value`` of the row with the smallest
-    ``line`` whose ``_text`` contains it, without comparing all pairs: rows are
-    indexed by their 1-, 2- and 3-character runs, a query is looked up by its
-    rarest run (of 3 characters, or all of it if shorter) and what meets there is
-    verified.  Queries without a run in the index match nothing."""
-    index = rows.select(F.col(line).alias("_line"), "_text", F.col(value).alias("_value"),
-                        F.explode(F.flatten(F.array(*[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)]))).alias("_g"))
-    often = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
-    runs = F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(_grams(F.col("_q"), GRAM))
-    rarest = (queries.select("_q", F.explode(runs).alias("_g")).join(often, "_g")
-              .groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_g", F.struct("_often", "_g")).alias("_g")))
-    whole = queries.select("_q", F.size(runs).alias("_all"))
-    rarest = rarest.join(whole, "_q").filter(F.col("_n") == F.col("_all")).select("_q", "_g")   # every run must occur
-    hits = rarest.join(index, "_g").filter(F.contains("_text", "_q"))
-    return hits.groupBy("_q").agg(F.min_by("_value", "_line").alias("_value"))
+    ``line`` whose ``_text`` contains it, without comparing all pairs.  For
+    queries of up to three characters the index holds the answer itself, the
+    first row of each run, and no list of rows; longer ones go by ``_long_hits``."""
+    r = rows.select(F.col(line).alias("_line"), "_text", F.col(value).alias("_value"))
+    short = (r.select("_line", "_value", F.explode(_all_grams(F.col("_text"))).alias("_q")).groupBy("_q").agg(F.min_by("_value", "_line").alias("_value")))
+    long = _long_hits(queries, r).groupBy("_q").agg(F.min_by("_value", "_line").alias("_value"))
+    return queries.where(F.length("_q") <= GRAM).select("_q").join(short, "_q").unionByName(long)
+
+
+def all_containing(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each distinct ``_q`` the sorted set ``_values`` of the few distinct
+    ``_value`` of all rows whose ``_text`` contains it: short queries by the sets
+    of each run, aggregated into the index, longer ones by verified rows."""
+    short = rows.select("_value", F.explode(_all_grams(F.col("_text"))).alias("_q"))
+    found = (queries.where(F.length("_q") <= GRAM).select("_q").join(short.groupBy("_q").agg(F.collect_set("_value").alias("_values")), "_q")
+             .unionByName(_long_hits(queries, rows).groupBy("_q").agg(F.collect_set("_value").alias("_values"))))
+    return found.withColumn("_values", F.sort_array("_values"))
 
 
 def match_archetypes(requests: DataFrame, archetypes: DataFrame, key: str = "batter", line: str | None = None) -> DataFrame:
@@ -127,9 +151,17 @@ def pitcher_lists(arsenal: DataFrame) -> DataFrame:
 
 
 def _with_pitches(requests: DataFrame, arsenal: DataFrame) -> DataFrame:
+    """J12, arsenal side: the pitcher's own types; for a pitcher without any, the
+    types of all rows that contain the text of the id, case-insensitive; else the
+    default list."""
     j = requests.join(pitcher_lists(arsenal), "pitcher", "left")
+    misses = j.where(F.col("pitches").isNull() & F.col("pitcher").isNotNull()).select(F.lower(F.col("pitcher").cast("string")).alias("_q")).distinct()
+    texts = arsenal.select(F.lower(F.concat_ws("\n", F.col("pitcher").cast("string"), "pitch_type")).alias("_text"), F.col("pitch_type").alias("_value"))
+    found = all_containing(misses.where("_q <> ''"), texts)
+    j = j.withColumn("_key", F.when(F.col("pitches").isNull(), F.lower(F.col("pitcher").cast("string"))))
+    j = j.join(found, F.col("_key") == F.col("_q"), "left")
     dflt = F.array(*[F.lit(t) for t in K.HEURISTIC_DEFAULT_ARSENAL])
-    return j.withColumn("pitches", F.when(F.size("pitches") > 0, F.col("pitches")).otherwise(dflt))
+    return j.withColumn("pitches", F.coalesce("pitches", "_values", dflt)).drop("_key", "_q", "_values")
 
 
 # R10 / R13 / R14 -----------------------------------------------------------

@@ -8,11 +8,14 @@ come from a 3-row aggregate joined back (broadcast, bounded by 3).
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel,
                                 VectorAssembler)
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -311,6 +314,58 @@ def feature_importance(model: PipelineModel, scored: DataFrame, top: int = 30) -
         .orderBy(F.desc("importance"), F.asc("feature")).limit(top)
 
 
+def shifted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have ``time_rank`` and ``_total``, with ``_s_<column>``: the value
+    of the row a fixed way on in time, around the end.  That breaks a column's tie
+    to its row and keeps its distribution; one join on the position serves all."""
+    way = F.floor(F.col("_total") * 0.381966) + 1
+    source = df.select(F.pmod(F.col("time_rank") - way, F.col("_total")).alias("time_rank"), *[F.col(c).alias(f"_s_{c}") for c in columns])
+    return df.join(source, "time_rank")
+
+
+def permutation_importance(df: DataFrame, columns: list[str], predictor, label: str = "run_value") -> DataFrame:
+    """M6: per column the mean squared error with it shifted in time, less that
+    of the rows as they are.  ``df`` has ``time_rank`` from 0 and ``_total``;
+    ``predictor`` maps a frame to one with ``prediction``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = shifted(df, columns).checkpoint(eager=True)
+    err = F.col(label) - F.col("prediction")
+
+    def loss(d: DataFrame, name: str) -> DataFrame:
+        return predictor(d).agg(F.avg(err * err).alias("mse")).select(F.lit(name).alias("feature"), "mse")
+    base = loss(rows, "").select(F.col("mse").alias("mse_base"))
+    out = None
+    for c in columns:
+        one = loss(rows.withColumn(c, F.col(f"_s_{c}")), c)
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(base)).select("feature", "mse_base", F.col("mse").alias("mse_shifted"), (F.col("mse") - F.col("mse_base")).alias("importance"))
+
+
+def model_importance(model: PipelineModel, df: DataFrame, label: str = "run_value") -> DataFrame:
+    """``permutation_importance`` of a fitted pipeline, for all its inputs in one
+    pass: rows are preprocessed once, a feature's slots of the vector come from
+    the row a fixed way on, and only the trees see the rows anew."""
+    ensure_checkpoint_dir(df.sparkSession)
+    numeric, categorical = model_columns(model)
+    scored = predict(model, df, "prediction", keep_vector=True)
+    seen = PipelineModel(stages=model.stages[:-1]).transform(df.limit(0).select(
+        *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical]))
+    slots, at = [], 0
+    for c in [*numeric, *categorical]:
+        width = 1 if c in numeric else seen.schema[f"_ohe_{c}"].metadata["ml_attr"]["num_attrs"]
+        slots.append(F.struct(F.lit(c).alias("feature"), F.lit(at).alias("a"), F.lit(width).alias("n")))
+        at += width
+    rows = scored.select("time_rank", "_total", F.col(label).alias("_label"), "prediction", vector_to_array("features").alias("_v"))
+    rows = shifted(rows, ["_v"]).checkpoint(eager=True)
+    s = rows.select("_label", "prediction", "_v", "_s__v", F.explode(F.array(*slots)).alias("s"))
+    v = F.concat(F.slice("_v", F.lit(1), F.col("s.a")), F.slice("_s__v", F.col("s.a") + 1, F.col("s.n")),
+                 F.slice("_v", F.col("s.a") + F.col("s.n") + 1, F.lit(at) - F.col("s.a") - F.col("s.n")))
+    s = model.stages[-1].transform(s.select("s.feature", "_label", F.col("prediction").alias("_own"), array_to_vector(v).alias("features")))
+    err, own = F.col("_label") - F.col("prediction"), F.col("_label") - F.col("_own")
+    g = s.groupBy("feature").agg(F.avg(own * own).alias("mse_base"), F.avg(err * err).alias("mse_shifted"))
+    return g.withColumn("importance", F.col("mse_shifted") - F.col("mse_base"))
+
+
 # M7 ------------------------------------------------------------------------
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
@@ -362,22 +417,28 @@ def train_random_split(features: DataFrame, max_iter: int = K.OLD_GBT_MAX_ITER,
 
 # M9 ------------------------------------------------------------------------
 def rolling_validation(features: DataFrame, n_folds: int = 5, max_iter: int = K.GBT_MAX_ITER,
-                       max_depth: int = K.GBT_MAX_DEPTH) -> DataFrame:
-    """Successive time windows: for k = 1..n-1 fit on folds < k and score
-    fold k; returns regression metrics per validation fold.  The loop runs
-    n-1 distributed fits (n is small); no data passes through the driver."""
-    df = features.filter(F.col("run_value").isNotNull())
-    numeric, categorical = column_types(df)
+                       max_depth: int = K.GBT_MAX_DEPTH, at_once: int = 4) -> DataFrame:
+    """Successive time windows: for k = 1..n-1 fit on folds < k and score fold k;
+    returns regression metrics per validation fold.  Fits are independent and
+    leave slots idle between their small jobs, so ``at_once`` of them run from
+    threads of their own, each in its scheduler pool, over one prepared table."""
+    o = time_ordinal(features.filter(F.col("run_value").isNotNull()))
+    numeric, categorical = column_types(o)
     key = ["game_pk", "at_bat_number", "pitch_number"]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folded = (prepare(rolling_folds(df, n_folds), categorical)
-              .repartition(n, *key).sortWithinPartitions(*key).checkpoint(eager=True))
-    out = None
-    for k in range(1, n_folds):
+    n = o.agg(F.max("_total")).first()[0] or 0
+    fold = F.least(F.floor(F.col("time_rank") * n_folds / F.col("_total")), F.lit(n_folds - 1)).cast("int")
+    folded = (prepare(o.withColumn("fold", fold).drop("_total"), categorical)
+              .repartition(layout_partitions(n), *key).sortWithinPartitions(*key).checkpoint(eager=True))
+    sc = folded.sparkSession.sparkContext
+
+    def one(k: int) -> list:
+        sc.setLocalProperty("spark.scheduler.pool", f"fold-{k}")
         tr = folded.filter(F.col("fold") < k)
         tr = tr.withColumn("_es_holdout", holdout_flag(tr))
         model = fit_boosted(tr, numeric, categorical, max_iter=max_iter, max_depth=max_depth)
         scored = predict(model, folded.filter(F.col("fold") == k), "prediction").withColumn("split", F.lit(f"fold_{k}"))
-        m = regression_metrics(scored)
-        out = m if out is None else out.unionByName(m)
-    return out
+        return regression_metrics(scored).collect()         # one row
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [r for rs in pool.map(inheritable_thread_target(folded.sparkSession)(one), range(1, n_folds)) for r in rs]
+    return folded.sparkSession.createDataFrame(rows, "split string, n long, mse double, rmse double, mae double, r2 double, explained_variance double")

@@ -561,8 +561,14 @@ LEFT JOIN (SELECT q, min_by(lbl, batter) AS lbl FROM (SELECT DISTINCT lower(trim
   JOIN (SELECT batter, {_arch_label()} AS lbl, lower(concat_ws(chr(10), CAST(batter AS VARCHAR), CAST(cluster AS VARCHAR), label,
     CAST(pct_hard_hit AS VARCHAR))) AS txt FROM arch) t ON contains(t.txt, u.q) GROUP BY q) f ON f.q = lower(trim(r.batter_query))""")
 cte("hlist", ["arsenal12"], "SELECT pitcher, list(pitch_type ORDER BY pitch_type) AS pitches FROM arsenal12 GROUP BY pitcher")
-cte("hc", ["hreq", "hlist"], f"""
-SELECT h.*, coalesce(l.pitches, {K.HEURISTIC_DEFAULT_ARSENAL}) AS pitches FROM hreq h LEFT JOIN hlist l ON l.pitcher = h.pitcher""")
+cte("hfuzzy", ["hreq", "hlist", "arsenal12"], """
+SELECT m.pitcher, list(DISTINCT a.pitch_type ORDER BY a.pitch_type) AS pitches
+FROM (SELECT DISTINCT pitcher FROM hreq WHERE pitcher NOT IN (SELECT pitcher FROM hlist)) m
+JOIN arsenal12 a ON contains(CAST(a.pitcher AS VARCHAR), CAST(m.pitcher AS VARCHAR)) OR contains(lower(a.pitch_type), CAST(m.pitcher AS VARCHAR))
+GROUP BY m.pitcher""")
+cte("hc", ["hreq", "hlist", "hfuzzy"], f"""
+SELECT h.*, coalesce(l.pitches, y.pitches, {K.HEURISTIC_DEFAULT_ARSENAL}) AS pitches FROM hreq h LEFT JOIN hlist l ON l.pitcher = h.pitcher
+LEFT JOIN hfuzzy y ON y.pitcher = h.pitcher""")
 
 
 def _in(col: str, items) -> str:
@@ -973,3 +979,24 @@ FROM (SELECT *, row_number() OVER (PARTITION BY game_pk, at_bat_number, pitch_nu
   FROM features f CROSS JOIN (SELECT cell, x, z, {sql_zone_of('x', 'z')} AS zone FROM (VALUES {_CELLS}) v(cell, x, z)) c
   LEFT JOIN zlong l ON l.batter = f.batter AND l.zone = c.zone) u) w WHERE k = 1""")
 cte("dq", ["placed", "crossfit", "pitchgrid"], _dq_sql())
+
+
+# --- S10 by season, M6 by a shift in time -----------------------------------------------------
+cte("stored", ["raw"], """
+SELECT coalesce(s, 'all') AS seasons, pitches, pitchers, batters FROM (
+  SELECT CASE WHEN game_date < DATE '2024-06-01' THEN 'early' ELSE 'late' END AS s, count(*) AS pitches, count(DISTINCT pitcher) AS pitchers,
+    count(DISTINCT batter) AS batters FROM raw GROUP BY GROUPING SETS ((), (s))) u""")
+
+
+def _shift_sql() -> str:
+    rv = lambda c: f"{_d(K.NO_MODEL_RV_INTERCEPT)} - {c} * {_d(K.NO_MODEL_RV_SLOPE)}"
+    used = "batter_whiff_rate_vs_this_cat"
+    one = " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, avg((run_value - b) * (run_value - b)) AS mse_base, avg((run_value - {'s' if c == used else 'b'}) * (run_value - {'s' if c == used else 'b'})) AS mse_shifted
+FROM (SELECT a.run_value, {rv('a.' + used)} AS b, {rv('z.' + used)} AS s FROM w10 a
+      JOIN w10 z ON z.time_rank = (a.time_rank + CAST(floor(a.n_total * 0.381966E0) AS BIGINT) + 1) % a.n_total) j"""
+                             for c in (used, "batter_xwoba_vs_this_cat", "count_balls"))
+    return f"SELECT *, mse_shifted - mse_base AS importance FROM ({one}) u"
+
+
+cte("shifted", ["w10"], _shift_sql())

@@ -25,9 +25,13 @@ class Query:
     source: str | None = None          # final CTE name in the oracle
     ctes: tuple = ()
     sql: str | None = None             # full oracle SQL when not from a CTE
+    keep: tuple = ()                   # tables written once because the plan reads them several times
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return finalize_df(self.build(Tables(spark, sf_dir)), self.spec)
+        t = Tables(spark, sf_dir)
+        for name in self.keep:
+            t.materialize(name)
+        return finalize_df(self.build(t), self.spec)
 
     def oracle(self) -> str | None:
         if self.sql is not None:
@@ -127,7 +131,7 @@ def _features_spec() -> str:
     return " ".join(parts)
 
 
-register(Query("f09_features", lambda t: t.features, _features_spec(), source="features"))
+register(Query("f09_features", lambda t: t.features, _features_spec(), source="features", keep=("raw",)))
 
 register(Query("a12_distinct_arsenal", lambda t: AN.distinct_arsenal(t.raw), "pitcher:i pitch_type:s",
                source="arsenal12"))
@@ -152,7 +156,7 @@ register(Query("a19_baseline_table", lambda t: AN.baseline_table(t.pitches),
 register(Query(
     "j08_baseline_backoff",
     lambda t: AN.baseline_lookup(t.pitches.withColumn("count", AN.count_text()), AN.baseline_table(t.pitches)),
-    f"{KEY} baseline_rv:f baseline_level:s", source="backoff"))
+    f"{KEY} baseline_rv:f baseline_level:s", source="backoff", keep=("pitches",)))
 register(Query("a20_outcome_run_values", lambda t: AN.outcome_rv_table(t.pitches),
                "outcome:s count:s rv:f n:i", source="outcome_rv"))
 register(Query("a21_outcome_distribution", lambda t: AN.outcome_distribution(t.pitches),
@@ -184,7 +188,7 @@ register(Query(
     "r05_recommend", _recommend,
     "request_id:i rank:i pitch_type:s category:s predicted_rv:f expected_re_after:f probability:f "
     "probability_pct:f batter_whiff_rate:f batter_chase_rate:f batter_xwoba:f reasoning:s loc_plate_x:f "
-    "loc_plate_z:f loc_zone:i loc_in_zone:b loc_expected_rv:f location_label:s", source="recommend"))
+    "loc_plate_z:f loc_zone:i loc_in_zone:b loc_expected_rv:f location_label:s", source="recommend", keep=("raw",)))
 
 
 def _legacy(t: Tables):
@@ -199,12 +203,12 @@ register(Query(
     "r10_heuristic_candidates",
     lambda t: HE.next_pitch_candidates(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw), "batter_query"),
     "request_id:i rank:i pitch:s pct:f location:s score:f archetype:s expected_after_re:f is_top:b",
-    source="hcand"))
+    source="hcand", keep=("raw",)))
 register(Query(
     "r11_heuristic_sequence",
     lambda t: HE.recommend_sequence(_requests(t), _archetypes(t), AN.distinct_arsenal(t.raw), key="batter_query"),
     "request_id:i batter_archetype:s seq_1:s seq_2:s seq_3:s loc_1:s loc_2:s loc_3:s confidence:f strategy_notes:s",
-    source="hseq"))
+    source="hseq", keep=("raw",)))
 
 
 def _count_re(t: Tables):
@@ -240,7 +244,7 @@ def _eprv_candidates(t: Tables):
 
 register(Query("r12_eprv_rvaa", lambda t: AN.choose_eprv(_eprv_candidates(t)),
                "request_id:i best_pitch:s best_zone:i raw_eprv:f baseline_rv:f rvaa:f candidates:i",
-               source="eprv_best"))
+               source="eprv_best", keep=("raw", "pitches")))
 
 
 def _matchup_lookup(t: Tables):
@@ -502,3 +506,38 @@ def _preprocessing(t: Tables):
 
 
 register(Query("m02_preprocessing", _preprocessing, "feature:s kind:s median:f mean:f std:f levels:s", source="m02"))
+
+
+def _stored_seasons(t: Tables):
+    """Summaries of two seasons, stored apart, then merged: together and by season."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/seasons-{uuid.uuid4().hex}"
+    rows = t.raw.withColumn("season", F.when(F.col("game_date") < F.lit("2024-06-01").cast("date"), "early").otherwise("late"))
+    for season in ("early", "late"):
+        AN.season_summary(rows.where(F.col("season") == season)).write.parquet(f"{folder}/season={season}")
+    stored = t.spark.read.parquet(folder)
+    return AN.merge_seasons(stored).unionByName(AN.merge_seasons(stored, F.col("season")))
+
+
+register(Query("s10_stored_seasons", _stored_seasons, "seasons:s pitches:i pitchers:i batters:i", source="stored"))
+
+
+def _shift_importance(t: Tables):
+    """The no-model score's inputs, and two columns it does not read."""
+    o = ML.time_ordinal(t.features.filter(F.col("run_value").isNotNull()))
+    return ML.permutation_importance(o, ["batter_whiff_rate_vs_this_cat", "batter_xwoba_vs_this_cat", "count_balls"],
+                                     lambda d: d.withColumn("prediction", RE.no_model_rv(d)))
+
+
+register(Query("m06_shift_importance", _shift_importance, "feature:s mse_base:f mse_shifted:f importance:f", source="shifted", keep=("raw",)))
+
+
+def _gbt_shift_importance(t: Tables):
+    """The same of the fitted trees, for every feature, on the test rows."""
+    model, df = _trained(t)
+    test = df.filter(F.col("split") == "test").drop("split", "time_rank")
+    return ML.model_importance(model, ML.time_ordinal(test))
+
+
+register(Query("m06_gbt_shift_importance", _gbt_shift_importance, "feature:s mse_base:f mse_shifted:f importance:f"))
+register(Query("m09_rolling_validation", lambda t: ML.rolling_validation(t.features, n_folds=4, max_iter=20, max_depth=5),
+               "split:s n:i mse:f rmse:f mae:f r2:f explained_variance:f", keep=("raw",)))

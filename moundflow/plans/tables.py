@@ -7,11 +7,13 @@ or ``materialize`` write them out once when several jobs read them.
 """
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from moundflow.operators import clean, features, profiles, runvalue, sequence
+from moundflow.session import ensure_checkpoint_dir
 from moundflow.sources.pitch_view import pitch_view, read_table
 
 
@@ -41,12 +43,14 @@ class Tables:
             self.raw = raw          # an already-materialised raw pitch log
 
     def materialize(self, name: str) -> DataFrame:
-        """Compute a derived table once and keep it as a reliable checkpoint
-        (in the shared checkpoint folder); later tables read it instead of
+        """Compute a derived table once and keep it as a Parquet table in the
+        shared folder; later tables read the columns they need of it instead of
         recomputing its plan — a pipeline step writing its output."""
-        df = getattr(self, name).checkpoint(eager=True)
-        self.__dict__[name] = df
-        return df
+        df = getattr(self, name)
+        path = f"{ensure_checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.__dict__[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.__dict__[name]
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
