@@ -96,6 +96,22 @@ def safe_divide(num, den, default=0.0) -> Column:
     return F.when(den.isNull() | (den == 0), F.lit(float(default))).otherwise(F.try_divide(_c(num), den))
 
 
+# E7 ------------------------------------------------------------------------
+def whiff_rate(whiffs, swings, default=0.0) -> Column:
+    """Missed swings of all swings."""
+    return safe_divide(whiffs, swings, default)
+
+
+def chase_rate(chases, out_of_zone, default=0.0) -> Column:
+    """Swings at pitches outside the zone of all such pitches."""
+    return safe_divide(chases, out_of_zone, default)
+
+
+def zone_contact_rate(zone_contact, zone_swings, default=0.0) -> Column:
+    """Contacts of all swings at pitches in the zone."""
+    return safe_divide(zone_contact, zone_swings, default)
+
+
 # E8 ------------------------------------------------------------------------
 def league_average(category, stat: str) -> Column:
     """League average of ``stat`` for a category; unknown category -> FB."""

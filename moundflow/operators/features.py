@@ -122,7 +122,9 @@ def add_situational_features(df: DataFrame) -> DataFrame:
         "bases_loaded": flag(F.col("runners_on") == 3),
         "is_two_outs": flag(F.col("outs") == 2),
     })
-    if {"bat_score", "fld_score"} <= set(df.columns):
+    if "score_diff" in df.columns:
+        diff = F.col("score_diff")
+    elif {"bat_score", "fld_score"} <= set(df.columns):
         diff = F.col("fld_score") - F.col("bat_score")
     elif {"home_score", "away_score", "inning_topbot"} <= set(df.columns):
         diff = F.when(F.col("inning_topbot") == "Bot", F.col("home_score") - F.col("away_score")) \

@@ -189,6 +189,18 @@ def next_pitch_candidates(requests: DataFrame, archetypes: DataFrame, arsenal: D
                     "archetype", "expected_after_re", "is_top")
 
 
+def degraded_candidates(requests: DataFrame, arsenal: DataFrame) -> DataFrame:
+    """Without the heuristic every type of the pitcher, or of the default
+    list, has the same share, in the middle; the run expectancy after is the
+    current one."""
+    j = requests.join(pitcher_lists(arsenal), "pitcher", "left")
+    pitches = F.when(F.size("pitches") > 0, F.col("pitches")).otherwise(F.array(*[F.lit(t) for t in K.HEURISTIC_FILL_ARSENAL]))
+    c = j.withColumn("_n", F.size(pitches)).select("request_id", "_n", run_expectancy("outs", "on_1b", "on_2b", "on_3b").alias("_re"),
+                                                   F.posexplode(pitches).alias("arsenal_pos", "pitch"))
+    return c.select("request_id", (F.col("arsenal_pos") + 1).alias("rank"), "pitch", F.bround(F.lit(100.0) / F.col("_n"), 1).alias("pct"),
+                    F.lit("middle").alias("location"), F.round("_re", 2).alias("expected_after_re"))
+
+
 # R11 / E25 -----------------------------------------------------------------
 def strategy_notes(archetype: Column, pitches: Column, count: Column, risp: Column) -> Column:
     return F.concat_ws(

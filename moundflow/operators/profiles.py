@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundflow import constants as K
-from moundflow.functions.pitch import (is_batted_ball, is_contact, is_groundball, is_in_zone, is_strike,
-                                       is_swing, league_average, pitch_category, regress_to_mean, safe_divide)
+from moundflow.functions.pitch import (chase_rate, is_batted_ball, is_contact, is_groundball, is_in_zone, is_strike,
+                                       is_swing, league_average, pitch_category, regress_to_mean, safe_divide, whiff_rate,
+                                       zone_contact_rate)
 
 
 # ---------------------------------------------------------------------------
@@ -46,9 +47,9 @@ def batter_profiles_from_counts(counts: DataFrame) -> DataFrame:
     composite score."""
     cat = F.col("pitch_category")
     df = counts.withColumns({
-        "whiff_rate_raw": safe_divide("whiffs", "swings"),
-        "chase_rate_raw": safe_divide("chases", "out_of_zone"),
-        "zone_contact_rate_raw": safe_divide("zone_contact", "zone_swings"),
+        "whiff_rate_raw": whiff_rate("whiffs", "swings"),
+        "chase_rate_raw": chase_rate("chases", "out_of_zone"),
+        "zone_contact_rate_raw": zone_contact_rate("zone_contact", "zone_swings"),
         "gb_rate_raw": safe_divide("groundballs", "batted_balls"),
         "xwoba_raw": safe_divide("xwoba_sum", "xwoba_count", K.XWOBA_RAW_DEFAULT),
     })

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from moundflow import constants as K
 from moundflow.functions.location import coords_to_zone, loc_horizontal, loc_vertical, location_label
 from moundflow.functions.pitch import fill, pitch_category
+from moundflow.operators.features import add_interaction_features, add_situational_features
 from moundflow.operators.runvalue import run_expectancy
 
 CATS = K.CATEGORIES
@@ -92,35 +93,18 @@ def attach_pitcher(cands: DataFrame, profiles: DataFrame) -> DataFrame:
 
 # R4 ------------------------------------------------------------------------
 def candidate_features(df: DataFrame) -> DataFrame:
-    """The model's feature names for each candidate, from the request and
-    the resolved profiles (same rules as the training projection)."""
-    b, s, o = F.col("balls"), F.col("strikes"), F.col("outs")
-    r1, r2, r3 = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("on_1b", "on_2b", "on_3b")]
-    bw = F.col("batter_whiff_rate_vs_this_cat")
+    """The model's feature names for each candidate, from the request and the
+    resolved profiles, by the projections that training uses (F1-F7): bases are
+    0 or 1 as after cleaning, outs stand under the log's name."""
     last = F.col("last_pitch_type")
+    known = last.isNotNull() & (last != "")
+    df = df.withColumns({c: F.coalesce((F.col(c) != 0).cast("int"), F.lit(0)) for c in ("on_1b", "on_2b", "on_3b")} | {"outs_when_up": F.col("outs")})
+    df = add_interaction_features(add_situational_features(df)).drop("outs_when_up")
     return df.withColumns({
-        "count_balls": b, "count_strikes": s,
-        "is_ahead_in_count": (s > b).cast("int"), "is_behind_in_count": (b > s).cast("int"),
-        "is_two_strikes": (s == 2).cast("int"), "is_three_balls": (b == 3).cast("int"),
-        "is_full_count": ((b == 3) & (s == 2)).cast("int"), "is_first_pitch": ((b == 0) & (s == 0)).cast("int"),
-        "is_two_outs": (o == 2).cast("int"),
-        "runners_on": r1 + r2 + r3,
-        "risp": ((r2 != 0) | (r3 != 0)).cast("int"),
-        "bases_empty": ((r1 + r2 + r3) == 0).cast("int"),
-        "bases_loaded": ((r1 != 0) & (r2 != 0) & (r3 != 0)).cast("int"),
-        "inning_num": F.col("inning"),
-        "is_late_inning": (F.col("inning") >= 7).cast("int"),
-        "is_close_game": (F.abs(F.col("score_diff")) <= 2).cast("int"),
-        "same_hand": F.coalesce((F.col("stand") == F.col("p_throws")).cast("int"), F.lit(0)),
-        "platoon_advantage": F.coalesce((F.col("stand") != F.col("p_throws")).cast("int"), F.lit(1)),
-        "last_pitch_category": F.when(last.isNotNull() & (last != ""), pitch_category(last)),
-        "same_as_last": F.when(last.isNotNull() & (last != ""), (F.col("pitch_type") == last).cast("int")).otherwise(F.lit(0)),
+        "last_pitch_category": F.when(known, pitch_category(last)),
+        "same_as_last": F.when(known, F.coalesce((F.col("pitch_type") == last).cast("int"), F.lit(0))).otherwise(F.lit(0)),
         "consecutive_same_pitch": F.lit(0),
         "speed_delta": F.lit(0.0),
-        "whiff_interaction": bw * F.col("pitcher_whiff_rate"),
-        "chase_opportunity": F.col("batter_chase_rate_vs_this_cat") * (s > b).cast("int"),
-        "speed_change_magnitude": F.abs(F.col("pitcher_velo_diff_from_fb")),
-        "two_strike_whiff_boost": (s == 2).cast("int") * bw,
     })
 
 
@@ -345,3 +329,12 @@ def legacy_summary(recs: DataFrame) -> DataFrame:
         # duplicate types (two-handed pitchers) carry identical values: dedupe
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct("pitch_type", "predicted_rv")))).alias("predictions"),
         F.count(F.lit(1)).alias("options"))
+
+
+# R15 -----------------------------------------------------------------------
+def model_table(recs: DataFrame) -> DataFrame:
+    """What a screen shows of a request: each pitch type once with its run value
+    and the run expectancy after it, best (lowest) first."""
+    one = recs.groupBy("request_id", "pitch_type").agg(F.min("predicted_rv").alias("expected_run_value"), F.min("expected_re_after").alias("expected_after_re"))
+    w = Window.partitionBy("request_id").orderBy("expected_after_re", "pitch_type")
+    return one.withColumn("place", F.row_number().over(w))

@@ -1000,3 +1000,25 @@ FROM (SELECT a.run_value, {rv('a.' + used)} AS b, {rv('z.' + used)} AS s FROM w1
 
 
 cte("shifted", ["w10"], _shift_sql())
+
+
+# --- R13, R15, R4 ---------------------------------------------------------------------------------
+cte("degraded", ["req", "hlist", "re24"], f"""
+SELECT request_id, unnest(range(1, len(p) + 1)) AS rank, unnest(p) AS pitch, round_even(100.0E0 / len(p), 1) AS pct, 'middle' AS location, re AS expected_after_re
+FROM (SELECT r.request_id, coalesce(l.pitches, {K.HEURISTIC_FILL_ARSENAL}) AS p, round({sql_re('outs', 'on_1b', 'on_2b', 'on_3b')}, 2) AS re
+      FROM req r LEFT JOIN hlist l ON l.pitcher = r.pitcher) x""")
+cte("modeltable", ["recommend"], """
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY expected_after_re, pitch_type) AS place FROM (
+  SELECT request_id, pitch_type, min(predicted_rv) AS expected_run_value, min(expected_re_after) AS expected_after_re FROM recommend GROUP BY ALL) x""")
+cte("candfeat", ["rb"], f"""
+SELECT *, CASE WHEN runners_on = 0 THEN 1 ELSE 0 END AS bases_empty, CASE WHEN runners_on = 3 THEN 1 ELSE 0 END AS bases_loaded,
+  bc * is_ahead_in_count AS chase_opportunity, is_two_strikes * bw AS two_strike_whiff_boost FROM (
+SELECT request_id, arsenal_pos, pitch_type, category AS pitch_category, bw, bc, bw AS batter_whiff_rate_vs_this_cat,
+  CASE WHEN coalesce(last_pitch_type, '') <> '' THEN {sql_category('last_pitch_type')} END AS last_pitch_category,
+  balls AS count_balls, strikes AS count_strikes, CASE WHEN strikes > balls THEN 1 ELSE 0 END AS is_ahead_in_count,
+  CASE WHEN balls > strikes THEN 1 ELSE 0 END AS is_behind_in_count, CASE WHEN strikes = 2 THEN 1 ELSE 0 END AS is_two_strikes,
+  CASE WHEN balls = 3 THEN 1 ELSE 0 END AS is_three_balls, CASE WHEN balls = 3 AND strikes = 2 THEN 1 ELSE 0 END AS is_full_count,
+  CASE WHEN balls = 0 AND strikes = 0 THEN 1 ELSE 0 END AS is_first_pitch, outs, CASE WHEN outs = 2 THEN 1 ELSE 0 END AS is_two_outs,
+  on_1b + on_2b + on_3b AS runners_on, CASE WHEN on_2b = 1 OR on_3b = 1 THEN 1 ELSE 0 END AS risp, inning AS inning_num,
+  CASE WHEN inning >= 7 THEN 1 ELSE 0 END AS is_late_inning, score_diff, CASE WHEN abs(score_diff) <= 2 THEN 1 ELSE 0 END AS is_close_game,
+  CASE WHEN last_pitch_type = pitch_type THEN 1 ELSE 0 END AS same_as_last, 0 AS consecutive_same_pitch FROM rb) x""")

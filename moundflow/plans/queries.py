@@ -541,3 +541,20 @@ def _gbt_shift_importance(t: Tables):
 register(Query("m06_gbt_shift_importance", _gbt_shift_importance, "feature:s mse_base:f mse_shifted:f importance:f"))
 register(Query("m09_rolling_validation", lambda t: ML.rolling_validation(t.features, n_folds=4, max_iter=20, max_depth=5),
                "split:s n:i mse:f rmse:f mae:f r2:f explained_variance:f", keep=("raw",)))
+
+register(Query("r13_degraded_candidates", lambda t: HE.degraded_candidates(_requests(t), AN.distinct_arsenal(t.raw)),
+               "request_id:i rank:i pitch:s pct:f location:s expected_after_re:f", source="degraded"))
+register(Query("r15_model_table", lambda t: RE.model_table(_recommend(t)),
+               "request_id:i place:i pitch_type:s expected_run_value:f expected_after_re:f", source="modeltable", keep=("raw",)))
+_R4 = ("count_balls count_strikes is_ahead_in_count is_behind_in_count is_two_strikes is_three_balls is_full_count is_first_pitch outs is_two_outs "
+       "runners_on risp bases_empty bases_loaded inning_num is_late_inning score_diff is_close_game same_as_last consecutive_same_pitch").split()
+
+
+def _candidate_rows(t: Tables):
+    c = RE.resolve_arsenal(_requests(t), t.pitcher_arsenals, t.pitcher_profiles)
+    return RE.candidate_features(RE.attach_pitcher(RE.attach_batter(c, t.batter_wide), t.pitcher_profiles))
+
+
+register(Query("r04_candidate_features", _candidate_rows,
+               "request_id:i arsenal_pos:i pitch_type:s pitch_category:s last_pitch_category:s batter_whiff_rate_vs_this_cat:f "
+               "chase_opportunity:f two_strike_whiff_boost:f " + " ".join(f"{c}:i" for c in _R4), source="candfeat", keep=("raw",)))
