@@ -2,6 +2,7 @@
 a scan of every document's word windows, exact verification of the hits."""
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import ALNUM_LOWER, LOWER, Rolling, Words, id_text, numbered, record, row_key, saved, shared, text_slices
+from moundflow.llm.base import (ALNUM_LOWER, LOWER, Rolling, Words, free, id_text, named, numbered, record, row_key, saved, shared,
+                                text_slices)
 
 WINDOW = 10
 #: Bytes of item texts in one broadcast block.  A larger benchmark is taken in
@@ -182,10 +184,58 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "remove",
     hit, null ones included, come back unchanged."""
     if action not in ("remove", "cut"):
         raise ValueError(action)
-    out = docs
-    for grams in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        out = _cut(out, grams, text_col, action)
-    return out
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None or action == "remove":        # what one block takes does not change what another would
+        out = _cut(docs, first, text_col, action)
+        for grams in [] if second is None else itertools.chain([second], blocks):
+            out = _cut(out, grams, text_col, action)
+        return out
+    d = id_text(docs, id_col, text_col).select(F.lit(0).cast("long").alias("doc_id"), "text", *row_key(F.col("doc_id"), F.col("text")))
+    found = None
+    for grams in itertools.chain([first, second], blocks):
+        one = _scan(d, grams, False).select("r1", "r2", "hits")
+        found = one if found is None else found.unionByName(one)
+    return _cut_runs(docs, saved(found.groupBy("r1", "r2").agg(F.flatten(F.collect_set("hits")).alias("hits"))), id_col, text_col)
+
+
+def _cut_runs(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents without the words of the runs that all blocks found in them."""
+    names = docs.columns
+    k1, k2, runs = free(docs, "__r1"), free(docs, "__r2"), free(docs, "__runs")
+    t = named(text_col).cast("string")
+    keys = [k.alias(n) for k, n in zip(row_key(named(id_col), t), (k1, k2))]
+    d = docs.select(*map(named, names), *keys).join(hits.select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("hits").alias(runs)), [k1, k2], "left")
+    d = numbered(d.select(*map(named, names), runs))
+    at, last = names.index(text_col), len(names)
+
+    def run(batches):
+        for part, data, off in text_slices(batches, f"c{at}"):
+            flat = part.column(last).to_pylist()
+            own = pa.RecordBatch.from_arrays(part.columns[:last], names=part.schema.names[:last])
+            if any(flat):
+                w, texts = Words(LOWER[data], off, ALNUM_LOWER, hashes=False), own.column(at).to_pylist()
+                for i, edges in enumerate(flat):
+                    if edges:
+                        steps = np.zeros(max(edges) + 1, np.int32)
+                        np.add.at(steps, edges[0::2], 1)
+                        np.add.at(steps, edges[1::2], -1)
+                        texts[i] = _without(data, off, w, i, _runs(np.cumsum(steps) > 0))
+                own = pa.RecordBatch.from_arrays([pa.array(texts, c.type) if i == at else c for i, c in enumerate(own.columns)], schema=own.schema)
+            yield own
+
+    return d.mapInArrow(run, d.select(*[f"c{i}" for i in range(last)]).schema).toDF(*names)
+
+
+def _without(data: np.ndarray, off: np.ndarray, w: Words, d: int, edges: np.ndarray) -> str:
+    """Text d without the bytes of its words in the runs and what stands between these."""
+    raw, kept, last = data[off[d]:off[d + 1]].tobytes(), [], 0
+    for a, b in edges.reshape(-1, 2).tolist():
+        kept.append(raw[last:w.s[w.off[d] + a] - off[d]])
+        last = int(w.e[w.off[d] + b - 1] - off[d])
+    return b"".join([*kept, raw[last:]]).decode()
 
 
 def _cut(docs: DataFrame, grams: Grams, text_col: str, action: str) -> DataFrame:
@@ -206,12 +256,7 @@ def _cut(docs: DataFrame, grams: Grams, text_col: str, action: str) -> DataFrame
             at = part.schema.get_field_index(text_col)
             texts = part.column(at).to_pylist()
             for d in np.flatnonzero(dirty):
-                edges = _runs(hit[w.off[d]:w.off[d + 1]])
-                raw, kept, last = data[off[d]:off[d + 1]].tobytes(), [], 0
-                for a, b in edges.reshape(-1, 2).tolist():
-                    kept.append(raw[last:w.s[w.off[d] + a] - off[d]])
-                    last = int(w.e[w.off[d] + b - 1] - off[d])
-                texts[d] = b"".join([*kept, raw[last:]]).decode()
+                texts[d] = _without(data, off, w, d, _runs(hit[w.off[d]:w.off[d + 1]]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moundflow.llm import toxic as tox
-from moundflow.llm.base import BYTE_VALUE, NOT_SPACE, Rolling, byte_class, id_text, mix, named, numbered, record, saved, shared, spans, text_slices
+from moundflow.llm.base import BYTE_VALUE, NOT_SPACE, Rolling, byte_class, free, id_text, mix, named, numbered, record, saved, shared, spans, text_slices
 from moundflow.llm.quality_rules import labelled_sample
 
 #: Hash buckets of words and word pairs: the models' size does not follow the input.
@@ -117,10 +117,10 @@ def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 1,
           least: float | None = None, toxic: tox.Table | None = None) -> DataFrame:
     """The documents with __weight (log p_target - log p_raw of the text),
-    __key (weight plus Gumbel noise) and, given a ``toxic`` table, __toxic; or
-    with ``least`` only those whose key reaches it and that are not toxic,
-    columns as they were; same partitions, no shuffle.  Null and empty texts
-    weigh 0."""
+    __key (weight plus Gumbel noise) and, given a ``toxic`` table, __toxic (more
+    underscores where a name is taken); or with ``least`` only those whose key
+    reaches it and that are not toxic, columns as they were; same partitions, no
+    shuffle.  Null and empty texts weigh 0."""
     names, t = docs.columns, named(text_col).cast("string")
     d = docs.select(*map(named, names), gumbel(named(id_col), t, seed).alias("noise"), t.alias("words"))
     d, k = numbered(d), len(names)
@@ -142,7 +142,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
                 yield own.filter(pa.array((key >= least) & ~bad))
 
     out = d.mapInArrow(run, d.select(*[f"c{i}" for i in range(k)], *added).schema)
-    return out.toDF(*names, *(["__weight", "__key", "__toxic"][:len(added)]))
+    return out.toDF(*names, *[free(docs, x) for x in ("__weight", "__key", "__toxic")[:len(added)]])
 
 
 HELD = pa.schema([("y", pa.float64()), ("noise", pa.float64()), ("weight", pa.float64()), ("n", pa.int64())])
@@ -194,35 +194,72 @@ def fit_all(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TARGET_ROWS)
     return log_ratio(raw, target.sum(0)) + gap, least
 
 
+def sample_size(weighed: DataFrame, least: float, weight: str = "__weight", toxic: str = "__toxic") -> int:
+    """The k of the top-k: how many texts that are not toxic weigh as much as the
+    labelled target rows ask for."""
+    return weighed.where((named(weight) >= least) & ~named(toxic)).count()
+
+
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the sample takes and that are not toxic, same columns.
-    Without any labelled target row nothing is rejected.  Null and empty texts weigh 0 and stay or go
-    by their noise; equal rows share it."""
+    """The k documents, not toxic, with the largest keys, same columns; k is the
+    number whose weight reaches the threshold between labelled target and
+    rejected rows.  Without any labelled target row nothing is rejected.  Null
+    and empty texts weigh 0; equal rows share their noise."""
     ratio, least = fit_all(docs, labels)
-    return weigh(docs, ratio, least=least, toxic=tox.fit(docs, labels))
-
-
-def gumbel_top_k(weighed: DataFrame, k: int, bins: int = 4096) -> DataFrame:
-    """The k rows with the largest __key (all rows if there are fewer; null keys
-    never).  The k-th key is found by counting rows in bins of the key's range,
-    finer each round, so neither a task nor the driver sees more than the bins.
-    Rows that tie for the last places are taken by hash of their columns.
-    ``weighed`` is read once a round: save it first."""
-    key = F.col("__key")
-    rows = weighed.where(key.isNotNull())
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(key)).first()
-    if k >= n:
-        return rows
-    if k <= 0:
-        return rows.limit(0)
+    weight, key, toxic = (free(docs, x) for x in ("__weight", "__key", "__toxic"))
+    weighed = saved(weigh(docs, ratio, toxic=tox.fit(docs, labels)))
+    return gumbel_top_k(weighed.where(~named(toxic)), sample_size(weighed, least, weight, toxic), key=key).drop(weight, key, toxic)
+
+
+def kth_key(rows: DataFrame, k: int, key: str = "__key", bins: int = 4096) -> tuple[float, int]:
+    """The k-th largest key of rows that have more than k, and how many of the
+    rows that tie for it are among the k.  It is found by counting rows in bins of
+    the key's range, finer each round, so neither a task nor the driver sees more
+    than the bins."""
+    x = named(key)
+    lo, hi = rows.agg(F.min(x), F.max(x)).first()
     need, inside = k, rows
     while lo < hi:
-        b = F.least(F.floor((key - lo) / (hi - lo) * bins), F.lit(bins - 1))
-        for _, c, low, high in sorted(inside.groupBy(b.alias("b")).agg(F.count(key), F.min(key), F.max(key)).collect(), reverse=True):
+        b = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        for _, c, low, high in sorted(inside.groupBy(b.alias("b")).agg(F.count(x), F.min(x), F.max(x)).collect(), reverse=True):
             if c >= need:
                 lo, hi = low, high
                 break
             need -= c
-        inside = rows.where(key.between(lo, hi))
-    ties = rows.where(key == lo).orderBy(F.xxhash64(*weighed.columns), *weighed.columns[:1]).limit(need)
-    return rows.where(key > lo).unionByName(ties)
+        inside = rows.where(x.between(lo, hi))
+    return lo, need
+
+
+def _parts(weighed: DataFrame, k: int, key: str, bins: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows above the k-th key, those that tie for it and are taken, all that tie."""
+    x = named(key)
+    rows = weighed.where(x.isNotNull())
+    if k >= rows.count():
+        return rows, rows.limit(0), rows.limit(0)
+    if k <= 0:
+        return rows.limit(0), rows.limit(0), rows.limit(0)
+    lo, need = kth_key(rows, k, key, bins)
+    ties = rows.where(x == lo)
+    by = [named(c) for c in weighed.columns]
+    return rows.where(x > lo), ties.orderBy(F.xxhash64(*by), *by[:1]).limit(need), ties
+
+
+def gumbel_top_k(weighed: DataFrame, k: int, bins: int = 4096, key: str = "__key") -> DataFrame:
+    """The k rows with the largest key (all rows if there are fewer; null keys
+    never).  Rows that tie for the last places are taken by hash of their
+    columns.  ``weighed`` is read once a round: save it first."""
+    above, taken, _ = _parts(weighed, k, key, bins)
+    return above.unionByName(taken)
+
+
+def mark_top_k(weighed: DataFrame, k: int, out: str, bins: int = 4096, key: str = "__key") -> DataFrame:
+    """All rows, with a column that says whether ``gumbel_top_k`` takes them."""
+    x = named(key)
+    if k >= weighed.where(x.isNotNull()).count() or k <= 0:
+        return weighed.withColumn(out, x.isNotNull() & F.lit(k > 0))
+    lo, need = kth_key(weighed.where(x.isNotNull()), k, key, bins)
+    _, taken, ties = _parts(weighed, k, key, bins)
+    if ties.count() == need:
+        return weighed.withColumn(out, F.coalesce(x >= lo, F.lit(False)))
+    rest = weighed.where(F.coalesce(x != lo, F.lit(True))).withColumn(out, F.coalesce(x > lo, F.lit(False)))
+    return (rest.unionByName(taken.withColumn(out, F.lit(True))).unionByName(ties.exceptAll(taken).withColumn(out, F.lit(False))))

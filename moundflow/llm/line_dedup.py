@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     included, is unchanged; a text that loses every line becomes empty and
     keeps its row.  Rows equal in id and text are one document: they get the same
     result.  Null ids come after all others.  With ``report``: adds __n_lines
-    and __n_removed.  Texts are shuffled once, to meet their marks."""
+    and __n_removed (more underscores where these are taken).  Texts are shuffled once, to meet their marks."""
     names = docs.columns
     k1, k2, later, lines, kept = (free(docs, x) for x in ("__r1", "__r2", "__later", "__lines", "__kept"))
     r1, r2 = row_key(named(id_col), named(text_col).cast("string"))
@@ -80,7 +80,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.withColumns({k1: r1, k2: r2}).join(marks, [k1, k2], "left").withColumn(lines, _lines(named(text_col)))
     d = d.withColumn(kept, F.when(F.col(later).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x, i: ~_covered(later, i, window))))
     text = F.when(F.col(later).isNull(), named(text_col)).otherwise(F.array_join(kept, "\n"))
-    more = [F.size(lines).cast("long").alias("__n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("__n_removed")] if report else []
+    more = [F.size(lines).cast("long").alias(free(docs, "__n_lines")),
+            (F.size(lines) - F.size(kept)).cast("long").alias(free(docs, "__n_removed"))] if report else []
     return d.select(*[text.alias(c) if c == text_col else named(c) for c in names], *more)
 
 

@@ -153,7 +153,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS
                 source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(schedule, parts, taken): the order in which blocks are read; which
     words of which document make a block (source, block, doc_id, h, first word,
-    words); and per document row doc_id, size, source_size, target and taken,
+    words, place in the block); and per document row doc_id, size, source_size, target and taken,
     the words the mix takes from it, repeats counted; a source's sum is its target,
     rounded.
 
@@ -169,6 +169,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS
     parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
     first = F.greatest(F.col("start"), F.col("block") * block_words)
     parts = parts.select("source", "block", "doc_id", "h", "size", "start", (first - F.col("start")).alias("first"),
+                         (first - F.col("block") * block_words).alias("at"),
                          (F.least(end, (F.col("block") + 1) * block_words) - first).alias("words"))
     cut = F.col("words") < F.col("size")      # in one slot of a source at most
     times = plan.groupBy(F.col("source").alias("ts"), F.col("block").alias("tb")).agg(
@@ -184,3 +185,13 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS
     g = goal.select(F.col("source").alias("__s"), "source_size", "target")
     taken = everyone.join(g, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken")
     return plan, parts.drop("size", "start"), taken
+
+
+def mixed_order(plan: DataFrame, parts: DataFrame) -> DataFrame:
+    """The mix itself: slot (the order of reading), source, epoch, and the pieces
+    of documents in the slot's block: doc_id, h (which of the rows of that id),
+    first word, words; a block that is cut short ends with its slot's words."""
+    p = parts.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "doc_id", "h", "first", F.col("words").alias("__w"), F.col("at").alias("__at"))
+    got = plan.join(p, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
+    words = F.least(F.col("__w"), F.col("words") - F.col("__at"))
+    return got.where(words > 0).select("slot", "source", "epoch", "block", "doc_id", "h", "first", words.alias("words"), F.col("__at").alias("at"))

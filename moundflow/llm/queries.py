@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from moundflow.llm import (collocation, conversation, decontaminate, importance, line_dedup, lpf_dedup, mixing, quality_rules, records,
                            seed_extend, simhash, token_count, toxic, url_filter)
+from moundflow.llm.base import saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +47,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     Gumbel noise), kept (among the k largest keys, and not toxic)."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     ratio, least = importance.fit_all(docs, labels)
-    got = importance.weigh(docs.select("doc_id", "text"), ratio, toxic=toxic.fit(docs, labels))
-    return got.select("doc_id", F.col("__weight").alias("weight"), F.col("__key").alias("key"),
-                      ((F.col("__key") >= least) & ~F.col("__toxic")).alias("kept"))
+    got = saved(importance.weigh(docs.select("doc_id", "text"), ratio, toxic=toxic.fit(docs, labels)).drop("text"))
+    clean = importance.mark_top_k(got.where(~F.col("__toxic")), importance.sample_size(got, least), "kept")
+    marked = clean.unionByName(got.where("__toxic").withColumn("kept", F.lit(False)))
+    return marked.select("doc_id", F.col("__weight").alias("weight"), F.col("__key").alias("key"), "kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,9 +226,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = saved(edges), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that adaptive execution splits the rows of a large component's centre
+        low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = saved(large)
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).distinct()
         edges = saved(small)
@@ -252,8 +254,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     node = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     root = components(links(node.select("fp"), radius))
     named = node.join(root, node["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return rows.join(named.select("fp", "root", "component_id"), "fp")
+    named = saved(named)
+    least = saved(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    # the rows of one fingerprint, blank texts say, may be a third of all: both sides are plain tables, so they are split
+    return rows.join(saved(named.join(least, "root").select("fp", "root", "component_id")), "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -165,15 +165,23 @@ def _pieces(path: str, overlap: int):
     return run
 
 
+CUT = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("k", pa.int32()), ("lo", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
+
+
+def _chunks(chunk: int, overlap: int):
+    """A text as chunks, each with the overlap before it: one pass over the text."""
+    def run(batches):
+        for b in batches:
+            for r1, r2, text in zip(*[c.to_pylist() for c in b.columns]):
+                for k in range(-(-len(text) // chunk)):
+                    lo = max(0, k * chunk - overlap)
+                    yield record(CUT, [r1], [r2], [k], [lo], [(k + 1) * chunk >= len(text)], [text[lo:(k + 1) * chunk]])
+    return run
+
+
 def _splice(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """r1, r2, n_tokens (null where some neighbours share no boundary)."""
-    step, n = F.lit(chunk), F.col("n_chars")
-    cut = (long.select("r1", "r2", "text", "n_chars",
-                       F.explode(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))).alias("k"))
-           .select("r1", "r2", "k", F.greatest(F.lit(0), F.col("k") * step - overlap).cast("long").alias("lo"),
-                   ((F.col("k") + 1) * step >= n).alias("last"), "text")
-           .select("r1", "r2", "k", "lo", "last",
-                   F.substring(F.col("text"), (F.col("lo") + 1).cast("int"), ((F.col("k") + 1) * step - F.col("lo")).cast("int")).alias("text")))
+    cut = long.select("r1", "r2", "text").mapInArrow(_chunks(chunk, overlap), "r1 long, r2 long, k int, lo long, last boolean, text string")
     # the chunks of one huge text are spread over the tasks
     cut = cut.repartition(F.xxhash64("r1", "r2", "k"))
     got = cut.mapInArrow(_pieces(path, overlap), "r1 long, r2 long, k int, n long, lo long, hi long, at array<long>, before array<long>")

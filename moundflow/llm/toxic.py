@@ -12,8 +12,6 @@ from moundflow.llm.quality_rules import labelled_sample
 
 #: Labelled rows of each class: at most so many, the first by hash.
 MAX_TOXIC_ROWS, MAX_OTHER_ROWS = 2_000, 10_000
-#: Entries of the table: at most so many, those of most toxic texts.
-MAX_ENTRIES = 1 << 16
 #: An entry stands in so many toxic texts, and its log ratio is at least this.
 MIN_TEXTS, STRONG = 3, 2.5
 #: Bytes of a word's start that make an entry, besides the whole word.
@@ -96,58 +94,60 @@ FOUND = pa.schema([("hash", pa.int64()), *[(f"f{i}", pa.int64()) for i in range(
 SCORED = pa.schema([("y", pa.int32()), ("score", pa.float64())])
 
 
-def _toxic_entries(batches):
-    for part, data, off in text_slices(batches):
-        h, owner, _ = entries(data, off)
-        fold = np.asarray(part.column(0))
-        once = np.lexsort((owner, h))
-        h, owner = h[once], owner[once]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, inverse = np.unique(h[new], return_inverse=True)
-        counts = [np.bincount(inverse, fold[owner[new]] == i, minlength=len(h)).astype(np.int64) for i in range(FOLDS)]
-        yield record(FOUND, h.view(np.int64), *counts)
+def _text_entries(seen: np.ndarray | None = None):
+    """Entries of each text once, counted by fold; with ``seen`` only those whose
+    first 20 bits are set in it."""
+    def run(batches):
+        for part, data, off in text_slices(batches):
+            h, owner, _ = entries(data, off)
+            if seen is not None:
+                some = seen[h >> np.uint64(44)]
+                h, owner = h[some], owner[some]
+            fold = np.asarray(part.column(0))
+            once = np.lexsort((owner, h))
+            h, owner = h[once], owner[once]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            h, inverse = np.unique(h[new], return_inverse=True)
+            counts = [np.bincount(inverse, fold[owner[new]] == i, minlength=len(h)).astype(np.int64) for i in range(FOLDS)]
+            yield record(FOUND, h.view(np.int64), *counts)
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Table:
     """Log ratios of the share of toxic and of other labelled texts that hold
-    an entry, and the cut set on rows that were left out of the table.  The
-    driver gets MAX_ENTRIES rows and a score for each sampled row.  Without
-    toxic or target rows no text is toxic."""
+    an entry, and the cut set on rows that were left out of the table.  All
+    entries of the labelled texts are counted in tasks; the driver gets the strong
+    ones, however rare, and a score for each sampled row.  Without toxic or
+    target rows no text is toxic."""
     rows = labelled(docs, labels, id_col, text_col)
     size = np.zeros((3, FOLDS))
     for y, fold, n in rows.groupBy("y", "fold").count().collect():
         size[y, fold] = n
     if not size[0].sum() or not size[1].sum():
         return Table(np.zeros(0, np.uint64), np.zeros((0, FOLDS + 1)))
-    sums = [F.sum(f"f{i}").alias(f"f{i}") for i in range(FOLDS)]
     every = "+".join(f"f{i}" for i in range(FOLDS))
     columns = ", ".join(f"f{i} long" for i in range(FOLDS))
-    top = (rows.where("y = 0").mapInArrow(_toxic_entries, f"hash long, {columns}").groupBy("hash").agg(*sums)
-           .where(f"{every} >= {MIN_TEXTS}").orderBy(F.expr(every).desc(), "hash").limit(MAX_ENTRIES).toArrow())
+    toxic = saved(rows.where("y = 0").mapInArrow(_text_entries(), f"hash long, {columns}").groupBy("hash")
+                  .agg(*[F.sum(f"f{i}").alias(f"f{i}") for i in range(FOLDS)]).where(f"{every} >= {MIN_TEXTS}"))
+    seen = np.zeros(1 << 20, bool)
+    seen[[r[0] for r in toxic.select(F.shiftrightunsigned("hash", 44)).distinct().collect()]] = True        # 2**20 values at most
+    other = (rows.where("y > 0").mapInArrow(_text_entries(seen), f"hash long, {columns}").groupBy("hash")
+             .agg(*[F.sum(f"f{i}").alias(f"g{i}") for i in range(FOLDS)]))
+    both = toxic.join(other, "hash", "left").fillna(0)
+    ratios, strong = [], F.lit(False)
+    for fold in range(FOLDS + 1):
+        used = [i for i in range(FOLDS) if i != fold]
+        a, b = sum(F.col(f"f{i}") for i in used), sum(F.col(f"g{i}") for i in used)
+        na, nb = float(size[0, used].sum()), float(size[1:, used].sum())
+        r = F.log(F.greatest(a.cast("double"), F.lit(0.5)) / max(1.0, na)) - F.log((b + 0.5) / (nb + 1))
+        counts = (a >= MIN_TEXTS) & (r >= STRONG)
+        strong = strong | counts
+        ratios.append(F.when(counts, r).otherwise(0.0).alias(f"r{fold}"))
+    top = both.where(strong).select("hash", *ratios).toArrow()
     hashes = np.asarray(top["hash"]).view(np.uint64)
     order = np.argsort(hashes)
-    toxic = np.stack([np.asarray(top[f"f{i}"]) for i in range(FOLDS)], 1)[order]
-    table = Table(hashes[order], np.zeros((len(hashes), FOLDS + 1)))
-    get = shared(rows, table)
-
-    def count(batches):
-        out = np.zeros((len(get().hashes), FOLDS), np.int64)
-        for part, data, off in text_slices(batches):
-            owner, at, _ = get().found(data, off)
-            np.add.at(out, (at, np.asarray(part.column(0))[owner]), 1)
-        some = np.flatnonzero(out.any(1))
-        yield record(FOUND, some, *out[some].T)
-
-    got = rows.where("y > 0").mapInArrow(count, f"hash long, {columns}").groupBy("hash").agg(*sums).toArrow()
-    other = np.zeros_like(toxic)
-    other[np.asarray(got["hash"])] = np.stack([np.asarray(got[f"f{i}"]) for i in range(FOLDS)], 1)
-    for fold in range(FOLDS + 1):
-        used = np.arange(FOLDS) != fold
-        a, b = toxic[:, used].sum(1), other[:, used].sum(1)
-        na, nb = size[0, used].sum(), size[1:, used].sum()
-        r = np.log(np.maximum(a, 0.5) / max(1.0, na)) - np.log((b + 0.5) / (nb + 1))
-        table.ratio[:, fold] = np.where((a >= MIN_TEXTS) & (r >= STRONG), r, 0)
+    table = Table(hashes[order], np.stack([np.asarray(top[f"r{i}"]) for i in range(FOLDS + 1)], 1)[order])
     get_all = shared(rows, table)
 
     def run(batches):

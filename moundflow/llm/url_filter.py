@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundflow.llm.base import saved
+from moundflow.llm.base import numbered, saved
 
 #: (verdict, rule): host and all its subdomains, then the start of the path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
@@ -154,11 +154,14 @@ def filter_urls(df: DataFrame, model: UrlModel, url_col: str = "url", rules=RULE
 
     Null and empty URLs, and those without ``://``, have empty host and path
     and the trees' verdict; repeated rows are judged one by one; an empty table
-    stays empty.  Columns of those four names are replaced, others are kept."""
-    keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    scored = model.score(with_parts(df, url_col, rules), url_col)
+    stays empty.  Columns of those four names are replaced, all others are kept
+    whatever their names: inside they are numbered."""
+    names = df.columns
+    keep = [i for i, c in enumerate(names) if c.lower() not in ("host", "path", "rule", "verdict")]
+    url = f"c{names.index(url_col)}"
+    scored = model.score(with_parts(numbered(df), url, rules), url)
     by_trees = F.when(F.col("__blocked") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
+    return scored.select(*[F.col(f"c{i}").alias(names[i]) for i in keep], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
                          F.coalesce("__said", by_trees).alias("verdict"))
 
 

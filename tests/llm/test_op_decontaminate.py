@@ -51,3 +51,16 @@ def test_empty_tables(spark):
     none = D.digest(D.find_hits(docs, bench(spark).where("false"))).collect()
     assert len(none) == len(TEXTS) and not any(r["contaminated"] for r in none)
     assert D.decontaminate(docs, bench(spark).where("false")).count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("block", [8, 60, 1 << 20])
+def test_cut_is_the_same_for_any_blocks(spark, block):
+    """Overlapping items in several blocks: all are judged on the input."""
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words[5:15])), (2, " ".join(words[10:20])), (3, " ".join(words[30:33])), (4, "not here at all")]
+    rows = [(1, " ".join(words)), (2, None), (3, "w1 w2"), (1, " ".join(words)), (4, "W30,\tw31;w32!")]
+    docs = brute.frame(spark, rows)
+    cut = D.decontaminate(docs, bench(spark, items), "cut", block_bytes=block)
+    assert cut.columns == docs.columns
+    kept = " ".join(words[:5]) + "  " + " ".join(words[20:30]) + "  " + " ".join(words[33:])
+    assert sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=str) == sorted([(1, kept), (1, kept), (2, None), (3, "w1 w2"), (4, "!")], key=str)

@@ -40,3 +40,11 @@ def test_columns_and_empty_table(spark):
 def test_python_free_plan(spark):
     plan = L.dedup_lines(brute.frame(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_report_names_do_not_clash(spark):
+    from moundflow.llm import line_dedup as L
+    df = spark.createDataFrame([(1, "a\nb\nc", 7, 8), (2, "a\nb\nc\nd", 7, 8)], "doc_id long, text string, __n_lines long, __n_removed long")
+    out = L.dedup_lines(df, report=True)
+    assert out.columns == [*df.columns, "___n_lines", "___n_removed"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a\nb\nc", 7, 8, 3, 0), (2, "d", 7, 8, 4, 3)]

@@ -88,6 +88,7 @@ def test_schedule_is_even_and_ranked(spark):
 def test_chunks_and_buckets_do_not_change_the_mix(spark, monkeypatch):
     rows = rows_of(120)
     want = sorted(map(str, M.mix_sources(docs_of(spark, rows))[2].collect()))
+    assert sorted(map(str, M.mix_sources(docs_of(spark, rows))[2].collect())) == want
     monkeypatch.setattr(M, "CHUNK", 7)
     monkeypatch.setattr(M, "BUCKET_ROWS", 10)
     assert sorted(map(str, M.mix_sources(docs_of(spark, rows))[2].collect())) == want
@@ -102,3 +103,25 @@ def test_empty_and_wordless_tables(spark):
     assert M.mix_sources(docs_of(spark, rows_of(5)).where("false"))[2].count() == 0
     out = M.mix_sources(docs_of(spark, [(1, None, "a"), (2, " ", None)]))[2].collect()
     assert [(r["size"], r["taken"], r["target"]) for r in out] == [(0, 0, 0.0)] * 2
+
+
+def test_mixed_order_reads_what_is_taken(spark):
+    """Slot by slot the pieces add up to each document's words; a slot's are next to each other."""
+    plan, parts, taken = M.mix_sources(docs_of(spark, rows_of(150)))
+    mix = M.mixed_order(plan, parts).collect()
+    got, slots = defaultdict(int), defaultdict(list)
+    for r in mix:
+        got[r["doc_id"]] += r["words"]
+        slots[r["slot"]].append((r["at"], r["words"]))
+    want = defaultdict(int)
+    for r in taken.collect():
+        want[r["doc_id"]] += r["taken"]
+    assert {k: v for k, v in want.items() if v} == dict(got)
+    due = {r["slot"]: r["words"] for r in plan.collect()}
+    assert set(slots) == set(due)
+    for slot, pieces in slots.items():
+        at = 0
+        for a, n in sorted(pieces):
+            assert a == at
+            at += n
+        assert at == due[slot]

@@ -92,3 +92,29 @@ def test_gumbel_top_k(spark, k):
 def test_gumbel_noise_has_its_distribution(spark):
     x = spark.range(20_000).select(I.gumbel(F.col("id"), F.lit("t"), 1).alias("g")).toPandas().g
     assert abs(x.mean() - 0.5772) < 0.05 and abs(x.std() - 1.2825) < 0.05
+
+
+def test_top_k_is_exactly_k_and_marked(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, float(i % 7), f"t{i % 14}") for i in range(60)] + [(99, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, `k.e` double, t string")
+    for k in (0, 1, 5, 30, 59, 60, 70):
+        top = I.gumbel_top_k(df, k, bins=3, key="k.e")
+        marked = I.mark_top_k(df, k, "kept", bins=3, key="k.e")
+        want = sorted((r[1] for r in rows if r[1] is not None), reverse=True)[:k]
+        assert sorted((r["k.e"] for r in top.collect()), reverse=True) == want
+        got = marked.collect()
+        assert len(got) == len(rows) and sorted((r["k.e"] for r in got if r["kept"]), reverse=True) == want
+    assert marked.where(F.col("kept").isNull()).count() == 0
+
+
+def test_query_takes_the_k_largest_keys(spark, small_dir):
+    from moundflow.llm import queries, toxic
+    got = queries.op7_quality_classifier(spark, small_dir).collect()
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    ratio, least = I.fit_all(docs, labels)
+    judged = I.weigh(docs.select("doc_id", "text"), ratio, toxic=toxic.fit(docs, labels)).collect()
+    clean = [r for r in judged if not r["__toxic"]]
+    k = sum(r["__weight"] >= least for r in clean)
+    assert len(got) == len(judged) and sum(r.kept for r in got) == k > 0
+    assert sorted((r.key for r in got if r.kept), reverse=True) == sorted((r["__key"] for r in clean), reverse=True)[:k]

@@ -3,6 +3,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from moundflow.llm import simhash as S
 
@@ -80,3 +81,11 @@ def test_near_duplicates_and_keep_one(spark):
 def test_empty_table(spark):
     docs = brute.frame(spark, [(1, "a")]).where("doc_id < 0")
     assert S.near_duplicates(docs).count() == 0 and S.keep_one(docs).count() == 0
+
+
+def test_one_fingerprint_on_a_third_of_the_rows(spark):
+    """Blank rows are one group with the smallest of their ids, next to many others."""
+    rows = [(i, "  " if i % 3 == 0 else f"word{i % 400} and{i % 397} more{i % 391} text{i % 389}") for i in range(3000)]
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()
+    blank = [r for r in got if r.fp == 0]
+    assert len(got) == 3000 and len(blank) == 1000 and {r.component_id for r in blank} == {0}

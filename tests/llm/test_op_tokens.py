@@ -55,3 +55,24 @@ def test_words_alone_align_at_once():
     text = "schkeit " * 400
     a, b = enc.chunk(text[:1600]), enc.chunk(text[1400:])
     assert len({x for x in a[1] if 1400 < x < 1568} & {x + 1400 for x in b[1] if x < 168}) > 10
+
+
+def test_huge_text_is_cut_in_time_linear_in_its_size():
+    """64 MB against 16 MB: the cutting alone."""
+    import time
+
+    import pyarrow as pa
+
+    from moundflow.llm import token_count as T
+    def seconds(mb):
+        text = "word another,\n" * (mb * (1 << 20) // 14)
+        b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["r1", "r2", "text"])
+        t, end, chunks = time.time(), 0, 0
+        for c in T._chunks(T.CHUNK, T.OVERLAP)([b]):
+            lo, part = c.column(3)[0].as_py(), c.column(5)[0].as_py()
+            assert lo == max(0, end - T.OVERLAP) and (lo or chunks == 0)
+            end, chunks = lo + len(part), chunks + 1
+        assert end == len(text) and chunks == -(-len(text) // T.CHUNK)
+        return time.time() - t
+    small = seconds(16)
+    assert seconds(64) < 12 * small + 1

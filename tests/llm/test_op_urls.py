@@ -80,3 +80,20 @@ def test_no_labels_one_class_empty(spark):
     blocked = U.train(spark.createDataFrame([("a", 1), ("b", 1), (None, 1), ("c", None)], "url string, blocked int"))
     assert {r["verdict"] for r in U.filter_urls(df, blocked).collect() if r["rule"] is None} == {"block"}
     assert U.filter_urls(df.where("false"), blocked).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Names the features and the trees use, dots, the four results' own."""
+    from moundflow.llm import url_filter as U
+    urls = [f"https://{h}/{p}/{i}" for i in range(30) for h, p in (("a.org", "x"), ("b.com", "de"), ("c.com", "fr"), ("d.net", "q"))] + [None, ""]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    model = U.train(U.rule_labels(pages))
+    assert model.trees is not None
+    names = ["url", "probability", "rawPrediction", "__host", "__url_length", "__rate_tld", "__blocked", "__features", "a.b", "c0", "Host"]
+    odd = pages.select(*[F.col("url").alias(n) if n == "url" else F.concat(F.lit(n), F.coalesce("url", F.lit(""))).alias(n) for n in names])
+    out = U.filter_urls(odd, model)
+    assert out.columns == [*names[:-1], "host", "path", "rule", "verdict"]
+    plain = {r.url: r.verdict for r in U.filter_urls(pages, model).collect()}
+    for r in out.collect():
+        d = r.asDict()
+        assert all(d[n] == n + (d["url"] or "") for n in names[1:-1]) and d["verdict"] == plain[d["url"]]
