@@ -1,6 +1,7 @@
-"""Suffix-array dedup: suffixes of pieces that may repeat are ranked by their
-first 200 bytes; entries of equal rank have a previous (next) factor that is
-long enough, and the bytes it covers go.  Factor lengths are not computed."""
+"""Suffix-array dedup by longest previous factors: the suffixes of pieces that may
+repeat are put in order, the previous and next smaller positions of an entry in
+that order hold its longest earlier match, and where that has 200 bytes or more
+the bytes it covers go.  Lengths are cut at 200."""
 from __future__ import annotations
 
 import hashlib
@@ -19,12 +20,12 @@ LENGTH, GRAM = 200, 32
 
 # --- suffix array, longest previous factors ----------------------------------
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first ``depth`` bytes: the number of suffixes
-    that are smaller; suffixes with equal first ``depth`` bytes share a rank.
-    The first 8 bytes (or ``depth``) are sorted as a number, then prefixes double;
-    a suffix whose rank is its own is not sorted again.  What stands after the
-    end counts as zero bytes."""
+def suffix_levels(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(length, ranks) for lengths 8, 16, ... up to ``depth``: the rank of every
+    suffix by that many bytes, the number of suffixes that are smaller; suffixes
+    that agree on them share a rank.  The first 8 bytes (or ``depth``) are sorted as
+    a number, then prefixes double; a suffix whose rank is its own is not sorted
+    again.  What stands after the end counts as zero bytes."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     have = min(8, depth)
@@ -34,6 +35,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(n + depth, np.int64)
     todo = np.arange(n)
     head = np.zeros(n, np.int64)        # rank of the group that each of todo is in
+    levels = []
     while True:
         order = np.argsort(key)
         k = key[order]
@@ -47,14 +49,15 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         begin = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
         r = group + first - begin
         rank[todo[order]] = r
+        levels.append((have, rank[:n].copy()))
         if have >= depth:
-            return rank[:n]
+            return levels
         last = np.append(new[1:], True)
         tied = ~(new & last)
         todo = todo[order[tied]]
         head = r[tied]
         if not len(todo):
-            return rank[:n]
+            return levels
         step = min(have, depth - have)
         beyond = rank[todo + step] + 1
         beyond[todo + step >= n] = 0
@@ -62,27 +65,73 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         have += step
 
 
+def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of every suffix by its first ``depth`` bytes."""
+    return suffix_levels(text, depth)[-1][1]
+
+
+def common_prefix(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes on which the suffixes at a and b agree, ``depth`` at most: equal ranks
+    of the longest level first, then of shorter ones, the last bytes one by one."""
+    n, have = len(text), np.zeros(len(a), np.int64)
+    for size, rank in reversed(levels):
+        x, y = a + have, b + have
+        inside = np.maximum(x, y) + size <= n
+        same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]) & (have + size <= depth)
+        have += size * same
+    going = have < depth
+    for _ in range(min(levels[0][0], depth) - 1):
+        x, y = a + have, b + have
+        going &= (np.maximum(x, y) < n) & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (have < depth)
+        have += going
+    return have
+
+
+def previous_smaller(v: np.ndarray) -> np.ndarray:
+    """Place of the nearest smaller value before each, else -1: minima of runs
+    of 1, 2, 4, ... values, the longest that are all larger are stepped over."""
+    n = len(v)
+    minima = [v]
+    while (1 << len(minima)) <= n:
+        half = 1 << (len(minima) - 1)
+        minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))
+    at = np.arange(n)
+    for k in range(len(minima) - 1, -1, -1):
+        begin = at - (1 << k)
+        over = (begin >= 0) & (minima[k][np.maximum(begin, 0)] > v)
+        at = np.where(over, begin, at)
+    return at - 1
+
+
+def longest_previous(text: np.ndarray, levels: list[tuple[int, np.ndarray]], places: np.ndarray, value: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length, source) of the longest previous factor of entries in suffix
+    order: the longer of the common prefixes with the nearest entry before and the
+    nearest after it, in that order, whose ``value`` is smaller.  With positions as
+    values these are the longest previous factors, with negated ones the next."""
+    length, source = np.zeros(len(places), np.int64), np.full(len(places), -1)
+    back = previous_smaller(value)
+    ahead = len(value) - 1 - previous_smaller(value[::-1])[::-1]
+    for near, some in ((back, back >= 0), (ahead, ahead < len(value))):
+        i = np.flatnonzero(some)
+        of = places[near[i]]
+        have = common_prefix(text, levels, places[i], of, depth)
+        better = have > length[i]
+        length[i[better]], source[i[better]] = have[better], of[better]
+    return length, source
+
+
 def previous_and_next(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start: the nearest earlier and the nearest later start whose
-    ``depth`` bytes are the same, else -1.
-
-    In suffix order (equal prefixes by position) the previous and the next
-    smaller position of an entry hold its longest previous factor.  Entries
-    with ``depth`` equal bytes stand together in order of position, so in such a
-    run the previous smaller position is the entry before, with a common prefix
-    of at least ``depth``; the next smaller one lies beyond the run, where the
-    common prefix is shorter.  LPF >= depth therefore holds for all of a run but
-    its first, and its mirror image, the longest next factor, for all but its
-    last."""
+    """For each start: the source of its longest previous and of its longest next
+    factor among the starts, where that has ``depth`` bytes, else -1."""
     prev, after = np.full(len(starts), -1), np.full(len(starts), -1)
     if not len(starts):
         return prev, after
-    rank = suffix_ranks(text, depth)[starts]
-    order = np.argsort(rank, kind="stable")     # starts ascend: ties stay in order of position
-    a, b = order[:-1], order[1:]
-    same = rank[a] == rank[b]
-    prev[b[same]] = starts[a[same]]
-    after[a[same]] = starts[b[same]]
+    levels = suffix_levels(text, depth)
+    order = np.argsort(levels[-1][1][starts], kind="stable")     # starts ascend: ties stay in order of position
+    places = starts[order]
+    for out, value in ((prev, places), (after, -places)):
+        length, source = longest_previous(text, levels, places, value, depth)
+        out[order] = np.where(length >= depth, source, -1)
     return prev, after
 
 

@@ -108,3 +108,31 @@ def test_removal_keeps_columns_and_the_first_copy(spark):
 def test_empty_table(spark):
     docs = brute.frame(spark, [(1, "a")]).where("doc_id < 0")
     assert lpf_dedup.repeated_bytes(docs).count() == 0 and seed_extend.repeated_words(docs).count() == 0
+
+
+@pytest.mark.parametrize("seed,depth", [(1, 3), (2, 8), (3, 20), (4, 200), (5, 11)])
+def test_longest_previous_factors(seed, depth):
+    """Length and source of the factors against all pairs; texts with long repeats."""
+    from moundflow.llm import lpf_dedup as L
+    rnd = np.random.default_rng(seed)
+    part = rnd.integers(97, 99, 260).astype(np.uint8)
+    text = np.concatenate([rnd.integers(97, 99, 90).astype(np.uint8), part, rnd.integers(97, 100, 40).astype(np.uint8), part[20:250], np.full(70, 97, np.uint8)])
+    n = len(text)
+    starts = np.sort(rnd.choice(n, 220, replace=False))
+    levels = L.suffix_levels(text, depth)
+    order = np.argsort(levels[-1][1][starts], kind="stable")
+    places = starts[order]
+
+    def agree(a, b):
+        k = 0
+        while k < depth and max(a, b) + k < n and text[a + k] == text[b + k]:
+            k += 1
+        return k
+    for value, sign in ((places, 1), (-places, -1)):
+        length, source = L.longest_previous(text, levels, places, value, depth)
+        for p, m, q in zip(places, length, source):
+            best = max((agree(p, x) for x in starts if sign * x < sign * p), default=0)
+            assert m == best and (m == 0 or agree(p, q) == m and sign * q < sign * p)
+    prev, after = L.previous_and_next(text, starts, depth)
+    for p, q, r in zip(starts, prev, after):
+        assert (q >= 0) == any(agree(p, x) >= depth for x in starts if x < p) and (r >= 0) == any(agree(p, x) >= depth for x in starts if x > p)
