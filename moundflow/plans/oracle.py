@@ -1022,3 +1022,15 @@ SELECT request_id, arsenal_pos, pitch_type, category AS pitch_category, bw, bc,
   on_1b + on_2b + on_3b AS runners_on, CASE WHEN on_2b = 1 OR on_3b = 1 THEN 1 ELSE 0 END AS risp, inning AS inning_num,
   CASE WHEN inning >= 7 THEN 1 ELSE 0 END AS is_late_inning, score_diff, CASE WHEN abs(score_diff) <= 2 THEN 1 ELSE 0 END AS is_close_game,
   CASE WHEN last_pitch_type = pitch_type THEN 1 ELSE 0 END AS same_as_last, 0 AS consecutive_same_pitch FROM rb) x""")
+
+
+# --- what is written and read back -----------------------------------------------------------------
+cte("written", ["seq"], "SELECT game_pk, at_bat_number, pitch_number, game_date, pitch_type, run_value, year(game_date) AS game_year FROM seq")
+
+
+def _metadata_sql() -> str:
+    from moundflow.operators import features as FE
+    return f"SELECT *, {len(FE.NUMERIC_FEATURES)} AS n_numeric, {len(FE.CATEGORICAL_FEATURES)} AS n_categorical FROM a22"
+
+
+cte("metadata", ["a22"], _metadata_sql())

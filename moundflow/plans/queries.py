@@ -558,3 +558,74 @@ def _candidate_rows(t: Tables):
 register(Query("r04_candidate_features", _candidate_rows,
                "request_id:i arsenal_pos:i pitch_type:s pitch_category:s last_pitch_category:s batter_whiff_rate_vs_this_cat:f "
                "chase_opportunity:f two_strike_whiff_boost:f " + " ".join(f"{c}:i" for c in _R4), source="candfeat", keep=("raw",)))
+
+
+# --- what is written and read back -----------------------------------------------------
+def _folder(t: Tables, name: str) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_logs(t: Tables):
+    """The log as two folders of CSV files: other columns, in another order."""
+    folder = _folder(t, "logs")
+    cols = ["game_pk", "game_date", "pitcher", "batter", "at_bat_number", "pitch_number", "zone", "description", "release_speed", "plate_x"]
+    even = F.col("src_key") % 2 == 0
+    t.raw.where(even).select(*cols).write.option("header", True).csv(f"{folder}/a")
+    t.raw.where(~even).select("src_key", *reversed(cols)).write.option("header", True).csv(f"{folder}/b")
+    return FI.read_pitch_log(t.spark, folder)
+
+
+register(Query("s01_read_logs", _read_logs,
+               "game_pk:i game_date:d pitcher:i batter:i at_bat_number:i pitch_number:i zone:f description:s release_speed:f plate_x:f", source="raw"))
+
+
+def _pitch_table(t: Tables):
+    folder = _folder(t, "pitch-table")
+    FI.write_pitch_table(t.pitches.select("game_pk", "game_date", "at_bat_number", "pitch_number", "pitch_type", "run_value"), folder)
+    return t.spark.read.parquet(folder).where(F.col("game_year") == 2024)
+
+
+register(Query("s04_pitch_table", _pitch_table, f"{KEY} game_date:d pitch_type:s run_value:f game_year:i", source="written"))
+
+
+def _arsenal_file(t: Tables):
+    table = t.pitcher_arsenals.select("pitcher", "p_throws", "num_pitch_types", "pitch_types", "fb_velo")
+    base = _folder(t, "arsenals")
+    FI.write_csv_versioned(table.limit(0), base, "first")
+    return t.spark.read.option("header", True).csv(FI.write_csv_versioned(table, base, "second"))
+
+
+register(Query("s05_arsenal_file", _arsenal_file, "pitcher:i p_throws:s num_pitch_types:i pitch_types:s fb_velo:f", source="pars"))
+
+
+def _metadata(t: Tables):
+    numeric, categorical = ML.column_types(t.features)
+    folder = _folder(t, "metadata")
+    FI.write_metadata(t.spark, folder, ML.regression_metrics(_split_no_model(t)), numeric + categorical, numeric, categorical)
+    kinds = t.spark.read.json(f"{folder}/inference_config").select(F.size("numeric_cols").alias("n_numeric"), F.size("categorical_cols").alias("n_categorical"))
+    return t.spark.read.json(f"{folder}/metrics").join(F.broadcast(kinds))
+
+
+register(Query("s08_metadata", _metadata, "split:s n:i rmse:f mae:f r2:f n_numeric:i n_categorical:i", source="metadata", keep=("raw",)))
+
+
+def _renamed(t: Tables):
+    """A log whose columns have other names: the first candidate that exists is taken."""
+    log = t.raw.select(F.col("pitcher").alias("player_id"), F.col("pitch_type").alias("pitch_name"), "batter")
+    return AN.distinct_arsenal(log, AN.resolve_column(log, ["pitcher", "pitcher_id", "player_id", "batter"]),
+                               AN.resolve_column(log, ["pitch_type", "pitch_name"]))
+
+
+register(Query("s11_renamed_columns", _renamed, "pitcher:i pitch_type:s", source="arsenal12"))
+
+
+def _loaded_preprocessing(t: Tables):
+    """M7: the fitted preprocessing, saved and loaded."""
+    df, numeric, categorical = ML.split_table(t.features)
+    tr = df.filter(F.col("split") == "train")
+    folder = _folder(t, "preprocessing")
+    ML.save_model(ML.fit_preprocessing(tr, numeric, categorical), folder)
+    return ML.preprocessing_summary(ML.load_model(folder), tr)
+
+
+register(Query("m07_loaded_preprocessing", _loaded_preprocessing, "feature:s kind:s median:f mean:f std:f levels:s", source="m02", keep=("raw",)))
