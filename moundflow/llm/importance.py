@@ -201,14 +201,20 @@ def sample_size(weighed: DataFrame, least: float, weight: str = "__weight", toxi
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The k documents, not toxic, with the largest keys, same columns; k is the
-    number whose weight reaches the threshold between labelled target and
-    rejected rows.  Without any labelled target row nothing is rejected.  Null
-    and empty texts weigh 0; equal rows share their noise."""
+    """The k documents, not toxic, with the largest keys, same columns and
+    partitions; k is the number whose weight reaches the threshold between
+    labelled target and rejected rows.  Without any labelled target row nothing is
+    rejected.  Null and empty texts weigh 0; equal rows share their noise and so
+    their fate, all that tie for the last place stay.  Only keys are written to find
+    the last one; the texts are weighed once more, not shuffled."""
     ratio, least = fit_all(docs, labels)
-    weight, key, toxic = (free(docs, x) for x in ("__weight", "__key", "__toxic"))
-    weighed = saved(weigh(docs, ratio, toxic=tox.fit(docs, labels)))
-    return gumbel_top_k(weighed.where(~named(toxic)), sample_size(weighed, least, weight, toxic), key=key).drop(weight, key, toxic)
+    judge = tox.fit(docs, labels)
+    keys = saved(weigh(id_text(docs), ratio, toxic=judge).select("__weight", "__key", "__toxic"))
+    k, rows = sample_size(keys, least), keys.where(~F.col("__toxic"))
+    if k <= 0:
+        return docs.limit(0)
+    last = float("-inf") if k >= rows.count() else kth_key(rows, k)[0]
+    return weigh(docs, ratio, least=last, toxic=judge)
 
 
 def kth_key(rows: DataFrame, k: int, key: str = "__key", bins: int = 4096) -> tuple[float, int]:
