@@ -13,13 +13,16 @@ wherever it starts; the steps are:
    repeats.  The rest is mixed: equal pieces collapse to their first place.
 3. The distinct pieces of a mixed gram are compared with each other by the
    operator's method, in groups of at most ``MAX_GROUP``.
-4. Grams with more distinct pieces than that (a passage that very many texts
-   share, with as many different surroundings) are taken window by window: equal
-   windows meet by hash, collapsed map-side, so no task holds such a group.
+4. Pieces of a gram with more distinct ones than that (a passage that very many
+   texts share, with as many different surroundings) are cut again by longer
+   grams, whose anchors far fewer of them share, and what comes out goes through
+   steps 2 and 3.  The last grams are whole windows, which need no comparison, so
+   no task holds such a group and few pieces are ever taken window by window.
 
 No step drops rows or caps partners, and no pairs are shuffled."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,7 @@ MAX_GROUP = 256
 #: Bytes of pieces that are compared at once (complete groups).
 CHUNK_BYTES = 1 << 18
 LOW = U64(0xFFFFFFFF)
-_RUN, _RUN2 = Rolling(0xD1B54A32D192ED03), Rolling(0xAEF17502108EF2D9)
+_RUN = Rolling(0xD1B54A32D192ED03)
 
 
 @dataclass(frozen=True)
@@ -156,14 +159,22 @@ def unpacked(batches: Iterator[pa.RecordBatch], column: str = "z") -> Iterator[t
                 held, size, first = [], 0, i + 1
 
 
-CUT = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()),
-                 ("r2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("content", pa.binary())])
-CUT_SQL = "key long, key2 long, hot boolean, r1 long, r2 long, s long, n int, o int, content binary"
+CUT = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()), ("r2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()),
+                 ("o", pa.int32()), ("content", pa.binary())])
+CUT_SQL = "key long, hot boolean, r1 long, r2 long, s long, n int, o int, content binary"
+
+
+def _contents(spec: Spec, data: np.ndarray, words: Words | None, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The bytes of pieces, from unit ``first`` of the slice, of ``n`` windows."""
+    last = first + n + spec.length - 1
+    a, b = (first, last) if words is None else (words.s[first], words.e[last - 1])
+    raw = data.tobytes()
+    return pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
 
 
 def _cut(spec: Spec):
     """Texts with the pieces wanted from them (struct key, p, hot): a row with
-    its content for each, or for hot grams a row for each of its windows."""
+    its content for each."""
     def run(batches):
         for part, data, off in unpacked(batches):
             want = part.column(part.schema.get_field_index("want"))
@@ -172,29 +183,38 @@ def _cut(spec: Spec):
             key, p, hot = (np.asarray(w.field(i)) for i in range(3))
             s, n, o = p // (PLACE * PLACE), p // PLACE % PLACE, p % PLACE
             text = np.repeat(np.arange(len(lens)), lens)
-            r1, r2 = np.asarray(part.column(0))[text], np.asarray(part.column(1))[text]
-            whole = spec.unit == "bytes"
-            words = None if whole else Words(data, off)
-            first = (off[text] if whole else words.off[text]) + s
-            last = first + n + spec.length - 1
-            a, b = (first, last) if whole else (words.s[first], words.e[last - 1])
-            cool, raw = np.flatnonzero(~hot), data.tobytes()
-            yield record(CUT, key[cool], np.zeros(len(cool), np.int64), np.zeros(len(cool), bool), r1[cool], r2[cool],
-                         s[cool], n[cool].astype(np.int32), o[cool].astype(np.int32),
-                         pa.array([raw[x:y] for x, y in zip(a[cool].tolist(), b[cool].tolist())], pa.binary()))
-            warm = np.flatnonzero(hot)
-            if not len(warm):
-                continue
-            values = BYTE_VALUE[data] if whole else words.h
-            p1, p2, m = _RUN.prefix(values), _RUN2.prefix(values), n[warm]
-            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            at = np.repeat(first[warm], m) + k
-            yield record(CUT, _RUN.runs(p1, at, at + spec.length).view(np.int64), _RUN2.runs(p2, at, at + spec.length).view(np.int64),
-                         np.ones(len(at), bool), np.repeat(r1[warm], m), np.repeat(r2[warm], m), np.repeat(s[warm], m) + k,
-                         np.ones(len(at), np.int32), np.zeros(len(at), np.int32), pa.nulls(len(at), pa.binary()))
+            words = None if spec.unit == "bytes" else Words(data, off)
+            first = (off if words is None else words.off)[text] + s
+            yield record(CUT, key, hot, np.asarray(part.column(0))[text], np.asarray(part.column(1))[text], s, n.astype(np.int32),
+                         o.astype(np.int32), _contents(spec, data, words, first, n))
     return run
 
 
+FINER = pa.schema([*OCC, ("content", pa.binary())])
+FINER_SQL = f"{OCC_SQL}, content binary"
+
+
+def _finer(spec: Spec, gram: int):
+    """Pieces (rows of CUT) cut by the anchors of a longer gram, as occurrences
+    with their content.  Equal windows of a key have equal anchors again."""
+    def run(batches):
+        for part, data, off in text_slices(batches, "content"):
+            values, at, words = spec.units(data, off)
+            piece, s, n, o, key, ph = pieces(values, at, gram, spec.length)
+            old, r1, r2, begin = (np.asarray(part.column(part.schema.get_field_index(c)))[piece] for c in ("key", "r1", "r2", "s"))
+            key = mix(key + old.view(U64) * U64(0x9E3779B97F4A7C15))
+            yield record(FINER, key.view(np.int64), ph.view(np.int64), r1, r2, ((begin + s - at[piece]) * PLACE + n) * PLACE + o,
+                         _contents(spec, data, words, s, n))
+    return run
+
+
+def longer_gram(gram: int, length: int) -> int:
+    """The next length of grams: a quarter of what a window has beyond the gram
+    is left, or nothing."""
+    rest = (length - gram) // 4
+    return length - rest if rest >= 4 else length
+
+
 RUNS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 RUNS_SQL = "r1 long, r2 long, a long, b long"
 
@@ -246,39 +266,45 @@ def repeated_runs(docs: DataFrame, spec: Spec, keep_first: bool = False, max_gro
     equal in id and text count as one document."""
     if not 1 <= spec.gram <= spec.length < PLACE:
         raise ValueError(f"windows of 1 to {PLACE - 1} units, grams no longer than windows")
-    docs = docs.select("r1", "r2", "text")
-    occ = docs.mapInArrow(_occurrences(spec), OCC_SQL)
-    known = (occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi"))
-             .where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
-    # written first: a join of two plain shuffles is one whose hot keys adaptive
-    # execution splits, a join with an aggregate in the same stage is not
-    found = saved(occ.join(saved(known), "key"))
+    docs, gram = docs.select("r1", "r2", "text"), spec.gram
     place = F.struct("r2", "r1", "p")
     s, n = F.shiftright("p", 24), F.shiftright("p", 12).bitwiseAND(F.lit(PLACE - 1))
     whole = F.struct(s.alias("a"), (s + n + (spec.length - 1)).alias("b")).alias("run")
-    equal = found.where(~F.col("mixed"))
-    if keep_first:
-        equal = equal.join(saved(equal.groupBy("key").agg(F.min(place).alias("f"))), "key").where(place > F.col("f"))
-    # mixed grams: equal pieces collapse to their first place
-    mixed = found.where("mixed")
-    same = saved(mixed.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")))
-    many = saved(same.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_group).select("key", F.lit(True).alias("hot")))
-    mixed = saved(mixed.join(same, ["key", "ph"]).join(many, "key", "left")
-                  .select("key", "r1", "r2", "p", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("c") > 1).alias("more"),
-                          (place == F.col("f")).alias("lead")))
-    copies = mixed.where(~F.col("lead") if keep_first else F.col("more"))
-    want = mixed.where("lead").groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "p", "hot")).alias("want"))
-    cut = saved(packed(docs).join(want, ["r1", "r2"]).mapInArrow(_cut(spec), CUT_SQL))
-    cool = cut.where(~F.col("hot")).drop("key2", "hot").repartition("key").sortWithinPartitions("key", "r2", "r1", "s")
-    close = cool.mapInArrow(_compare(spec, keep_first), RUNS_SQL)
-    start = F.struct("r2", "r1", "s")
-    hot = cut.where("hot").select("key", "key2", "r1", "r2", "s")
-    often = saved(hot.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("c"), F.min(start).alias("f")).where("c > 1").drop("c"))
-    hot = hot.join(often, ["key", "key2"]).where(start > F.col("f") if keep_first else F.lit(True))
-    runs = (equal.select("r1", "r2", whole).unionByName(copies.select("r1", "r2", whole))
-            .unionByName(close.select("r1", "r2", F.struct("a", "b").alias("run")))
-            .unionByName(hot.select("r1", "r2", F.struct(F.col("s").alias("a"), (F.col("s") + spec.length).alias("b")).alias("run"))))
-    return runs.groupBy("r1", "r2").agg(F.collect_set("run").alias("runs"))
+    runs, cut = [], None
+    while True:
+        occ = docs.mapInArrow(_occurrences(spec), OCC_SQL) if cut is None else saved(cut.where("hot").mapInArrow(_finer(spec, gram), FINER_SQL))
+        known = (occ.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi"))
+                 .where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+        # written first: a join of two plain shuffles is one whose hot keys adaptive
+        # execution splits, a join with an aggregate in the same stage is not
+        found = saved(occ.join(saved(known), "key"))
+        equal = found.where(~F.col("mixed"))
+        if keep_first:
+            equal = equal.join(saved(equal.groupBy("key").agg(F.min(place).alias("f"))), "key").where(place > F.col("f"))
+        runs.append(equal.select("r1", "r2", whole))
+        # mixed grams: equal pieces collapse to their first place
+        mixed = found.where("mixed")
+        same = saved(mixed.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")))
+        many = saved(same.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_group).select("key", F.lit(True).alias("hot")))
+        mixed = saved(mixed.join(same, ["key", "ph"]).join(many, "key", "left")
+                      .select("key", "r1", "r2", "p", *([] if cut is None else ["content"]), F.coalesce("hot", F.lit(False)).alias("hot"),
+                              (F.col("c") > 1).alias("more"), (place == F.col("f")).alias("lead")))
+        runs.append(mixed.where(~F.col("lead") if keep_first else F.col("more")).select("r1", "r2", whole))
+        if gram == spec.length:     # a piece is a window: different ones share nothing
+            break
+        lead = mixed.where("lead")
+        if cut is None:
+            want = lead.groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "p", "hot")).alias("want"))
+            cut = saved(packed(docs).join(want, ["r1", "r2"]).mapInArrow(_cut(spec), CUT_SQL))
+        else:
+            cut = lead.select("key", "hot", "r1", "r2", s.alias("s"), n.cast("int").alias("n"),
+                              F.col("p").bitwiseAND(F.lit(PLACE - 1)).cast("int").alias("o"), "content")
+        cool = cut.where(~F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key", "r2", "r1", "s")
+        runs.append(cool.mapInArrow(_compare(spec, keep_first), RUNS_SQL).select("r1", "r2", F.struct("a", "b").alias("run")))
+        if many.isEmpty():
+            break
+        gram = longer_gram(gram, spec.length)
+    return functools.reduce(DataFrame.unionByName, runs).groupBy("r1", "r2").agg(F.collect_set("run").alias("runs"))
 
 
 def merged(flat: np.ndarray, n: int) -> np.ndarray:

@@ -136,3 +136,19 @@ def test_longest_previous_factors(seed, depth):
     prev, after = L.previous_and_next(text, starts, depth)
     for p, q, r in zip(starts, prev, after):
         assert (q >= 0) == any(agree(p, x) >= depth for x in starts if x < p) and (r >= 0) == any(agree(p, x) >= depth for x in starts if x > p)
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_many_surroundings_are_not_taken_window_by_window(spark, first, monkeypatch):
+    """A passage in very many texts: its pieces are cut by longer grams, few of them become windows."""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, "".join(r.choice("ijklmnop ") for _ in range(300)) + passage + "".join(r.choice("ijklmnop ") for _ in range(300))) for i in range(60)]
+    made = []
+    keep = repeats.saved
+    monkeypatch.setattr(repeats, "saved", lambda df: made.append(keep(df)) or made[-1])
+    docs = brute.frame(spark, rows)
+    assert got(lpf_dedup.repeated_bytes(docs, 200, 32, first, 16)) == sorted(brute.repeated_bytes(rows, 200, first))
+    most = max(x.count() for x in made if {"s", "p"} & set(x.columns))
+    # by windows: some 80 rows for each of the two pieces a text has that reach over the passage's ends
+    assert most < 30 * len(rows)
