@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from moundflow.llm.base import BYTE_VALUE, LOWER, U64, Rolling, byte_class, mix, named, record, saved, shared, spans, text_slices
 from moundflow.session import task_slots
 
-#: Occurrences that one hash partition shall have about; n-grams that a task counts at once.
-MASS, BLOCK = 1 << 25, 1 << 21
+#: Occurrences that one hash partition shall have about; n-grams that a task counts at
+#: once, by hash (a block of 8 MB) and then by phrase.
+MASS, BLOCK, PHRASES = 1 << 25, 1 << 20, 1 << 19
 #: Bytes of text hashed at once.
 SLICE = 1 << 19
 #: Bits of the survivors' filter are at most 2 to this power (64 MB).  A fuller
@@ -122,33 +123,36 @@ _BLOB = pa.schema([("p", pa.int32()), ("mass", pa.int64()), ("ones", pa.binary()
 def _count_blocks(longest: int, power: int):
     """Counts of blocks by hash partition (the first ``power`` bits of a hash; the
     next 32 are the key).  Each block gives its masses apart from its counts."""
-    def emit(hashes: list[np.ndarray]):
-        h = np.concatenate(hashes)
+    starts = np.arange(1 << power).astype(U64) << U64(32)
+
+    def emit(h: np.ndarray):
         h >>= U64(32 - power)
         h.sort()
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        n = np.diff(np.append(at, len(h)))
-        h = h[at]
-        p = (h >> U64(32)).astype(np.int64)
-        key = h.astype(np.uint32)
-        ends = np.searchsorted(p, np.arange((1 << power) + 1))
+        ends = np.append(np.searchsorted(h, starts), len(h))
         rows = []
-        for i in np.flatnonzero(np.diff(ends)):
-            k, c = key[ends[i]:ends[i + 1]], n[ends[i]:ends[i + 1]]
+        # a partition at a time: what is made beside the block is a part of it
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            x = h[ends[i]:ends[i + 1]].astype(np.uint32)
+            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            k, c = x[at], np.diff(np.append(at, len(x)))
             one = c == 1
-            rows += [(int(i), int(c.sum()), None, None, None), (int(i), None, k[one].tobytes(), k[~one].tobytes(), c[~one].astype(np.uint32).tobytes())]
+            rows += [(i, len(x), None, None, None), (i, None, k[one].tobytes(), k[~one].tobytes(), c[~one].astype(np.uint32).tobytes())]
         return record(_BLOB, *map(list, zip(*rows)))
 
     def run(batches):
-        held, size = [], 0
+        block, size = np.empty(BLOCK, U64), 0
         for g, _, _ in _slices(batches, longest):
-            held += [x for x in g.h.values() if len(x)]
-            size += sum(map(len, g.h.values()))
-            if size >= BLOCK:
-                yield emit(held)
-                held, size = [], 0
-        if held:
-            yield emit(held)
+            for x in g.h.values():
+                a = 0
+                while a < len(x):
+                    n = min(len(x) - a, BLOCK - size)
+                    block[size:size + n] = x[a:a + n]
+                    a, size = a + n, size + n
+                    if size == BLOCK:
+                        yield emit(block)
+                        size = 0
+        if size:
+            yield emit(block[:size])
     return run
 
 
@@ -260,7 +264,7 @@ def _count_phrases(get, longest: int):
                 n = np.diff(np.append(first, len(h)))
                 size += len(first)
                 held.append(record(_COUNT, names.take(pa.array(codes[g.owner[at[first]]])), np.full(len(first), k, np.int32), g.phrases(k, at[first]), n))
-            if size >= BLOCK // 4:
+            if size >= PHRASES:
                 yield from emit(held)
                 held, size = [], 0
         if held:

@@ -106,3 +106,13 @@ def test_table_equals_sql(spark, small_dir):
     sql = sorted(con.execute(co.ORACLE).fetchall())
     assert [tuple(d[0] for d in con.description)] == [tuple(COLUMNS)]
     assert got(co.collocations(docs)) == sql == brute([(r.text, r.lang) for r in docs.select("text", "lang").collect()])
+
+
+def test_blocks_are_bounded_whatever_a_slice_holds(monkeypatch):
+    """What is counted at once is a block, also where a slice of texts has many times its n-grams."""
+    import pyarrow as pa
+    n = 50_000
+    words = " ".join(map(str, np.random.default_rng(4).integers(0, 1 << 30, n).tolist()))
+    monkeypatch.setattr(co, "BLOCK", 1 << 14)
+    masses = [sum(b.column("mass").drop_null().to_pylist()) for b in co._count_blocks(3, 2)(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": [words]})]))]
+    assert sum(masses) == 3 * n - 3 and max(masses) <= 1 << 14
