@@ -62,3 +62,29 @@ def test_matching_is_first_by_file_order_and_unique(spark):
                    6: "Über Slugger", 7: "No Id", 8: "Contact Hitter", 9: "unknown", 10: "unknown", 11: "Patient Hitter", 12: "unknown", 13: "Patient Hitter"}
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_ranked_in_their_request_row(spark, small_dir):
+    """R10 neither moves nor sorts candidates: their number does not show in a task's memory."""
+    from moundflow.operators import analytics as AN
+    from moundflow.plans.tables import Tables
+    from moundflow.sources import requests as RQ
+    t = Tables(spark, small_dir)
+    out = HE.next_pitch_candidates(RQ.requests(spark, small_dir), RQ.archetypes(spark, t.raw.select("batter")), AN.distinct_arsenal(t.raw), "batter_query")
+    assert "Window" not in _plan(out)
+
+
+def test_queries_meet_runs_of_their_own_length(spark):
+    """Ids of seven digits share all runs of three with very many rows; only rows that have the whole id meet them."""
+    texts = [(i, f"{7_000_000 + 13 * i}\nx", "a" if i % 2 else "b") for i in range(400)]
+    rows = spark.createDataFrame(texts, "line long, _text string, label string")
+    asked = [f"{7_000_000 + i}" for i in range(0, 4000, 7)] + ["70", "a name that is longer", "7000013\nx", "7000000\nx and more"]
+    queries = spark.createDataFrame([(q,) for q in asked], "_q string")
+    want = {q: min(hit)[1] for q in asked if (hit := [(i, label) for i, text, label in texts if q in text])}
+    assert {r._q: r._value for r in HE.first_containing(queries, rows, "label", "line").collect()} == want
+    pairs = HE._long_hits(queries, rows.select("_text", F.col("label").alias("_value")))
+    assert pairs.count() == 0 and HE._runs(queries, rows.select("_text", "label")).where("length(_q) = 7").groupBy("_q").count().agg(F.max("count")).first()[0] <= 2
