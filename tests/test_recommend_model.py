@@ -44,3 +44,12 @@ def test_location_grid_matches_brute_force(spark, small_dir):
         cands = [best[(r.request_id, p)] for p in by_type[(r.request_id, r.pitch_type)]]
         assert any(abs(b.cell_rv - r.loc_expected_rv) < 1e-9 and b.plate_x == r.loc_plate_x
                    and b.plate_z == r.loc_plate_z and b.zone == r.loc_zone for b in cands)
+
+
+def test_candidates_are_sorted_once(spark, small_dir):
+    """One order serves the softmax and the ranks."""
+    from moundflow.plans import queries as Q
+    from moundflow.plans.tables import Tables
+    plan = Q._recommend(Tables(spark, small_dir))._jdf.queryExecution().executedPlan().toString()
+    by_request = [x for x in plan.split("\n") if " Sort [request_id" in x]
+    assert len(by_request) == 1 and "Window" in plan
