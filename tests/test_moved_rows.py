@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from moundflow.operators import clean as CL
 from moundflow.operators import model as ML
 from moundflow.plans.queries import REGISTRY
 from moundflow.plans.tables import Tables
@@ -56,3 +57,27 @@ def test_split_rows_are_those_of_the_time_split(spark, small_dir):
     df, _, _, n = ML.split_rows(f)
     got = [tuple(r) for r in df.select(*key, "split").collect()]
     assert len(got) == n and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["w14_extra_sequence", "w04_sequence_features", "e26_rule_based_location"])
+def test_conditions_do_not_repeat_the_view(spark, small_dir, name):
+    """The log's columns are computed once, not again in a join's or a filter's condition."""
+    lines = [line.strip(" :+-") for line in _plan(REGISTRY[name].spark(spark, small_dir)).splitlines()]
+    assert not [x for x in lines if x.startswith(("Join", "Filter")) and "CASE WHEN" in x]
+
+
+def test_deduplication_leaves_out_steps_nobody_reads(spark, small_dir):
+    plan = _plan(REGISTRY["w14_extra_sequence"].spark(spark, small_dir))
+    assert not [c for c in ("bat_score", "on_1b", "release_speed", "inning") if f"AS {c}#" in plan]
+
+
+def test_first_complete_row_is_kept_whole(spark):
+    """The first row of a pitch that has the required fields, all its groups of columns from one row."""
+    rows = [(1, 1, 1, 1, None, 10, "FF", "ball", 3, 90.0, "x"), (1, 1, 1, 2, 7, 11, "SI", "foul", 4, 91.0, None), (1, 1, 1, 3, 8, 12, "SL", "ball", 5, 92.0, "z"),
+            (1, 1, 2, 4, 7, 10, None, "ball", 3, 90.0, "x"), (1, 1, 2, 5, 7, 10, "FF", None, 3, 90.0, "x"),
+            (2, 1, 1, 9, 7, 10, "FF", "foul", 1, 80.0, "b"), (2, 1, 1, 8, 7, 10, "CU", "foul", 2, None, "a")]
+    df = spark.createDataFrame(rows, "game_pk int, at_bat_number int, pitch_number int, src_key long, pitcher int, batter int, pitch_type string, description string, inning int, release_speed double, own string")
+    got = sorted(tuple(r) for r in CL.clean_pitches(df).collect())
+    assert got == [rows[1], rows[6]] and CL.clean_pitches(df).columns == df.columns
+    nan = df.withColumn("pitcher", F.when(F.col("src_key") == 2, F.lit(float("nan"))).otherwise(F.col("pitcher").cast("double")))
+    assert sorted(r.src_key for r in CL.clean_pitches(nan).collect()) == [3, 8]
