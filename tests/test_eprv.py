@@ -71,3 +71,23 @@ def test_unseen_context_backs_off_to_its_count(spark):
     assert AN.choose_eprv(AN.eprv_candidates(c, seen, bl)).first().best_pitch is None
     best = AN.choose_eprv(AN.eprv_candidates(c, seen, bl, AN.eprv_by_context(per_count, rv))).first()
     assert best.best_pitch == "KN" and abs(best.raw_eprv - 0.2) < 1e-9
+
+
+def test_best_of_parts_is_the_best_of_all(spark):
+    rows = [(1, "FF", 3, -0.1, 0.0, -0.1), (1, "FF", 2, -0.1, 0.0, -0.1), (1, "CU", 9, -0.1, 0.0, -0.1), (1, "SL", 1, 0.2, None, None),
+            (2, "SL", 1, 0.2, None, None), (2, "SL", 2, 0.1, None, None), (3, "FF", 1, 0.3, 0.1, 0.2), (3, "FF", 1, 0.3, 0.1, 0.2)]
+    c = spark.createDataFrame(rows, "request_id int, pitch_type string, zone int, raw_eprv double, baseline_rv double, rvaa double")
+    whole = sorted(map(tuple, AN.choose_eprv(c).collect()))
+    assert whole == [(1, "CU", 9, -0.1, 0.0, -0.1, 4), (2, None, None, None, None, None, 2), (3, "FF", 1, 0.3, 0.1, 0.2, 2)]
+    parts = AN.choose_eprv(c.withColumn("part", c.zone), "request_id", "part")
+    assert sorted(map(tuple, AN.best_choice(parts, "request_id").collect())) == whole
+
+
+def test_zones_are_judged_per_cell_not_per_request(spark, small_dir, monkeypatch):
+    from moundflow.plans.queries import REGISTRY
+    seen, judge = [], AN.eprv_candidates
+    monkeypatch.setattr(AN, "eprv_candidates", lambda c, *rest: (seen.append(c), judge(c, *rest))[1])
+    out = REGISTRY["r12_eprv_rvaa"].spark(spark, small_dir)
+    cell = ["count", "_cell_type", "p_throws", "stand", "_unseen", "zone"]
+    assert "request_id" not in seen[0].columns and seen[0].count() == seen[0].select(*cell).distinct().count()
+    assert out.count() == out.select("request_id").distinct().count() > 0
