@@ -53,3 +53,15 @@ def test_candidates_are_sorted_once(spark, small_dir):
     plan = Q._recommend(Tables(spark, small_dir))._jdf.queryExecution().executedPlan().toString()
     by_request = [x for x in plan.split("\n") if " Sort [request_id" in x]
     assert len(by_request) == 1 and "Window" in plan
+
+
+def test_scored_candidates_are_not_moved_again(spark, small_dir):
+    """R6 with a model: the last exchange deals candidates by request, over tasks for the
+    grid's work; vectors and cells are neither moved nor sorted after it."""
+    t = Tables(spark, small_dir)
+    model, _, _, _ = ML.train(t.features, max_iter=1, max_depth=2)
+    recs = RE.recommend(RQ.requests(spark, small_dir), t.pitcher_arsenals, t.pitcher_profiles, t.batter_wide, t.zone_long, model=model)
+    plan = recs._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = next(i for i, line in enumerate(plan) if "Exchange " in line)
+    assert "REPARTITION_BY_NUM" in plan[last] and "hashpartitioning(request_id" in plan[last]
+    assert not [x for x in plan[:last] if "SortAggregate" in x or "Join" in x]
