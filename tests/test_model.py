@@ -102,3 +102,22 @@ def test_a_fit_goes_on_from_saved_rounds(spark, tmp_path, monkeypatch):
     assert [t.toDebugString.split("\n", 1)[1] for t in got.trees] == [t.toDebugString.split("\n", 1)[1] for t in want.trees]
     again, _ = BO.boost(rows, "run_value", "_es_holdout", 5, 0.1, 3, 42, 10, folder)
     assert len(fits) == 2 and again.getNumTrees == 5
+
+
+def test_vectors_are_written_once_and_dense(spark, monkeypatch):
+    """A dozen rounds write the preprocessed rows once, as dense vectors with their attributes."""
+    f = Tables(spark, "/root/testdata/sf0.001").features
+    df, numeric, categorical = ML.split_table(f)
+    tr = df.filter(F.col("split") == "train")
+    tr = tr.withColumn("_es_holdout", ML.holdout_flag(tr, 0.2))
+    written, frame = [], type(df)
+    own = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, eager=True: written.append(own(self, eager)) or written[-1])
+    model = ML.fit_boosted(tr, numeric, categorical, max_depth=2, max_iter=12, patience=None)
+    assert model.stages[-1].getNumTrees == 12 and len(written) == 1
+    rows = written[0]
+    assert {type(r.features).__name__ for r in rows.select("features").collect()} == {"DenseVector"}
+    assert rows.schema["features"].metadata == model.transform(tr.limit(0)).schema["features"].metadata
+    wide = model.transform(tr).select("features").collect()
+    assert {type(r.features).__name__ for r in wide} >= {"SparseVector"}
+    assert sorted(tuple(r.features.toArray()) for r in wide) == sorted(tuple(r.features.toArray()) for r in rows.select("features").collect())
