@@ -81,3 +81,14 @@ def test_first_complete_row_is_kept_whole(spark):
     assert got == [rows[1], rows[6]] and CL.clean_pitches(df).columns == df.columns
     nan = df.withColumn("pitcher", F.when(F.col("src_key") == 2, F.lit(float("nan"))).otherwise(F.col("pitcher").cast("double")))
     assert sorted(r.src_key for r in CL.clean_pitches(nan).collect()) == [3, 8]
+
+
+def test_contexts_are_not_broadcast(spark, small_dir, monkeypatch):
+    """R12's cells, bounded by the game, are the side that is broadcast, however small the files of the contexts are."""
+    from moundflow.operators import analytics as AN
+    seen, own = [], AN.best_choice
+    monkeypatch.setattr(AN, "best_choice", lambda choices, *by: seen.append((choices, by)) or own(choices, *by))
+    REGISTRY["r12_eprv_rvaa"].spark(spark, small_dir)
+    of_context = next(choices for choices, by in seen if "pitcher" in by)
+    first = next(line for line in _plan(of_context).splitlines() if "Join Inner" in line)
+    assert "rightHint=(strategy=broadcast)" in first and "leftHint" not in first
