@@ -83,6 +83,15 @@ def test_first_complete_row_is_kept_whole(spark):
     assert sorted(r.src_key for r in CL.clean_pitches(nan).collect()) == [3, 8]
 
 
+def test_features_leave_out_profiles_nobody_reads(spark, small_dir):
+    """Where no column of a profile is read, the pitches do not meet it."""
+    read = Tables(spark, small_dir).features.select("game_pk", "pitch_type", "loc_horizontal", "in_zone", "run_value")
+    assert "Join LeftOuter" not in _plan(read)
+    rows = Tables(spark, small_dir).features
+    assert rows.groupBy("game_pk", "at_bat_number", "pitch_number").count().where("count > 1").isEmpty()
+    assert "Join FullOuter" in _plan(rows.select("batter_xwoba_at_zone", "xwoba_vs_FB"))
+
+
 def test_contexts_are_not_broadcast(spark, small_dir, monkeypatch):
     """R12's cells, bounded by the game, are the side that is broadcast, however small the files of the contexts are."""
     from moundflow.operators import analytics as AN
@@ -92,3 +101,13 @@ def test_contexts_are_not_broadcast(spark, small_dir, monkeypatch):
     of_context = next(choices for choices, by in seen if "pitcher" in by)
     first = next(line for line in _plan(of_context).splitlines() if "Join Inner" in line)
     assert "rightHint=(strategy=broadcast)" in first and "leftHint" not in first
+
+
+def test_a_pitch_meets_its_copies_as_one_value(spark, small_dir):
+    """Features of all steps: one value and its tie-break are moved, and categories are not moved at all."""
+    t = Tables(spark, small_dir)
+    assert _plan(t.features).count("min_by(") > _plan(t.whole_features).count("min_by(") == 1
+    key = ["game_pk", "at_bat_number", "pitch_number"]
+    assert sorted(map(tuple, t.features.orderBy(*key).collect()), key=str) == sorted(map(tuple, t.whole_features.orderBy(*key).collect()), key=str)
+    joins = [line for line in _plan(t.whole_features).splitlines() if "AS last_pitch_category" in line or "AS pitch_category" in line]
+    assert joins and not [line for line in joins if line.strip(" :+-").startswith("Project") and "_we" in line]
