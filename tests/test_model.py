@@ -121,3 +121,20 @@ def test_vectors_are_written_once_and_dense(spark, monkeypatch):
     wide = model.transform(tr).select("features").collect()
     assert {type(r.features).__name__ for r in wide} >= {"SparseVector"}
     assert sorted(tuple(r.features.toArray()) for r in wide) == sorted(tuple(r.features.toArray()) for r in rows.select("features").collect())
+
+
+def test_the_imputing_method_is_compiled(spark):
+    """Nulls and NaN become medians, by methods that the JVM compiles (8,000 bytes at most)."""
+    from moundflow.operators.features import NUMERIC_FEATURES
+    columns = NUMERIC_FEATURES
+    nan = float("nan")
+    rows = spark.createDataFrame([tuple(1.0 for _ in columns), tuple(None if i % 2 else nan for i in range(len(columns))), tuple(nan if i % 2 else -0.0 for i in range(len(columns)))],
+                                 ", ".join(f"`{c}` double" for c in columns))
+    medians = {c: None if i == 3 else i / 3 for i, c in enumerate(columns)}
+    stages = ML.preprocessing(columns, [], medians)
+    out = stages[1].transform(stages[0].transform(rows))
+    want = [0.0 if v is None else v for v in medians.values()]
+    got = sorted(r._num_vec.toArray().tolist() for r in out.select("_num_vec").collect())
+    assert got == sorted([[1.0] * len(columns), want, [v if i % 2 else 0.0 for i, v in enumerate(want)]])
+    text = spark._jvm.PythonSQLUtils.explainString(out.select("_num_vec")._jdf.queryExecution(), "codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000

@@ -111,3 +111,14 @@ def test_a_pitch_meets_its_copies_as_one_value(spark, small_dir):
     assert sorted(map(tuple, t.features.orderBy(*key).collect()), key=str) == sorted(map(tuple, t.whole_features.orderBy(*key).collect()), key=str)
     joins = [line for line in _plan(t.whole_features).splitlines() if "AS last_pitch_category" in line or "AS pitch_category" in line]
     assert joins and not [line for line in joins if line.strip(" :+-").startswith("Project") and "_we" in line]
+
+
+def test_categories_are_not_judged_below_the_join(spark, small_dir):
+    """A1 leaves out unknown categories, and rows without a batter or a type, after the aggregate."""
+    from moundflow.operators import profiles as PR
+    counts = PR.batter_category_counts(Tables(spark, small_dir).raw)
+    lines = [line.strip(" :+-") for line in _plan(counts).splitlines()]
+    assert not [x for x in lines if x.startswith(("Join", "Filter")) and "CASE WHEN" in x]
+    log = spark.createDataFrame([(1, "FF"), (1, "ff"), (1, "XX"), (1, None), (None, "FF"), (2, "XX")], "batter int, pitch_type string").selectExpr(
+        "*", "'ball' AS description", "1 AS zone", "1.0D AS launch_speed", "1.0D AS launch_angle", "CAST(NULL AS DOUBLE) AS estimated_woba_using_speedangle")
+    assert [tuple(r)[:3] for r in PR.batter_category_counts(log).collect()] == [(1, "FB", 2)]
